@@ -1,8 +1,10 @@
 """Queries of this subpackage by name, and DuckDB SQL where it can express one on whole tables."""
 
 from .dac import op9_token_ids
+from .jaccard import op6_ngram_jaccard
 from .langid import op3_language_id
 from .packing import op1_best_fit_packing
+from .suffix import op5_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op5_suffix_dedup, op6_ngram_jaccard, op9_token_ids)}
 ORACLES: dict[str, str] = {}

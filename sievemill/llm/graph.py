@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,13 @@ from .common import stage
 
 TALLY_BITS = 20
 SLICE = 1 << 12
+WIDTHS = ("<u1", "<u2", "<u4", "<i8")
+
+
+def pack(counts: np.ndarray) -> bytes:
+    """Compressed counters, after a byte for their width."""
+    k = int(np.searchsorted([1 << 8, 1 << 16, 1 << 32], counts.max(), side="right"))
+    return bytes([k]) + zlib.compress(counts.astype(WIDTHS[k]).tobytes(), 1)
 
 
 def tally(df: DataFrame, count, bits: int = TALLY_BITS) -> np.ndarray:
@@ -21,19 +30,19 @@ def tally(df: DataFrame, count, bits: int = TALLY_BITS) -> np.ndarray:
         for k in range(0, len(own), SLICE):
             part = own[k : k + SLICE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], names=["slice", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([pack(part)], pa.binary())], names=["slice", "counts"])
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, "<i4").astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(c[1:]), WIDTHS[c[0]]).astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(s) for s in sums.values()], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros(1 << bits, np.int64)
     for r in df.mapInArrow(partial, "slice int, counts binary").repartition("slice").mapInArrow(merge, "slice int, counts binary").collect():
-        got = np.frombuffer(r.counts, np.int64)
+        got = np.frombuffer(zlib.decompress(r.counts[1:]), WIDTHS[r.counts[0]])
         out[r.slice * SLICE : r.slice * SLICE + len(got)] = got
     return out
 

@@ -3,7 +3,7 @@
 Tokens are 48-bit fingerprints of the distinct word 5-grams of a text. Texts with
 equal token sets are one node from the start.
 
-1. Counts of all tokens in a table of 2**20 counters (fixed size, all texts) put
+1. Counts of all tokens in a table of 2**22 counters (fixed size, all texts) put
    tokens into classes: rare, or frequent by power of two above the noise. The
    global token order is class first, then fingerprint.
 2. Of n tokens in that order the first n - ceil(0.8 n) + 1 are the prefix: similar
@@ -12,7 +12,7 @@ equal token sets are one node from the start.
    frequent tokens are indexed as pairs at most 8 places apart. That suffices: k
    shared tokens leave k - 1 gaps, which add up to the two extended prefixes, so
    with k - 1 half a prefix one shared pair is at most 6 apart in either set.
-3. Sets under one key are candidates: all pairs of up to 16 sets; a larger key
+3. Sets under one key are candidates: all pairs of up to 32 sets; a larger key
    only gives links to its first and to the preceding set.
 4. Candidates are cut by size, position and parity bitmaps (which bound the
    symmetric difference from below), then verified on the token sets.
@@ -37,8 +37,11 @@ from .graph import TALLY_BITS, components, tally
 
 NUM, DEN = 80, 100  # similarity as a fraction
 GAP = 8
-ALL_PAIRS = 16
+ALL_PAIRS = 32
+CLASS_BITS = 22
+BLOCK = 2000
 BUCKET = U((1 << TALLY_BITS) - 1)
+CLASS = U((1 << CLASS_BITS) - 1)
 
 
 def shingle_sets(a: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +105,7 @@ def sets_table(docs: DataFrame) -> DataFrame:
 
 def token_classes(sets: DataFrame) -> np.ndarray:
     def count(batches):
-        out, seen = np.zeros(1 << TALLY_BITS, np.int64), set()
+        out, seen = np.zeros(1 << CLASS_BITS, np.int64), set()
         for batch in batches:
             own = []
             for sid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -110,10 +113,10 @@ def token_classes(sets: DataFrame) -> np.ndarray:
                     seen.add(sid)
                     own.append(body)
             t = tokens_of(b"".join(own))
-            out += np.bincount((t & BUCKET).astype(np.int64), minlength=len(out))
+            out += np.bincount((t & CLASS).astype(np.int64), minlength=len(out))
         return out
 
-    c = tally(sets.where("n > 1").select("sid", "tokens"), count)
+    c = tally(sets.where("n > 1").select("sid", "tokens"), count, CLASS_BITS)
     mid = np.median(c)
     return np.where(c > mid + 5 * (np.sqrt(mid) + 1), np.log2(np.maximum(c - mid, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
 
@@ -122,7 +125,7 @@ def keys_of(t: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Index keys of a set and their places in the order (-1 for pairs)."""
     n = len(t)
     p = n - -(-NUM * n // DEN) + 1
-    c = classes[(t & BUCKET).astype(np.int64)]
+    c = classes[(t & CLASS).astype(np.int64)]
     if c.any():
         t = t[np.argsort(c, kind="stable")]
     rare = n - int(np.count_nonzero(c))
@@ -135,8 +138,8 @@ def keys_of(t: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both, np.where(np.arange(len(both)) < rare, np.arange(len(both)), -1)
 
 
-def index(sets: DataFrame, classes) -> DataFrame:
-    """Staged rows from index keys: kind 0 a candidate pair (a < b); kind 1 a member (key a, set b, size n) of a larger key."""
+def index(sets: DataFrame, classes, all_pairs: int) -> DataFrame:
+    """Staged rows from index keys: kind 0 a candidate pair (a < b); kind 1 a member (key a, set b, size n, place pos) of a larger key."""
 
     def emit(batches):
         seen: set[int] = set()
@@ -159,16 +162,16 @@ def index(sets: DataFrame, classes) -> DataFrame:
         def close(key, sid, n, pos, final):
             """Rows for the groups of these arrays; the last group stays held unless final."""
             nonlocal first, last, open_key, held
-            out_a, out_b, out_n, out_kind = [], [], [], []
+            out_a, out_b, out_n, out_kind, out_pos = [], [], [], [], []
 
-            def put(a, b, n, kind):
-                out_a.append(a), out_b.append(b), out_n.append(n), out_kind.append(np.full(len(a), kind, np.int32))
+            def put(a, b, n, kind, pos=None):
+                out_a.append(a), out_b.append(b), out_n.append(n), out_kind.append(np.full(len(a), kind, np.int32)), out_pos.append(np.zeros(len(a), np.int32) if pos is None else pos)
 
             cut = np.flatnonzero(np.diff(key)) + 1
             begin, end = np.append(0, cut), np.append(cut, len(key))
             size = end - begin
-            for d in range(1, ALL_PAIRS):  # all small groups at once, by distance
-                small = np.flatnonzero((size > d) & (size <= ALL_PAIRS))
+            for d in range(1, all_pairs):  # all small groups at once, by distance
+                small = np.flatnonzero((size > d) & (size <= all_pairs))
                 small = small[(small < len(size) - 1) | final]
                 if not len(small):
                     break
@@ -179,7 +182,7 @@ def index(sets: DataFrame, classes) -> DataFrame:
                 most = np.where(pos[x] < 0, lo, np.minimum(n[x] - pos[x], n[y] - pos[y]))
                 ok = (DEN * lo >= NUM * hi) & (DEN * most >= NUM * (n[x].astype(np.int64) + n[y] - most)) & (sid[x] != sid[y])
                 put(np.minimum(sid[x], sid[y])[ok], np.maximum(sid[x], sid[y])[ok], np.zeros(int(ok.sum()), np.int32), 0)
-            for g in [*np.flatnonzero(size > ALL_PAIRS), *([0] if size[0] <= ALL_PAIRS and open_key is not None and key[0] == open_key else [])]:
+            for g in [*np.flatnonzero(size > all_pairs), *([0] if size[0] <= all_pairs and open_key is not None and key[0] == open_key else [])]:
                 own = slice(begin[g], end[g])
                 k, s = key[begin[g]], sid[own]
                 head = first if open_key == k else s[0]
@@ -187,15 +190,14 @@ def index(sets: DataFrame, classes) -> DataFrame:
                 for other in (np.full(len(s), head), before):
                     ok = s != other
                     put(np.minimum(s, other)[ok], np.maximum(s, other)[ok], np.zeros(int(ok.sum()), np.int32), 0)
-                put(np.full(len(s), k), s, n[own], 1)
+                put(np.full(len(s), k), s, n[own], 1, pos[own])
                 open_key, first, last = k, head, s[-1]
             tail = slice(begin[-1], end[-1])
-            held = [x[tail] if size[-1] <= ALL_PAIRS and key[-1] != open_key else x[:0] for x in (key, sid, n, pos)]
+            held = [x[tail] if size[-1] <= all_pairs and key[-1] != open_key else x[:0] for x in (key, sid, n, pos)]
             if not out_a:
                 return None
-            a, b, n_, kind = (np.concatenate(x) for x in (out_a, out_b, out_n, out_kind))
-            once = np.unique(np.rec.fromarrays([a, b, n_, kind]))
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once.f0)), pa.array(np.ascontiguousarray(once.f1)), pa.array(np.ascontiguousarray(once.f2)), pa.array(np.ascontiguousarray(once.f3))], names=["a", "b", "n", "kind"])
+            once = np.unique(np.rec.fromarrays([np.concatenate(x) for x in (out_a, out_b, out_n, out_kind, out_pos)]))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once[f])) for f in once.dtype.names], names=["a", "b", "n", "kind", "pos"])
 
         for batch in batches:
             new = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
@@ -206,7 +208,58 @@ def index(sets: DataFrame, classes) -> DataFrame:
 
     rows = sets.where("n > 3").select("sid", "n", "tokens").mapInArrow(emit, "key long, sid long, n int, pos int")
     grouped = rows.repartition("key").sortWithinPartitions("key", "sid")
-    return stage(grouped.mapInArrow(pairs, "a long, b long, n int, kind int"), "index")
+    return stage(grouped.mapInArrow(pairs, "a long, b long, n int, kind int, pos int"), "index")
+
+
+def marks_of(sets: DataFrame) -> DataFrame:
+    return sets.where("n > 3").select("sid", "n", "bits").dropDuplicates(["sid"])
+
+
+def between(sets: DataFrame, large: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """Staged near pairs (a, b) of different components that share a larger key (members key, sid, pos). Keys of over `block` members go to a task for each pair of blocks; sizes, places and parity bitmaps are compared there, so that only near pairs leave."""
+    at = stage(large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "pos", F.coalesce("root", "sid").alias("root")), "members")
+    keys = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    at = at.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).join(marks_of(sets), "sid")
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "pos", "bits")
+
+    def pairs(batches):
+        def group(t):
+            own, sid, root, n, pos = (t.column(c).to_numpy() for c in ("own", "sid", "root", "n", "pos"))
+            width = int(np.diff(text_bytes(t.column("bits"))[1]).min())  # bytes; all are folded to the narrowest
+            bits = []
+            for b in t.column("bits").to_pylist():
+                b = np.frombuffer(b, np.uint64)
+                while len(b) * 8 > width:
+                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+                bits.append(b)
+            bits, n, out = np.stack(bits), n.astype(np.int64), []
+            cross = len(np.unique(own)) > 1
+            for x in range(len(sid) - 1):
+                y = np.arange(x + 1, len(sid))
+                ok = (root[y] != root[x]) & (DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x]))
+                if cross:
+                    ok &= own[y] != own[x]
+                most = np.where(pos[y] < 0, np.minimum(n[x], n[y]), np.minimum(n[x] - pos[x], n[y] - pos[y]))
+                y = y[ok & (DEN * most >= NUM * (n[x] + n[y] - most))]
+                y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) * (DEN + NUM) <= (n[x] + n[y]) * (DEN - NUM)]
+                out.append(np.stack((np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])), 1))
+            a, b = np.unique(np.concatenate(out), axis=0).T if out else (sid[:0], sid[:0])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
+
+        held = []
+        for batch in batches:
+            held.append(batch)
+            t = pa.Table.from_batches(held).combine_chunks()
+            sign = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            cut = np.flatnonzero((np.diff(sign[0]) != 0) | (np.diff(sign[1]) != 0) | (np.diff(sign[2]) != 0)) + 1
+            for s, e in zip(np.append(0, cut[:-1]), cut, strict=False) if len(cut) else ():
+                yield group(t.slice(s, e - s).combine_chunks())
+            held = t.slice(int(cut[-1]) if len(cut) else 0).to_batches()
+        if held:
+            yield group(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return stage(dealt.mapInArrow(pairs, "a long, b long").distinct(), "near")
 
 
 def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -230,6 +283,15 @@ def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             # |x ^ y| <= (|x| + |y|) (DEN - NUM) / (DEN + NUM) for linked sets
             yield batch.select(["a", "b"]).filter(pa.array(apart * (DEN + NUM) <= n * (DEN - NUM)))
 
+    marks = marks_of(sets)
+    of = lambda side: marks.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+    near = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return exactly(sets, stage(near.mapInArrow(close, "a long, b long"), "near"))
+
+
+def exactly(sets: DataFrame, near: DataFrame) -> DataFrame:
+    """Staged links among near pairs, by their token sets."""
+
     def exact(batches):
         for batch in batches:
             keep = []
@@ -239,11 +301,6 @@ def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(DEN * same >= NUM * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    marks = sets.where("n > 3").select("sid", "n", "bits").dropDuplicates(["sid"])
-    of = lambda side: marks.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    near = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    near = stage(near.mapInArrow(close, "a long, b long"), "near")
-
     def count(batches):
         out = np.zeros(1 << TALLY_BITS, np.int64)
         for batch in batches:
@@ -262,22 +319,16 @@ def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return stage(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long"), "links")
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for docs (doc_id, text)."""
     workers_import(docs.sparkSession)
     sets = sets_table(docs)
     classes = docs.sparkSession.sparkContext.broadcast(token_classes(sets))
-    found = index(sets, classes)
+    found = index(sets, classes, all_pairs)
     links = verify(sets, found.where("kind = 0"))
-    large = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "n").distinct()
-    if found.where("kind = 1").take(1):
-        roots = components(links)
-        at = stage(large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")), "members")
-        mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        at = at.join(mixed, "key")
-        x, y = at.select("key", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a")), at.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-        between = x.join(y, "key").where(f"a < b and r_a <> r_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)").select("a", "b")
-        links = links.union(verify(sets, between))
+    large = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "pos").distinct()
+    if large.take(1):
+        links = links.union(exactly(sets, between(sets, large, components(links), block)))
     roots = components(links)
     docs_ = sets.select("doc_id", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     docs_ = stage(docs_, "roots")

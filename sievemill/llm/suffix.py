@@ -37,21 +37,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import _A_INV, U, chunks, mix, powers, prefix_hash, stage, table, text_bytes, workers_import
+from .common import _A_INV, U, chunks, mix, powers, prefix_hash, span_hash, stage, table, text_bytes, workers_import
 from .graph import tally
 
 GRAM = 32
 PER_BUCKET = 25_000
+COLUMNS = ["key", "tid", "at", "s0", "s1", "lead"]  # at = -1: bytes s0 to s1 are known to repeat
 HOT = 200_000
 FILTER_BITS = 21
 
 
 def anchors(a: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchor position, first and last window start (in a), text number and hash of each anchor of a run of texts."""
+    """Anchor position, first and last window start (in a), text number and hash of each anchor of a run of texts; and the prefix hash."""
     none = np.empty(0, np.int64)
-    if len(a) < length:
-        return none, none, none, none, none.view(np.uint64)
     p = prefix_hash(a)
+    if len(a) < length:
+        return none, none, none, none, none.view(np.uint64), p
     h = mix((p[GRAM:] - p[:-GRAM]) * powers(_A_INV, len(a))[: len(a) - GRAM + 1])
     bits = U(int(len(h)).bit_length())
     b = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
@@ -63,12 +64,12 @@ def anchors(a: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
         b = np.minimum(b[: len(b) - (width - span)], b[width - span :])
     n = np.maximum(np.diff(offsets) - length + 1, 0)  # windows of each text
     if not n.sum():
-        return none, none, none, none, none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), p
     s = np.repeat(offsets[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
     doc = np.repeat(np.arange(len(n)), n)
     at = (b[s] & ((U(1) << bits) - U(1))).astype(np.int64)
     cut = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-    return at[cut], s[cut], s[np.append(cut[1:], len(s)) - 1], doc[cut], h[at[cut]]
+    return at[cut], s[cut], s[np.append(cut[1:], len(s)) - 1], doc[cut], h[at[cut]], p
 
 
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
@@ -149,7 +150,7 @@ def repeats(flat: np.ndarray, offsets: np.ndarray, left: np.ndarray, length: int
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """Of rows sorted by key, those whose key is not alone."""
+    """Of rows dealt by key, those whose key is not alone, and those with known repeats."""
 
     def run(batches):
         held = None
@@ -160,6 +161,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
             dup = np.append(same, False) | np.append(False, same)
             if held is not None:
                 dup[0] |= held_dup
+            dup |= t.column(2).to_numpy() < 0
             held_dup = bool(dup[-1])
             yield from t.slice(0, len(key) - 1).filter(pa.array(dup[:-1])).drop_columns(["key"]).to_batches()
             held = t.slice(len(key) - 1).combine_chunks().to_batches()[0]
@@ -183,19 +185,32 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
                 if not new[i:j].any():
                     continue
                 x = a[offsets[i] : offsets[j]]
-                at, s0, s1, doc, h = anchors(x, offsets[i : j + 1] - offsets[i], length)
-                keep = new[i:j][doc]
+                at, s0, s1, doc, h, p = anchors(x, offsets[i : j + 1] - offsets[i], length)
+                keep = np.flatnonzero(new[i:j][doc])
                 at, s0, s1, doc, h = (v[keep] for v in (at, s0, s1, doc, h))
+                base = offsets[i:j] - offsets[i]
+                # equal contexts within this run of texts repeat whole: their bytes are noted now, and one of them goes on
+                _, first, which, count = np.unique(mix(span_hash(p, s0, s1 + length) + (at - s0).astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+                twice = np.flatnonzero(count[which] > 1)
+                if len(twice):
+                    d, s, e = doc[twice], s0[twice], s1[twice] + length
+                    cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] > e[:-1])))
+                    d, s, e = d[cut], s[cut] - base[d[cut]], e[np.append(cut[1:], len(e)) - 1] - base[d[cut]]
+                    t = tids[i:j][d]
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(t.view(np.uint64)).view(np.int64)), pa.array(t), pa.array(np.full(len(t), -1, np.int32)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(np.zeros(len(t), np.int64))], names=COLUMNS)
+                at, s0, s1, doc, h = (v[np.sort(first)] for v in (at, s0, s1, doc, h))
                 lead = np.zeros(len(at), np.uint64)
                 for k in range(8):
                     lead = lead << U(8) | x[at + k].astype(np.uint64)
-                base = offsets[i:j][doc] - offsets[i]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tids[i:j][doc]), *(pa.array((v - base).astype(np.int32)) for v in (at, s0, s1)), pa.array((lead >> U(1)).astype(np.int64))], names=["key", "tid", "at", "s0", "s1", "lead"])
+                base = base[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tids[i:j][doc]), *(pa.array((v - base).astype(np.int32)) for v in (at, s0, s1)), pa.array((lead >> U(1)).astype(np.int64))], names=COLUMNS)
 
-    found = stage(repeated_anchors(texts.mapInArrow(find, "key long, tid long, at int, s0 int, s1 int, lead long")), "anchors")
+    rows = stage(repeated_anchors(texts.mapInArrow(find, "key long, tid long, at int, s0 int, s1 int, lead long")), "anchors")
+    known = rows.where("at < 0").select("tid", F.col("s0").alias("s"), F.col("s1").alias("e"))
+    found = rows.where("at >= 0")
     n = found.count()
     if not n:
-        return spark.createDataFrame([], "tid long, s int, e int")
+        return known
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_bucket))
     cuts = np.array(found.agg(F.percentile_approx("lead", [k / n_buckets for k in range(1, n_buckets)], 10 * n_buckets)).first()[0] if n_buckets > 1 else [], np.int64)
     mask = U((1 << FILTER_BITS) - 1)
@@ -282,7 +297,7 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
     got = stage(made.repartition(n_buckets, spread).mapInArrow(bucket, "tid long, s int, e int, w long"), "stretches")
     windows = got.where("w is not null")
     often_ = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    return got.where("w is null").select("tid", "s", "e").union(windows.join(often_, "w").select("tid", "s", "e"))
+    return known.union(got.where("w is null").select("tid", "s", "e")).union(windows.join(often_, "w").select("tid", "s", "e"))
 
 
 def in_filter(tids: DataFrame, keep: bool = True):

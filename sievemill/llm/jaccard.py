@@ -16,7 +16,8 @@ equal token sets are one node from the start.
    only gives links to its first and to the preceding set.
 4. Candidates are cut by size, position and parity bitmaps (which bound the
    symmetric difference from below), then verified on the token sets.
-5. Components of the verified links. Larger keys then give the pairs between
+5. Components of the verified links, widened by two cheap rounds over a part of the
+   larger keys. Larger keys then give the pairs between
    different components (pairs within one change nothing), which are verified too.
 
 Defined cases: null or empty text or text without words: no shingle, linked with
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, U, binary, chunks, grams, mix, prefix_hash, span_hash, stage, table, text_bytes, words, workers_import
@@ -215,12 +216,22 @@ def marks_of(sets: DataFrame) -> DataFrame:
     return sets.where("n > 3").select("sid", "n", "bits").dropDuplicates(["sid"])
 
 
+def chained(sets: DataFrame, large: DataFrame, roots: DataFrame, turn: int, turns: int = 16) -> DataFrame:
+    """Links between neighbours of different components under one in `turns` of the larger keys, in an order of their own: a cheap round that joins most of what belongs together."""
+    at = large.where(F.pmod("key", F.lit(turns)) == turn).join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "sid"))
+    near = at.select("sid", "root", F.lag("sid").over(order).alias("other"), F.lag("root").over(order).alias("other_root")).where("root <> other_root")
+    return verify(sets, near.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")))
+
+
 def between(sets: DataFrame, large: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """Staged near pairs (a, b) of different components that share a larger key (members key, sid, pos). Keys of over `block` members go to a task for each pair of blocks; sizes, places and parity bitmaps are compared there, so that only near pairs leave."""
     at = stage(large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "pos", F.coalesce("root", "sid").alias("root")), "members")
     keys = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     at = at.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).join(marks_of(sets), "sid")
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "pos", "bits")
+    one = at.where("blocks = 1").withColumn("other", F.lit(0))
+    more = at.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = one.unionByName(more).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "pos", "bits")
 
     def pairs(batches):
         def group(t):
@@ -328,6 +339,8 @@ def link(docs: DataFrame, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> Dat
     links = verify(sets, found.where("kind = 0"))
     large = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "pos").distinct()
     if large.take(1):
+        for turn in range(2):
+            links = links.union(chained(sets, large, components(links), turn))
         links = links.union(exactly(sets, between(sets, large, components(links), block)))
     roots = components(links)
     docs_ = sets.select("doc_id", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))

@@ -65,8 +65,15 @@ class Node:
             if n.kids:
                 stack += n.kids[::-1]
 
-    def elements(self):
-        return (n for n in self.walk() if n.tag)
+    def elements(self) -> list["Node"]:
+        out, stack = [], self.kids[::-1]
+        while stack:
+            n = stack.pop()
+            if n.tag:
+                out.append(n)
+                if n.kids:
+                    stack += n.kids[::-1]
+        return out
 
     def above(self):
         n = self.up
@@ -75,7 +82,15 @@ class Node:
             n = n.up
 
     def text(self) -> str:
-        return "".join(n.data for n in self.walk() if not n.tag)
+        out, stack = [], self.kids[::-1]
+        while stack:
+            n = stack.pop()
+            if n.tag:
+                if n.kids:
+                    stack += n.kids[::-1]
+            else:
+                out.append(n.data)
+        return "".join(out)
 
     def spaced(self) -> str:
         return " ".join(n.data for n in self.walk() if not n.tag).strip()
@@ -87,12 +102,19 @@ class Node:
         return new
 
     def select(self, css: str) -> list["Node"]:
-        chains = compiled(css)
-        return [n for n in self.elements() if any(matches(n, c) for c in chains)]
+        return list(self._found(css))
 
     def first(self, css: str) -> "Node | None":
-        chains = compiled(css)
-        return next((n for n in self.elements() if any(matches(n, c) for c in chains)), None)
+        return next(self._found(css), None)
+
+    def _found(self, css: str):
+        quick = compiled(css)
+        for n in self.elements():
+            attrs = n.attrs
+            for tag, need, chain in quick:
+                if (not tag or n.tag == tag) and (not need or need in attrs) and matches(n, chain):
+                    yield n
+                    break
 
 
 _STEP = re.compile(r"\s*(>|\s)?\s*((?:[\w*-]+|#[\w-]+|\.[\w-]+|\[[^\]]*\])+)")
@@ -101,6 +123,7 @@ _PART = re.compile(r"^([\w*-]+)|#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~|]
 
 @lru_cache(maxsize=2000)
 def compiled(css: str) -> tuple:
+    """For each selector of a list: the tag and one attribute that an element must have, and its steps from the right."""
     out = []
     for part in re.split(r",(?![^\[]*\])", css):
         chain = []
@@ -116,7 +139,9 @@ def compiled(css: str) -> tuple:
                 else:
                     tests.append((attr, op, value))
             chain.append((joint.strip(), tuple(tests)))
-        out.append(tuple(reversed(chain)))
+        last = chain[-1][1]
+        tag = next((v for k, _, v in last if k == "tag" and v != "*"), "")
+        out.append((tag, next((k for k, _, _ in last if k != "tag"), ""), tuple(reversed(chain))))
     return tuple(out)
 
 

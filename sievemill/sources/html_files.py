@@ -32,8 +32,8 @@ def front_matter(df: DataFrame) -> DataFrame:
     body = F.coalesce("content_markdown", "content_text")
     head = F.concat(
         F.lit("---\n"), _line("title", quote(m("title"))), _line("author", quote(m("author"))),
-        _line("date", F.date_format(m("date"), "yyyy-MM-dd'T'HH:mm:ssxxx")), _line("source_file", quote(F.col("name"))),
-        _line("confidence", F.format_string("%.2f", "extraction_quality")), _line("page_type", m("page_type")), F.lit("---\n\n"),
+        _line("date", quote(F.date_format(m("date"), "yyyy-MM-dd'T'HH:mm:ssxxx"))), _line("source_file", quote(F.col("name"))),
+        _line("confidence", F.format_string("%.2f", "extraction_quality")), _line("page_type", quote(m("page_type"))), F.lit("---\n\n"),
     )
     return df.where(F.trim(body) != "").withColumn("document", F.concat(head, body, F.lit("\n")))
 

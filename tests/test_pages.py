@@ -174,7 +174,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "in/c.txt").write_text("no")
     assert html_files.write_markdown(spark, str(tmp_path / "in"), str(tmp_path / "out")) == {"success": 1, "empty": 1}
     row = spark.read.parquet(str(tmp_path / "out")).first()
-    assert row.name == "a.md" and row.document.startswith('---\ntitle: "A & B story"\nauthor: Jane Doe\nsource_file: "a.html"\nconfidence: ') and "main text" in row.document
+    assert row.name == "a.md" and row.document.startswith('---\ntitle: "A & B story"\nauthor: "Jane Doe"\nsource_file: "a.html"\nconfidence: ') and "main text" in row.document
     line = html_files.json_lines(extract_df(html_files.read_html(spark, str(tmp_path / "in")).where("name = 'a.html'"))).first().value
     assert line.startswith('{"title":"A & B story","author":"Jane Doe","date":null,"main_content":')
 

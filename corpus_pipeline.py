@@ -31,10 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings of 400 that stand elsewhere too; documents that are left empty go."""
-    cut = suffix.dedup(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.decode("kept", "UTF-8"))
-    kept = cut.where("n_removed = 0 or octet_length(kept) > 0").withColumn("text", text)
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns) if "n_chars" in docs.columns else kept.select(*docs.columns)
+    cut = suffix.dedup(docs, cut_text=True).where("n_removed = 0 or text <> ''")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -319,8 +319,8 @@ def in_filter(tids: DataFrame, keep: bool = True):
     return run
 
 
-def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot: int = HOT) -> DataFrame:
-    """docs with text cut; new columns n_bytes, n_removed, n_spans, kept (binary)."""
+def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot: int = HOT, cut_text: bool = False) -> DataFrame:
+    """docs with new columns n_bytes, n_removed, n_spans, kept (the remaining bytes). cut_text: text becomes what remains, without the parts of characters that a cut has split."""
     workers_import(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("tid"), text.alias("text"))
@@ -352,6 +352,8 @@ def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot:
                 made.append((len(raw), removed, spans, b"".join(parts)))
             n, removed, spans, kept = zip(*made, strict=True) if made else ((), (), (), ())
             cols = list(batch.columns[: len(names)])
+            if cut_text:
+                cols[t] = pa.array([b.decode("utf-8", "ignore") if r else x for b, r, x in zip(kept, removed, cols[t].to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     def split(keep):

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from . import metadata as M
 from . import page as X
 from .dom import parse
+from .features import features
 
 S, D, B = T.StringType(), T.DoubleType(), T.BooleanType()
 IMAGE = T.StructType([T.StructField(k, B if k == "is_hero" else S) for k in ("src", "filename", "alt", "caption", "is_hero")])
@@ -107,6 +108,18 @@ def html_signals(df: DataFrame, html: str = "html", url: str | None = "url") ->
     return _map(df, html, url if url in df.columns else None, [T.StructField("signals", SIGNALS), T.StructField("page_type", S)], record)
 
 
+def ml_features(df: DataFrame, html: str = "html", url: str | None = "url") -> DataFrame:
+    """The feature vector of every page (see features.NAMES), for a page-type model of one's own."""
+
+    def record(page, own):
+        doc = parse(page)
+        body = next(n for n in doc.elements() if n.tag == "body")
+        og = next((m.get("content") for m in doc.select("meta[property='og:type']")), None)
+        return [{"features": features(doc, body, og, own)}]
+
+    return _map(df, html, url if url in df.columns else None, [T.StructField("features", T.ArrayType(D))], record)
+
+
 def html_nodes(df: DataFrame, html: str = "html") -> DataFrame:
     """A row per element, for relational queries over document trees."""
 

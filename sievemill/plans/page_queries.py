@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.features import NAMES
 from ..operators.page import Options
-from ..operators.stage import extract, html_nodes, html_signals
+from ..operators.stage import extract, html_nodes, html_signals, ml_features
 from .catalog import pages
 
 ALL = Options(output_markdown=True, include_images=True, include_comments=True, include_links=True)
@@ -57,13 +58,20 @@ def nodes_by_tag(spark, d):
     return n.where(F.col("tag").isin("li", "a", "div", "article", "h1", "script", "style", "br")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def page_features(spark, d):
+    f = ml_features(pages(spark, d))
+    return f.select("page_id", *[F.element_at("features", NAMES.index(k) + 1).cast("long").alias(k) for k in ("n_headings", "n_images", "n_tables", "n_navs", "n_lists", "has_article")])
+
+
 def bytes_pages(spark, d):
     """Undecoded bodies give what the texts give."""
     return extract(pages(spark, d).withColumn("html", F.encode("html", "UTF-8"))).select("page_id", F.length("content_text").cast("long").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (extract_text, extract_html, extract_markdown, extract_all, page_metadata, page_titles, page_signals, extraction_quality, page_images, page_comments, nodes_by_tag, bytes_pages)}
+QUERIES = {f.__name__: f for f in (extract_text, extract_html, extract_markdown, extract_all, page_metadata, page_titles, page_signals, extraction_quality, page_images, page_comments, nodes_by_tag, page_features, bytes_pages)}
+_tags = lambda t: f"len(regexp_extract_all(html, '<({t})[ >]'))"
 ORACLES = {
+    "page_features": f"SELECT page_id, {_tags('h[1-6]')} AS n_headings, {_tags('img')} AS n_images, {_tags('table')} AS n_tables, {_tags('nav')} AS n_navs, {_tags('ul|ol')} AS n_lists, least({_tags('article')}, 1) AS has_article FROM pages",
     "page_images": "SELECT page_id, '' AS src, '' AS filename, '' AS alt, '' AS caption, false AS is_hero FROM pages WHERE regexp_matches(html, '<img[ >]')",
     "page_comments": "SELECT page_id, NULL::VARCHAR AS comments_text, NULL::VARCHAR AS comments_html FROM pages",
     "page_signals": "SELECT page_id, false AS has_product_grid, false AS has_pagination, 0 AS product_element_count, 0 AS code_block_count, false AS has_docs_nav FROM pages",

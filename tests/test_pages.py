@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievemill.operators import metadata as M
 from sievemill.operators.dom import parse
+from sievemill.operators.features import NAMES, features
 from sievemill.operators.page import Options, extract, markdown_table, table_text
 from sievemill.operators.stage import decode, html_nodes
 from sievemill.operators.stage import extract as extract_df
@@ -167,6 +168,13 @@ def test_stage(spark):
     assert html_nodes(df.select("page_id", "html")).where("tag = 'p'").count() == 1
 
 
+def test_features():
+    doc = parse(page("<div class=grid><div class='product-card'>a <b class=price>$1</b></div><div class='product-card'>b</div><div class='product-card'>c</div></div><h2>x</h2>"))
+    f = dict(zip(NAMES, features(doc, doc.first("body"), "product", "https://shop.x.org/products/a/b"), strict=True))
+    assert len(f) == 89
+    assert [f[k] for k in ("product_path", "shop_domain", "n_products", "most_equal_classes", "n_prices", "n_cards", "cards_with_price", "path_parts", "og_product", "has_cart")] == [1, 1, 3, 3, 1, 3, 1, 3, 1, 0]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.html").write_text(page(f"<article><p>{LONG}</p></article>", "<title>A &amp; B story</title><meta name=author content='Jane Doe'>"))

@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> tuple[np.nd
                 cut = np.searchsorted(line["text"], np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([np.packbits(x[s:e].astype(bool)).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(np.diff(cut).astype(np.int32)), pa.array(q[i:j])], names=["x", "n", "quality"])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(lines, "x binary, n int, quality int").toPandas()  # the bounded sample: 14 bits a line
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(lines, "x binary, n int, quality int").toPandas()  # the bounded sample: 14 bits a line
     if rows.empty:
         return PRIOR, 1.0
     x = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[: n * N_FEATURES].reshape(n, N_FEATURES) for b, n in zip(rows.x, rows.n, strict=True)]).astype(np.float32)

@@ -38,7 +38,7 @@ from .graph import TALLY_BITS, components, tally
 
 NUM, DEN = 80, 100  # similarity as a fraction
 GAP = 8
-ALL_PAIRS = 32
+ALL_PAIRS = 8
 CLASS_BITS = 22
 BLOCK = 2000
 BUCKET = U((1 << TALLY_BITS) - 1)
@@ -156,13 +156,12 @@ def index(sets: DataFrame, classes, all_pairs: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid), pa.array(n), pa.array(pos)], names=["key", "sid", "n", "pos"])
 
     def pairs(batches):
-        first = last = None  # of the larger key that is open
-        open_key = None
+        open_key = last = None  # the larger key that is open, and its last set
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
 
         def close(key, sid, n, pos, final):
             """Rows for the groups of these arrays; the last group stays held unless final."""
-            nonlocal first, last, open_key, held
+            nonlocal last, open_key, held
             out_a, out_b, out_n, out_kind, out_pos = [], [], [], [], []
 
             def put(a, b, n, kind, pos=None):
@@ -186,13 +185,11 @@ def index(sets: DataFrame, classes, all_pairs: int) -> DataFrame:
             for g in [*np.flatnonzero(size > all_pairs), *([0] if size[0] <= all_pairs and open_key is not None and key[0] == open_key else [])]:
                 own = slice(begin[g], end[g])
                 k, s = key[begin[g]], sid[own]
-                head = first if open_key == k else s[0]
-                before = np.concatenate(([last if open_key == k else s[0]], s[:-1]))
-                for other in (np.full(len(s), head), before):
-                    ok = s != other
-                    put(np.minimum(s, other)[ok], np.maximum(s, other)[ok], np.zeros(int(ok.sum()), np.int32), 0)
+                other = np.concatenate(([last if open_key == k else s[0]], s[:-1]))
+                ok = s != other
+                put(np.minimum(s, other)[ok], np.maximum(s, other)[ok], np.zeros(int(ok.sum()), np.int32), 0)
                 put(np.full(len(s), k), s, n[own], 1, pos[own])
-                open_key, first, last = k, head, s[-1]
+                open_key, last = k, s[-1]
             tail = slice(begin[-1], end[-1])
             held = [x[tail] if size[-1] <= all_pairs and key[-1] != open_key else x[:0] for x in (key, sid, n, pos)]
             if not out_a:

@@ -26,7 +26,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 connect: the one of least doc_id."""
     spare = stage(jaccard.link(docs).where("component_id <> doc_id").select("doc_id").distinct(), "spare")
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, spare)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is not in ids. Only texts that a bit table of fixed size can't rule out are shuffled for the join."""
+    key = "__doc_key"
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    known = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(key))
+    clear = keyed.mapInArrow(suffix.in_filter(known, False, key), keyed.schema)
+    maybe = keyed.mapInArrow(suffix.in_filter(known, True, key), keyed.schema).join(ids, "doc_id", "left_anti")
+    return clear.unionByName(maybe).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,8 +300,8 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
     return known.union(got.where("w is null").select("tid", "s", "e")).union(windows.join(often_, "w").select("tid", "s", "e"))
 
 
-def in_filter(tids: DataFrame, keep: bool = True):
-    """A function for mapInArrow that keeps rows whose tid may stand in tids (keep=False: certainly does not): a bit table of fixed size."""
+def in_filter(tids: DataFrame, keep: bool = True, column: str = "tid"):
+    """A function for mapInArrow that keeps rows whose value in column may stand in tids (keep=False: certainly does not): a bit table of fixed size."""
     mask = U((1 << FILTER_BITS) - 1)
 
     def count(batches):
@@ -314,7 +314,7 @@ def in_filter(tids: DataFrame, keep: bool = True):
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(sent.value[(batch.column("tid").to_numpy().view(np.uint64) & mask).astype(np.int64)] == keep))
+            yield batch.filter(pa.array(sent.value[(batch.column(column).to_numpy().view(np.uint64) & mask).astype(np.int64)] == keep))
 
     return run
 

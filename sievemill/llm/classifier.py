@@ -34,6 +34,9 @@ INSULTS = ("idiot", "stupid", "moron", "trash", "loser", "scum", "disgusting", "
 #: bad, good texts: chance of abstaining, voting bad, voting good, before any text is seen
 PRIOR = np.array([[0.55, 0.3, 0.15], [0.6, 0.005, 0.395]])
 
+#: a labeller calls at most this share of good texts bad (else labellers of one kind of junk could be read as noise)
+MOST_FALSE = 0.004
+
 
 def word_slots(a: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = LOWER[a]
@@ -54,6 +57,7 @@ def votes(t: dict[str, np.ndarray], insults: np.ndarray) -> np.ndarray:
     """texts x labellers: 2 good, 1 bad, 0 abstains."""
     w, letters = np.maximum(t["n_words"], 1), np.maximum(t["upper"] + t["lower"], 1)
     mean = t["word_chars"] / w
+    short = t["short"] - np.minimum(t["n_symbols"], t["short"])  # a symbol that stands alone is no word
 
     def rule(bad, good):
         return np.where(bad, 1, np.where(good, 2, 0))
@@ -65,8 +69,8 @@ def votes(t: dict[str, np.ndarray], insults: np.ndarray) -> np.ndarray:
         rule(t["n_dup_lines"] * 3 > t["lines"], False),
         rule(t["n_repeat_words"] > 0.3 * w, False),
         rule((mean < 2.5) | (mean > 11), False),
-        rule(t["short"] < 0.05 * w, t["short"] > 0.15 * w),
-        rule(t["n_words"] < 20, t["n_words"] > 60),
+        rule((short < 0.05 * w) & (w >= 20), short > 0.15 * w),
+        rule(t["n_words"] < 1, t["n_words"] > 60),
         rule(insults >= 2, False),
     ], 1)
 
@@ -91,6 +95,9 @@ def expectation_maximisation(counts: np.ndarray, rounds: int = 100) -> tuple[np.
             for outcome in range(3):
                 chance[c, :, outcome] = w @ (v == outcome) + strength * PRIOR[c, outcome]
             chance[c] /= chance[c].sum(1, keepdims=True)
+        over = np.maximum(chance[1, :, 1] - MOST_FALSE, 0)
+        chance[1, :, 1] -= over
+        chance[1, :, 0] += over
     out = np.zeros(1 << PATTERN_BITS)
     out[seen] = post
     return out, np.stack((chance[0, :, 1], chance[1, :, 2])) / np.stack((chance[0, :, 1:].sum(1), chance[1, :, 1:].sum(1))), share

@@ -195,3 +195,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("extracted").collect()) == sorted(extract_df(df).select("page_id", "content_text").collect())
+
+
+def test_one_page():
+    import json
+
+    from sievemill.cli import one_page
+
+    got = json.loads(one_page(page(f"<article><p>{LONG}</p></article>", "<title>A fine title</title>").encode(), "https://x.org/", None, False))
+    assert got["title"] == "A fine title" and got["author"] is None and "main text" in got["main_content"] and got["page_type"] == "article" and "content_markdown" not in got

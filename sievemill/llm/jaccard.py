@@ -234,23 +234,36 @@ def between(sets: DataFrame, large: DataFrame, roots: DataFrame, block: int) ->
         def group(t):
             own, sid, root, n, pos = (t.column(c).to_numpy() for c in ("own", "sid", "root", "n", "pos"))
             width = int(np.diff(text_bytes(t.column("bits"))[1]).min())  # bytes; all are folded to the narrowest
-            bits = []
-            for b in t.column("bits").to_pylist():
-                b = np.frombuffer(b, np.uint64)
-                while len(b) * 8 > width:
-                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-                bits.append(b)
-            bits, n, out = np.stack(bits), n.astype(np.int64), []
+            rows = t.column("bits").to_pylist()
+            if all(len(b) == width for b in rows):
+                bits = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+            else:
+                folded = []
+                for b in rows:
+                    b = np.frombuffer(b, np.uint64)
+                    while len(b) * 8 > width:
+                        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+                    folded.append(b)
+                bits = np.stack(folded)
+            n, out, m = n.astype(np.int64), [], len(sid)
             cross = len(np.unique(own)) > 1
-            for x in range(len(sid) - 1):
-                y = np.arange(x + 1, len(sid))
-                ok = (root[y] != root[x]) & (DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x]))
+            step = max(1, min(m, 200_000 // m))
+            for first in range(0, m, step):  # some rows against all after them
+                x, y = np.nonzero(root[first : first + step, None] != root[None, :])
+                x += first
+                keep = y > x
                 if cross:
-                    ok &= own[y] != own[x]
+                    keep &= own[x] != own[y]
+                x, y = x[keep], y[keep]
+                keep = DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x])
+                x, y = x[keep], y[keep]
                 most = np.where(pos[y] < 0, np.minimum(n[x], n[y]), np.minimum(n[x] - pos[x], n[y] - pos[y]))
-                y = y[ok & (DEN * most >= NUM * (n[x] + n[y] - most))]
-                y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) * (DEN + NUM) <= (n[x] + n[y]) * (DEN - NUM)]
-                out.append(np.stack((np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])), 1))
+                keep = DEN * most >= NUM * (n[x] + n[y] - most)
+                x, y = x[keep], y[keep]
+                keep = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) * (DEN + NUM) <= (n[x] + n[y]) * (DEN - NUM)
+                x, y = x[keep], y[keep]
+                if len(x):
+                    out.append(np.stack((np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])), 1))
             a, b = np.unique(np.concatenate(out), axis=0).T if out else (sid[:0], sid[:0])
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
 

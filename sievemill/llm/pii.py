@@ -48,12 +48,14 @@ PATTERNS = {
     "secret": re.compile(r"(?i:\b(?:token|secret|password|passwd|api_?key)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-]{8,})"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
-    "card": re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    "card": re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,}"),  # a run of digit groups: cards() finds the cards in it
     "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?![\w])|(?<![\w.+])\+\d{8,14}(?!\d)"),
     "person": re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.? ({NAME}(?: {NAME})?)"),
 }
-DIGITS = ("key", "secret", "iban", "ip", "card", "ssn", "phone")
+DIGITS = ("key", "secret", "iban", "ip", "ssn", "card", "phone")
+
+CARD_GROUPS = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")  # as cards are written
 
 VOWELS, UPPER_VOWELS = "aeiou", "AEIOU"
 CONSONANTS, UPPER_CONSONANTS = "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ"
@@ -168,6 +170,32 @@ def name(text: str, key: bytes) -> str:
     return out
 
 
+def cards(run: str) -> list[tuple[int, int]]:
+    """Card numbers in a run of digit groups, apart from each other: 13 to 19 digits of whole groups that pass Luhn, or 15 or 16 digits. Those grouped as cards are go first, then the ones that pass Luhn, then the leftmost and longest; part of a run in other groups counts only if these have three digits on average (without Luhn, four each), as lists of small numbers are no cards."""
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    found = []
+    for i in range(len(groups)):
+        n = 0
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            if n < 13:
+                continue
+            part = run[groups[i][0] : groups[j][1]]
+            digits = re.sub(r"\D", "", part)
+            valid, usual = luhn(digits[:-1]) == int(digits[-1]), CARD_GROUPS.fullmatch(part) is not None
+            wide = n >= 3 * (j - i + 1) if valid else all(b - a > 3 for a, b in groups[i : j + 1])
+            if (valid or n in (15, 16)) and (usual or wide or j - i + 1 == len(groups)):
+                found.append((not usual, not valid, i, -j))
+    taken, out = [False] * len(groups), []
+    for _, _, i, j in sorted(found):
+        if not any(taken[i : 1 - j]):
+            taken[i : 1 - j] = [True] * (1 - j - i)
+            out.append((groups[i][0], groups[-j][1]))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Entities as (start, end, kind), apart from each other; earlier kinds in PATTERNS win."""
     out: list[tuple[int, int, str]] = []
@@ -176,11 +204,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if (kind == "email" and "@" not in text) or (kind == "key" and "AKIA" not in text) or (kind in DIGITS and kind not in ("key", "secret") and not digit):
             continue
         for m in pattern.finditer(text):
-            s, e = m.span(m.lastindex or 0)
-            if kind == "card" and luhn(re.sub(r"\D", "", m[0])[:-1]) != int(m[0][-1]) and len(re.sub(r"\D", "", m[0])) not in (15, 16):
-                continue
-            if all(e <= a or s >= b for a, b, _ in out):
-                out.append((s, e, kind))
+            at = m.start()
+            for s, e in [(at + a, at + b) for a, b in cards(m[0])] if kind == "card" else [m.span(m.lastindex or 0)]:
+                if all(e <= a or s >= b for a, b, _ in out):
+                    out.append((s, e, kind))
     return sorted(out)
 
 

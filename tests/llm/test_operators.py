@@ -313,6 +313,25 @@ def test_pii(spark):
     assert pii.audit(docs_of(spark, texts)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,cards",
+    [
+        ("card 4845168114407329 12 apples", ["4845168114407329"]),
+        ("pay 4111 1111 1111 1111 12/26 now", ["4111 1111 1111 1111"]),
+        ("12 4845168114407329 7", ["4845168114407329"]),
+        ("12 4845 1681 1440 7329 7", ["4845 1681 1440 7329"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("3782 822463 10005 and 1 2", ["3782 822463 10005"]),
+        ("6304-0000-0000-0000-000 3", ["6304-0000-0000-0000-000"]),
+        ("4222222222222 99", ["4222222222222"]),
+        ("4845168114407329 0171 2345678 123-45-6789", ["4845168114407329"]),
+        ("of 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", []),
+    ],
+)
+def test_pii_cards_beside_numbers(text, cards):
+    assert [text[s:e] for s, e, k in pii.find(text) if k == "card"] == cards
+
+
 @pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
 def test_rotation_is_one_to_one(n):
     got = [pii.rotate(x, n, b"k") for x in range(n)]

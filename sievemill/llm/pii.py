@@ -11,9 +11,11 @@ along its cycle until it is free, which keeps it one-to-one. The map is a one-st
 rotation seen through the permutation, so no value of a format with two members or
 more keeps itself. `audit` checks distinctness over a whole table.
 
-Given names in the lists go to listed names of the same gender and script (a keyed
-rotation of the list); other names keep their last letter, which often marks gender.
-Titles stay.
+Persons are names after a title or with a listed given name, and every other mention
+of such a name in the same text. Each word of a name has its surrogate, so a family name
+alone agrees with the full name. Given names in the lists go to listed names of the same
+gender and script (a keyed rotation of the list); other names keep their last letter,
+which often marks gender. Titles and particles (de, von) stay.
 
 Defined cases: null text stays null with no entity; empty text stays; repeated rows
 get equal results; an empty table gives no rows; other columns are kept as they are
@@ -39,9 +41,27 @@ KEY = b"sievemill demonstration key"  # a secret in production
 # Given names by gender, titles by gender
 FEMALE = ("Alice", "Anna", "Camille", "Carmen", "Clara", "Elena", "Emma", "Hanna", "Ines", "Julia", "Laura", "Lucia", "Maria", "Marie", "Olivia", "Sofia", "Sophie", "Susan")
 MALE = ("Antonio", "Carlos", "Daniel", "David", "Felix", "Hans", "Jakob", "James", "Jean", "John", "Juan", "Louis", "Luis", "Michael", "Paul", "Peter", "Pierre", "Thomas")
-TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sra")
-
-NAME = r"[^\W\d_][^\W\d_'’-]*"
+TITLES = (
+    *("Mr", "Mrs", "Ms", "Miss", "Mx", "Dr", "Prof", "Doctor", "Professor", "Sir", "Dame", "Lord", "Lady", "Rev", "Reverend", "Judge", "Justice", "Senator", "Captain", "Capt", "Col", "Lt", "Sgt"),
+    *("Herr", "Herrn", "Frau", "Fräulein", "Doktor"),
+    *("Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle", "Maître", "Docteur", "Professeur"),
+    *("Señor", "Señora", "Señorita", "Sr", "Sra", "Srta", "Don", "Doña", "Doctora", "Dra", "Profesor", "Profesora", "Licenciado", "Licenciada"),
+)
+# Words that begin sentences: no part of a name where they follow one
+OTHER = (
+    *("The", "This", "That", "These", "Those", "And", "But", "Or", "He", "She", "It", "They", "We", "You", "In", "On", "At", "Is", "Was", "If", "When", "Then", "For", "As", "So", "Who", "His", "Her"),
+    *("Der", "Die", "Das", "Und", "Aber", "Oder", "Er", "Sie", "Es", "Wir", "Ich", "Ist", "War", "Wenn", "Ein", "Eine", "Im", "Am"),
+    *("Le", "La", "Les", "Un", "Une", "Et", "Mais", "Ou", "Il", "Elle", "Ils", "Elles", "Nous", "Vous", "Je", "Dans", "Ce", "Cette"),
+    *("El", "Los", "Las", "Una", "Y", "Pero", "O", "Ella", "Ellos", "Nosotros", "Yo", "En", "Es", "Este", "Esta"),
+)
+
+# Names: a capital first, hyphens and apostrophes inside (not the 's of a genitive), initials; particles between them stay
+CAPITAL = "[" + "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper()) + "]"
+NAME = rf"{CAPITAL}[^\W\d_]*(?:-[^\W\d_]+|['’](?!s\b)[^\W\d_]+)*"
+NO_NAME = rf"(?!(?:{'|'.join({*TITLES, *OTHER})})(?![\w'’-]))"
+GAP = r"[ \u00a0]{1,2}"
+MORE = rf"(?:(?:{GAP}(?:de|del|della|di|da|do|dos|du|la|las|los|le|van|von|der|den|ter|zu|zur|bin|al|y)){{0,3}}{GAP}(?:{NO_NAME}{NAME}(?!\.{CAPITAL})|{CAPITAL}\.))"
+PARTS = re.compile(NAME)
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w.+-]*\w@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-])"),
     "key": re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
@@ -51,7 +71,10 @@ PATTERNS = {
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "card": re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,}"),  # a run of digit groups: cards() finds the cards in it
     "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?![\w])|(?<![\w.+])\+\d{8,14}(?!\d)"),
-    "person": re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.? ({NAME}(?: {NAME})?)"),
+    "person": re.compile(
+        rf"\b(?={CAPITAL})(?:(?:(?:(?:{'|'.join(TITLES)})\b\.?|M\.){GAP})+((?:{CAPITAL}\.{GAP}?)*(?:(?:de|del|la|van|von|der|den|zu|di|da|du){GAP}){{0,3}}{NO_NAME}{NAME}{MORE}{{0,2}})"
+        rf"|((?:{'|'.join(FEMALE + MALE)})(?![\w'’]){MORE}{{1,2}}))"
+    ),
 }
 DIGITS = ("key", "secret", "iban", "ip", "ssn", "card", "phone")
 
@@ -118,8 +141,8 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
     key = hashlib.blake2b(kind.encode(), key=key[:64]).digest()
     if kind == "email":
         local, domain = value.split("@")
-        name, _, top = domain.rpartition(".")
-        return f"{swap(local, CODE_CLASSES, key)}@{swap(name, CODE_CLASSES, key)}.{top}"
+        host, _, top = domain.rpartition(".")
+        return f"{swap(local, CODE_CLASSES, key)}@{swap(host, CODE_CLASSES, key)}.{top}"
     if kind == "key":
         return value[:4] + swap(value[4:], CODE_CLASSES, key)
     if kind == "secret":
@@ -145,8 +168,7 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         start = lead.end() if lead else 0
         return value[:start] + swap(value[start:], CODE_CLASSES, key, first="23456789")
     if kind == "person":
-        given, _, family = value.partition(" ")
-        return " ".join(x for x in (name(given, key), name(family, key)) if x)
+        return PARTS.sub(lambda m: "-".join(name(x, key) for x in m[0].split("-")), value)
     return swap(value, CODE_CLASSES, key)
 
 
@@ -208,6 +230,19 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for s, e in [(at + a, at + b) for a, b in cards(m[0])] if kind == "card" else [m.span(m.lastindex or 0)]:
                 if all(e <= a or s >= b for a, b, _ in out):
                     out.append((s, e, kind))
+    people = [text[s:e] for s, e, kind in out if kind == "person"]
+    if people:  # other mentions of their names
+        known = sorted({x for p in people for x in PARTS.findall(p) if len(x) > 1 and x not in OTHER}, key=lambda x: (-len(x), x))
+        if known:
+            either = "|".join(map(re.escape, known))
+            mention = re.compile(rf"(?<!\w)(?:{either})(?!\w)(?:(?:{GAP}{CAPITAL}\.)?{GAP}(?:{either})(?!\w))*")
+            taken, i = sorted(out), 0
+            for m in mention.finditer(text):
+                s, e = m.span()
+                while i < len(taken) and taken[i][1] <= s:
+                    i += 1
+                if i == len(taken) or taken[i][0] >= e:
+                    out.append((s, e, "person"))
     return sorted(out)
 
 

@@ -70,7 +70,18 @@ PATTERNS = {
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "card": re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,}"),  # a run of digit groups: cards() finds the cards in it
-    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?![\w])|(?<![\w.+])\+\d{8,14}(?!\d)"),
+    "phone": re.compile(
+        r"(?<![\w.+])(?:"
+        r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"  # with a country prefix
+        r"|(?:\+ ?[1-9]\d{0,14}|00[1-9]\d{0,12})(?:(?:[ .-]?\(|\)[ .-]?|[ .\-/])\d{1,8}){0,7}(?!\d)"
+        r")|(?<![\w+])(?<!\d[.,:/-])(?:"
+        r"(?:1[ .-]?)?\([2-9]\d{2}\)[ .-]?\d{3}[ .-]?\d{4}"  # with an area code in parentheses
+        r"|\(0\d{1,5}\)[ .\-/]?\d{2,8}(?:[ .\-/]\d{2,8}){0,3}|\(\d{2,3}\)[ .-]?\d{3,5}[ .-]\d{3,4}"
+        r"|(?:1[ .-])?[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}|1?[2-9]\d{9}"  # 3-3-4
+        r"|[6-9]\d{2}(?:([ .-])\d{2}\1\d{2}\1\d{2}|([ -])\d{3}\2\d{3})|9\d[ -]\d{3}[ -]\d{2}[ -]\d{2}"  # nine digits
+        r"|0[1-9]\d{0,4}[ .\-/]\d{5,8}(?:[ -]\d{1,4})?|0[1-9]\d{0,4}(?:[ .\-/]\d{2,4}){2,4}|0[1-9]\d{7,10}"  # with a trunk zero
+        r")(?![\w]|[,:/-]\d)"
+    ),
     "person": re.compile(
         rf"\b(?={CAPITAL})(?:(?:(?:(?:{'|'.join(TITLES)})\b\.?|M\.){GAP})+((?:{CAPITAL}\.{GAP}?)*(?:(?:de|del|la|van|von|der|den|zu|di|da|du){GAP}){{0,3}}{NO_NAME}{NAME}{MORE}{{0,2}})"
         rf"|((?:{'|'.join(FEMALE + MALE)})(?![\w'’]){MORE}{{1,2}}))"
@@ -78,6 +89,8 @@ PATTERNS = {
 }
 DIGITS = ("key", "secret", "iban", "ip", "ssn", "card", "phone")
 
+DATE = re.compile(r"(?<!\d)(?:(?:1[5-9]|20)\d\d([ ./-])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([ ./-])(?:0?[1-9]|[12]\d|3[01])\2(?:1[5-9]|20)\d\d)(?!\d)")
+YEARS = re.compile(r"(?:(?:1[5-9]|20)\d\d(?:[ -]|$))+")
 CARD_GROUPS = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")  # as cards are written
 
 VOWELS, UPPER_VOWELS = "aeiou", "AEIOU"
@@ -108,11 +121,14 @@ def rotate(x: int, n: int, key: bytes) -> int:
 
 
 def swap(text: str, classes: tuple[str, ...], key: bytes, keep=lambda i: False, first: str = "") -> str:
-    """The surrogate of text among all texts with the same class at each place; characters of no class stay. first: the characters allowed where the first class member stands, if it is one of them."""
-    own = []
+    """The surrogate of text among all texts with the same class at each place; characters of no class stay. first: a class of its own where the first class member stands; a member outside it stays there and the place counts as the next one, so the map stays one-to-one."""
+    own, place = [], 0
     for i, c in enumerate(text):
         k = None if keep(i) else next((k for k in classes if c in k), None)
-        own.append(first if k and first and c in first and not any(own) else k)
+        if k and first and place < 2:
+            k = first if c in first else None if place == 0 else "".join(x for x in k if x not in first)
+            place += 1 if k is None else 2
+        own.append(k)
     radix = [len(k) for k in own if k]
     if not radix:
         return text
@@ -164,9 +180,11 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
     if kind == "iban":
         return value[:2] + iban_check(value, swap(value[4:], CODE_CLASSES, key)) + swap(value[4:], CODE_CLASSES, key)
     if kind == "phone":
-        lead = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+        lead = re.match(r"\+ ?\d{1,3}(?=[ .(/-])|00[1-9]\d{0,2}(?=[ .(/-])|\(?00?(?=[1-9])|9(?=\d[ -]\d{3}[ -]\d{2}[ -]\d{2}$)", value)
         start = lead.end() if lead else 0
-        return value[:start] + swap(value[start:], CODE_CLASSES, key, first="23456789")
+        head = value[:start].strip("(")
+        first = "123456789" if head in ("0", "00") else "" if head == "9" else "6789" if not head and sum(c.isdigit() for c in value) == 9 else "23456789"
+        return value[:start] + swap(value[start:], CODE_CLASSES, key, first=first)
     if kind == "person":
         return PARTS.sub(lambda m: "-".join(name(x, key) for x in m[0].split("-")), value)
     return swap(value, CODE_CLASSES, key)
@@ -208,6 +226,8 @@ def cards(run: str) -> list[tuple[int, int]]:
             digits = re.sub(r"\D", "", part)
             valid, usual = luhn(digits[:-1]) == int(digits[-1]), CARD_GROUPS.fullmatch(part) is not None
             wide = n >= 3 * (j - i + 1) if valid else all(b - a > 3 for a, b in groups[i : j + 1])
+            if not valid and YEARS.fullmatch(part):
+                continue
             if (valid or n in (15, 16)) and (usual or wide or j - i + 1 == len(groups)):
                 found.append((not usual, not valid, i, -j))
     taken, out = [False] * len(groups), []
@@ -218,6 +238,16 @@ def cards(run: str) -> list[tuple[int, int]]:
     return out
 
 
+def phone(value: str) -> int:
+    """The length of the phone number that value begins with, 0 if none: 9 to 15 digits (8 after a +), no date."""
+    while value:
+        n = sum(c.isdigit() for c in value)
+        if n <= 15:
+            return len(value) if n >= (8 if value[0] == "+" else 9) and (value[0] == "+" or not DATE.search(value)) else 0
+        value = re.sub(r"[ .()/-]*\d+$", "", value)
+    return 0
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Entities as (start, end, kind), apart from each other; earlier kinds in PATTERNS win."""
     out: list[tuple[int, int, str]] = []
@@ -227,7 +257,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in pattern.finditer(text):
             at = m.start()
-            for s, e in [(at + a, at + b) for a, b in cards(m[0])] if kind == "card" else [m.span(m.lastindex or 0)]:
+            if kind == "card":
+                spans = [(at + a, at + b) for a, b in cards(m[0]) if a or text[at - 1 : at] != "+" or sum(c.isdigit() for c in m[0][:b]) > 15]
+            elif kind == "phone":
+                spans = [(at, at + n)] if (n := phone(m[0])) else []
+            else:
+                spans = [m.span(m.lastindex or 0)]
+            for s, e in spans:
                 if all(e <= a or s >= b for a, b, _ in out):
                     out.append((s, e, kind))
     people = [text[s:e] for s, e, kind in out if kind == "person"]

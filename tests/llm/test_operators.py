@@ -361,6 +361,28 @@ def test_pii_mentions_agree(spark):
     assert not any(x in got.text for x in ("Anna", "Maria", "Neil", "Smith"))
 
 
+PHONES = ["+49 30 1234567", "0171 2345678", "5551234567", "(555)123-4567", "+1 (942) 555-3818", "555-123-4567", "1-800-555-0199", "+4915112345678", "0049 30 1234567", "030/1234567", "01 23 45 67 89", "020 7946 0958", "612 34 56 78", "612 345 678", "91 123 45 67", "+44 (0)20 7946 0958", "(030) 1234567", "+33 1 23 45 67 89", "044 668 18 00", "0612345678"]
+
+
+@pytest.mark.parametrize("phone", PHONES)
+def test_pii_phones(phone):
+    for text in ("call {} now", "{}", "({}) or", "tel.: {}, {}."):
+        text = text.replace("{}", phone)
+        assert [text[s:e] for s, e, k in pii.find(text) if k == "phone"] == [phone] * text.count(phone)
+    new = pii.surrogate("phone", phone, pii.KEY)
+    assert new != phone and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", phone) and [k for *_, k in pii.find(new)] == ["phone"]
+
+
+@pytest.mark.parametrize("text", ["on 2024-01-15 at", "12 34 56 78", "1914 1918 1939", "05-06-2024 12:30", "2024-01-15 10:20:30", "01.02.2024 10", "1914 1918 1939 1945 x 10 20 30", "12-34-56", "Nature (2004) 431 931", "7 8 9 10 11", "1.234.567.890 and 1,234,567,890", "5 + 3 10 20", "Die Frau ist schön", "I Miss the bus", "ein Herr kam und Dr. med sagte"])
+def test_pii_leaves_clean_text(text):
+    assert pii.find(text) == []
+
+
+def test_pii_phone_surrogates_stay_apart():
+    values = [f"({d}{x:02d}) 555-0{y:03d}" for d in range(10) for x in range(20) for y in range(40)]
+    assert len({pii.surrogate("phone", v, b"k") for v in values}) == len(values)
+
+
 @pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
 def test_rotation_is_one_to_one(n):
     got = [pii.rotate(x, n, b"k") for x in range(n)]

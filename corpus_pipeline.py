@@ -39,8 +39,21 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return clear.unionByName(maybe).select(*docs.columns)
 
 
+def one_each(docs: DataFrame) -> DataFrame:
+    """One row of those with equal doc_id and text. Only rows whose doc_id a bit table holds among the repeated ones are shuffled with their texts."""
+    key = "__doc_key"
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    again = stage(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "again")
+    if not again.take(1):
+        return docs
+    clear = keyed.mapInArrow(suffix.in_filter(again, False, key), keyed.schema)
+    maybe = stage(keyed.mapInArrow(suffix.in_filter(again, True, key), keyed.schema).dropDuplicates(["doc_id", "text"]), "once")
+    return clear.unionByName(maybe).select(*docs.columns)
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 that stand elsewhere too; documents that are left empty go."""
+    """Texts without the byte strings of 400 that stand elsewhere too; documents that are left empty go. Repeated rows (equal doc_id and text) count once, or each would be cut as a copy of the other."""
+    docs = one_each(docs)
     cut = suffix.dedup(docs, cut_text=True).where("n_removed = 0 or text <> ''")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -38,3 +38,15 @@ def test_stages(spark, tmp_path):
     packed = seen["best-fit packing"]
     assert {x.doc_id for x in packed} == set(cut)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_repeated_rows_keep_one(spark, tmp_path):
+    workers_import(spark)
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice("the and with river stone other think".split()) + str(r.randint(0, 99)) for _ in range(n))
+    text, other = say(120), say(120)
+    rows = [(4, text, "en", "a", 1), (4, text, "en", "a", 1), (4, text, None, None, 2), (9, text, "en", "a", 1), (5, other, "en", "a", 1), (6, "short", "en", "a", 1), (6, "short", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for _, f in corpus_pipeline.STAGES[1:3]:
+        docs = f(spark, docs, str(tmp_path))
+    assert sorted((x.doc_id, x.text) for x in docs.collect()) == [(4, text), (5, other), (6, "short")]

@@ -16,6 +16,11 @@ from sievemill.llm.common import stage, workers_import
 ORACLE_SQL = None
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with reserved names for all columns but doc_id and text, so that none is one that an operator makes."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"__column_{i}" for i, c in enumerate(docs.columns)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: texts without any letter go, and those of which no language has a third of the letters."""
     found = langid.predict(docs, langid.fit(docs.select("doc_id", "text", "lang"), train=~langid.held_out()))
@@ -53,15 +58,17 @@ def one_each(docs: DataFrame) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings of 400 that stand elsewhere too; documents that are left empty go. Repeated rows (equal doc_id and text) count once, or each would be cut as a copy of the other."""
-    docs = one_each(docs)
-    cut = suffix.dedup(docs, cut_text=True).where("n_removed = 0 or text <> ''")
+    own = apart(one_each(docs))
+    cut = suffix.dedup(own, cut_text=True).where("n_removed = 0 or text <> ''")
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        n_chars = own.columns[docs.columns.index("n_chars")]
+        cut = cut.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col(n_chars)))
+    return cut.select(*own.columns).toDF(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace(docs).select(*docs.columns)
+    own = apart(docs)
+    return pii.replace(own).select(*own.columns).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,19 @@ def test_repeated_rows_keep_one(spark, tmp_path):
     for _, f in corpus_pipeline.STAGES[1:3]:
         docs = f(spark, docs, str(tmp_path))
     assert sorted((x.doc_id, x.text) for x in docs.collect()) == [(4, text), (5, other), (6, "short")]
+
+
+def test_columns_named_as_the_operators_own(spark, tmp_path):
+    workers_import(spark)
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice("the and with river stone other think".split()) + str(r.randint(0, 99)) for _ in range(n))
+    shared = say(120)
+    rows = [(i, say(60) + " " + shared, "k", i, 7, [f"e{i}"], "c", 1, 2, 3) for i in range(3)] + [(3, "mail a.b@corp.example.com", "k", 3, 7, ["e3"], "c", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, tid long, n_entities long, entities array<string>, cuts string, n_bytes int, n_removed int, n_spans int")
+    names, extra = docs.columns, docs.drop("text").orderBy("doc_id").collect()
+    for f in (corpus_pipeline.repeated_passages, corpus_pipeline.private_data):
+        docs = f(spark, docs, str(tmp_path))
+        assert docs.columns == names
+    got = docs.orderBy("doc_id").collect()
+    assert [tuple(x[c] for c in names if c != "text") for x in got] == [tuple(x) for x in extra]
+    assert all(shared not in x.text for x in got) and "corp" not in got[3].text

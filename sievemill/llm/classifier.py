@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, chunks, prefix_hash, span_hash, table, text_bytes, words, workers_import
+from .common import LOWER, U, chunks, prefix_hash, span_hash, lean, table, text_bytes, words, workers_import
 from .graph import tally
 from .stats import measure
 
@@ -158,7 +158,7 @@ def classify(docs: DataFrame, sample: int = 4000) -> DataFrame:
 
     share = min(1.0, sample / max(int(counts.sum()), 1))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    weights, bias = fit_linear(chosen.mapInArrow(vectors, "slots binary, values binary, pattern int").toPandas(), posterior)  # the bounded sample
+    weights, bias = fit_linear(chosen.mapInArrow(lean(vectors), "slots binary, values binary, pattern int").toPandas(), posterior)  # the bounded sample
     sent = spark.sparkContext.broadcast((posterior, weights, bias))
 
     def score(batches):

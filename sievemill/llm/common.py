@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,11 +18,14 @@ _FALLBACK = None
 
 # ---------------------------------------------------------------- staged tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in local tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder; a cluster is an error, as its machines share none."""
     global _FALLBACK
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _FALLBACK is None:
         _FALLBACK = tempfile.mkdtemp(prefix="sievemill_")
         spark.conf.set("spark.checkpoint.dir", f"file://{_FALLBACK}")
@@ -41,14 +44,57 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def workers_import(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it, whatever folder they start in."""
+    """Python workers find this package where the driver found it, whatever folder they start in, and get Arrow batches of 4 MB where the session has Spark's default of 64 MB: long texts make large batches otherwise, held by the JVM and the worker at once."""
+    if spark.conf.get(BATCH, "64MB") in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCH, str(4 << 20))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
+CACHES: list[dict] = []  # of workers; emptied by release()
+
+
+def release() -> None:
+    """Give what a worker process has cached and freed back to the system. Workers live on between tasks and stages: without this each keeps the most it ever held."""
+    for c in (_powers, *CACHES):
+        c.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run):
+    """run, for mapInArrow, with trim() after every few batches and release() at the end of its partition."""
+
+    def trimmed(batches):
+        for k, batch in enumerate(batches):
+            yield batch
+            if k % 4 == 3:
+                del batch
+                trim()
+
+    def lean_run(batches):
+        try:
+            yield from run(trimmed(batches))
+        finally:
+            release()
+
+    return lean_run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, crc, stage, table, text_bytes, workers_import
+from .common import chunks, crc, lean, stage, table, text_bytes, workers_import
 from .tokens import tokenizer as tokenizer_of
 
 BLOCK_IDS = 1 << 18  # a block ends with the text that reaches this many ids
@@ -117,7 +117,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, leading: bool) -> DataFr
             yield block()
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return stage(ordered.mapInArrow(run, "part int, block int, body binary"), "dac")
+    return stage(ordered.mapInArrow(lean(run), "part int, block int, body binary"), "dac")
 
 
 def read(blocks: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def read(blocks: DataFrame) -> DataFrame:
                 ids, n = b.ids(), len(b.docs)
                 yield pa.RecordBatch.from_arrays([pa.array(b.docs), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(b.bounds[:-1]), pa.array(np.diff(b.bounds)), pa.array([crc(ids[s:e]) for s, e in zip(b.bounds[:-1], b.bounds[1:], strict=True)], pa.int64())], names=["doc_id", "part", "block", "at", "n_tokens", "ids_crc32"])
 
-    rows = stage(blocks.select("part", "block", "body").mapInArrow(run, "doc_id long, part int, block int, at long, n_tokens long, ids_crc32 long"), "dac_rows")
+    rows = stage(blocks.select("part", "block", "body").mapInArrow(lean(run), "doc_id long, part int, block int, at long, n_tokens long, ids_crc32 long"), "dac_rows")
     size = rows.groupBy("part", "block").agg(F.sum("n_tokens").alias("n"))
     in_part = F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")
     parts = size.groupBy("part").agg(F.sum("n").alias("n_part"))  # a row per partition of the writer

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, chunks, mix, table, text_bytes, workers_import
+from .common import U, chunks, mix, lean, table, text_bytes, workers_import
 
 SLOTS = 1 << 16
 SCRIPT_RANGES = (  # fixed values: first and last code point, script
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, per_lang: int = 2500, train: Column | None = None) -> d
         k2, s2 = np.nonzero(scripts)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((k, k2)).astype(np.int32)), pa.array(np.concatenate((s, s2 + SLOTS)).astype(np.int32)), pa.array(np.concatenate((grams[k, s], scripts[k2, s2])))], names=["k", "slot", "n"])
 
-    got = sample.mapInArrow(count, "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most len(langs) x (SLOTS + N_SCRIPTS) rows
+    got = sample.mapInArrow(lean(count), "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most len(langs) x (SLOTS + N_SCRIPTS) rows
     all_counts = np.zeros((SLOTS + N_SCRIPTS, len(langs)))
     all_counts[got.slot, got.k] = got.n
     grams, scripts = all_counts[:SLOTS] + 0.3, all_counts[SLOTS:]
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: dict, penalty: float = 30.0, spans: bool = F
             out = [batch.column(0), pa.array(names[pred], pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays([*out, pa.array(runs, pa.list_(pa.string()))] if spans else out, names=["doc_id", "lang_pred", "score", "spans"][: 3 + spans])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double" + ", spans array<string>" * spans)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double" + ", spans array<string>" * spans)
 
 
 def held_out() -> Column:

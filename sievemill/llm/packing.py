@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, crc, stage, table, text_bytes, workers_import
+from .common import chunks, crc, lean, stage, table, text_bytes, workers_import
 from .tokens import tokenizer as tokenizer_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, leading:
                 k, n, at, length, check, nth = (np.array(c, np.int64) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([docs.take(pa.array(k)), pa.array(n.astype(np.int32)), pa.array(at), pa.array(length), pa.array(check), pa.array(np.full(len(k), part, np.int32)), pa.array(nth)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, leading: bool = False) -> DataFrame:
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
                 seq[own], offset[own] = bins + (rank[own] - first) // each, at + (rank[own] - first) % each * n
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PLACED)
+    return ranked.mapInArrow(lean(place), PLACED)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import table, text_bytes, workers_import
+from .common import lean, table, text_bytes, workers_import
 
 KEY = b"sievemill demonstration key"  # a secret in production
 
@@ -315,7 +315,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             cols[t] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())])))], names=[*names, "n_entities", "entities"])
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
 def audit(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -327,7 +327,7 @@ def audit(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             rows = [(k, t[s:e], surrogate(k, t[s:e], key)) for t in batch.column(0).to_pylist() if t for s, e, k in find(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "value", "surrogate"])
 
-    pairs = docs.select(F.col("text").cast("string")).mapInArrow(run, "kind string, value string, surrogate string").distinct()
+    pairs = docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "kind string, value string, surrogate string").distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n_values")).where("n_values > 1")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, text_bytes, workers_import
+from .common import chunks, lean, table, text_bytes, workers_import
 from .stats import measure
 
 N_FEATURES = 14
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> tuple[np.nd
                 cut = np.searchsorted(line["text"], np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([np.packbits(x[s:e].astype(bool)).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(np.diff(cut).astype(np.int32)), pa.array(q[i:j])], names=["x", "n", "quality"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(lines, "x binary, n int, quality int").toPandas()  # the bounded sample: 14 bits a line
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(lean(lines), "x binary, n int, quality int").toPandas()  # the bounded sample: 14 bits a line
     if rows.empty:
         return PRIOR, 1.0
     x = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[: n * N_FEATURES].reshape(n, N_FEATURES) for b, n in zip(rows.x, rows.n, strict=True)]).astype(np.float32)
@@ -143,7 +143,7 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float], least_share: float =
                 failed = (t["n_words"] < 20) | (100 * t["n_repeat_words"] > 30 * t["n_words"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(t[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & (share >= least_share)), pa.array(share)], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, COLUMNS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), COLUMNS)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,14 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import _A_INV, U, chunks, mix, powers, prefix_hash, span_hash, stage, table, text_bytes, workers_import
-from .graph import tally
+from .common import _A_INV, U, chunks, mix, powers, prefix_hash, span_hash, lean, stage, table, text_bytes, workers_import
+from .graph import FILTER_BITS, in_filter, tally
 
 GRAM = 32
 PER_BUCKET = 25_000
 COLUMNS = ["key", "tid", "at", "s0", "s1", "lead"]  # at = -1: bytes s0 to s1 are known to repeat
 HOT = 200_000
-FILTER_BITS = 21
 
 
 def anchors(a: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -168,7 +167,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         if held is not None and held_dup:
             yield held.drop_columns(["key"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "tid long, at int, s0 int, s1 int, lead long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "tid long, at int, s0 int, s1 int, lead long")
 
 
 def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataFrame:
@@ -205,7 +204,7 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
                 base = base[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tids[i:j][doc]), *(pa.array((v - base).astype(np.int32)) for v in (at, s0, s1)), pa.array((lead >> U(1)).astype(np.int64))], names=COLUMNS)
 
-    rows = stage(repeated_anchors(texts.mapInArrow(find, "key long, tid long, at int, s0 int, s1 int, lead long")), "anchors")
+    rows = stage(repeated_anchors(texts.mapInArrow(lean(find), "key long, tid long, at int, s0 int, s1 int, lead long")), "anchors")
     known = rows.where("at < 0").select("tid", F.col("s0").alias("s"), F.col("s1").alias("e"))
     found = rows.where("at >= 0")
     n = found.count()
@@ -264,7 +263,7 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(k, pa.int64()), pa.array(tid, pa.int64()), pa.array(s, pa.int32()), pa.array(left, pa.int32()), pa.array(bodies, pa.binary())], names=["kind", "k", "tid", "s", "left", "body"])
 
     marks = found.groupBy("tid").agg(F.collect_set(F.struct("at", "s0", "s1", "lead")).alias("marks"))
-    made = texts.mapInArrow(wanted, "tid long, text string").join(marks, "tid").select("tid", "text", "marks").mapInArrow(contexts, "kind int, k long, tid long, s int, left int, body binary")
+    made = texts.mapInArrow(lean(wanted), "tid long, text string").join(marks, "tid").select("tid", "text", "marks").mapInArrow(lean(contexts), "kind int, k long, tid long, s int, left int, body binary")
 
     def bucket(batches):
         held: dict[int, list] = {}
@@ -294,31 +293,12 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
             yield pa.RecordBatch.from_arrays(settle(held.pop(b)), names=["tid", "s", "e", "w"])
 
     spread = F.when(F.col("kind") == 0, F.col("k")).otherwise(F.pmod(F.xxhash64("tid", "s"), F.lit(n_buckets)))
-    got = stage(made.repartition(n_buckets, spread).mapInArrow(bucket, "tid long, s int, e int, w long"), "stretches")
+    got = stage(made.repartition(n_buckets, spread).mapInArrow(lean(bucket), "tid long, s int, e int, w long"), "stretches")
     windows = got.where("w is not null")
     often_ = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     return known.union(got.where("w is null").select("tid", "s", "e")).union(windows.join(often_, "w").select("tid", "s", "e"))
 
 
-def in_filter(tids: DataFrame, keep: bool = True, column: str = "tid"):
-    """A function for mapInArrow that keeps rows whose value in column may stand in tids (keep=False: certainly does not): a bit table of fixed size."""
-    mask = U((1 << FILTER_BITS) - 1)
-
-    def count(batches):
-        out = np.zeros(1 << FILTER_BITS, np.int64)
-        for batch in batches:
-            out[batch.column(0).to_numpy().view(np.uint64) & mask] = 1
-        return out
-
-    sent = tids.sparkSession.sparkContext.broadcast(tally(tids, count, FILTER_BITS) > 0)
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(sent.value[(batch.column(column).to_numpy().view(np.uint64) & mask).astype(np.int64)] == keep))
-
-    return run
-
-
 def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot: int = HOT, cut_text: bool = False) -> DataFrame:
     """docs with new columns n_bytes, n_removed, n_spans, kept (the remaining bytes). cut_text: text becomes what remains, without the parts of characters that a cut has split."""
     workers_import(docs.sparkSession)
@@ -363,9 +343,9 @@ def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot:
             for batch in batches:
                 yield from hit([pa.RecordBatch.from_arrays(batch.columns, names=[*batch.schema.names[:-1], "tid"])])
 
-        return tagged.withColumnRenamed("__tid", "tid").mapInArrow(run, StructType([*docs.schema.fields, StructField("tid", LongType())]))
+        return tagged.withColumnRenamed("__tid", "tid").mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("tid", LongType())]))
 
-    touched = split(True).join(cut, "tid", "left").select(*[F.col(f"`{c}`") for c in names], "cuts").mapInArrow(apply, out_schema)
+    touched = split(True).join(cut, "tid", "left").select(*[F.col(f"`{c}`") for c in names], "cuts").mapInArrow(lean(apply), out_schema)
     rest = split(False).select(*[F.col(f"`{c}`") for c in names], F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), text.cast("binary").alias("kept"))
     return touched.union(rest)
 

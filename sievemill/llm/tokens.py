@@ -8,28 +8,32 @@ a whole batch at once, looked up in a table, and their ids laid out by array
 operations. The library encodes each chunk that the table lacks, many in one
 call; the lengths of the tokens then tell where each chunk ends. Texts with any
 other white space are encoded whole. The table has a fixed size and starts anew
-when full.
+when full, or at the end of a partition.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
 
-from .common import LOWER, SPACE, U, prefix_hash, span_hash
+from .common import CACHES, LOWER, SPACE, U, prefix_hash, span_hash
 
 OTHER_SPACE = re.compile(r"[^\S \n]")
-SLOTS = 1 << 22
-FULL = 2_400_000
+SLOTS = 1 << 20
+FULL = 500_000
+AT_ONCE = 16  # groups of 512 chunks in one call of the library
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 _made: dict[tuple[str, bool], "BatchTokenizer"] = {}
+CACHES.append(_made)
 
 
 def tokenizer(path: str, leading: bool) -> "BatchTokenizer":
-    """One per worker process, kept between tasks."""
+    """One per worker process, until its partition ends. Tasks fill the cores already: threads of the library would only hold memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, leading) not in _made:
         _made[path, leading] = BatchTokenizer(path, leading)
     return _made[path, leading]
@@ -107,7 +111,18 @@ class BatchTokenizer:
         fast, slow = np.flatnonzero(plain), [np.flatnonzero(~plain)]
         gap = 0 if self.leading else 1
         groups = [fast[k : k + 512] for k in range(0, len(fast), 512)]
-        texts = []
+        for k in range(0, len(groups), AT_ONCE):
+            some = groups[k : k + AT_ONCE]
+            slow += self.learn_joined(some, h, a, s, e, gap)
+        rest = np.concatenate(slow)
+        if len(rest):
+            for k in range(0, len(rest), 8192):
+                some = rest[k : k + 8192]
+                self.add(h[some], *self.encode_alone([a[x:y].tobytes().decode() for x, y in zip(s[some].tolist(), e[some].tolist(), strict=True)]))
+
+    def learn_joined(self, groups: list[np.ndarray], h: np.ndarray, a: np.ndarray, s: np.ndarray, e: np.ndarray, gap: int) -> list[np.ndarray]:
+        """Encode groups of chunks, each as one text; returns the groups whose tokens cross chunks."""
+        texts, slow = [], []
         for g in groups:
             size = e[g] - s[g]
             at = np.cumsum(size + gap) - size
@@ -123,9 +138,7 @@ class BatchTokenizer:
                 self.add(h[g], ids, np.diff(k, prepend=-1))
             else:
                 slow.append(g)
-        rest = np.concatenate(slow)
-        if len(rest):
-            self.add(h[rest], *self.encode_alone([a[x:y].tobytes().decode() for x, y in zip(s[rest].tolist(), e[rest].tolist(), strict=True)]))
+        return slow
 
     # ------------------------------------------------------------ batches
     def chunks(self, a: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table, workers_import
+from .common import lean, stage, table, workers_import
 
 SHARD_ROWS = 20_000
 BLOCK_ROWS = 1024
@@ -140,7 +140,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, relax: float = 1.0
                     part = own.slice(s, BLOCK_ROWS)
                     yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), part.column(1).slice(0, 1), pa.array([part.column(2).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix(part.column(3)).astype("<f8").tobytes()], pa.binary())], names=["dim", "shards", "names", "q"])
 
-    asked = rows.where(queries).select("dim", "shards", "vec_id", "embedding").mapInArrow(block, "dim int, shards int, names binary, q binary")
+    asked = rows.where(queries).select("dim", "shards", "vec_id", "embedding").mapInArrow(lean(block), "dim int, shards int, names binary, q binary")
     sent = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "names", "q")
 
     def search(batches):
@@ -153,7 +153,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, relax: float = 1.0
                 asked, found, d = tree_of[1].search(np.frombuffer(q, "<f8").reshape(len(names), dim), names, k, relax)
                 yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(found), pa.array(d)], names=["query_id", "vec_id", "score"])
 
-    found = trees.join(sent, ["dim", "shard"]).select("dim", "tree", "names", "q").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = trees.join(sent, ["dim", "shard"]).select("dim", "tree", "names", "q").mapInArrow(lean(search), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,50 +1,66 @@
 """N-gram Jaccard join (operator 6) by token-combination prefixes.
 
-Tokens are 48-bit fingerprints of the distinct word 5-grams of a text. Texts with
-equal token sets are one node from the start.
+Tokens are 64-bit fingerprints of the distinct word 5-grams of a text. Texts with
+equal token sets are one node (a 64-bit fingerprint `sid`) from the start.
 
 1. Counts of all tokens in a table of 2**22 counters (fixed size, all texts) put
    tokens into classes: rare, or frequent by power of two above the noise. The
    global token order is class first, then fingerprint.
-2. Of n tokens in that order the first n - ceil(0.8 n) + 1 are the prefix: similar
-   sets share a token there. Rare prefix tokens are indexed alone. If the prefix
-   reaches frequent tokens it is extended so that similar sets share k tokens, and
-   frequent tokens are indexed as pairs at most 8 places apart. That suffices: k
-   shared tokens leave k - 1 gaps, which add up to the two extended prefixes, so
-   with k - 1 half a prefix one shared pair is at most 6 apart in either set.
-3. Sets under one key are candidates: all pairs of up to 32 sets; a larger key
-   only gives links to its first and to the preceding set.
-4. Candidates are cut by size, position and parity bitmaps (which bound the
-   symmetric difference from below), then verified on the token sets.
-5. Components of the verified links, widened by two cheap rounds over a part of the
-   larger keys. Larger keys then give the pairs between
-   different components (pairs within one change nothing), which are verified too.
+2. Index keys. Of n tokens in that order the first p = n - ceil(0.8 n) + 1 are the
+   prefix: similar sets share a token there. Rare prefix tokens are indexed alone. If
+   the prefix reaches frequent tokens it is extended, so that similar sets share k
+   tokens in it, and combinations of successive tokens are indexed: two for frequent,
+   three for very frequent ones. That suffices: similar sets of n and m tokens differ
+   in at most d = (n + m) / 9 tokens, so at most d of the places between successive
+   shared tokens are broken by a token of one set alone; k = n / 4 + 2 shared tokens
+   have more places than that, and twice as many have two unbroken ones in a row.
+3. The members of a key, in order of size, are cut where sizes differ too much for a
+   link; each part gets the label of its first member (least size, then sid). Keys of
+   one group of near copies have few first members, so there are far fewer distinct
+   rows (label, member) than rows of keys, and a pair is compared once a label. Keys of
+   tokens that over 2**HOT_CLASS sets share are labels themselves, ungathered.
+4. Members of a label are compared by parity bitmaps, which bound the symmetric
+   difference from below: pairs beyond 2/9 of the sizes are ruled out for certain. Only
+   a spanning forest of the near pairs, closest first, leaves the task: rows grow with
+   the members, not with their square. Its edges are verified on the token sets.
+5. Where an edge of a label is refuted, all near pairs of that label between different
+   components are verified too. Where none is, the forest has the components of all
+   near pairs, so nothing is lost.
+
+Links are decided on 64-bit tokens within a pair, where a collision has a chance
+below 10**-12. Different sets with one sid would be merged: about three pairs are to
+be expected among 10**10 distinct texts.
 
 Defined cases: null or empty text or text without words: no shingle, linked with
 nothing, a component of its own; fewer than five words: the whole sequence is the
-one shingle; repeated rows and copies link; an empty table gives no rows; other
-columns are ignored.
+one shingle; repeated rows and copies link; rows of one doc_id are separate rows with
+that id; a null doc_id is kept, and no component is named by it unless it has no
+other; very long texts are worked on whole, in a run of their own; ties in size go by
+sid; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, binary, chunks, grams, mix, prefix_hash, span_hash, stage, table, text_bytes, words, workers_import
-from .graph import TALLY_BITS, components, tally
+from .common import LOWER, U, binary, chunks, grams, lean, mix, prefix_hash, span_hash, stage, table, text_bytes, words, workers_import
+from .graph import components, in_filter, merged, slices
 
 NUM, DEN = 80, 100  # similarity as a fraction
-GAP = 8
-ALL_PAIRS = 8
 CLASS_BITS = 22
-BLOCK = 2000
-BUCKET = U((1 << TALLY_BITS) - 1)
+VERY_CLASS = 10  # from here on (about 2**9 sets) three tokens make a key
+HOT_CLASS = 20  # from here on keys are not gathered by a task
+SMALL = 15  # from this size on very frequent tokens make no pairs; sets of NUM / DEN of it already make triples
+BLOCK = 8192  # members of a label that one task compares
+FEW = 8  # members of a label of which all near pairs are verified
+SEEN = 1 << 18  # sets that a task remembers, to skip copies
 CLASS = U((1 << CLASS_BITS) - 1)
 
 
+# ---------------------------------------------------------------- token sets
 def shingle_sets(a: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct tokens of texts end to end, and offsets (n + 1)."""
     a = LOWER[a]
@@ -53,12 +69,12 @@ def shingle_sets(a: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.
     h = span_hash(prefix_hash(a), s, e)
     count = np.bincount(doc, minlength=n_docs)
     first = np.cumsum(count) - count
-    g = grams(h, size) >> U(16)
+    g = grams(h, size)
     ok = doc[: len(g)] == doc[size - 1 :] if len(g) else np.empty(0, bool)
     owner, g = doc[: len(g)][ok], g[ok]
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
-        own = np.array([int(mix(np.add.reduce(grams(h[first[d] : first[d] + count[d]], int(count[d])), keepdims=True) + U(count[d]))[0] >> U(16)) for d in short], np.uint64)
+        own = np.array([int(mix(np.add.reduce(grams(h[first[d] : first[d] + count[d]], int(count[d])), keepdims=True) + U(count[d]))[0]) for d in short], np.uint64)
         owner, g = np.concatenate((owner, short)), np.concatenate((g, own))
         order = np.argsort(owner, kind="stable")
         owner, g = owner[order], g[order]
@@ -70,293 +86,346 @@ def shingle_sets(a: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.
     return g[keep], np.searchsorted(owner[keep], np.arange(n_docs + 1))
 
 
-def six(tokens: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(tokens.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-
-
-def tokens_of(body: bytes) -> np.ndarray:
-    out = np.zeros((len(body) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(body, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def set_ids(t: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(t + U(0x632BE59BD9B4E019)))))
+    return mix(total[b[1:]] - total[b[:-1]] + np.diff(b).astype(np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of tokens falls there. Width: the power of two >= the number of tokens (64 at least)."""
-    width = 1 << max(6, int(len(tokens) - 1).bit_length())
+    """Bit i: whether an odd number of tokens falls there. Width: the power of two from four times the number of tokens on."""
+    width = 1 << max(6, int(4 * len(tokens) - 1).bit_length())
     at = (mix(tokens) >> U(40)) & U(width - 1)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
-def sets_table(docs: DataFrame) -> DataFrame:
-    """Staged rows doc_id, sid (a set's fingerprint), n, tokens, bits."""
+class Seen:
+    """Which sets are new to a task; starts anew when full, so a copy may count as new."""
+
+    def __init__(self):
+        self.own: set[int] = set()
+
+    def new(self, sid: np.ndarray) -> np.ndarray:
+        if len(self.own) > SEEN:
+            self.own.clear()
+        return np.array([s not in self.own and not self.own.add(s) for s in sid.tolist()], bool)
+
+
+def token_sets(batches, column: str):
+    """Of each run of texts: its place in the batch, tokens, offsets, sids."""
+    for batch in batches:
+        a, offsets = text_bytes(batch.column(column))
+        for i, j in chunks(offsets):
+            t, b = shingle_sets(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield batch.slice(i, j - i), t, b, set_ids(t, b)
+
+
+def sets_table(texts: DataFrame) -> DataFrame:
+    """Staged rows doc_id, tid, sid, n of all texts (doc_id, tid, text), and rows slice, counts of the token counters of each partition."""
 
     def run(batches):
-        for batch in batches:
-            a, offsets = text_bytes(batch.column(1))
-            for i, j in chunks(offsets):
-                t, b = shingle_sets(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                n = np.diff(b)
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(t + U(0x632BE59BD9B4E019)))))
-                sid = mix(total[b[1:]] - total[b[:-1]] + n.astype(np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
-                bits = [parity(t[s:e]) for s, e in zip(b[:-1], b[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sid), pa.array(n.astype(np.int32)), binary(six(t).ravel(), b * 6), pa.array(bits, pa.binary())], names=["doc_id", "sid", "n", "tokens", "bits"])
+        counts, seen, held, size = np.zeros(1 << CLASS_BITS, np.int64), Seen(), [], 0
+        for part, t, b, sid in token_sets(batches, "text"):
+            n = np.diff(b)
+            held.append((t[np.repeat(seen.new(sid) & (n > 1), n)] & CLASS).astype(np.int64))
+            size += len(held[-1])
+            if size > 1 << 20:
+                counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                held, size = [], 0
+            empty = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tid"), pa.array(sid), pa.array(n.astype(np.int32)), *empty], names=["doc_id", "tid", "sid", "n", "slice", "counts"])
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts))
+        for k, c in slices(counts):
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.int32()), pa.array([k], pa.int32()), pa.array([c], pa.binary())], names=["doc_id", "tid", "sid", "n", "slice", "counts"])
 
-    return stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, sid long, n int, tokens binary, bits binary"), "sets", "none")
+    return stage(texts.mapInArrow(lean(run), "doc_id long, tid long, sid long, n int, slice int, counts binary"), "sets")
 
 
-def token_classes(sets: DataFrame) -> np.ndarray:
-    def count(batches):
-        out, seen = np.zeros(1 << CLASS_BITS, np.int64), set()
-        for batch in batches:
-            own = []
-            for sid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if sid not in seen:
-                    seen.add(sid)
-                    own.append(body)
-            t = tokens_of(b"".join(own))
-            out += np.bincount((t & CLASS).astype(np.int64), minlength=len(out))
-        return out
-
-    c = tally(sets.where("n > 1").select("sid", "tokens"), count, CLASS_BITS)
-    mid = np.median(c)
-    return np.where(c > mid + 5 * (np.sqrt(mid) + 1), np.log2(np.maximum(c - mid, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
-
-
-def keys_of(t: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and their places in the order (-1 for pairs)."""
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    mid = np.median(counts)
+    return np.where(counts > mid + 5 * (np.sqrt(mid) + 1), np.log2(np.maximum(counts - mid, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
+
+
+# ---------------------------------------------------------------- index
+def keys_of(t: np.ndarray, classes: np.ndarray, very_class: int = VERY_CLASS, hot_class: int = HOT_CLASS) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, and whether a key may be a hot one."""
     n = len(t)
     p = n - -(-NUM * n // DEN) + 1
     c = classes[(t & CLASS).astype(np.int64)]
-    if c.any():
-        t = t[np.argsort(c, kind="stable")]
-    rare = n - int(np.count_nonzero(c))
+    order = np.argsort(c, kind="stable")
+    t, c = t[order], c[order]
+    rare = int(np.searchsorted(c, 1))
     if rare >= p:
-        return t[:p], np.arange(p)
-    k = 1 + -(-p // 2)
-    often = t[rare : p + k - 1]
-    pairs = [mix(often[g:] * U(0xD1342543DE82EF95) ^ mix(often[:-g])) | U(1 << 63) for g in range(1, min(GAP, len(often) - 1) + 1)]
-    both = np.concatenate([t[:rare], *pairs])
-    return both, np.where(np.arange(len(both)) < rare, np.arange(len(both)), -1)
-
-
-def index(sets: DataFrame, classes, all_pairs: int) -> DataFrame:
-    """Staged rows from index keys: kind 0 a candidate pair (a < b); kind 1 a member (key a, set b, size n, place pos) of a larger key."""
+        return t[:p], np.zeros(p, bool)
+    very = max(rare, int(np.searchsorted(c, very_class)))
+    most = (DEN - NUM) * n // NUM  # tokens in which the smaller of two similar sets differs from the other
+    end = p + most + 1  # the prefix in which similar sets share most + 2 tokens
+    if end > very:
+        end = min(n, p + 2 * most + 3)
+    two, three = np.arange(rare, end - 1), np.arange(very, end - 2)
+    if n >= SMALL:  # smaller sets can be linked to some that share no three tokens in a row
+        two = two[: max(very - rare, 0)]
+    if DEN * n < NUM * SMALL:
+        three = three[:0]
+    pairs = mix(t[two] * U(0xD1342543DE82EF95) ^ mix(t[two + 1])) | U(1 << 63)
+    triples = mix((t[three] * U(0xD1342543DE82EF95) ^ mix(t[three + 1])) * U(0xF1357AEA2E62A9C5) ^ mix(t[three + 2])) | U(1 << 63)
+    return np.concatenate((t[:rare], pairs, triples)), np.concatenate((np.zeros(rare, bool), c[two] >= hot_class, c[three] >= hot_class))
+
+
+def index(texts: DataFrame, classes, very_class: int, hot_class: int) -> DataFrame:
+    """Staged distinct rows label, sid: sets of one label may be linked."""
 
     def emit(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            rows = []
-            for sid, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if sid not in seen:
-                    seen.add(sid)
-                    key, pos = keys_of(tokens_of(body), classes.value)
-                    rows.append((key, np.full(len(key), sid), np.full(len(key), n, np.int32), pos.astype(np.int32)))
+        seen = Seen()
+        for _, t, b, sid in token_sets(batches, "text"):
+            n, rows = np.diff(b), []
+            for k in np.flatnonzero((n > 3) & seen.new(sid)):
+                key, hot = keys_of(t[b[k] : b[k + 1]], classes.value, very_class, hot_class)
+                rows.append((key, np.full(len(key), sid[k]), np.where(hot, -n[k], n[k]).astype(np.int32)))
             if rows:
-                key, sid, n, pos = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid), pa.array(n), pa.array(pos)], names=["key", "sid", "n", "pos"])
-
-    def pairs(batches):
-        open_key = last = None  # the larger key that is open, and its last set
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
-
-        def close(key, sid, n, pos, final):
-            """Rows for the groups of these arrays; the last group stays held unless final."""
-            nonlocal last, open_key, held
-            out_a, out_b, out_n, out_kind, out_pos = [], [], [], [], []
-
-            def put(a, b, n, kind, pos=None):
-                out_a.append(a), out_b.append(b), out_n.append(n), out_kind.append(np.full(len(a), kind, np.int32)), out_pos.append(np.zeros(len(a), np.int32) if pos is None else pos)
-
-            cut = np.flatnonzero(np.diff(key)) + 1
-            begin, end = np.append(0, cut), np.append(cut, len(key))
-            size = end - begin
-            for d in range(1, all_pairs):  # all small groups at once, by distance
-                small = np.flatnonzero((size > d) & (size <= all_pairs))
-                small = small[(small < len(size) - 1) | final]
-                if not len(small):
-                    break
-                m = size[small] - d
-                x = np.repeat(begin[small], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                y = x + d
-                lo, hi = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
-                most = np.where(pos[x] < 0, lo, np.minimum(n[x] - pos[x], n[y] - pos[y]))
-                ok = (DEN * lo >= NUM * hi) & (DEN * most >= NUM * (n[x].astype(np.int64) + n[y] - most)) & (sid[x] != sid[y])
-                put(np.minimum(sid[x], sid[y])[ok], np.maximum(sid[x], sid[y])[ok], np.zeros(int(ok.sum()), np.int32), 0)
-            for g in [*np.flatnonzero(size > all_pairs), *([0] if size[0] <= all_pairs and open_key is not None and key[0] == open_key else [])]:
-                own = slice(begin[g], end[g])
-                k, s = key[begin[g]], sid[own]
-                other = np.concatenate(([last if open_key == k else s[0]], s[:-1]))
-                ok = s != other
-                put(np.minimum(s, other)[ok], np.maximum(s, other)[ok], np.zeros(int(ok.sum()), np.int32), 0)
-                put(np.full(len(s), k), s, n[own], 1, pos[own])
-                open_key, last = k, s[-1]
-            tail = slice(begin[-1], end[-1])
-            held = [x[tail] if size[-1] <= all_pairs and key[-1] != open_key else x[:0] for x in (key, sid, n, pos)]
-            if not out_a:
-                return None
-            once = np.unique(np.rec.fromarrays([np.concatenate(x) for x in (out_a, out_b, out_n, out_kind, out_pos)]))
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once[f])) for f in once.dtype.names], names=["a", "b", "n", "kind", "pos"])
+                key, own, size = (np.concatenate(x) for x in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(size)], names=["key", "sid", "n"])
 
+    def labels(batches):
+        """Rows come by key, size and sid. State between batches: the last row, its label, and whether it leads."""
+        last_key = last_n = last_label = None
+        held, size = [], 0
         for batch in batches:
-            new = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
-            if len(new[0]) and (out := close(*new, False)) is not None:
-                yield out
-        if len(held[0]) and (out := close(*held, True)) is not None:
-            yield out
-
-    rows = sets.where("n > 3").select("sid", "n", "tokens").mapInArrow(emit, "key long, sid long, n int, pos int")
-    grouped = rows.repartition("key").sortWithinPartitions("key", "sid")
-    return stage(grouped.mapInArrow(pairs, "a long, b long, n int, kind int, pos int"), "index")
-
-
-def marks_of(sets: DataFrame) -> DataFrame:
-    return sets.where("n > 3").select("sid", "n", "bits").dropDuplicates(["sid"])
-
-
-def chained(sets: DataFrame, large: DataFrame, roots: DataFrame, turn: int, turns: int = 16) -> DataFrame:
-    """Links between neighbours of different components under one in `turns` of the larger keys, in an order of their own: a cheap round that joins most of what belongs together."""
-    at = large.where(F.pmod("key", F.lit(turns)) == turn).join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "sid"))
-    near = at.select("sid", "root", F.lag("sid").over(order).alias("other"), F.lag("root").over(order).alias("other_root")).where("root <> other_root")
-    return verify(sets, near.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")))
-
-
-def between(sets: DataFrame, large: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """Staged near pairs (a, b) of different components that share a larger key (members key, sid, pos). Keys of over `block` members go to a task for each pair of blocks; sizes, places and parity bitmaps are compared there, so that only near pairs leave."""
-    at = stage(large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "pos", F.coalesce("root", "sid").alias("root")), "members")
-    keys = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    at = at.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).join(marks_of(sets), "sid")
-    one = at.where("blocks = 1").withColumn("other", F.lit(0))
-    more = at.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    at = one.unionByName(more).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "pos", "bits")
-
-    def pairs(batches):
-        def group(t):
-            own, sid, root, n, pos = (t.column(c).to_numpy() for c in ("own", "sid", "root", "n", "pos"))
-            width = int(np.diff(text_bytes(t.column("bits"))[1]).min())  # bytes; all are folded to the narrowest
-            rows = t.column("bits").to_pylist()
-            if all(len(b) == width for b in rows):
-                bits = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
-            else:
-                folded = []
-                for b in rows:
-                    b = np.frombuffer(b, np.uint64)
-                    while len(b) * 8 > width:
-                        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-                    folded.append(b)
-                bits = np.stack(folded)
-            n, out, m = n.astype(np.int64), [], len(sid)
-            cross = len(np.unique(own)) > 1
-            step = max(1, min(m, 200_000 // m))
+            key, sid, n = (c.to_numpy() for c in batch.columns)
+            if not len(key):
+                continue
+            first = np.empty(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (NUM * n[1:].astype(np.int64) > DEN * n[:-1].astype(np.int64))
+            first[0] = last_key is None or key[0] != last_key or NUM * int(n[0]) > DEN * int(last_n)
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+            label = np.where(lead < 0, last_label if last_label is not None else 0, sid[lead])
+            last_key, last_n, last_label = key[-1], n[-1], label[-1]
+            hot, more = n < 0, (n > 0) & (label != sid)
+            held.append(np.stack((np.concatenate((label[more], label[more], key[hot])), np.concatenate((sid[more], label[more], sid[hot]))), 1))
+            size += len(held[-1])
+            if size > 1 << 20:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                size = len(held[0])
+                if size > 1 << 19:
+                    yield from put(held.pop())
+                    size = 0
+        if held:
+            yield from put(np.unique(np.concatenate(held), axis=0))
+
+    def put(rows):
+        for k in range(0, len(rows), 100_000):
+            part = np.ascontiguousarray(rows[k : k + 100_000].T)
+            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], names=["label", "sid"])
+
+    rows = texts.select("text").mapInArrow(lean(emit), "key long, sid long, n int")
+    dealt = rows.repartition(F.when(F.col("n") < 0, F.xxhash64("key", "sid")).otherwise(F.col("key"))).sortWithinPartitions("key", "n", "sid")
+    return stage(dealt.mapInArrow(lean(labels), "label long, sid long").distinct(), "labels")
+
+
+def of_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, make, field: str) -> DataFrame:
+    """Rows sid, n and field = make(tokens) of the sets in wanted (sid). Only texts that a bit table can't rule out are read on."""
+    only = in_filter(nodes.join(wanted, "sid", "left_semi").select("tid"))
+
+    def run(batches):
+        seen = Seen()
+        for _, t, b, sid in token_sets(only(batches), "text"):
+            own = np.flatnonzero(seen.new(sid))
+            n = np.diff(b)[own].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sid[own]), pa.array(n), pa.array([make(t[b[k] : b[k + 1]]) for k in own], pa.binary())], names=["sid", "n", field])
+
+    return texts.select("tid", "text").mapInArrow(lean(run), f"sid long, n int, {field} binary").dropDuplicates(["sid"])
+
+
+# ---------------------------------------------------------------- comparison
+def differing(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the parity bitmaps (an array of bytes objects) of x and y. The wider one is folded, which keeps it a parity bitmap."""
+    widths = np.array([len(b) for b in bits])
+    out = np.empty(len(x), np.int64)
+    rank = np.empty(len(bits), np.int64)
+    rows = {}
+    for w in np.unique(widths):
+        own = np.flatnonzero(widths == w)
+        rank[own] = np.arange(len(own))
+        rows[int(w)] = np.frombuffer(b"".join(bits[own]), np.uint64).reshape(len(own), -1)
+    sign = widths[x] * (1 << 31) + widths[y]
+    for z in np.unique(sign):
+        wx, wy = divmod(int(z), 1 << 31)
+        a, b = rows[wx], rows[wy]
+        while a.shape[1] > b.shape[1]:
+            a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+        while b.shape[1] > a.shape[1]:
+            b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+        own = np.flatnonzero(sign == z)
+        some = max(1, (16 << 20) // min(wx, wy))
+        for k in range(0, len(own), some):
+            i = own[k : k + some]
+            out[i] = np.bitwise_count(a[rank[x[i]]] ^ b[rank[y[i]]]).sum(1, dtype=np.int64)
+    return out
+
+
+def near_pairs(n: np.ndarray, bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the index pairs whose sizes and bitmaps allow a link, and their differing bits over their sizes."""
+    ok = NUM * np.maximum(n[x], n[y]) <= DEN * np.minimum(n[x], n[y])
+    x, y = x[ok], y[ok]
+    differ, both = differing(bits, x, y), n[x] + n[y]
+    hit = differ * (DEN + NUM) <= both * (DEN - NUM)  # |x ^ y| <= (|x| + |y|) (DEN - NUM) / (DEN + NUM) for linked sets
+    return x[hit], y[hit], differ[hit] / both[hit]
+
+
+def spanning(m: int, x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which edges make a minimum spanning forest of m nodes: in rounds, each component takes its cheapest edge to another."""
+    order = np.argsort(cost, kind="stable")
+    x, y, comp, taken = x[order], y[order], np.arange(m), np.zeros(len(x), bool)
+    live = np.arange(len(x))
+    while True:
+        live = live[comp[x[live]] != comp[y[live]]]
+        if not len(live):
+            return order[taken]
+        best = np.full(m, len(x))
+        np.minimum.at(best, comp[x[live]], live)
+        np.minimum.at(best, comp[y[live]], live)
+        chosen = np.unique(best[best < len(x)])
+        taken[chosen] = True
+        up = np.arange(m)
+        for a, b in zip(comp[x[chosen]].tolist(), comp[y[chosen]].tolist(), strict=True):
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        while (up[up] != up).any():
+            up = up[up]
+        comp = up[comp]
+
+
+def compare(members: DataFrame, attributes: DataFrame, roots: DataFrame | None, block: int, few: int) -> DataFrame:
+    """Staged near pairs label, a, b among the members of each label: a spanning forest, or (with roots) all pairs of different components."""
+    count = members.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+    at = members.join(attributes, "sid")
+    at = at.withColumn("root", F.col("sid")) if roots is None else at.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    large = stage(count, "large")
+    if large.take(1):  # a label of many members: each pair of blocks is a group of its own
+        at = at.join(large, "label", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int"))
+        at = at.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        at = at.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "bits")
+    else:
+        at = at.select("label", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "sid", "root", "n", "bits")
+
+    whole = roots is not None
+
+    def run(batches):
+        def rows(label, x, y):
+            """Pairs of sids; a label where more pairs of it may follow."""
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()) if label is None else pa.array(np.full(len(x), label)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["label", "a", "b"])
+
+        def group(label, own, sid, root, n, bits):
+            m, cross = len(sid), own.min() != own.max()
+            forest = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            step = max(1, 500_000 // m)
             for first in range(0, m, step):  # some rows against all after them
                 x, y = np.nonzero(root[first : first + step, None] != root[None, :])
                 x += first
-                keep = y > x
+                ok = y > x
                 if cross:
-                    keep &= own[x] != own[y]
-                x, y = x[keep], y[keep]
-                keep = DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x])
-                x, y = x[keep], y[keep]
-                most = np.where(pos[y] < 0, np.minimum(n[x], n[y]), np.minimum(n[x] - pos[x], n[y] - pos[y]))
-                keep = DEN * most >= NUM * (n[x] + n[y] - most)
-                x, y = x[keep], y[keep]
-                keep = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) * (DEN + NUM) <= (n[x] + n[y]) * (DEN - NUM)
-                x, y = x[keep], y[keep]
-                if len(x):
-                    out.append(np.stack((np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])), 1))
-            a, b = np.unique(np.concatenate(out), axis=0).T if out else (sid[:0], sid[:0])
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
+                    ok &= own[x] != own[y]
+                found = near_pairs(n, bits, x[ok], y[ok])
+                if whole:
+                    yield from rows(None, sid[found[0]], sid[found[1]])
+                elif len(found[0]):
+                    forest = tuple(np.concatenate(z) for z in zip(forest, found, strict=True))
+                    if len(forest[0]) > 1_000_000:
+                        kept = spanning(m, *forest)
+                        forest = tuple(z[kept] for z in forest)
+            if len(forest[0]):
+                kept = spanning(m, *forest)
+                yield from rows(label, sid[forest[0][kept]], sid[forest[1][kept]])
+
+        def settle(t, cut):
+            """The groups that begin at cut."""
+            label, own, sid, root, n = (t.column(c).to_numpy() for c in ("label", "own", "sid", "root", "n"))
+            n, bits = n.astype(np.int64), np.array(t.column("bits").to_pylist(), object)
+            end = np.append(cut[1:], t.num_rows)
+            size = end - cut
+            begin = cut[(size > 1) & (size <= few)]
+            left = end[(size > 1) & (size <= few)]
+            for d in range(1, few):  # all small groups at once, by distance: all near pairs
+                m = np.maximum(left - begin - d, 0)
+                x = np.repeat(begin - np.cumsum(m) + m, m) + np.arange(m.sum())
+                x = x[root[x] != root[x + d]]
+                x, y, _ = near_pairs(n, bits, x, x + d)
+                yield from rows(None, sid[x], sid[y])
+            for s, e in zip(cut[size > few], end[size > few], strict=True):
+                g = slice(s, e)
+                if (root[g] != root[s]).any():
+                    yield from group(label[s], own[g], sid[g], root[g], n[g], bits[g])
 
         held = []
         for batch in batches:
             held.append(batch)
             t = pa.Table.from_batches(held).combine_chunks()
-            sign = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-            cut = np.flatnonzero((np.diff(sign[0]) != 0) | (np.diff(sign[1]) != 0) | (np.diff(sign[2]) != 0)) + 1
-            for s, e in zip(np.append(0, cut[:-1]), cut, strict=False) if len(cut) else ():
-                yield group(t.slice(s, e - s).combine_chunks())
-            held = t.slice(int(cut[-1]) if len(cut) else 0).to_batches()
+            sign = [t.column(c).to_numpy() for c in ("label", "i", "j")]
+            cut = np.append(0, np.flatnonzero((np.diff(sign[0]) != 0) | (np.diff(sign[1]) != 0) | (np.diff(sign[2]) != 0)) + 1)
+            if len(cut) > 1:
+                yield from settle(t.slice(0, int(cut[-1])).combine_chunks(), cut[:-1])
+            held = t.slice(int(cut[-1])).to_batches()
         if held:
-            yield group(pa.Table.from_batches(held).combine_chunks())
+            yield from settle(pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64))
 
-    dealt = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return stage(dealt.mapInArrow(pairs, "a long, b long").distinct(), "near")
+    dealt = at.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    return stage(dealt.mapInArrow(lean(run), "label long, a long, b long"), "near")
 
 
-def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Staged links (a, b) among distinct candidate pairs."""
+def verified(texts: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """Staged links (a, b): the pairs of near (a, b) whose token sets are similar enough."""
 
-    def close(batches):
-        for batch in batches:
-            wa, wb = (np.diff(text_bytes(batch.column(k))[1]) for k in (3, 5))
-            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
-            apart = np.zeros(len(n), np.int64)
-            a, b = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-            for x, y in set(zip(wa.tolist(), wb.tolist(), strict=True)):
-                own = np.flatnonzero((wa == x) & (wb == y))
-                u = np.frombuffer(b"".join([a[i] for i in own]), np.uint8).reshape(-1, x)
-                v = np.frombuffer(b"".join([b[i] for i in own]), np.uint8).reshape(-1, y)
-                while u.shape[1] > v.shape[1]:
-                    u = u[:, : u.shape[1] // 2] ^ u[:, u.shape[1] // 2 :]
-                while v.shape[1] > u.shape[1]:
-                    v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
-                apart[own] = np.bitwise_count(u ^ v).sum(1, dtype=np.int64)
-            # |x ^ y| <= (|x| + |y|) (DEN - NUM) / (DEN + NUM) for linked sets
-            yield batch.select(["a", "b"]).filter(pa.array(apart * (DEN + NUM) <= n * (DEN - NUM)))
-
-    marks = marks_of(sets)
-    of = lambda side: marks.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    near = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    return exactly(sets, stage(near.mapInArrow(close, "a long, b long"), "near"))
-
-
-def exactly(sets: DataFrame, near: DataFrame) -> DataFrame:
-    """Staged links among near pairs, by their token sets."""
-
-    def exact(batches):
+    def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = tokens_of(x), tokens_of(y)
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(DEN * same >= NUM * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def count(batches):
-        out = np.zeros(1 << TALLY_BITS, np.int64)
-        for batch in batches:
-            for c in batch.columns:
-                out[c.to_numpy().view(np.uint64) & BUCKET] = 1
-        return out
-
-    wanted = sets.sparkSession.sparkContext.broadcast(tally(near, count) > 0)  # a filter of fixed size; the join below is exact
-
-    def only(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value[(batch.column(0).to_numpy().view(np.uint64) & BUCKET).astype(np.int64)]))
-
-    full = sets.where("n > 3").select("sid", "tokens").mapInArrow(only, "sid long, tokens binary").dropDuplicates(["sid"])
+    pairs = stage(near.select("a", "b").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    full = of_sets(texts, nodes, ends, lambda t: t.astype("<u8").tobytes(), "tokens")
     of = lambda side: full.select(F.col("sid").alias(side), F.col("tokens").alias(f"t_{side}"))
-    return stage(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long"), "links")
+    return stage(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(lean(run), "a long, b long"), "links")
 
 
-def link(docs: DataFrame, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
+def link(docs: DataFrame, block: int = BLOCK, few: int = FEW, very_class: int = VERY_CLASS, hot_class: int = HOT_CLASS) -> DataFrame:
     """doc_id, n_shingles, component_id for docs (doc_id, text)."""
-    workers_import(docs.sparkSession)
-    sets = sets_table(docs)
-    classes = docs.sparkSession.sparkContext.broadcast(token_classes(sets))
-    found = index(sets, classes, all_pairs)
-    links = verify(sets, found.where("kind = 0"))
-    large = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "pos").distinct()
-    if large.take(1):
-        for turn in range(2):
-            links = links.union(chained(sets, large, components(links), turn))
-        links = links.union(exactly(sets, between(sets, large, components(links), block)))
-    roots = components(links)
-    docs_ = sets.select("doc_id", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
-    docs_ = stage(docs_, "roots")
-    least = docs_.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return docs_.where("n > 0").join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id")).union(docs_.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
+    spark = docs.sparkSession
+    workers_import(spark)
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    made = sets_table(texts)
+    sets = made.where("slice is null").select("doc_id", "tid", "sid", "n")
+    classes = spark.sparkContext.broadcast(classes_of(merged(made.where("slice is not null").select("slice", "counts"), CLASS_BITS)))
+    nodes = stage(sets.where("n > 0").groupBy("sid").agg(F.min("tid").alias("tid"), F.min("doc_id").alias("first")), "nodes")  # copies end here, by partial sums
+    members = index(texts, classes, very_class, hot_class)
+    bits = stage(of_sets(texts, nodes, members.select("sid").distinct(), parity, "bits"), "bits")
+    near = compare(members, bits, None, block, few)
+    links = verified(texts, nodes, near)
+    open_ = stage(near.join(links, ["a", "b"], "left_anti").select("label").distinct(), "open")
+    if open_.take(1):
+        roots = components(links)
+        at = members.join(open_, "label", "left_semi")
+        some = at.join(roots.withColumnRenamed("node", "sid"), "sid", "left").groupBy("label").agg(F.min(F.coalesce("root", "sid")).alias("lo"), F.max(F.coalesce("root", "sid")).alias("hi")).where("lo < hi").select("label")
+        links = links.union(verified(texts, nodes, compare(at.join(some, "label", "left_semi"), bits, roots, block, few)))
+    return named(sets, nodes, components(links))
+
+
+def named(sets: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id. Ids are gathered by set and then by component with partial sums, so copies meet in no task before the last join, where Spark splits skewed sides."""
+    first = stage(nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root")), "first")
+    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    name = stage(first.join(least, "root").select("sid", "component_id"), "names")
+    full = sets.where("n > 0").join(name, "sid").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return full.union(sets.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

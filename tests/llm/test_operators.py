@@ -64,17 +64,46 @@ def jaccard_brute(texts):
     return [(i, len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("all_pairs,block", [(32, 2000), (2, 3)])
-def test_jaccard(spark, texts, all_pairs, block):
-    got = sorted(map(tuple, jaccard.link(docs_of(spark, texts), all_pairs, block).collect()))
+@pytest.mark.parametrize("block,few,hot", [(jaccard.BLOCK, jaccard.FEW, jaccard.HOT_CLASS), (3, 2, 1)])
+def test_jaccard(spark, texts, block, few, hot):
+    got = sorted(map(tuple, jaccard.link(docs_of(spark, texts), block, few, hot_class=hot).collect()))
     assert got == jaccard_brute(texts)
 
 
-def test_jaccard_frequent_prefix_pairs():
+def family(r, copies, words):
+    """Copies of one text with more and more words changed: similarities all around the threshold."""
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for k in range(copies):
+        w = list(base)
+        for _ in range(k % (words // 8)):
+            w[r.randrange(words)] = f"x{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_jaccard_families(spark):
+    """Groups larger than FEW with refuted forest edges, in sizes that frequent and very frequent tokens come of."""
+    r = random.Random(8)
+    texts = [t for words in (11, 14, 40, 150) for t in family(r, 60, words)] + [f"rare{r.random()} text {k} of its own {r.random()}" for k in range(30)]
+    for very in (jaccard.VERY_CLASS, 2):
+        assert sorted(map(tuple, jaccard.link(docs_of(spark, texts), very_class=very).collect())) == jaccard_brute(texts)
+
+
+def test_jaccard_awkward_rows(spark):
+    rows = [(1, "a b c d e f", 5), (1, "a b c d e f", 6), (2, None, 7), (None, "a b c d e f", 8), (None, "z", 9), (7, "A B C D E F", 10), (8, "word " * 50_000, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sid long").withColumnsRenamed({"sid": "label"})
+    got = sorted((tuple(x) for x in jaccard.link(docs).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 0, 2), (None, 2, 1), (None, 1, None), (7, 2, 1), (8, 1, 8)], key=str)
+
+
+@pytest.mark.parametrize("level", [1, "mixed", jaccard.VERY_CLASS])
+def test_jaccard_frequent_prefix_keys(level):
     """Sets of frequent tokens only still meet under a key."""
-    r = np.random.default_rng(3)
-    classes = np.ones(1 << jaccard.CLASS_BITS, np.uint8)
-    for n in (4, 5, 9, 20, 57, 130, 400):
+    r = np.random.default_rng(6)
+    size = 1 << jaccard.CLASS_BITS
+    classes = r.choice(np.array([0, 1, 5, jaccard.VERY_CLASS, 14], np.uint8), size, p=[0.02, 0.2, 0.2, 0.38, 0.2]) if level == "mixed" else np.full(size, level, np.uint8)
+    for n in (4, 5, 9, 11, 12, 13, 14, 15, 16, 18, 20, 57, 130, 400):
         a = np.unique(r.integers(0, 2**48, n + 5, dtype=np.uint64))[:n]
         for _ in range(30):
             drop = r.integers(0, n // 9 + 1)

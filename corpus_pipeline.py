@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import jaccard, langid, packing, pii, suffix
+from sievemill.llm import graph, jaccard, langid, packing, pii, suffix
 from sievemill.llm.common import stage, workers_import
 
 ORACLE_SQL = None
@@ -39,8 +39,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     key = "__doc_key"
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
     known = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(key))
-    clear = keyed.mapInArrow(suffix.in_filter(known, False, key), keyed.schema)
-    maybe = keyed.mapInArrow(suffix.in_filter(known, True, key), keyed.schema).join(ids, "doc_id", "left_anti")
+    clear = keyed.mapInArrow(graph.in_filter(known, False, key), keyed.schema)
+    maybe = keyed.mapInArrow(graph.in_filter(known, True, key), keyed.schema).join(ids, "doc_id", "left_anti")
     return clear.unionByName(maybe).select(*docs.columns)
 
 
@@ -51,8 +51,8 @@ def one_each(docs: DataFrame) -> DataFrame:
     again = stage(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "again")
     if not again.take(1):
         return docs
-    clear = keyed.mapInArrow(suffix.in_filter(again, False, key), keyed.schema)
-    maybe = stage(keyed.mapInArrow(suffix.in_filter(again, True, key), keyed.schema).dropDuplicates(["doc_id", "text"]), "once")
+    clear = keyed.mapInArrow(graph.in_filter(again, False, key), keyed.schema)
+    maybe = stage(keyed.mapInArrow(graph.in_filter(again, True, key), keyed.schema).dropDuplicates(["doc_id", "text"]), "once")
     return clear.unionByName(maybe).select(*docs.columns)
 
 

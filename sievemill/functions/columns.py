@@ -53,8 +53,10 @@ def decode_entities(x) -> Column:
     return x
 
 
-def escape_markdown(x) -> Column:
-    return F.regexp_replace(_c(x), r"([\\*_\[\]<>])", r"\\$1")
+def escape_markdown(x, in_code=False) -> Column:
+    """Backslashes before what Markdown takes as markup; none where in_code (a boolean or a column) holds."""
+    escaped = F.regexp_replace(_c(x), r"([\\*_\[\]<>])", r"\\$1")
+    return F.when(F.lit(in_code) if isinstance(in_code, bool) else _c(in_code), _c(x)).otherwise(escaped)
 
 
 def normalize_title(x) -> Column:
@@ -179,6 +181,11 @@ def normalize_url(x) -> Column:
     return F.when(is_absolute_url(x), F.regexp_replace(plain, r"^(https?://[^/?]+/[^?]*[^/?])/(\?.*)?$", "$1$2")).otherwise(x)
 
 
+def urls_match(a, b) -> Column:
+    """Whether two URLs point to the same page, whatever their fragments."""
+    return normalize_url(a) == normalize_url(b)
+
+
 def filename(x) -> Column:
     name = F.element_at(F.split(F.split_part(F.split_part(F.trim(_c(x)), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "/"), -1)
     return F.when(name.isin(".", ".."), F.lit("")).otherwise(name)
@@ -229,6 +236,19 @@ def raw_title(html) -> Column:
     return F.nullif(clean_text(decode_entities(F.regexp_extract(_c(html), r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
 
 
+def text_chars_test(x) -> Column:
+    """Whether there is a letter or a digit."""
+    return F.coalesce(_c(x).rlike(r"[\p{L}\p{N}]"), F.lit(False))
+
+
+IMAGE_ENDINGS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "ico", "tiff", "tif", "avif")
+
+
+def is_image_file(x) -> Column:
+    """Whether a URL ends like the name of an image, before any query."""
+    return F.lower(F.element_at(F.split(F.split_part(_c(x), F.lit("?"), F.lit(1)), r"\."), -1)).isin(*IMAGE_ENDINGS)
+
+
 # ---------------------------------------------------------------- scores
 def quality(text, html_content, html_bytes, page_type) -> Column:
     """The heuristic extraction quality in 0..1. html_content: the extracted HTML, or null."""
@@ -270,6 +290,6 @@ def fscore(extracted, expected) -> Column:
 
 def validation_warnings(text, n_words, least_words: int = 50, least_bytes: int = 200, most_bytes: int = 1_000_000) -> Column:
     n = F.octet_length(_c(text))
-    short = F.when((_c(n_words) < least_words) | (n < least_bytes), F.lit("Content below minimum size"))
-    long = F.when(n > most_bytes, F.lit("Content truncated to maximum length"))
+    short = F.when((_c(n_words) < least_words) | (n < least_bytes), F.concat(F.lit("Insufficient content after extraction: "), _c(n_words).cast("string"), F.lit(f" words (min: {least_words}), "), n.cast("string"), F.lit(f" chars (min: {least_bytes})")))
+    long = F.when(n > most_bytes, F.lit(f"Content truncated to max length: {most_bytes}"))
     return F.array_compact(F.array(short, long))

@@ -30,23 +30,33 @@ IMPLIED = {
 class Node:
     """An element (tag set) or a text (data set)."""
 
-    __slots__ = ("tag", "attrs", "kids", "up", "data")
+    __slots__ = ("tag", "attrs", "kids", "up", "data", "seen", "below", "tags", "named", "plain")
+
+    #: counts changes of any tree: what a node keeps of its descendants (below: elements, tags: elements by tag, named: those with attributes, plain: text) holds for one state
+    changes = 0
 
     def __init__(self, tag=None, attrs=None, data=""):
         self.tag, self.attrs, self.kids, self.up, self.data = tag, attrs or {}, [], None, data
+        self.seen = -1
 
     def add(self, kid: "Node") -> "Node":
         self.kids.append(kid)
         kid.up = self
         return kid
 
+    def rename(self, tag: str) -> None:
+        Node.changes += 1
+        self.tag = tag
+
     def remove(self) -> None:
         if self.up:
+            Node.changes += 1
             self.up.kids.remove(self)
             self.up = None
 
     def unwrap(self) -> None:
         if self.up:
+            Node.changes += 1
             at = self.up.kids.index(self)
             self.up.kids[at : at + 1] = self.kids
             for k in self.kids:
@@ -65,15 +75,38 @@ class Node:
             if n.kids:
                 stack += n.kids[::-1]
 
+    def _fresh(self) -> None:
+        if self.seen != Node.changes:
+            self.seen, self.below, self.tags, self.named, self.plain = Node.changes, None, None, None, None
+
     def elements(self) -> list["Node"]:
-        out, stack = [], self.kids[::-1]
-        while stack:
-            n = stack.pop()
-            if n.tag:
-                out.append(n)
-                if n.kids:
-                    stack += n.kids[::-1]
-        return out
+        """Elements below, in document order. The list is the node's own: copy it before changing the tree."""
+        self._fresh()
+        if self.below is None:
+            out, stack = [], self.kids[::-1]
+            while stack:
+                n = stack.pop()
+                if n.tag:
+                    out.append(n)
+                    if n.kids:
+                        stack += n.kids[::-1]
+            self.below = out
+        return self.below
+
+    def by_tag(self, tag: str) -> list["Node"]:
+        self._fresh()
+        if self.tags is None:
+            found: dict[str, list] = {}
+            for n in self.elements():
+                found.setdefault(n.tag, []).append(n)
+            self.tags = found
+        return self.tags.get(tag, [])
+
+    def with_attrs(self) -> list["Node"]:
+        self._fresh()
+        if self.named is None:
+            self.named = [n for n in self.elements() if n.attrs]
+        return self.named
 
     def above(self):
         n = self.up
@@ -82,15 +115,18 @@ class Node:
             n = n.up
 
     def text(self) -> str:
-        out, stack = [], self.kids[::-1]
-        while stack:
-            n = stack.pop()
-            if n.tag:
-                if n.kids:
-                    stack += n.kids[::-1]
-            else:
-                out.append(n.data)
-        return "".join(out)
+        self._fresh()
+        if self.plain is None:
+            out, stack = [], self.kids[::-1]
+            while stack:
+                n = stack.pop()
+                if n.tag:
+                    if n.kids:
+                        stack += n.kids[::-1]
+                else:
+                    out.append(n.data)
+            self.plain = "".join(out)
+        return self.plain
 
     def spaced(self) -> str:
         return " ".join(n.data for n in self.walk() if not n.tag).strip()
@@ -108,10 +144,21 @@ class Node:
         return next(self._found(css), None)
 
     def _found(self, css: str):
-        quick = compiled(css)
-        for n in self.elements():
+        steps, tags, named = compiled(css)
+        if len(tags) == 1 and len(steps) == 1:
+            if not steps[0][1] and len(steps[0][2]) == 1:  # a tag alone
+                yield from self.by_tag(tags[0])
+                return
+            near = self.by_tag(tags[0])
+        elif named:
+            near = self.with_attrs()
+        elif tags and sum(len(self.by_tag(t)) for t in tags) == 0:
+            return
+        else:
+            near = self.elements()
+        for n in near:
             attrs = n.attrs
-            for tag, need, chain in quick:
+            for tag, need, chain in steps:
                 if (not tag or n.tag == tag) and (not need or need in attrs) and matches(n, chain):
                     yield n
                     break
@@ -123,7 +170,7 @@ _PART = re.compile(r"^([\w*-]+)|#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~|]
 
 @lru_cache(maxsize=2000)
 def compiled(css: str) -> tuple:
-    """For each selector of a list: the tag and one attribute that an element must have, and its steps from the right."""
+    """For each selector of a list: the tag and one attribute that an element must have, and its steps from the right. Then the tags of all (none if one takes any tag), and whether all need an attribute."""
     out = []
     for part in re.split(r",(?![^\[]*\])", css):
         chain = []
@@ -142,7 +189,8 @@ def compiled(css: str) -> tuple:
         last = chain[-1][1]
         tag = next((v for k, _, v in last if k == "tag" and v != "*"), "")
         out.append((tag, next((k for k, _, _ in last if k != "tag"), ""), tuple(reversed(chain))))
-    return tuple(out)
+    tags = tuple(dict.fromkeys(t for t, _, _ in out))
+    return tuple(out), () if "" in tags else tags, all(need for _, need, _ in out)
 
 
 def _simple(n: Node, tests) -> bool:
@@ -279,6 +327,9 @@ class _Builder(HTMLParser):
                 self.end_formatting("a")
         if tag in FORMATTING:
             self.reopen()
+            alike = [i for i, n in enumerate(self.active) if n.tag == tag and n.attrs == own]
+            if len(alike) >= 3:  # as the standard has it, no more than three equal ones go on
+                del self.active[alike[0]]
             self.active.append(self.insert(tag, own))
             return
         if tag not in CLOSES_P and tag not in IMPLIED and tag not in ("tbody", "thead", "tfoot", "caption", "col", "colgroup", "script", "style"):

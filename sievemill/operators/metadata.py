@@ -72,7 +72,7 @@ def from_ld(doc: Node, put) -> None:
         if any(t.endswith("article") or t in ("blogposting", "report") for t in types):
             put("title", _string(d.get("headline")) or _string(d.get("name")))
             put("description", _string(d.get("description")))
-            put("date", (s := _string(d.get("datePublished"))) and V.date(s))
+            put("date", (s := _string(d.get("datePublished"))) and V.date(s, V.DATES[:2]))
             image = d.get("image")
             image = image[0] if isinstance(image, list) and image else image
             put("image", _string(image.get("url")) if isinstance(image, dict) else _string(image))
@@ -114,11 +114,11 @@ def from_document(doc: Node, put, body: Node) -> None:
         put("title", h1)
     put("title", title or h1)
     for rule in R.TITLE:
-        n = next((n for n in body.elements() if R.holds(rule, n)), None)
+        n = next(rule.within(body), None)
         if n and V.size(t := V.clean(n.spaced())) > 5:
             put("title", t)
-    for rule in R.AUTHOR[:1] + R.AUTHOR[1:]:
-        n = next((n for n in body.elements() if R.holds(rule, n) and not any(R.holds(x, n) for x in R.AUTHOR_DISCARD)), None)
+    for rule in R.AUTHOR:
+        n = next((n for n in rule.within(body) if not any(x.holds(n) for x in R.AUTHOR_DISCARD)), None)
         if n and 2 <= V.size(t := V.clean(n.spaced())) < 150:
             put("author", V.author(t))
     dates = [n.get("datetime") for n in doc.select("time[datetime]")] + [n.text().strip() for n in doc.select("time")]
@@ -133,19 +133,18 @@ def from_document(doc: Node, put, body: Node) -> None:
     parts = SITE_CUT.split(t.text().strip()) if t else []
     if len(parts) > 1 and 3 <= V.size(parts[-1].strip()) < 50:
         put("sitename", parts[-1].strip())
-    for rule in R.SITENAME[:1]:
-        n = next((n for n in body.elements() if R.holds(rule, n)), None)
-        if n and 2 < V.size(t := V.clean(n.spaced())) < 50:
+    for rule in R.SITENAME:
+        n = next(rule.within(body), None)
+        if n and 0 < V.size(t := n.spaced()) < 100:
             put("sitename", t)
     for field, found, most in (("categories", R.CATEGORIES, 5), ("tags", R.TAGS, 10)):
         out: list[str] = []
         for rule in found:
-            for n in doc.elements():
-                if R.holds(rule, n):
-                    texts = [n.get("content")] if n.tag == "meta" else [a.text() for a in n.select("a")] or [n.text()]
-                    for x in (x for t in texts for x in V.tag_list(t, "[,;/]")):
-                        if V.size(x) < 100 and x not in out:
-                            out.append(x)
+            for n in rule.within(doc):
+                texts = [n.get("content")] if n.tag == "meta" else [a.text() for a in n.select("a")] or [n.text()]
+                for x in (x for t in texts for x in V.tag_list(t, "[,;/]")):
+                    if V.size(x) < 100 and x not in out:
+                        out.append(x)
             if len(out) >= most:
                 break
         put(field, out)
@@ -182,7 +181,7 @@ def metadata(doc: Node, body: Node, url: str | None, blacklist: tuple[str, ...]
 
 def signals(doc: Node, body: Node, og_type: str | None) -> dict:
     """What the page says of its type."""
-    classes = [n.get("class").lower() for n in doc.elements() if n.get("class")]
+    classes = [n.get("class").lower() for n in doc.with_attrs() if n.get("class")]
     has = lambda words: any(w in c for c in classes for w in words)
     types: list[str] = []
     aggregate = False

@@ -61,7 +61,7 @@ def clean(doc: Node, body: Node, o: Options, profile: P.Profile) -> None:
             n.remove()
     for n in doc.select("figure"):
         if n.first("blockquote") or (o.include_tables and n.first("table")):
-            n.tag = "div"
+            n.rename("div")
     for n in doc.select("noscript"):
         t = n.text()
         if V.size(t) > 500 and not re.search("(?i)cookie|consent|gdpr", t):
@@ -75,17 +75,17 @@ def clean(doc: Node, body: Node, o: Options, profile: P.Profile) -> None:
         out, strip = out - {"figure", "picture", "source"}, strip - {"img"}
     if not o.include_tables:
         out = out | {"table", "td", "th", "tr"}
-    for n in list(doc.elements()):
+    for n in doc.elements():
         if n.tag in out and n.up:
             n.remove()
     for n in doc.select(P.OVERLAYS):
         n.remove()
-    for n in list(doc.elements()):
+    for n in doc.elements():
         if n.tag in strip:
             n.unwrap()
     if V.size(body.text()) < 1_000_000:
-        for n in reversed(list(doc.elements())):
-            if n.tag in P.EMPTY and not n.text().strip() and not any(k.tag for k in n.kids) and not tail(n).strip():
+        for n in reversed(doc.elements()):
+            if n.tag in P.EMPTY and not any(k.tag or k.data.strip() for k in n.kids) and not tail(n).strip():
                 n.remove()
 
 
@@ -138,7 +138,7 @@ def table_link_dense(n: Node) -> bool:
 # ---------------------------------------------------------------- rendering
 def span_of(n: Node, name: str) -> int:
     v = n.get(name).strip()
-    return int(v) if v.isascii() and v.isdigit() and 0 < int(v) <= 1000 else 1
+    return max(int(v), 1) if v.isascii() and v.isdigit() and len(v) < 10 else 1
 
 
 def is_layout(table: Node) -> bool:
@@ -163,10 +163,8 @@ def table_text(table: Node, most_cells: int = 20_000, most_bytes: int = 200_000)
         for cell in tr.select("td, th"):
             carry()
             text, down = V.clean(cell.text()), span_of(cell, "rowspan")
-            for _ in range(span_of(cell, "colspan")):
+            for _ in range(min(span_of(cell, "colspan"), most_cells - cells)):
                 cells += 1
-                if cells >= most_cells:
-                    break
                 if down > 1:
                     later[len(row)] = (down - 1, text)
                 row.append(text)
@@ -359,13 +357,12 @@ def markdown_table(table: Node) -> str:
 def language_ok(n: Node, o: Options, page: str | None) -> bool:
     if not o.target_language:
         return True
-    base = lambda s: re.split("[-_]", s.strip())[0].lower()
-    own = base(n.get("lang")) if n.get("lang") else page
-    return not own or own == base(o.target_language)
+    own = V.language(n.get("lang")) if n.get("lang") else page
+    return not own or own == V.language(o.target_language)
 
 
 def find_content(body: Node) -> Node | None:
-    bad = {id(n) for n in body.elements() if n.tag in ("header", "nav", "aside", "footer") or (n.get("class") and R.around_boilerplate(n.get("class")))}
+    bad = {id(n) for tag in ("header", "nav", "aside", "footer") for n in body.by_tag(tag)} | {id(n) for n in body.with_attrs() if n.get("class") and R.around_boilerplate(n.get("class"))}
     within = lambda n: any(id(a) in bad for a in n.above() if a is not body)
 
     def nested(n: Node) -> bool:
@@ -374,8 +371,8 @@ def find_content(body: Node) -> Node | None:
         return any(V.size(x.text().strip()) >= 1000 for x in inner)
 
     for k in range(6):
-        for n in body.elements():
-            if not R.content_place(k, n) or within(n):
+        for n in R.content_elements(k, body):
+            if within(n):
                 continue
             deep = nested(n)
             if deep and n.tag in ("div", "section") and n.first(P.BOILER_CHILD):
@@ -418,11 +415,23 @@ def heuristic(body: Node, o: Options, page: str | None) -> Node | None:
     return best if best and top >= least and size >= 0.3 * whole else None
 
 
+def together(found: list[Node]) -> Node:
+    """All of found as one content node: what stands in them, in document order, once where they are nested."""
+    own = {id(n) for n in found}
+    outer = [n for n in found if not any(id(a) in own for a in n.above())]
+    if len(outer) == 1:
+        return outer[0]
+    group = Node(outer[0].tag)
+    for n in outer:
+        group.kids += [*n.kids, Node(data="\n\n")]
+    return group
+
+
 def content_node(doc: Node, body: Node, o: Options, profile: P.Profile, page: str | None) -> Node | None:
     for css in profile.content:
         found = doc.select(css)
         if sum(V.size(n.text().strip()) for n in found) > 100:
-            return found[0]
+            return together(found)
     n = find_content(body)
     if n and language_ok(n, o, page):
         return n
@@ -540,7 +549,7 @@ def product_text(blocks) -> str | None:
 
 
 def discourse(doc: Node) -> str | None:
-    """Posts from a forum's preloaded JSON (a JSON object whose values are JSON texts)."""
+    """HTML of the posts in a forum's preloaded JSON (a JSON object whose values are JSON texts)."""
     n = doc.first("[data-preloaded]")
     try:
         outer = json.loads(n.get("data-preloaded")) if n else {}
@@ -548,12 +557,26 @@ def discourse(doc: Node) -> str | None:
         for k, v in outer.items():
             if k.startswith("topic_"):
                 topic = json.loads(v) if isinstance(v, str) else v
-                out += [V.normalize(parse(p.get("cooked", "")).text()) for p in topic.get("post_stream", {}).get("posts", [])]
+                out += [p.get("cooked", "").strip() for p in topic.get("post_stream", {}).get("posts", [])]
     except (ValueError, AttributeError, TypeError):
         return None
     return "\n\n".join(x for x in out if x) or None
 
 
+def starts_as_boilerplate(text: str) -> bool:
+    """Whether a text begins with a notice, or with many short lines as menus do."""
+    head = text.lower()[:200]
+    return any(w in head for w in ("cookie", "consent", "©", "copyright")) or head.count("\n") > len(head.split()) // 3
+
+
+def document_language(doc: Node) -> str | None:
+    """The language that the document declares: on its root, as a header, or by name."""
+    said = [n.get("lang") for n in doc.by_tag("html")]
+    for key in ("http-equiv", "name"):
+        said += [m.get("content") for m in doc.by_tag("meta") if m.get(key).lower() == ("content-language" if key == "http-equiv" else "language")]
+    return next((V.language(x) for x in said if x.strip()), None)
+
+
 def baseline(doc: Node, body: Node) -> str:
     text = article_body(M.ld_blocks(doc))
     if text and len(text) > 100:
@@ -665,7 +688,7 @@ def comment_section(doc: Node, body: Node) -> Node | None:
     for css in [f"#{x}" for x in P.COMMENT_IDS] + [f".{x}" for x in P.COMMENT_CLASSES]:
         if n := doc.first(css):
             return n
-    found = [n for n in body.elements() if R.COMMENT_ID.match(n.get("id")) or (n.get("class") and R.COMMENT_CLASS.search(n.get("class")))]
+    found = [n for n in body.with_attrs() if R.COMMENT_ID.match(n.get("id")) or (n.get("class") and R.COMMENT_CLASS.search(n.get("class")))]
     return max(found, key=lambda n: V.size(V.clean(n.text())), default=None)
 
 
@@ -682,7 +705,7 @@ def extract(html: str, o: Options | None = None) -> dict:
     meta = M.metadata(doc, body, o.url, o.author_blacklist)
     warnings: list[str] = []
     if o.page_type:
-        kind, confidence = o.page_type, None
+        kind, confidence = V.page_type(o.page_type), None
     else:
         url_kind = V.url_type(o.url)
         kind = M.refine(url_kind, M.signals(doc, body, meta["og_type"]))
@@ -694,7 +717,7 @@ def extract(html: str, o: Options | None = None) -> dict:
     body_ld, product, posts = article_body(blocks), product_text(blocks), discourse(doc) if kind == "forum" else None
     if profile.comments_are_content:
         o = o.with_(include_comments=True)
-    page_lang = meta["language"]
+    page_lang = document_language(doc)
     clean(doc, body, o, profile)
     found = main_content(doc, body, o, profile, meta["title"], page_lang)
     text, content = (found[0], found[1]) if found else ("", None)
@@ -724,9 +747,9 @@ def extract(html: str, o: Options | None = None) -> dict:
             text, content = product, None
     for name, t in (("Discourse", posts), ("JSON-LD", body_ld)):
         if t and len(t) >= 500:
-            if len(text) < 200 or len(t) > 2 * len(text):
-                warnings.append(f"Using {name} body: {len(t)} chars (DOM was {len(text)} chars)")
-                text, content = t, None
+            if len(text) < 200 or len(t) > 2 * len(text) or starts_as_boilerplate(text):
+                warnings.append(f"Using {name} content: {len(t)} chars (DOM was {len(text)} chars)")
+                text, content = (V.normalize(parse(t).text()), t) if name == "Discourse" else (t, "<p>" + t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") + "</p>")
             break
     out = dict(EMPTY, warnings=warnings, metadata=meta, classification_confidence=confidence)
     if o.include_comments and (n := comment_section(doc, body)) is not None:
@@ -738,11 +761,11 @@ def extract(html: str, o: Options | None = None) -> dict:
     if o.output_markdown and content is not None:
         out["content_markdown"] = render_markdown(content, o)
     if V.count_words(text, o.min_word_length) < o.min_output_size or V.size(text) < o.min_extracted_len:
-        warnings.append("Insufficient content extracted")
+        warnings.append(f"Insufficient content after extraction: {V.count_words(text, o.min_word_length)} words (min: {o.min_output_size}), {V.size(text)} chars (min: {o.min_extracted_len})")
     if V.size(text) > o.max_extracted_len:
         text = text.encode()[: o.max_extracted_len].decode("utf-8", "ignore")
-        warnings.append("Content truncated to maximum length")
+        warnings.append(f"Content truncated to max length: {o.max_extracted_len}")
     if out["comments_text"] and V.count_words(out["comments_text"], o.min_word_length) < o.min_output_comm_size:
+        warnings.append(f"Comments section removed: {V.count_words(out['comments_text'], o.min_word_length)} words (min: {o.min_output_comm_size})")
         out["comments_text"] = out["comments_html"] = None
-        warnings.append("Comments below minimum size")
     return out | {"content_text": text, "content_html": content}

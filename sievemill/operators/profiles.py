@@ -55,20 +55,20 @@ DATE_PLACES = ("[class*='publish-date']", "[class*='date-publish']", "[class*='p
 LICENSE_PLACES = ("footer", ".footer", "#footer", "[class*='license']", "[class*='copyright']")
 
 META = {
-    "author": "author|article:author|dc.creator|dc.contributor|byl|sailthru.author|parsely-author",
-    "title": "og:title|twitter:title|dc.title|sailthru.title|parsely-title|title",
-    "description": "description|og:description|twitter:description|dc.description|excerpt",
-    "sitename": "og:site_name|application-name|publisher|dc.publisher|twitter:site",
-    "url": "og:url|twitter:url",
-    "image": "og:image|twitter:image|twitter:image:src|thumbnail",
-    "date": "article:published_time|article:modified_time|og:article:published_time|article:published|article.published|article:created|article.created|date|dc.date|dc.date.issued|dcterms.date|dcterms.created|datepublished|datemodified|og:updated_time|sailthru.date|parsely-pub-date|datelastpubbed|pubdate|publish_date|publishdate|timestamp|pdate|cxenseparse:recs:publishtime",
-    "tags": "article:tag|keywords|parsely-tags|sailthru.tags",
-    "categories": "article:section|category|parsely-section",
-    "og_type": "og:type",
-    "language": "og:locale|language|dc.language|content-language",
-    "license": "dc.rights|dcterms.license|dc.license",
+    "author": ("author", "article:author", "dc.creator", "dc.contributor", "byl", "sailthru.author", "parsely-author",),
+    "title": ("og:title", "twitter:title", "dc.title", "sailthru.title", "parsely-title", "title",),
+    "description": ("description", "og:description", "twitter:description", "dc.description", "excerpt",),
+    "sitename": ("og:site_name", "application-name", "publisher", "dc.publisher", "twitter:site",),
+    "url": ("og:url", "twitter:url",),
+    "image": ("og:image", "twitter:image", "twitter:image:src", "thumbnail",),
+    "date": ("article:published_time", "article:modified_time", "og:article:published_time", "article:published", "article.published", "article:created", "article.created", "date", "dc.date", "dc.date.issued", "dcterms.date", "dcterms.created", "datepublished", "datemodified", "og:updated_time", "sailthru.date", "parsely-pub-date", "datelastpubbed", "pubdate", "publish_date", "publishdate", "timestamp", "pdate", "cxenseparse:recs:publishtime",),
+    "tags": ("article:tag", "keywords", "parsely-tags", "sailthru.tags",),
+    "categories": ("article:section", "category", "parsely-section",),
+    "og_type": ("og:type",),
+    "language": ("og:locale", "language", "dc.language", "content-language",),
+    "license": ("dc.rights", "dcterms.license", "dc.license",),
 }
-META_FIELD = {name: field for field, names in META.items() for name in names.split("|")}
+META_FIELD = {name: field for field, names in META.items() for name in names}
 
 PRODUCT_GRID = ("product-grid", "product-list", "product-listing", "products-grid", "product-card", "product-tile", "collection-products", "search-results-products")
 CART = ("add-to-cart", "add_to_cart", "addtocart", "add-to-bag", "buy-now", "buynow")

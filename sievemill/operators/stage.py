@@ -22,23 +22,49 @@ RESULT = [T.StructField(k, S) for k in ("content_text", "content_html", "content
 SIGNALS = T.StructType([T.StructField(k, t) for k, t in (("og_type", S), ("ld_types", T.ArrayType(S)), ("has_aggregate_offer", B), ("has_product_grid", B), ("has_add_to_cart", B), ("product_element_count", T.LongType()), ("has_pagination", B), ("code_block_count", T.LongType()), ("has_docs_nav", B), ("link_ratio", D), ("paragraph_word_count", T.LongType()))])
 NODE = [T.StructField(k, t) for k, t in (("node", T.IntegerType()), ("parent", T.IntegerType()), ("depth", T.IntegerType()), ("tag", S), ("class", S), ("node_id", S), ("text", S))]
 
-META = re.compile(r"""(?i)<meta[^>]+charset\s*=\s*["']?([^"'\s>]+)""")
-#: WHATWG: these labels mean windows-1252
-LATIN = {"iso-8859-1", "iso8859-1", "latin1", "latin-1", "l1", "ascii", "us-ascii", "windows-1252", "cp1252"}
+CHARSET = re.compile(r"""(?i)<meta[^>]+charset\s*=\s*["']?([^"'\s>]+)""")
+CONTENT_TYPE = re.compile(r"""(?i)<meta[^>]+http-equiv\s*=\s*["']?content-type["']?[^>]+content\s*=\s*["']?[^"'>]*;\s*charset\s*=\s*([^"'\s>]+)""")
+#: Labels that mean another encoding on the web than in Python; all others go by Python's own aliases
+LABELS = {
+    **dict.fromkeys(("ascii", "us-ascii", "ansi_x3.4-1968", "iso-8859-1", "iso8859-1", "iso88591", "iso_8859-1", "iso-ir-100", "l1", "latin1", "latin-1", "cp819", "ibm819", "csisolatin1", "cp1252", "windows-1252", "x-cp1252"), "windows-1252"),
+    **dict.fromkeys(("iso-8859-9", "iso8859-9", "latin5", "l5", "windows-1254", "cp1254"), "windows-1254"),
+    **dict.fromkeys(("tis-620", "iso-8859-11", "windows-874", "dos-874"), "windows-874"),
+    **dict.fromkeys(("gb2312", "gbk", "gb_2312-80", "chinese", "csgb2312", "x-gbk", "iso-ir-58"), "gb18030"),
+    **dict.fromkeys(("euc-kr", "ks_c_5601-1987", "korean", "ksc5601", "csksc56011987", "windows-949"), "cp949"),
+    **dict.fromkeys(("shift_jis", "sjis", "x-sjis", "ms_kanji", "shift-jis", "windows-31j", "csshiftjis"), "cp932"),
+    **dict.fromkeys(("big5", "big5-hkscs", "cn-big5", "x-x-big5", "csbig5"), "big5hkscs"),
+    **dict.fromkeys(("x-user-defined", "macintosh", "mac", "x-mac-roman"), "mac_roman"),
+    **dict.fromkeys(("unicode", "utf-16", "utf-16le", "ucs-2", "csunicode", "iso-10646-ucs-2"), "utf-16-le"),
+    **dict.fromkeys(("unicode-1-1-utf-8", "x-unicode20utf8", "utf8", "utf-8"), "utf-8"),
+}
+#: All 256 bytes: windows-1252, with control characters where it has none
+LATIN = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(256))
+
+
+def charset(head: bytes) -> str:
+    """The encoding that a page declares in its first 1024 bytes: by a charset attribute or, if that label is unknown, by a content type. UTF-8 without one."""
+    text = head[:1024].decode("utf-8", "replace")
+    for pattern in (CHARSET, CONTENT_TYPE):
+        if m := pattern.search(text):
+            label = m[1].strip().lower()
+            try:
+                return LABELS.get(label) or codecs.lookup(label).name
+            except (LookupError, ValueError):
+                continue
+    return "utf-8"
 
 
 def decode(body: bytes) -> str:
-    """Text of undecoded bytes: a byte-order mark, else the charset declared in the first 1024 bytes, else UTF-8; never fails."""
+    """Text of undecoded bytes: by a byte-order mark, else as declared; never fails."""
     for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
         if body.startswith(mark):
             return body[len(mark) :].decode(name, "replace")
-    m = META.search(body[:1024].decode("latin-1"))
-    label = m[1].lower() if m else "utf-8"
-    if label in LATIN:
-        return "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) if 0x80 <= c < 0xA0 else chr(c) for c in body) if any(0x80 <= c < 0xA0 for c in body) else body.decode("latin-1")
+    name = charset(body)
+    if name == "windows-1252":
+        return codecs.charmap_decode(body, "replace", LATIN)[0]
     try:
-        return body.decode(label, "replace")
-    except LookupError:
+        return body.decode(name, "replace")
+    except (LookupError, UnicodeError):  # no text encoding
         return body.decode("utf-8", "replace")
 
 
@@ -57,10 +83,19 @@ def _arrow(t) -> pa.DataType:
     return {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "bigint": pa.int64(), "int": pa.int32(), "timestamp": pa.timestamp("us", "UTC")}[t.simpleString()]
 
 
-def _map(df: DataFrame, html: str, url: str | None, more: list[T.StructField], record) -> DataFrame:
-    """df without its html column, with the fields that record(html, url) gives (a list of rows)."""
+def _dealt(df: DataFrame) -> DataFrame:
+    """df in three tasks a core if it is read in fewer partitions than there are cores. Plans with exchanges are left alone: to count their partitions would run them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(3 * cores)
+
+
+def _map(df: DataFrame, html: str, url: str | None, more: list[T.StructField], record, kind: str | None = None) -> DataFrame:
+    """df without its html column, with the fields that record(html, url) or, with a column kind, record(html, url, kind) gives (a list of rows). Pages cost far more to parse than to move: a table of fewer partitions than cores is dealt out anew."""
     _workers_import(df.sparkSession)
     keep = [c for c in df.columns if c not in {html, *(f.name for f in more)}]
+    df = _dealt(df)
     schema = T.StructType([*(df.schema[c] for c in keep), *more])
     types = [_arrow(f.dataType) for f in more]
 
@@ -70,9 +105,10 @@ def _map(df: DataFrame, html: str, url: str | None, more: list[T.StructField], r
                 part = batch.slice(k, 200)
                 pages = part.column(html).to_pylist()
                 urls = part.column(url).to_pylist() if url else [None] * len(pages)
+                kinds = [(k,) for k in part.column(kind).to_pylist()] if kind else [()] * len(pages)
                 take, rows = [], []
-                for i, (p, u) in enumerate(zip(pages, urls, strict=True)):
-                    got = record(decode(p) if isinstance(p, bytes) else p or "", u)
+                for i, (p, u, k) in enumerate(zip(pages, urls, kinds, strict=True)):
+                    got = record(decode(p) if isinstance(p, bytes) else p or "", u, *k)
                     take += [i] * len(got)
                     rows += got
                 kept = part.select(keep).take(pa.array(take, pa.int64())) if keep else None
@@ -81,18 +117,25 @@ def _map(df: DataFrame, html: str, url: str | None, more: list[T.StructField], r
     return df.mapInArrow(run, schema)
 
 
-def extract(df: DataFrame, options: X.Options | None = None, html: str = "html", url: str | None = "url") -> DataFrame:
-    """Extract every page of df; html is a string or undecoded binary column. The page's url counts unless options.url is set. A page that raises gives a warning and an empty text."""
+def record_of(page: str | bytes | None, url: str | None, o: X.Options) -> dict:
+    """The record of a page; one that raises has a warning and an empty text."""
+    try:
+        return X.extract(decode(page) if isinstance(page, bytes) else page or "", o.with_(url=o.url or url))
+    except Exception as e:  # noqa: BLE001  a bad page must not fail the job
+        meta = dict.fromkeys(METADATA.names) | {"categories": [], "tags": []}
+        return dict(X.EMPTY, metadata=meta, warnings=[f"Content extraction failed: {type(e).__name__}: {e}"[:300]])
+
+
+def extract(df: DataFrame, options: X.Options | None = None, html: str = "html", url: str | None = "url", page_type: str | None = None) -> DataFrame:
+    """Extract every page of df; html is a string or undecoded binary column. The page's url counts unless options.url is set; page_type names a column of page types found before (see page_types.vote; null: found here). A page that raises gives a warning and an empty text. Columns of df that have the name of a result are replaced."""
     o = options or X.Options()
+    if o.page_type:
+        X.V.page_type(o.page_type)  # an unknown name is an error at once, not one of every page
 
-    def record(page, own):
-        try:
-            return [X.extract(page, o.with_(url=o.url or own))]
-        except Exception as e:  # noqa: BLE001  a bad page must not fail the job
-            meta = dict.fromkeys(METADATA.names) | {"categories": [], "tags": []}
-            return [dict(X.EMPTY, metadata=meta, warnings=[f"Content extraction failed: {type(e).__name__}: {e}"[:300]])]
+    def record(page, own, kind=None):
+        return [record_of(page, own, o.with_(page_type=kind or o.page_type))]
 
-    return _map(df, html, url if url in df.columns else None, RESULT, record)
+    return _map(df, html, url if url in df.columns else None, RESULT, record, page_type)
 
 
 def html_signals(df: DataFrame, html: str = "html", url: str | None = "url") -> DataFrame:
@@ -120,17 +163,63 @@ def ml_features(df: DataFrame, html: str = "html", url: str | None = "url") -> D
     return _map(df, html, url if url in df.columns else None, [T.StructField("features", T.ArrayType(D))], record)
 
 
+def node_rows(page: str | None) -> list[dict]:
+    out, number = [], {}
+    for n in parse(page or "").elements():
+        number[id(n)] = len(out)
+        out.append({"node": len(out), "parent": number.get(id(n.up)), "depth": sum(1 for _ in n.above()), "tag": n.tag, "class": n.get("class") or None, "node_id": n.get("id") or None, "text": "".join(k.data for k in n.kids if not k.tag)})
+    return out
+
+
 def html_nodes(df: DataFrame, html: str = "html") -> DataFrame:
-    """A row per element, for relational queries over document trees."""
+    """A row per element, for relational queries over document trees. Columns of df that have the name of a result are replaced."""
+    return _map(df, html, None, NODE, lambda page, _: node_rows(page))
 
-    def record(page, _):
-        out, number = [], {}
-        doc = parse(page)
-        for n in doc.elements():
-            number[id(n)] = len(out)
-            out.append({"node": len(out), "parent": number.get(id(n.up)), "depth": sum(1 for _ in n.above()), "tag": n.tag, "class": n.get("class") or None, "node_id": n.get("id") or None, "text": "".join(k.data for k in n.kids if not k.tag)})
-        return out
 
-    return _map(df, html, None, NODE, record)
+def values_map(df: DataFrame, column: str, out: str, function) -> DataFrame:
+    """df with a string column out = function(value of column), for functions of a value that need a tree or a resolver."""
+    return _map(df.withColumn("__value", df[column]), "__value", None, [T.StructField(out, S)], lambda x, _: [{out: function(x)}])
+
+
+#: how a column's name of an alignment pads its cells and rules its header, w wide
+ALIGNED = {
+    "left": (str.ljust, lambda w: ":" + "-" * (w - 1) + ":"),
+    "center": (lambda x, w: " " * ((w - len(x)) // 2) + x + " " * (w - len(x) - (w - len(x)) // 2), lambda w: ":" + "-" * (w - 2) + ":"),
+    "right": (str.rjust, lambda w: "-" * (w - 1) + ":"),
+    "": (str.ljust, lambda w: " " + "-" * w + " "),
+}
+
+
+def table_markdown(html: str) -> str:
+    """The tables of html as one pipe table: header rows, then the rest. Columns are as wide as their longest cell in bytes, three at least; the first align attribute of a column counts, in a table without header only those of its first row or later ones where it has none."""
+    doc = parse(html)
+    heads = [tr.select("th") for tr in doc.select("thead tr")]
+    rows = [r for r in heads if r] + [r for tr in doc.select("tbody tr") if (r := tr.select("td, th"))]
+    if not rows:
+        return ""
+    known = lambda c: a if (a := c.get("align").lower()) in ALIGNED else ""
+    texts = [[c.text().strip() for c in r] for r in rows]
+    n = max(map(len, rows))
+    align = [next((a for r in rows if i < len(r) and (a := known(r[i]))), "") for i in range(n)]
+    width = [max(3, *(X.V.size(t[i]) for t in texts if i < len(t))) for i in range(n)]
+    lines = ["|" + "".join(f" {ALIGNED[a][0](t[i] if i < len(t) else '', w)} |" for i, (a, w) in enumerate(zip(align, width, strict=True))) for t in texts]
+    return "\n".join([lines[0], "|" + "".join(ALIGNED[a][1](w) + "|" for a, w in zip(align, width, strict=True)), *lines[1:]]) + "\n"
+
+
+def html_table_to_markdown(df: DataFrame, column: str, out: str = "markdown") -> DataFrame:
+    return values_map(df, column, out, table_markdown)
+
+
+URL_CHECK = T.StructType([T.StructField("url", S), T.StructField("valid", B)])
+
+
+def resolve_urls(df: DataFrame, column: str, base: str) -> DataFrame:
+    """df with absolute_url (the URL of column joined to that of base) and url_check (the resolved URL, and whether it is absolute)."""
+
+    def record(x, own):
+        x = x.strip()
+        return [{"absolute_url": X.V.absolute(x, own), "url_check": {"url": X.V.absolute(x, own), "valid": X.V.is_absolute(X.V.absolute(x, own))}}]
+
+    return _map(df.withColumn("__value", df[column]), "__value", base, [T.StructField("absolute_url", S), T.StructField("url_check", URL_CHECK)], record)
 
 

@@ -13,7 +13,30 @@ _RUN = re.compile(f"[{_SPACE}]+")
 
 
 def size(s: str) -> int:
-    return len(s.encode("utf-8", "surrogatepass"))
+    return len(s) if s.isascii() else len(s.encode("utf-8", "surrogatepass"))
+
+
+def language(s: str) -> str:
+    """The language of a tag such as de-AT or de_AT."""
+    return re.split("[-_]", s.strip())[0].lower()
+
+
+TYPE_NAMES = {"category": "collection", "docs": "documentation"}
+
+
+def page_type(name: str) -> str:
+    """A page type by any of its names, in any case."""
+    kind = TYPE_NAMES.get(name.strip().lower(), name.strip().lower())
+    if kind not in lists.PAGE_TYPES:
+        raise ValueError(f"unknown page type: {name}")
+    return kind
+
+
+IMAGE_ENDINGS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "ico", "tiff", "tif", "avif")
+
+
+def is_image_file(src: str) -> bool:
+    return src.split("?")[0].split(".")[-1].lower() in IMAGE_ENDINGS
 
 
 def strip(s: str) -> str:
@@ -122,14 +145,18 @@ def license_name(s: str) -> str:
     return f"CC {m[1].replace('-', ' ').upper()} {m[2]}" if m else t
 
 
-def date(s: str) -> datetime | None:
+DATES = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%m/%d/%Y", "%B %d, %Y", "%b %d, %Y", "%d %B %Y")
+
+
+def date(s: str, formats: tuple[str, ...] = DATES) -> datetime | None:
+    """RFC 3339 first, then the formats in order."""
     s = clean(s)
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})", s):
         try:
             return datetime.fromisoformat(s.replace("Z", "+00:00")).astimezone(timezone.utc)
         except ValueError:
             return None
-    for f in ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%m/%d/%Y", "%B %d, %Y", "%b %d, %Y", "%d %B %Y"):
+    for f in formats:
         try:
             return datetime.strptime(s, f).replace(tzinfo=timezone.utc)
         except ValueError:

@@ -194,10 +194,10 @@ def repeated_line_stats(spark, d):
     return docs(spark, d).select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.array_distinct(lines)).cast("long").alias("n_distinct"))
 
 
-@query(f"SELECT doc_id, CASE WHEN len(list_filter({WORDS('text')}, lambda w: strlen(w) >= 2)) < 50 OR strlen(text) < 200 THEN 'Content below minimum size' END AS short, strlen(text) > 20000 AS long FROM documents")
+@query(f"SELECT doc_id, CASE WHEN len(list_filter({WORDS('text')}, lambda w: strlen(w) >= 2)) < 50 OR strlen(text) < 200 THEN 'Insufficient content after extraction' END AS short, strlen(text) > 20000 AS long FROM documents")
 def validation_warnings(spark, d):
     warnings = c.validation_warnings("text", c.count_words("text"), most_bytes=20_000)
-    return docs(spark, d).select("doc_id", F.when(F.array_contains(warnings, "Content below minimum size"), F.lit("Content below minimum size")).alias("short"), F.array_contains(warnings, "Content truncated to maximum length").alias("long"))
+    return docs(spark, d).select("doc_id", F.when(F.exists(warnings, lambda w: w.startswith("Insufficient content after extraction")), F.lit("Insufficient content after extraction")).alias("short"), F.array_contains(warnings, "Content truncated to max length: 20000").alias("long"))
 
 
 _NAMES = ("Jane Doe", "http://x.org", "a", "Anna-Maria O'Neil", "user1234", "site.com team", "{json}", "Averyverylongnamewithoutspace", "Ünal Ö.", "a@b #c", " Bo ")
@@ -242,4 +242,57 @@ def url_checks(spark, d):
     return pages(spark, d).select("page_id", c.is_absolute_url("url").alias("is_absolute"), c.filenames_match("url", F.lit("https://x.org/1.HTML?y")).alias("matches"))
 
 
+@query("SELECT doc_id, coalesce(regexp_matches(text, '[\\p{L}\\p{N}]'), false) AS has_chars FROM documents")
+def text_chars_documents(spark, d):
+    return docs(spark, d).select("doc_id", c.text_chars_test("text").alias("has_chars"))
+
+
+_TITLE = f"nullif({_clean(_replace('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''', lists.ENTITIES))}, '')"
+
+
+@query(f"SELECT page_id, strlen(t) BETWEEN 2 AND 120 AND NOT (strlen(t) > 20 AND NOT contains(t, ' ')) AND NOT regexp_matches(t, '^(https?://|www\\.|\\{{|\\[)') AND NOT regexp_matches(t, '\\.(com|org|net)') AND len(regexp_extract_all(t, '[0-9]')) <= 3 AND len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}\\s\\-''.]')) <= 2 AS valid FROM (SELECT page_id, {_TITLE} AS t FROM pages)")
+def author_name_titles(spark, d):
+    return pages(spark, d).select("page_id", c.is_name(c.raw_title("html")).alias("valid"))
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array({_TITLE}, '[,;]'), lambda t: {_clean('t')}), lambda t: t <> ''), '|') AS tags FROM pages")
+def tag_lists_titles(spark, d):
+    return pages(spark, d).select("page_id", F.array_join(c.tag_list(c.raw_title("html")), "|").alias("tags"))
+
+
+@query("SELECT doc_id, lower(lang) AS lang, lower(lang) || '-' || lower(source) AS meta_lang FROM documents")
+def language_normalize_documents(spark, d):
+    return docs(spark, d).select("doc_id", c.normalize_language(F.concat("lang", F.lit("-"), F.upper("source"))).alias("lang"), c.meta_language(F.concat(F.upper("lang"), F.lit("-"), F.col("source"), F.lit("_x"))).alias("meta_lang"))
+
+
+_EVENT_DATES = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MMMM d, yyyy", "d MMMM yyyy")
+
+
+@query("SELECT event_id, epoch(CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) ELSE date_trunc('day', ts) END)::BIGINT AS seconds FROM events")
+def date_parse_events(spark, d):
+    """Dates of all events, written in six formats, read back."""
+    ts = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
+    text = F.date_format("ts", _EVENT_DATES[0])
+    for k, f in enumerate(_EVENT_DATES[1:], 1):
+        text = F.when(F.col("event_id") % 6 == k, F.date_format("ts", f)).otherwise(text)
+    return ts.select("event_id", F.unix_timestamp(c.parse_date(text)).alias("seconds"))
+
+
+@query(f"SELECT page_id, true AS fragment, regexp_matches(trim(url), '^https?://[^/?#]+/[^?#]') AND NOT regexp_matches(url, '[?#]') AND NOT regexp_matches(url, '/$') AS slash FROM pages")
+def urls_match_pages(spark, d):
+    return pages(spark, d).select("page_id", c.urls_match("url", F.concat("url", F.lit("#part"))).alias("fragment"), (c.urls_match("url", F.concat("url", F.lit("/"))) & ~F.col("url").contains("?") & ~F.col("url").contains("#") & ~F.col("url").endswith("/")).alias("slash"))
+
+
+@query(f"SELECT page_id, CASE WHEN ad = '' THEN NULL WHEN strlen(a) >= 2 THEN a END AS author FROM (SELECT page_id, ad, {_clean("regexp_replace(" + _clean("'By ' || split_part(ad, '.', 1)") + ", '^By ', '')")} AS a FROM (SELECT page_id, regexp_extract(html, '<div class=\"ad\">([^<]*)', 1) AS ad FROM pages))")
+def author_normalized_pages(spark, d):
+    ad = F.regexp_extract("html", '<div class="ad">([^<]*)', 1)
+    return pages(spark, d).select("page_id", F.when(ad != "", c.normalize_author(F.concat(F.lit("By "), F.split_part(ad, F.lit("."), F.lit(1)), F.lit(" @handle and 3 more people")))).alias("author"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN t ELSE regexp_replace(t, '([\\\\*_\\[\\]<>])', '\\\\\\1', 'g') END AS text FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)")
+def escape_markdown_code(spark, d):
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    return pages(spark, d).select("page_id", c.escape_markdown(title, F.col("page_id") % 2 == 0).alias("text"))
+
+
 QUERIES, ORACLES = _RUN, _SQL

@@ -1,19 +1,27 @@
-"""Queries that need a document tree, by name; SQL where the uniform markup of the pages table lets it say the same."""
+"""Queries that need a document tree, by name, with their DuckDB SQL: over the pages table, whose uniform markup lets SQL say the same, and over the cases of page_cases."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lists
+from ..operators import page_types
 from ..operators.features import NAMES
 from ..operators.page import Options
-from ..operators.stage import extract, html_nodes, html_signals, ml_features
-from .catalog import pages
+from ..operators.stage import extract, html_nodes, html_signals, ml_features, resolve_urls
+from . import page_cases
+from .catalog import TYPED, pages
+from .page_sql import PAGES
 
 ALL = Options(output_markdown=True, include_images=True, include_comments=True, include_links=True)
 
 
+def _said():
+    return F.array_join("warnings", "|").alias("warnings")
+
+
 def extract_text(spark, d):
-    return extract(pages(spark, d)).select("page_id", "content_text", "warnings")
+    return extract(pages(spark, d)).select("page_id", "content_text", _said())
 
 
 def extract_html(spark, d):
@@ -25,11 +33,13 @@ def extract_markdown(spark, d):
 
 
 def extract_all(spark, d):
-    return extract(pages(spark, d), ALL)
+    out = extract(pages(spark, d), ALL)
+    meta = [F.col(f"metadata.{k}").alias(k) for k in ("title", "sitename", "hostname", "language", "page_type")]
+    return out.select("page_id", "url", "content_text", "content_html", "content_markdown", *meta, "classification_confidence", "extraction_quality", F.size("images").alias("n_images"), "comments_text", _said())
 
 
 def page_metadata(spark, d):
-    return extract(pages(spark, d)).select("page_id", *[F.col(f"metadata.{k}").alias(k) for k in ("hostname", "language", "page_type")])
+    return extract(pages(spark, d)).select("page_id", *[F.col(f"metadata.{k}").alias(k) for k in ("url", "hostname", "language", "page_type", "author", "description")], F.size("metadata.tags").alias("n_tags"))
 
 
 def page_titles(spark, d):
@@ -37,25 +47,21 @@ def page_titles(spark, d):
 
 
 def page_signals(spark, d):
-    s = html_signals(pages(spark, d)).select("page_id", "signals.*")
-    return s.select("page_id", "has_product_grid", "has_pagination", "product_element_count", "code_block_count", "has_docs_nav")
+    return html_signals(pages(spark, d)).select("page_id", "signals.has_product_grid", "signals.code_block_count", "signals.link_ratio", "signals.paragraph_word_count", "page_type")
 
 
 def extraction_quality(spark, d):
     return extract(pages(spark, d)).select("page_id", "metadata.page_type", "classification_confidence", "extraction_quality")
 
 
-def page_images(spark, d):
-    return extract(pages(spark, d), ALL).select("page_id", F.explode("images").alias("i")).select("page_id", "i.*")
-
-
-def page_comments(spark, d):
-    return extract(pages(spark, d), ALL).select("page_id", "comments_text", "comments_html")
+def nodes_by_tag(spark, d):
+    return html_nodes(pages(spark, d).select("page_id", "html")).where(~F.col("tag").isin("html", "head", "body", "p", "b")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def nodes_by_tag(spark, d):
-    n = html_nodes(pages(spark, d).select("page_id", "html"))
-    return n.where(F.col("tag").isin("li", "a", "div", "article", "h1", "script", "style", "br")).groupBy("tag").agg(F.count("*").alias("n"))
+def nodes_per_page(spark, d):
+    """Links by page: what the tree's relation gives to SQL."""
+    n = html_nodes(pages(spark, d).select("page_id", "html")).where("tag = 'a'")
+    return n.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("text").alias("texts"), F.min("depth").alias("depth"))
 
 
 def page_features(spark, d):
@@ -68,12 +74,46 @@ def bytes_pages(spark, d):
     return extract(pages(spark, d).withColumn("html", F.encode("html", "UTF-8"))).select("page_id", F.length("content_text").cast("long").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (extract_text, extract_html, extract_markdown, extract_all, page_metadata, page_titles, page_signals, extraction_quality, page_images, page_comments, nodes_by_tag, page_features, bytes_pages)}
+def page_type_vote(spark, d):
+    """The vote of URL, page and model over all pages; the model's type and confidence go by page_id here."""
+    kinds = F.array(*(F.lit(k) for k in lists.PAGE_TYPES))
+    typed = html_signals(pages(spark, d).withColumn("kept_url", F.col("url"))).select("page_id", F.when(F.col("page_id") % 3 == 0, "forum").otherwise(F.lit("article")).alias("url_type"), F.col("page_type").alias("refined_type"), F.element_at(kinds, (F.col("page_id") % 3 + 1).cast("int")).alias("model_type"), (F.col("page_id") % 10 / 10.0).alias("model_confidence"))
+    return page_types.vote(typed).select("page_id", "page_type", "classification_confidence")
+
+
+def type_score_rollup(spark, d):
+    """Mean quality by page type and its macro mean."""
+    scored = extract(pages(spark, d)).select("metadata.page_type", F.round("extraction_quality", 6).alias("fscore"))
+    return page_types.type_scores(scored).select(F.coalesce("page_type", F.lit("all")).alias("page_type"), "pages", F.round("mean_score", 4).alias("mean_score"))
+
+
+def links_resolved(spark, d):
+    """Every link of every page as an absolute URL."""
+    links = pages(spark, d).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
+    return resolve_urls(links, "href", "url").select("page_id", "href", "absolute_url", "url_check.valid")
+
+
+QUERIES = {f.__name__: f for f in (extract_text, extract_html, extract_markdown, extract_all, page_metadata, page_titles, page_signals, extraction_quality, nodes_by_tag, nodes_per_page, page_features, bytes_pages, page_type_vote, type_score_rollup, links_resolved)}
 _tags = lambda t: f"len(regexp_extract_all(html, '<({t})[ >]'))"
+_PLAIN = "regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '(?s)<style>.*?</style>', '<style>', 'g')"
+_MEAN = f"SELECT page_type, count(*) AS pages, avg(round(extraction_quality, 6)) AS mean_score FROM {PAGES} GROUP BY 1"
+_KINDS = "['" + "', '".join(lists.PAGE_TYPES) + "']"
 ORACLES = {
+    "extract_text": f"SELECT page_id, content_text, warnings FROM {PAGES}",
+    "extract_html": f"SELECT page_id, content_html FROM {PAGES}",
+    "extract_markdown": f"SELECT page_id, content_markdown FROM {PAGES}",
+    "extract_all": f"SELECT page_id, url, content_text, content_html, content_markdown, title, sitename, hostname, language, page_type, confidence AS classification_confidence, extraction_quality, 0 AS n_images, NULL::VARCHAR AS comments_text, warnings FROM {PAGES}",
+    "page_metadata": f"SELECT page_id, url, hostname, language, page_type, NULL::VARCHAR AS author, NULL::VARCHAR AS description, 0 AS n_tags FROM {PAGES}",
+    "page_titles": f"SELECT page_id, title, sitename FROM {PAGES}",
+    "extraction_quality": f"SELECT page_id, page_type, confidence AS classification_confidence, extraction_quality FROM {PAGES}",
+    "bytes_pages": f"SELECT page_id, length(content_text) AS chars FROM {PAGES}",
     "page_features": f"SELECT page_id, {_tags('h[1-6]')} AS n_headings, {_tags('img')} AS n_images, {_tags('table')} AS n_tables, {_tags('nav')} AS n_navs, {_tags('ul|ol')} AS n_lists, least({_tags('article')}, 1) AS has_article FROM pages",
-    "page_images": "SELECT page_id, '' AS src, '' AS filename, '' AS alt, '' AS caption, false AS is_hero FROM pages WHERE regexp_matches(html, '<img[ >]')",
-    "page_comments": "SELECT page_id, NULL::VARCHAR AS comments_text, NULL::VARCHAR AS comments_html FROM pages",
-    "page_signals": "SELECT page_id, false AS has_product_grid, false AS has_pagination, 0 AS product_element_count, 0 AS code_block_count, false AS has_docs_nav FROM pages",
-    "nodes_by_tag": "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '(?s)<style>.*?</style>', '<style>', 'g'), '<(li|a|div|article|h1|script|style|br)(?:[ >])', 1)) AS tag FROM pages) GROUP BY tag",
+    "page_signals": f"SELECT page_id, false AS has_product_grid, 0 AS code_block_count, len(regexp_extract_all(html, '<a ')) / greatest(len(ps), 1)::DOUBLE AS link_ratio, list_sum(list_transform(ps, lambda p: len(list_filter(regexp_split_to_array(regexp_replace(p, '<[^>]*(>|$)', '', 'g'), '\\s+'), lambda w: w <> ''))))::BIGINT AS paragraph_word_count, page_type FROM {PAGES}",
+    "nodes_by_tag": f"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_PLAIN}, '<(meta|title|style|script|nav|ul|li|a|div|article|h1|br|footer)(?:[ >])', 1)) AS tag FROM pages) GROUP BY tag",
+    "nodes_per_page": "SELECT page_id, count(*) AS links, count(DISTINCT x) AS texts, 6 AS depth FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)', 1)) AS x FROM pages) GROUP BY page_id",
+    "page_type_vote": f"SELECT page_id, CASE WHEN u <> 'article' AND u = m THEN u WHEN page_type <> 'article' AND page_type = m THEN page_type ELSE m END AS page_type, CASE WHEN u <> 'article' AND u = m THEN 1.0 WHEN page_type <> 'article' AND page_type = m THEN 0.95 ELSE page_id % 10 / 10.0 END::DOUBLE AS classification_confidence FROM (SELECT page_id, page_type, CASE WHEN page_id % 3 = 0 THEN 'forum' ELSE 'article' END AS u, ({_KINDS})[page_id % 3 + 1] AS m FROM {PAGES})",
+    "type_score_rollup": f"SELECT page_type, pages, round(mean_score, 4) AS mean_score FROM (SELECT page_type, pages, mean_score FROM ({_MEAN}) UNION ALL SELECT 'all', sum(pages)::BIGINT, avg(mean_score) FROM ({_MEAN}))",
+    "links_resolved": "SELECT page_id, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS absolute_url, true AS valid FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages)",
 }
+QUERIES |= page_cases.QUERIES
+ORACLES |= page_cases.ORACLES

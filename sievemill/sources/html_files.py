@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.page import Options
@@ -39,12 +39,30 @@ def front_matter(df: DataFrame) -> DataFrame:
 
 
 def write_markdown(spark: SparkSession, folder: str, out: str) -> dict[str, int]:
-    """Every HTML file of folder as one Markdown document under out (Parquet rows name, document: one commit, any store). Returns counts."""
-    df = extract(read_html(spark, folder), BATCH)
+    """Every HTML file of folder as one Markdown document under out (Parquet rows name, document: one commit, any store). Returns counts, taken in the same pass: pages written, without content, and failed (files of no bytes at all are not read, so not counted)."""
+    seen = Observation()
+    failed = F.exists("warnings", lambda w: w.startswith("Content extraction failed: "))
+    blank = F.trim(F.coalesce("content_markdown", "content_text")) == ""
+    df = extract(read_html(spark, folder), BATCH).observe(seen, F.count_if(~blank).alias("success"), F.count_if(blank & ~failed).alias("empty"), F.count_if(blank & failed).alias("failed"))
     front_matter(df).select(F.regexp_replace("name", r"\.html$", ".md").alias("name"), "document").write.mode("overwrite").parquet(out)
-    done = spark.read.parquet(out).count()
-    total = read_html(spark, folder).select("path").count()
-    return {"success": done, "empty": total - done}
+    return {k: seen.get[k] for k in ("success", "empty", "failed")}
+
+
+def markdown_files(spark: SparkSession, folder: str, out: str) -> dict[str, int]:
+    """As write_markdown, but as files NAME.md in the folder out of any store that Spark writes to. The driver writes them one after the other and holds one at a time; for large folders use write_markdown."""
+    table = f"{out.rstrip('/')}/_documents"
+    counts = write_markdown(spark, folder, table)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda *x: jvm.org.apache.hadoop.fs.Path(*x)
+    fs = path(out).getFileSystem(conf)
+    for row in spark.read.parquet(table).toLocalIterator():
+        stream = fs.create(path(out, row.name), True)
+        try:
+            stream.write(bytearray(row.document.encode()))
+        finally:
+            stream.close()
+    fs.delete(path(table), True)
+    return counts
 
 
 def json_lines(df: DataFrame) -> DataFrame:

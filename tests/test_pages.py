@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 import pytest
@@ -9,7 +10,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sievemill import cli
+from sievemill.functions.sql import register
 from sievemill.operators import metadata as M
+from sievemill.operators import page as X
+from sievemill.operators import page_types
 from sievemill.operators.dom import parse
 from sievemill.operators.features import NAMES, features
 from sievemill.operators.page import Options, extract, markdown_table, table_text
@@ -180,7 +185,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "in/a.html").write_text(page(f"<article><p>{LONG}</p></article>", "<title>A &amp; B story</title><meta name=author content='Jane Doe'>"))
     (tmp_path / "in/b.html").write_text(" ")
     (tmp_path / "in/c.txt").write_text("no")
-    assert html_files.write_markdown(spark, str(tmp_path / "in"), str(tmp_path / "out")) == {"success": 1, "empty": 1}
+    assert html_files.write_markdown(spark, str(tmp_path / "in"), str(tmp_path / "out")) == {"success": 1, "empty": 1, "failed": 0}
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert row.name == "a.md" and row.document.startswith('---\ntitle: "A & B story"\nauthor: "Jane Doe"\nsource_file: "a.html"\nconfidence: ') and "main text" in row.document
     line = html_files.json_lines(extract_df(html_files.read_html(spark, str(tmp_path / "in")).where("name = 'a.html'"))).first().value
@@ -204,3 +209,103 @@ def test_one_page():
 
     got = json.loads(one_page(page(f"<article><p>{LONG}</p></article>", "<title>A fine title</title>").encode(), "https://x.org/", None, False))
     assert got["title"] == "A fine title" and got["author"] is None and "main text" in got["main_content"] and got["page_type"] == "article" and "content_markdown" not in got
+
+
+def test_all_matches_of_a_content_selector():
+    """Posts of a forum, parts of a product, bodies of a document: all count, nested ones once."""
+    posts = "".join(f"<div class='topic-body'><p>Post {i} says: {LONG[:200]}</p></div><div class='between'>gap {i}</div>" for i in range(4))
+    got = text(f"<div>{posts}</div>", page_type="forum")
+    assert [got.count(f"Post {i} says") for i in range(4)] == [1, 1, 1, 1] and "gap" not in got
+    nested = f"<div class='product-detail'><p>Outer {LONG[:200]}</p><div class='product-detail'><p>Inner part of it, which is long enough to stay here</p></div></div>"
+    got = text(nested, page_type="product")
+    assert got.count("Outer") == 1 and got.count("Inner part") == 1
+    docs = "".join(f"<div class='markdown'><h2>Part {i}</h2><p>Body {i}: {LONG[:150]}</p></div>" for i in range(3))
+    got = text(docs, page_type="docs")
+    assert all(f"Body {i}" in got for i in range(3))
+
+
+def test_structured_body_has_html():
+    ld = '<script type="application/ld+json">{"@type":"Article","articleBody":"%s"}</script>' % (LONG + " a &lt; b")
+    got = extract(page("<div><p>Short.</p></div>", ld), Options(output_markdown=True))
+    assert "<p>This sentence" in got["content_html"] and "main text" in got["content_markdown"]
+    notice = extract(page(f"<article><p>This site uses cookies. {LONG[:900]}</p></article>", '<script type="application/ld+json">{"@type":"Article","articleBody":"%s"}</script>' % LONG[:700]))
+    assert notice["content_text"].startswith("This sentence") and "JSON-LD content" in notice["warnings"][-1]
+    posts = '{"topic_1": "{\\"post_stream\\": {\\"posts\\": [{\\"cooked\\": \\"<p>%s</p>\\"}]}}"}' % LONG
+    got = extract(page(f"<div data-preloaded='{posts}'>x</div>"), Options(page_type="forum"))
+    assert "main text" in got["content_text"] and got["content_html"].startswith("<p>")
+
+
+def test_declared_language_comes_from_the_root():
+    body = f"<article><p>{LONG}</p></article>"
+    both = "<html lang=de><head><meta property='og:locale' content='en_US'></head><body>%s</body></html>" % body
+    assert "main text" in extract(both, Options(target_language="de"))["content_text"]
+    assert X.document_language(parse("<meta http-equiv=Content-Language content=fr-CH>")) == "fr"
+    assert X.document_language(parse("<p>x")) is None
+
+
+def test_large_spans():
+    t = parse("<table><tr><td colspan=1500>x</td></tr><tr><td>a</td><td>b</td></tr></table>").first("table")
+    assert table_text(t).split("\n")[0].count("x") == 1500
+    t = parse("<table><tr><td colspan=30000>x</td></tr></table>").first("table")
+    assert table_text(t).count("x") <= 20_000
+
+
+@pytest.mark.parametrize("name,want", [("docs", "documentation"), ("Category", "collection"), ("FORUM", "forum"), ("listing", "listing")])
+def test_page_type_names(name, want):
+    assert extract(page("<p>x"), Options(page_type=name))["metadata"]["page_type"] == want
+
+
+def test_unknown_page_type(spark):
+    with pytest.raises(ValueError, match="unknown page type"):
+        extract_df(spark.createDataFrame([("<p>x",)], "html string"), Options(page_type="news"))
+
+
+@pytest.mark.parametrize(
+    "head,body,want",
+    [
+        ("<meta charset=latin-1>", b"Caf\xe9 \x80\x81", "Caf\xe9 \u20ac\x81"),
+        ("<meta charset=windows-1251>", "мир".encode("cp1251"), "мир"),
+        ("<meta name=x charset=nonsense><meta http-equiv='Content-Type' content='text/html; charset=koi8-r'>", "мир".encode("koi8-r"), "мир"),
+        ("<meta charset=gb2312>", "中文".encode("gb18030"), "中文"),
+        ("<meta charset=shift_jis>", "日本".encode("cp932"), "日本"),
+        ("<meta charset=nonsense>", "é".encode(), "é"),
+        ("<meta charset=base64>", "é".encode(), "é"),
+    ],
+)
+def test_declared_charsets(head, body, want):
+    assert decode(head.encode() + body).endswith(want)
+
+
+def test_sql_names(spark):
+    register(spark)
+    spark.createDataFrame([(1, page(f"<article><p>{LONG}</p><table><tr><th>k</th></tr><tr><td>v</td></tr></table></article>"), "https://forum.x.org/a/b")], "page_id long, html string, url string").createOrReplaceTempView("sql_pages")
+    r = spark.sql("SELECT extract_page(html, url) AS p, url_type(url) AS kind, absolute_url('../c', url) AS up, table_markdown(html) AS t, page_text(html) AS x FROM sql_pages").first()
+    assert "main text" in r.p.content_text and r.p.metadata.page_type == r.kind == "forum" and r.up == "https://forum.x.org/c" and r.t.startswith("| k") and "main text" in r.x
+    assert [x.tag for x in spark.sql("SELECT n.tag FROM sql_pages, LATERAL html_nodes(html) n WHERE n.tag IN ('td', 'th') ORDER BY n.node").collect()] == ["th", "td"]
+
+
+def test_model_and_vote(spark):
+    rows = [(i, f"https://x.org/{i}", page(f"<h1>Cart {i}</h1>" + "<div class=product-card>P <b class=price>$1</b></div>" * 8 if i % 2 else f"<article><p>{LONG}</p></article>"), "collection" if i % 2 else "article") for i in range(24)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, kind string")
+    model = page_types.train(df, "kind", trees=8)
+    typed = page_types.vote(page_types.classify(model, df))
+    got = {r.page_id: (r.page_type, r.classification_confidence) for r in typed.collect()}
+    assert all(got[i][0] == ("collection" if i % 2 else "article") and 0.5 <= got[i][1] <= 1 for i in range(24))
+    out = extract_df(typed.drop("classification_confidence"), page_type="page_type").select("page_id", "metadata.page_type").collect()
+    assert {r.page_id: r.page_type for r in out} == {i: got[i][0] for i in got}
+
+
+def test_type_scores(spark):
+    df = spark.createDataFrame([("article", 1.0), ("article", 0.5), ("forum", 0.25)], "page_type string, fscore double")
+    assert {r.page_type: (r.pages, r.mean_score) for r in page_types.type_scores(df).collect()} == {"article": (2, 0.75), "forum": (1, 0.25), None: (3, 0.5)}
+
+
+def test_markdown_files_and_json_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.html").write_text(page(f"<article><h2>Part</h2><p>{LONG}</p></article>"))
+    (tmp_path / "in/b.html").write_text("\n")
+    assert html_files.markdown_files(spark, str(tmp_path / "in"), str(tmp_path / "md")) == {"success": 1, "empty": 1, "failed": 0}
+    assert sorted(p.name for p in (tmp_path / "md").iterdir() if not p.name.startswith(".")) == ["a.md"] and "## Part" in (tmp_path / "md/a.md").read_text()
+    line = json.loads(cli.one_page(page(f"<article><p>{LONG}</p></article>").encode(), None, None, False, True))
+    assert line["content_html"].startswith("<p>") and line["confidence"] > 0.5 and "content_markdown" not in line
+    assert json.loads(cli.one_page(b"x", None, "news", False)) == {"title": None, "author": None, "date": None, "main_content": "", "confidence": 0.0}

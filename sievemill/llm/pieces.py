@@ -3,16 +3,20 @@
 Spaces become the mark U+2581 and one leads the text. No piece of the vocabulary
 has a mark after another character, so marked words segment on their own. The
 distinct new words of a batch are sorted, which is a depth-first walk of their
-trie: a word keeps the forward scores of the prefix it shares with the one before,
-and only the rest is scored. Best scores follow the lattice rule of the library's
-unigram models: pieces add their scores, a character without a piece costs the
-least score less 10 and becomes byte pieces; ties go to the piece that starts
-first. (The file at hand was trained as BPE; its scores are used as such a lattice,
-which gives the ids that the library gives for the file when its model type is set
-to unigram. BPE merge order can differ.)
+trie: a word keeps the forward states of the prefix it shares with the one before,
+and only the rest is worked on.
+
+The file's model merges pairs of pieces, best score first. Its segmentation of a
+prefix is a path through the lattice of pieces, and the one path whose neighbouring
+pieces all stay apart when they are merged on their own; so the transition from one
+piece to the next costs nothing where the pair stays apart and is forbidden where
+it does not, and the forward state of a prefix is the last piece of its only open
+path. That gives the library's own ids (tests compare whole texts). Characters
+without a piece become byte pieces.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
-a text with a mark of its own decodes to a space there (round_trip false); repeated
+a text with a mark of its own decodes to a space there (round_trip false); a text
+without spaces is one word, worked on in time proportional to its length; repeated
 rows get equal results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import CACHES, crc, lean, table, workers_import
 
 MARK = "\u2581"
-KEEP = 1_000_000  # words kept at most
+KEEP = 200_000  # words, and pairs of pieces, kept at most by a worker
 _made: dict[str, "Pieces"] = {}
 CACHES.append(_made)
 
@@ -51,43 +55,59 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.piece[self.text[i]] = (sp.get_score(i), i)
         self.unknown = sp.unk_id()
-        self.unknown_score = min(s for s, _ in self.piece.values()) - 10
         self.longest = max(map(len, self.piece))
+        self.piece = {t: x for t, x in self.piece.items() if len(t) == 1 or self.merged(t) == [t]}  # others never come of merging
+        lengths: dict[str, set] = {}
+        for t in self.piece:
+            lengths.setdefault(t[-2:], set()).add(len(t))
+        self.lengths = {t: tuple(sorted(n, reverse=True)) for t, n in lengths.items()}  # of pieces by their last two characters
         inner = any(MARK in p.lstrip(MARK) for p in self.piece)
         self.words = (lambda t: [t]) if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$").findall
         self.cache: dict[str, bytes] = {}
+        self.apart: dict[tuple[str, str], bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """Pieces of a short text by merging: the best pair, the leftmost of equal ones, as long as there is any."""
+        parts = list(text)
+        while True:
+            best = max(((got[0], -k) for k in range(len(parts) - 1) if (got := self.piece.get(parts[k] + parts[k + 1]))), default=None)
+            if best is None:
+                return parts
+            parts[-best[1] : 2 - best[1]] = [parts[-best[1]] + parts[1 - best[1]]]
+
+    def stay_apart(self, left: str, right: str) -> bool:
+        got = self.apart.get((left, right))
+        if got is None:
+            if len(self.apart) > KEEP:
+                self.apart.clear()
+            got = self.apart[left, right] = self.merged(left + right) == [left, right]
+        return got
 
     def learn(self, words: list[str]) -> None:
-        """Segment distinct words, in sorted order, sharing forward scores along common prefixes."""
-        piece, longest, before = self.piece.get, self.longest, ""
-        best, back = [0.0], [(0, -1)]  # of each prefix length: score, (start, id) of its last piece
+        """Segment distinct words, in sorted order, sharing forward states along common prefixes."""
+        piece, lengths, apart, before = self.piece, self.lengths, self.stay_apart, ""
+        last: list[str] = [""]  # of each prefix: the last piece of its path
         for w in sorted(words):
             shared, top = 0, min(len(w), len(before))
             while shared < top and w[shared] == before[shared]:
                 shared += 1
-            del best[shared + 1 :], back[shared + 1 :]
+            del last[shared + 1 :]
             for i in range(shared + 1, len(w) + 1):
-                score, link = None, None
-                for j in range(max(0, i - longest), i):
-                    if got := piece(w[j:i]):
-                        s = best[j] + got[0]
-                        if score is None or s > score:
-                            score, link = s, (j, got[1])
-                if w[i - 1] not in self.piece:
-                    s = best[i - 1] + self.unknown_score
-                    if score is None or s > score:
-                        score, link = s, (i - 1, -1)
-                best.append(score)
-                back.append(link)
+                for n in lengths.get(w[max(i - 2, 0) : i], ()):
+                    if n <= i and (t := w[i - n : i]) in piece and (n == i or apart(last[i - n], t)):
+                        last.append(t)
+                        break
+                else:
+                    last.append(w[i - 1])
             ids, i = [], len(w)
             while i:
-                j, k = back[i]
-                if k >= 0:
-                    ids.append(k)
+                t = last[i]
+                if got := piece.get(t):
+                    ids.append(got[1])
                 else:
-                    own = [self.bytes[b] for b in w[j:i].encode("utf-8", "surrogatepass")]
+                    own = [self.bytes[b] for b in t.encode("utf-8", "surrogatepass")]
                     ids += reversed(own) if min(own) >= 0 else [self.unknown]
-                i = j
+                i -= len(t)
             self.cache[w] = np.array(ids[::-1], "<u4").tobytes()
             before = w
 

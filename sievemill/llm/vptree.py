@@ -8,13 +8,16 @@ inequality, with the gap to the median times `relax`, puts it beyond the k-th be
 so far. relax = 1 is exact search; larger values prune more. Blocks of queries walk
 a tree together. Each shard gives its k best, and the k best of those are kept.
 
-Every vector is indexed; trees are staged in the shared folder. Blocks of queries
-are sent to each shard (a stated query set against all rows).
+Every vector is indexed; trees are staged in the shared folder. Each task has one
+shard's tree, once, and a stream of query blocks (a stated query set against all
+rows). In a leaf one matrix product rules out most vectors, the rest is measured
+exactly.
 
 Defined cases: null or zero vectors, or vectors with null or non-finite components
 take no part, neither as query nor as candidate; vectors of different lengths are
 never compared; ties go to the smaller id; rows that repeat an id are each a
-candidate, but never for their own id; fewer than k candidates give fewer rows; an
+candidate, but never for their own id, and each a query with results of its own
+(equal rows ask once); fewer than k candidates give fewer rows; an
 empty table gives none; other columns are ignored.
 """
 
@@ -24,6 +27,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +35,8 @@ from .common import lean, stage, table, workers_import
 
 SHARD_ROWS = 20_000
 BLOCK_ROWS = 1024
-LEAF = 64
+LEAF = 1024
+PART_BLOCKS = 64  # blocks of queries that one task takes through a shard's tree
 
 
 def valid(embedding: str) -> Column:
@@ -57,6 +62,9 @@ class Tree:
         # of equal vectors the least k + 1 ids can ever be asked for (one may be the query's own)
         begin = np.flatnonzero(new)
         self.ids = [np.unique(ids[s:e])[: k + 1] if len(np.unique(ids[s:e])) == e - s else ids[s:e] for s, e in zip(begin, np.append(begin[1:], len(ids)), strict=True)]
+        # how many vectors of one id there are at most: so many of the closest may be a query's own
+        own = np.concatenate([np.unique(x) for x in self.ids]) if self.ids else np.empty(0, np.int64)
+        self.alike = int(np.unique(own, return_counts=True)[1].max(initial=1))
         self.root = self.split(np.arange(len(self.vectors)), np.random.default_rng(1))
 
     def split(self, own: np.ndarray, rng):
@@ -74,16 +82,26 @@ class Tree:
         return (vantage, middle, self.split(own[near], rng), self.split(own[~near], rng))
 
     def search(self, q: np.ndarray, names: np.ndarray, k: int, relax: float):
-        """Rows (query, id, distance), at most k a query."""
+        """Rows (place of the query, id, distance), at most k a query."""
         best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
 
+        square = (self.vectors * self.vectors).sum(1)
+
         def leaf(own, rows):
-            d = distances(q[rows], self.vectors[own])
-            near = d <= best_d[rows, -1:]
+            """One matrix product rules out what is certainly too far (with room for its rounding); the rest is measured exactly, the closest k + 1 vectors first."""
+            v, a = self.vectors[own], (q[rows] * q[rows]).sum(1)
+            rough = a[:, None] + square[own] - 2 * (q[rows] @ v.T)
+            room = 1e-9 * (a[:, None] + square[own])
+            limit = best_d[rows, -1] ** 2
+            most = k + self.alike - 1
+            if len(own) > most:
+                limit = np.minimum(limit, np.partition(rough + room, most, axis=1)[:, most])  # so many vectors are that close for sure, and at least k of them are no rows of the query's id
+            near = rough - room <= limit[:, None]
             for r, row in enumerate(rows):
                 hit = np.flatnonzero(near[r])
                 if len(hit):
-                    new = [(d[r, h], i) for h in hit for i in self.ids[own[h]].tolist() if i != names[row]]
+                    d = distances(q[row : row + 1], v[hit])[0]
+                    new = [(x, i) for x, h in zip(d.tolist(), hit, strict=True) if x <= best_d[row, -1] for i in self.ids[own[h]].tolist() if i != names[row]]
                     got = sorted([*zip(best_d[row].tolist(), best_i[row].tolist(), strict=True), *new])[:k]
                     best_d[row], best_i[row] = [x[0] for x in got], [x[1] for x in got]
 
@@ -104,7 +122,7 @@ class Tree:
             # last in, first out: each query's own half is walked before the other one
             todo += [(far, rows[inside], middle - d[inside]), (near, rows[~inside], d[~inside] - middle), (near, rows[inside], None), (far, rows[~inside], None)]
         r, c = np.nonzero(np.isfinite(best_d))
-        return names[r], best_i[r, c], best_d[r, c]
+        return r, best_i[r, c], best_d[r, c]
 
 
 def matrix(col) -> np.ndarray:
@@ -131,30 +149,42 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, relax: float = 1.0
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
     trees = stage(dealt.select("dim", "shard", "vec_id", "embedding").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"), "trees")
 
+    asked = rows.where(queries).select("dim", "shards", "vec_id", "embedding").distinct()  # equal rows ask once
+
     def block(batches):
+        """Queries of one length, at most BLOCK_ROWS a row: numbered within their partition, so that rows of one id stay apart."""
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             dim = batch.column(0).to_numpy()
             for d in np.unique(dim).tolist():
                 own = batch.filter(pa.array(dim == d))
                 for s in range(0, own.num_rows, BLOCK_ROWS):
-                    part = own.slice(s, BLOCK_ROWS)
-                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), part.column(1).slice(0, 1), pa.array([part.column(2).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix(part.column(3)).astype("<f8").tobytes()], pa.binary())], names=["dim", "shards", "names", "q"])
+                    q = own.slice(s, BLOCK_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), q.column(1).slice(0, 1), pa.array([(part << 32) + number]), pa.array([q.column(2).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix(q.column(3)).astype("<f8").tobytes()], pa.binary())], names=["dim", "shards", "block", "names", "q"])
+                    number += 1
 
-    asked = rows.where(queries).select("dim", "shards", "vec_id", "embedding").mapInArrow(lean(block), "dim int, shards int, names binary, q binary")
-    sent = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "names", "q")
+    blocks = stage(asked.mapInArrow(lean(block), "dim int, shards int, block long, names binary, q binary"), "queries")
+    parts = -(-blocks.count() // PART_BLOCKS) or 1
+    none = lambda kind: F.lit(None).cast(kind)
+    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    asked = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), none("binary").alias("tree"), "block", "names", "q")
+    sent = trees.select("dim", "shard", each, F.lit(0).alias("kind"), "tree", none("long").alias("block"), none("binary").alias("names"), none("binary").alias("q")).union(asked)
 
     def search(batches):
-        tree_of = (None, None)
+        """Rows come by shard and part: its tree, which is loaded once, then its queries, block by block."""
+        tree = None
         for batch in batches:
-            for dim, body, names, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tree_of[0] != body:
-                    tree_of = (body, pickle.loads(body))
+            for dim, kind, body, number, names, q in zip(*(batch.column(c).to_pylist() for c in ("dim", "kind", "tree", "block", "names", "q")), strict=True):
+                if kind == 0:
+                    tree = pickle.loads(body)
+                    continue
                 names = np.frombuffer(names, "<i8")
-                asked, found, d = tree_of[1].search(np.frombuffer(q, "<f8").reshape(len(names), dim), names, k, relax)
-                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(found), pa.array(d)], names=["query_id", "vec_id", "score"])
+                at, near, d = tree.search(np.frombuffer(q, "<f8").reshape(len(names), dim), names, k, relax)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), pa.array(at), pa.array(names[at]), pa.array(near), pa.array(d)], names=["block", "at", "query_id", "vec_id", "score"])
 
-    found = trees.join(sent, ["dim", "shard"]).select("dim", "tree", "names", "q").mapInArrow(lean(search), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    dealt_ = sent.repartition("dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "kind")
+    found = dealt_.mapInArrow(lean(search), "block long, at long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("block", "at").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -8,14 +8,16 @@ take chunk i of level 0; while its bit is set, go to position rank(i) of the nex
 level. No other id is decoded.
 
 File format of a block (little-endian): magic `DAC1`, levels (u32), ids (u64),
-texts (u64); text offsets (u64 x texts + 1), doc ids (i64 x texts); then per level
+texts (u64); text offsets (u64 x texts + 1), doc ids (i64 x texts), which
+of them are null (u8 x texts); then per level
 its length (u64), chunks (u8), bitmap (ceil(n / 64) u64), directory
 (ceil(n / 512) u64). Blocks stand in a Parquet table (part, block, body), so that
 Spark's writer commits them whole on any store; parts follow doc_id, and blocks in
 a part follow each other.
 
 Defined cases: null text counts as empty (the end id alone); repeated doc ids keep
-a row each; an empty table gives no blocks and no rows; other columns are ignored.
+a row each, in the order of a hash of their texts, so that a very common id is dealt
+out too; null doc ids come first; an empty table gives no blocks and no rows; other columns are ignored.
 A text of any length stays within one block, which then is longer than usual.
 """
 
@@ -35,7 +37,9 @@ from .tokens import tokenizer as tokenizer_of
 BLOCK_IDS = 1 << 18  # a block ends with the text that reaches this many ids
 
 
-def encode_block(ids: np.ndarray, bounds: np.ndarray, docs: np.ndarray) -> bytes:
+def encode_block(ids: np.ndarray, bounds: np.ndarray, docs: np.ndarray, none: np.ndarray | None = None) -> bytes:
+    """none: which doc ids are null."""
+    none = np.zeros(len(docs), bool) if none is None else none
     levels, left = [], ids.astype(np.uint32)
     while True:
         rest = left >> np.uint32(8)
@@ -48,7 +52,7 @@ def encode_block(ids: np.ndarray, bounds: np.ndarray, docs: np.ndarray) -> bytes
         left = rest[more]
         if not len(left):
             break
-    return b"".join([b"DAC1", struct.pack("<IQQ", len(levels), len(ids), len(docs)), bounds.astype("<u8").tobytes(), docs.astype("<i8").tobytes(), *levels])
+    return b"".join([b"DAC1", struct.pack("<IQQ", len(levels), len(ids), len(docs)), bounds.astype("<u8").tobytes(), docs.astype("<i8").tobytes(), none.astype("u1").tobytes(), *levels])
 
 
 class Block:
@@ -66,7 +70,7 @@ class Block:
             at += got.nbytes
             return got
 
-        self.bounds, self.docs, self.levels = take("<u8", texts + 1).astype(np.int64), take("<i8", texts), []
+        self.bounds, self.docs, self.none, self.levels = take("<u8", texts + 1).astype(np.int64), take("<i8", texts), take("u1", texts).astype(bool), []
         for _ in range(n_levels):
             n = int(take("<u8", 1)[0])
             self.levels.append((take("u1", n), take("u1", -(-n // 64) * 8), take("<u8", -(-n // 512))))
@@ -100,8 +104,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, leading: bool) -> DataFr
 
         def block():
             nonlocal number
-            ids, size, names = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([encode_block(ids, np.concatenate(([0], np.cumsum(size))), names)], pa.binary())], names=["part", "block", "body"])
+            ids, size, names, none = (np.concatenate(x) for x in zip(*held, strict=True))
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([encode_block(ids, np.concatenate(([0], np.cumsum(size))), names, none)], pa.binary())], names=["part", "block", "body"])
             number += 1
             held.clear()
             return out
@@ -110,13 +114,15 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, leading: bool) -> DataFr
             a, offsets = text_bytes(batch.column(1))
             for i, j in chunks(offsets):
                 ids, bounds = tok.run(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                held.append((np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1, batch.column(0).slice(i, j - i).to_numpy()))
+                names = batch.column(0).slice(i, j - i)
+                held.append((np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1, names.fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False)))
                 if sum(len(x[0]) for x in held) >= BLOCK_IDS:
                     yield block()
         if held:
             yield block()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return stage(ordered.mapInArrow(lean(run), "part int, block int, body binary"), "dac")
 
 
@@ -128,7 +134,7 @@ def read(blocks: DataFrame) -> DataFrame:
             for part, number, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b = Block(body)
                 ids, n = b.ids(), len(b.docs)
-                yield pa.RecordBatch.from_arrays([pa.array(b.docs), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(b.bounds[:-1]), pa.array(np.diff(b.bounds)), pa.array([crc(ids[s:e]) for s, e in zip(b.bounds[:-1], b.bounds[1:], strict=True)], pa.int64())], names=["doc_id", "part", "block", "at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(b.docs, mask=b.none), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(b.bounds[:-1]), pa.array(np.diff(b.bounds)), pa.array([crc(ids[s:e]) for s, e in zip(b.bounds[:-1], b.bounds[1:], strict=True)], pa.int64())], names=["doc_id", "part", "block", "at", "n_tokens", "ids_crc32"])
 
     rows = stage(blocks.select("part", "block", "body").mapInArrow(lean(run), "doc_id long, part int, block int, at long, n_tokens long, ids_crc32 long"), "dac_rows")
     size = rows.groupBy("part", "block").agg(F.sum("n_tokens").alias("n"))

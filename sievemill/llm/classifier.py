@@ -157,7 +157,7 @@ def classify(docs: DataFrame, sample: int = 4000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([value[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(p.astype(np.int32))], names=["slots", "values", "pattern"])
 
     share = min(1.0, sample / max(int(counts.sum()), 1))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
     weights, bias = fit_linear(chosen.mapInArrow(lean(vectors), "slots binary, values binary, pattern int").toPandas(), posterior)  # the bounded sample
     sent = spark.sparkContext.broadcast((posterior, weights, bias))
 

@@ -2,12 +2,12 @@
 
 Fit: letters of the training texts are cut into words; hashed 1- to 4-grams of
 each word (with its edges) are counted by language over a bounded sample, at most
-about `per_lang` texts of each language (a threshold on a hash of doc_id, set from
-the exact counts). The model is a table of fixed size: log-probabilities by slot
+about `per_lang` texts of each language (a threshold on a hash of doc_id and text, set
+from the exact counts; nothing of it reaches the driver but counts by slot). The model is a table of fixed size: log-probabilities by slot
 and language, and the share of each script in each language's letters.
 
 Predict: a word's script is that of its letters by Unicode ranges; languages that
-hardly use it are ruled out. A word's score for a language is the sum of its
+hardly use it are ruled out for the word (none is if all hardly use it). A word's score for a language is the sum of its
 grams' log-probabilities, divided by the three orders in which each letter counts. Viterbi then labels the words of a text with a penalty
 for each change of language; spans are runs of one label, and the language with
 the most letters wins. A path without changes is optimal whenever no stretch of
@@ -17,7 +17,10 @@ others run the recursion.
 
 Defined cases: `und` for null text or text without letters (score 0); null lang
 rows are not trained on; an empty training set gives `und` for all; repeated rows
-get equal results; a text of any length is read whole; other columns are ignored.
+and rows of one doc_id are rows of their own, with equal results for equal texts; a
+null doc_id is kept and not held out; ties go to the first language by name; an empty
+table gives no rows; a text of any length is read whole; other columns are ignored or,
+with keep, kept.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from .common import U, chunks, mix, lean, table, text_bytes, workers_import
 
@@ -114,7 +118,7 @@ def fit(docs: DataFrame, per_lang: int = 2500, train: Column | None = None) -> d
         return {"langs": [], "log_p": np.zeros((SLOTS, 0), np.float32), "scripts": np.zeros((N_SCRIPTS, 0), bool)}
     spark = docs.sparkSession
     keep = spark.createDataFrame([(x, i, min(1.0, per_lang / n)) for i, (x, n) in enumerate(sorted(counts.items()))], "lang string, k int, share double")
-    sample = rows.join(F.broadcast(keep), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("k", "text")
+    sample = rows.join(F.broadcast(keep), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("k", "text")
 
     def count(batches):
         grams, scripts = np.zeros((len(langs), SLOTS), np.int64), np.zeros((len(langs), N_SCRIPTS), np.int64)
@@ -177,19 +181,27 @@ def label_words(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.nd
     return labels
 
 
-def predict(docs: DataFrame, model: dict, penalty: float = 30.0, spans: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score (share of letters with that label); with spans also the labelled runs as `lang:words`."""
+BARRED = -1000.0  # for a word in a script that a language hardly uses
+
+
+def predict(docs: DataFrame, model: dict, penalty: float = 30.0, spans: bool = False, keep: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (share of letters with that label); with spans also the labelled runs as `lang:words`; with keep all columns of docs instead of doc_id (lang_pred, score and spans replace columns of that name)."""
     spark = docs.sparkSession
     workers_import(spark)
+    made = ["lang_pred", "score", *["spans"] * spans]
+    docs = docs.drop(*made) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names_in, at = docs.columns, docs.columns.index("text")
+    out_names = names_in if keep else ["doc_id"]
+    schema = StructType([*(docs.schema[c] for c in out_names), StructField("lang_pred", StringType()), StructField("score", DoubleType()), *[StructField("spans", ArrayType(StringType()))] * spans])
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
-        names, barred = np.array([*m["langs"], "und"], object), np.where(m["scripts"], 0, -30).astype(np.float32)
+        names, barred = np.array([*m["langs"], "und"], object), np.where(m["scripts"] | ~m["scripts"].any(1, keepdims=True), 0, BARRED).astype(np.float32)
         for batch in batches:
             n = batch.num_rows
             pred, score, runs = np.full(n, len(names) - 1), np.zeros(n), [[] for _ in range(n)]
-            for i, j, text, ends in texts_of(batch.column(1)) if len(names) > 1 else ():
+            for i, j, text, ends in texts_of(batch.column(at)) if len(names) > 1 else ():
                 slots, first, doc, script, letters = word_grams(text, ends)
                 if not len(doc):
                     continue
@@ -206,14 +218,14 @@ def predict(docs: DataFrame, model: dict, penalty: float = 30.0, spans: bool = F
                     for r, s, e in zip(rows, starts[:-1], starts[1:], strict=True):
                         cut = np.flatnonzero(np.diff(labels[s:e], prepend=-1))
                         runs[i + r] = [f"{names[labels[s + c]]}:{w}" for c, w in zip(cut, np.diff(np.append(cut, e - s)), strict=True)]
-            out = [batch.column(0), pa.array(names[pred], pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(runs, pa.list_(pa.string()))] if spans else out, names=["doc_id", "lang_pred", "score", "spans"][: 3 + spans])
+            out = [*(batch.column(c) for c in out_names), pa.array(names[pred], pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(runs, pa.list_(pa.string()))] if spans else out, names=[*out_names, *made])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double" + ", spans array<string>" * spans)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def identify(docs: DataFrame) -> DataFrame:

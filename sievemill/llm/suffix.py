@@ -262,8 +262,14 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
                 kind, k, tid, s, left = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(k, pa.int64()), pa.array(tid, pa.int64()), pa.array(s, pa.int32()), pa.array(left, pa.int32()), pa.array(bodies, pa.binary())], names=["kind", "k", "tid", "s", "left", "body"])
 
+    def once(batches):
+        """One text of those with equal tid in a partition, if it has marks: copies don't meet in one task."""
+        seen: set[int] = set()
+        for batch in wanted(batches):
+            yield batch.filter(pa.array([t not in seen and not seen.add(t) for t in batch.column(0).to_pylist()], pa.bool_()))
+
     marks = found.groupBy("tid").agg(F.collect_set(F.struct("at", "s0", "s1", "lead")).alias("marks"))
-    made = texts.mapInArrow(lean(wanted), "tid long, text string").join(marks, "tid").select("tid", "text", "marks").mapInArrow(lean(contexts), "kind int, k long, tid long, s int, left int, body binary")
+    made = texts.mapInArrow(lean(once), "tid long, text string").join(marks, "tid").select("tid", "text", "marks").mapInArrow(lean(contexts), "kind int, k long, tid long, s int, left int, body binary")
 
     def bucket(batches):
         held: dict[int, list] = {}
@@ -300,15 +306,17 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
 
 
 def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot: int = HOT, cut_text: bool = False) -> DataFrame:
-    """docs with new columns n_bytes, n_removed, n_spans, kept (the remaining bytes). cut_text: text becomes what remains, without the parts of characters that a cut has split."""
+    """docs with new columns n_bytes, n_removed, n_spans, kept (the remaining bytes), which replace columns of these names (__tid and __cuts are reserved). cut_text: text becomes what remains, without the parts of characters that a cut has split."""
     workers_import(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("tid"), text.alias("text"))
     whole = texts.where(F.octet_length("text") >= length).groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("e")).where("n > 1")
     cut = intervals(texts, length, per_bucket, hot).union(whole.select("tid", F.lit(0), "e"))
     cut = stage(cut.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("cuts")), "cuts")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     names = docs.columns
     tagged = docs.withColumn("__tid", F.xxhash64(text))
+    cut = cut.select(F.col("tid").alias("__tid"), F.col("cuts").alias("__cuts"))
     out_schema = StructType([*docs.schema.fields, StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", BinaryType())])
     t = names.index("text")
 
@@ -337,19 +345,14 @@ def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     def split(keep):
-        hit = in_filter(cut.select("tid"), keep)
-
-        def run(batches):
-            for batch in batches:
-                yield from hit([pa.RecordBatch.from_arrays(batch.columns, names=[*batch.schema.names[:-1], "tid"])])
-
-        return tagged.withColumnRenamed("__tid", "tid").mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("tid", LongType())]))
+        return tagged.mapInArrow(lean(in_filter(cut.select("__tid"), keep, "__tid")), tagged.schema)
 
-    touched = split(True).join(cut, "tid", "left").select(*[F.col(f"`{c}`") for c in names], "cuts").mapInArrow(lean(apply), out_schema)
+    touched = split(True).join(cut, "__tid", "left").select(*[F.col(f"`{c}`") for c in names], "__cuts").mapInArrow(lean(apply), out_schema)
     rest = split(False).select(*[F.col(f"`{c}`") for c in names], F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), text.cast("binary").alias("kept"))
     return touched.union(rest)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = dedup(docs, cut_text=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("changed"), "text")

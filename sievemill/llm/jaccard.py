@@ -396,8 +396,8 @@ def verified(texts: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
     return stage(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(lean(run), "a long, b long"), "links")
 
 
-def link(docs: DataFrame, block: int = BLOCK, few: int = FEW, very_class: int = VERY_CLASS, hot_class: int = HOT_CLASS) -> DataFrame:
-    """doc_id, n_shingles, component_id for docs (doc_id, text)."""
+def link(docs: DataFrame, row: bool = False, block: int = BLOCK, few: int = FEW, very_class: int = VERY_CLASS, hot_class: int = HOT_CLASS) -> DataFrame:
+    """doc_id, n_shingles, component_id for docs (doc_id, text); with row also text_hash (xxhash64 of the text) and first: whether the row is its component's least by doc_id (nulls last) and text_hash."""
     spark = docs.sparkSession
     workers_import(spark)
     text = F.col("text").cast("string")
@@ -405,7 +405,8 @@ def link(docs: DataFrame, block: int = BLOCK, few: int = FEW, very_class: int =
     made = sets_table(texts)
     sets = made.where("slice is null").select("doc_id", "tid", "sid", "n")
     classes = spark.sparkContext.broadcast(classes_of(merged(made.where("slice is not null").select("slice", "counts"), CLASS_BITS)))
-    nodes = stage(sets.where("n > 0").groupBy("sid").agg(F.min("tid").alias("tid"), F.min("doc_id").alias("first")), "nodes")  # copies end here, by partial sums
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid"))
+    nodes = stage(sets.where("n > 0").groupBy("sid").agg(F.min("tid").alias("tid"), least.alias("first")), "nodes")  # copies end here, by partial sums
     members = index(texts, classes, very_class, hot_class)
     bits = stage(of_sets(texts, nodes, members.select("sid").distinct(), parity, "bits"), "bits")
     near = compare(members, bits, None, block, few)
@@ -416,16 +417,18 @@ def link(docs: DataFrame, block: int = BLOCK, few: int = FEW, very_class: int =
         at = members.join(open_, "label", "left_semi")
         some = at.join(roots.withColumnRenamed("node", "sid"), "sid", "left").groupBy("label").agg(F.min(F.coalesce("root", "sid")).alias("lo"), F.max(F.coalesce("root", "sid")).alias("hi")).where("lo < hi").select("label")
         links = links.union(verified(texts, nodes, compare(at.join(some, "label", "left_semi"), bits, roots, block, few)))
-    return named(sets, nodes, components(links))
+    return named(sets, nodes, components(links), row)
 
 
-def named(sets: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def named(sets: DataFrame, nodes: DataFrame, roots: DataFrame, row: bool) -> DataFrame:
     """doc_id, n_shingles, component_id. Ids are gathered by set and then by component with partial sums, so copies meet in no task before the last join, where Spark splits skewed sides."""
     first = stage(nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root")), "first")
-    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    name = stage(first.join(least, "root").select("sid", "component_id"), "names")
-    full = sets.where("n > 0").join(name, "sid").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return full.union(sets.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
+    least = first.groupBy("root").agg(F.min("first").alias("least"))
+    name = stage(first.join(least, "root").select("sid", "least"), "names")
+    own = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tid") == F.col("least.tid"))
+    full = sets.where("n > 0").join(name, "sid").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), F.col("tid").alias("text_hash"), own.alias("first"))
+    out = full.union(sets.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id"), "tid", F.lit(True)))
+    return out if row else out.drop("text_hash", "first")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from sievemill.llm import classifier, dac, graph, jaccard, langid, packing, pieces, pii, rules, suffix, vptree
@@ -66,7 +68,7 @@ def jaccard_brute(texts):
 
 @pytest.mark.parametrize("block,few,hot", [(jaccard.BLOCK, jaccard.FEW, jaccard.HOT_CLASS), (3, 2, 1)])
 def test_jaccard(spark, texts, block, few, hot):
-    got = sorted(map(tuple, jaccard.link(docs_of(spark, texts), block, few, hot_class=hot).collect()))
+    got = sorted(map(tuple, jaccard.link(docs_of(spark, texts), block=block, few=few, hot_class=hot).collect()))
     assert got == jaccard_brute(texts)
 
 
@@ -204,6 +206,13 @@ def test_token_ids(spark, texts):
     assert got == want
 
 
+def test_token_ids_of_awkward_rows(spark):
+    rows = [(None, "a b"), (3, None), (3, "x"), (-1, "y z"), (3, "x")]
+    got = dac.read(dac.write(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), 0, True)).orderBy("start").collect()
+    assert [x.doc_id for x in got] == [None, -1, 3, 3, 3] and got[0].start == 0 and sorted(x.n_tokens for x in got[2:]) == [1, 2, 2]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+
+
 def test_block_access():
     ids = np.random.default_rng(2).integers(0, 70_000, 3000).astype(np.uint32)
     ids[::3] %= 256
@@ -261,6 +270,21 @@ def test_vantage_point_tree(spark):
     assert got == want
 
 
+def test_vantage_point_tree_repeated_ids(spark):
+    """Rows of one id: each asks with its own vector, and is never its own neighbour."""
+    r = np.random.default_rng(7)
+    v = r.normal(size=(60, 4))
+    ids = [i // 3 for i in range(60)]
+    df = spark.createDataFrame([(i, [float(x) for x in w]) for i, w in zip(ids, v, strict=True)] + [(0, [float(x) for x in v[0]])], "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in vptree.nearest(df, F.col("vec_id") % 10 == 0, k=4, shard_rows=25).collect())
+    want = []
+    for q in range(60):
+        if ids[q] % 10 == 0:
+            d = sorted((float(np.sqrt(((v[j] - v[q]) ** 2).sum())), ids[j]) for j in range(60) if ids[j] != ids[q])
+            want += [(ids[q], k + 1, i, x) for k, (x, i) in enumerate(d[:4])]
+    assert len(got) == len(want) and [(a[0], a[1], a[2]) for a in got] == [(a[0], a[1], a[2]) for a in sorted(want, key=lambda a: (a[0], a[1], a[2], a[3]))]
+
+
 def test_rules(spark, texts):
     texts = [*texts, "same line here\nsame line here\n\n#a $b\nother", "w " * 40]
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60)], "doc_id long, quality int")
@@ -307,22 +331,24 @@ def test_sentencepiece(spark, texts):
     assert all(x.round_trip for x in rows.collect())
     back = {x.doc_id: x.text for x in pieces.decode(rows, path).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
-    model = pieces.Pieces(path)
-
-    def brute(w):
-        best = [(0.0, [])]
-        for i in range(1, len(w) + 1):
-            options = [(best[j][0] + model.piece[w[j:i]][0], best[j][1] + [w[j:i]]) for j in range(i) if w[j:i] in model.piece]
-            if w[i - 1] not in model.piece:
-                options.append((best[i - 1][0] + model.unknown_score, best[i - 1][1] + [w[i - 1]]))
-            best.append(max(options, key=lambda o: o[0]))
-        return best[-1][1]
-
-    for w in ["▁hello", "▁transformation", "▁▁x", "▁日本", "▁hellos", "▁help"]:
-        model.learn([w])
-        ids = np.frombuffer(model.cache[w], "<u4")
-        want = [model.piece[p][1] if p in model.piece else None for p in brute(w)]
-        assert [i for i in ids.tolist() if i not in model.byte_of] == [p for p in want if p is not None]
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = {x.doc_id: x.ids for x in rows.collect()}
+    assert all(ids[i] == own.encode(t or "") for i, t in enumerate(texts))
+
+
+def test_sentencepiece_ids_are_the_librarys():
+    """Whole texts of the table, and random ones."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    r = random.Random(1)
+    texts += ["".join(r.choice("aabbee tthnoi  s\nßé漢zxq😀12") for _ in range(r.randint(0, 40))) for _ in range(1500)] + ["ab" * 5000, " " * 40]
+    assert [x.tolist() for x in model.encode(texts)] == own.encode(texts)
+    assert [model.decode(x) for x in model.encode(texts)] == texts
+
+
+def test_sentencepiece_empty_table(spark):
+    assert pieces.encode(docs_of(spark, ["x"]).limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
 def test_pii(spark):

@@ -3,6 +3,10 @@
 ORACLE_SQL is None: no stage's rows can be had from SQL on whole tables (learned
 languages, 5-word set similarity, byte suffixes, keyed permutations, packing);
 tests compare the stages with brute-force versions.
+
+Every stage works row by row: rows that share a doc_id are rows of their own. Null
+texts have no letter and go in the first stage; empty tables give empty tables; the
+columns of documents are kept, whatever names further ones have.
 """
 
 from __future__ import annotations
@@ -22,43 +26,44 @@ def apart(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: texts without any letter go, and those of which no language has a third of the letters."""
-    found = langid.predict(docs, langid.fit(docs.select("doc_id", "text", "lang"), train=~langid.held_out()))
-    bad = stage(found.where("lang_pred = 'und' or score < 0.34").select("doc_id").distinct(), "no_language")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents with a language: texts without any letter go, and those of which no language has a third of the letters. Row by row: rows of one doc_id don't matter to each other."""
+    own = apart(docs)
+    lang = own.columns[docs.columns.index("lang")]
+    model = langid.fit(own.select("doc_id", "text", F.col(lang).alias("lang")), train=~langid.held_out())
+    found = langid.predict(own, model, keep=True).where("lang_pred <> 'und' and score >= 0.34")
+    return found.select(*own.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.8 connect: the one of least doc_id."""
-    spare = stage(jaccard.link(docs).where("component_id <> doc_id").select("doc_id").distinct(), "spare")
-    return without(docs, spare)
-
-
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in ids. Only texts that a bit table of fixed size can't rule out are shuffled for the join."""
-    key = "__doc_key"
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    known = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(key))
-    clear = keyed.mapInArrow(graph.in_filter(known, False, key), keyed.schema)
-    maybe = keyed.mapInArrow(graph.in_filter(known, True, key), keyed.schema).join(ids, "doc_id", "left_anti")
-    return clear.unionByName(maybe).select(*docs.columns)
-
-
-def one_each(docs: DataFrame) -> DataFrame:
-    """One row of those with equal doc_id and text. Only rows whose doc_id a bit table holds among the repeated ones are shuffled with their texts."""
-    key = "__doc_key"
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    again = stage(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "again")
+    """One row of each group that links of similarity 0.8 connect: that of least doc_id (of rows of one doc_id, that whose text has the least hash; of equal doc_id and text, any one)."""
+    spare = stage(jaccard.link(docs, row=True).where(~F.col("first")).select(row_key("doc_id", "text_hash").alias(KEY), F.col("doc_id").alias("__spare_id")).distinct(), "spare")
+    keyed = apart(docs).withColumn(KEY, row_key("doc_id", F.xxhash64(F.col("text").cast("string"))))
+    clear = keyed.mapInArrow(graph.in_filter(spare.select(KEY), False, KEY), keyed.schema)
+    maybe = keyed.mapInArrow(graph.in_filter(spare.select(KEY), True, KEY), keyed.schema).join(spare.withColumnRenamed(KEY, "__spare_key"), (F.col(KEY) == F.col("__spare_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__spare_id")), "left_anti")
+    return one_each(clear.unionByName(maybe)).drop(KEY).toDF(*docs.columns)
+
+
+KEY = "__row_key"
+
+
+def row_key(doc_id, text_hash):
+    """A fingerprint of a row's doc_id and text; it only leads to rows whose doc_id is then compared."""
+    return F.xxhash64(F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id, text_hash)
+
+
+def one_each(keyed: DataFrame) -> DataFrame:
+    """One row of those with equal doc_id and text. Only rows whose key a bit table holds among the repeated ones are shuffled with their texts."""
+    again = stage(keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(KEY), "again")
     if not again.take(1):
-        return docs
-    clear = keyed.mapInArrow(graph.in_filter(again, False, key), keyed.schema)
-    maybe = stage(keyed.mapInArrow(graph.in_filter(again, True, key), keyed.schema).dropDuplicates(["doc_id", "text"]), "once")
-    return clear.unionByName(maybe).select(*docs.columns)
+        return keyed
+    clear = keyed.mapInArrow(graph.in_filter(again, False, KEY), keyed.schema)
+    maybe = keyed.mapInArrow(graph.in_filter(again, True, KEY), keyed.schema).dropDuplicates(["doc_id", "text"])
+    return clear.unionByName(maybe)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 that stand elsewhere too; documents that are left empty go. Repeated rows (equal doc_id and text) count once, or each would be cut as a copy of the other."""
-    own = apart(one_each(docs))
+    """Texts without the byte strings of 400 that stand elsewhere too; documents that are left empty go."""
+    own = apart(docs)
     cut = suffix.dedup(own, cut_text=True).where("n_removed = 0 or text <> ''")
     if "n_chars" in docs.columns:
         n_chars = own.columns[docs.columns.index("n_chars")]

@@ -52,6 +52,12 @@ def distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+def measured(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances of q to the rows of v, squares added one after the other as a plain loop does, so that results don't depend on how many rows are measured at once."""
+    d = v - q
+    return np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+
+
 class Tree:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, k: int):
         order = np.lexsort((ids, *vectors.T[::-1])) if len(ids) else np.arange(0)
@@ -100,7 +106,7 @@ class Tree:
             for r, row in enumerate(rows):
                 hit = np.flatnonzero(near[r])
                 if len(hit):
-                    d = distances(q[row : row + 1], v[hit])[0]
+                    d = measured(q[row], v[hit])
                     new = [(x, i) for x, h in zip(d.tolist(), hit, strict=True) if x <= best_d[row, -1] for i in self.ids[own[h]].tolist() if i != names[row]]
                     got = sorted([*zip(best_d[row].tolist(), best_i[row].tolist(), strict=True), *new])[:k]
                     best_d[row], best_i[row] = [x[0] for x in got], [x[1] for x in got]

@@ -264,7 +264,7 @@ def test_vantage_point_tree(spark):
     want = {}
     for q in ok[ok % 50 == 0]:
         d = w[ok] - w[q]
-        d = np.sqrt((d * d).sum(1))
+        d = np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
         order = [x for x in np.lexsort((ok, d)) if ok[x] != q][:10]
         want |= {(q, k + 1): (ok[x], d[x]) for k, x in enumerate(order)}
     assert got == want

@@ -9,12 +9,16 @@ sample (a hash threshold set for about `sample` texts) and then scores all texts
 A text is kept if posterior and score average 0.5 or more.
 
 Defined cases: null text counts as empty (no words: posterior 0 and not kept);
-repeated rows get equal results; an empty table gives no rows; other columns are
-ignored.
+repeated rows and rows of one doc_id get their own, equal results for equal texts; a
+null doc_id is kept; ties (posterior and score average exactly 0.5) are kept; very long
+texts are measured whole, in a run of their own; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +29,8 @@ from .graph import tally
 from .stats import measure
 
 SLOTS = 1 << 16
-N_VOTERS = 9
+VOTERS = ("symbols", "capitals", "exclamations", "repeated lines", "repeated words", "word length", "short words", "length", "insults")
+N_VOTERS = len(VOTERS)
 PATTERN_BITS = 15  # 3 ** 9 patterns fit
 #: fixed values: English insults
 INSULTS = ("idiot", "stupid", "moron", "trash", "loser", "scum", "disgusting", "pathetic", "worthless")
@@ -34,8 +39,8 @@ INSULTS = ("idiot", "stupid", "moron", "trash", "loser", "scum", "disgusting", "
 #: bad, good texts: chance of abstaining, voting bad, voting good, before any text is seen
 PRIOR = np.array([[0.55, 0.3, 0.15], [0.6, 0.005, 0.395]])
 
-#: a labeller calls at most this share of good texts bad (else labellers of one kind of junk could be read as noise)
-MOST_FALSE = 0.004
+#: texts that the prior counts as, for each labeller and class: enough to tell the classes apart, nothing against a corpus
+PRIOR_WEIGHT = 30.0
 
 
 def word_slots(a: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,24 +85,20 @@ def patterns(v: np.ndarray) -> np.ndarray:
 
 
 def expectation_maximisation(counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good by pattern, accuracy (bad, good) by labeller among its votes, share of good texts. Each labeller has a chance of each outcome on good and on bad texts; Dirichlet priors PRIOR tell the two classes apart."""
+    """Posterior of good by pattern; by labeller the share of right votes among its votes on bad and on good texts; share of good texts. Each labeller has a chance of each outcome on bad and on good texts, estimated from how labellers agree; a prior of PRIOR_WEIGHT texts only says which class is which."""
     seen = np.flatnonzero(counts[: 3**N_VOTERS])
     v = seen[:, None] // 3 ** np.arange(N_VOTERS) % 3
     n = counts[seen].astype(float)
     chance = np.repeat(PRIOR[:, None, :], N_VOTERS, 1)  # class x labeller x outcome
     share, post = 0.6, np.full(len(seen), 0.6)
-    strength = max(10.0, 0.3 * n.sum())
     for _ in range(rounds if len(seen) else 0):
         logs = np.log(chance)[:, np.arange(N_VOTERS), v].sum(2)
         post = 1 / (1 + np.exp(np.clip(np.log(1 - share) + logs[0] - np.log(share) - logs[1], -500, 500)))
         share = float(np.clip((n @ post + 8) / (n.sum() + 10), 0.01, 0.99))
         for c, w in ((0, n * (1 - post)), (1, n * post)):
             for outcome in range(3):
-                chance[c, :, outcome] = w @ (v == outcome) + strength * PRIOR[c, outcome]
+                chance[c, :, outcome] = w @ (v == outcome) + PRIOR_WEIGHT * PRIOR[c, outcome]
             chance[c] /= chance[c].sum(1, keepdims=True)
-        over = np.maximum(chance[1, :, 1] - MOST_FALSE, 0)
-        chance[1, :, 1] -= over
-        chance[1, :, 0] += over
     out = np.zeros(1 << PATTERN_BITS)
     out[seen] = post
     return out, np.stack((chance[0, :, 1], chance[1, :, 2])) / np.stack((chance[0, :, 1:].sum(1), chance[1, :, 1:].sum(1))), share
@@ -122,7 +123,7 @@ def fit_linear(rows, posterior: np.ndarray, rounds: int = 60, rate: float = 0.3)
 
 
 def classify(docs: DataFrame, sample: int = 4000) -> DataFrame:
-    """doc_id, posterior, score, kept."""
+    """doc_id, posterior, score, kept. The estimated accuracies of the labellers go to the log."""
     spark = docs.sparkSession
     workers_import(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -146,7 +147,7 @@ def classify(docs: DataFrame, sample: int = 4000) -> DataFrame:
         return out
 
     counts = tally(rows, count, PATTERN_BITS)
-    posterior, _, _ = expectation_maximisation(counts)
+    posterior, accuracy, share_good = expectation_maximisation(counts)
 
     def vectors(batches):
         for batch in batches:
@@ -157,9 +158,11 @@ def classify(docs: DataFrame, sample: int = 4000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([value[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(p.astype(np.int32))], names=["slots", "values", "pattern"])
 
     share = min(1.0, sample / max(int(counts.sum()), 1))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).groupBy("doc_id", F.xxhash64("text")).agg(F.min("text").alias("text")).select("doc_id", "text")  # equal rows count once: the sample stays bounded
     weights, bias = fit_linear(chosen.mapInArrow(lean(vectors), "slots binary, values binary, pattern int").toPandas(), posterior)  # the bounded sample
     sent = spark.sparkContext.broadcast((posterior, weights, bias))
+    told = [f"{name}: {a:.3f} of its votes on bad texts right, {b:.3f} on good ones" for name, a, b in zip(VOTERS, *accuracy, strict=True)]
+    logging.getLogger(__name__).info("share of good texts %.3f; %s", share_good, "; ".join(told))
 
     def score(batches):
         posterior, weights, bias = sent.value

@@ -8,7 +8,9 @@ its text's label. Without labels the prior weights PRIOR stand. Viterbi decoding
 labels the lines of every text; the share of words in content lines decides.
 
 Defined cases: null text has no words and fails the base rules, as does any text
-of under 20 words; repeated rows get equal results; an empty table gives no rows;
+of under 20 words; repeated rows and rows of one doc_id get their own results; a
+null doc_id is kept and has no label; ties between the states count as content; very
+long texts are labelled whole, in a run of their own; an empty table gives no rows;
 other columns are ignored; labels of unknown or repeated ids do no harm.
 """
 
@@ -69,36 +71,41 @@ def decode(score: np.ndarray, text: np.ndarray, stay: float) -> np.ndarray:
     return out
 
 
+def slope(x: np.ndarray, text: np.ndarray, content: np.ndarray, weights: np.ndarray, stay: float) -> tuple[float, np.ndarray, float]:
+    """Log-likelihood of the given line labels and its derivatives by weights and stay: forward-backward over all chains side by side."""
+    first, size, _ = by_step(text)
+    kept = np.flatnonzero(text[1:] == text[:-1])
+    same_seen = float((content[1:] == content[:-1])[kept].sum())
+    f = (x @ weights) / 2
+    node = np.stack((f, -f), 1)
+    alpha, beta, same = node.copy(), np.zeros_like(node), 0.0
+    for t in range(1, int(size[0])):
+        n = int(np.searchsorted(-size, -t, side="left"))
+        i = first[:n] + t
+        p = alpha[i - 1]
+        alpha[i] += np.stack((np.logaddexp(p[:, 0] + stay, p[:, 1]), np.logaddexp(p[:, 1] + stay, p[:, 0])), 1)
+    for t in range(int(size[0]) - 1, 0, -1):
+        n = int(np.searchsorted(-size, -t, side="left"))
+        i = first[:n] + t
+        q = beta[i] + node[i]
+        beta[i - 1] = np.stack((np.logaddexp(q[:, 0] + stay, q[:, 1]), np.logaddexp(q[:, 1] + stay, q[:, 0])), 1)
+    z = alpha + beta
+    z_all = np.logaddexp(z[:, 0], z[:, 1])
+    if len(kept):
+        same = float(np.exp(alpha[kept] + node[kept + 1] + beta[kept + 1] + stay - z_all[kept][:, None]).sum())
+    value = float(np.where(content > 0.5, f, -f).sum() + stay * same_seen - z_all[first].sum())
+    return value, x.T @ (content - np.exp(z[:, 0] - z_all)), same_seen - same
+
+
 def fit(x: np.ndarray, text: np.ndarray, content: np.ndarray, steps: int = 120, rate: float = 0.5, pull: float = 0.02) -> tuple[np.ndarray, float]:
     """Weights and stay reward of greatest penalised conditional likelihood of the given line labels."""
     weights, stay = PRIOR.copy(), 1.0
     if not len(x):
         return weights, stay
-    first, size, _ = by_step(text)
     grad_sq, gs_sq = np.full(N_FEATURES, 1e-3), 1e-3
-    kept = text[1:] == text[:-1]
-    same_seen = float((content[1:] == content[:-1])[kept].sum())
     for _ in range(steps):
-        f = (x @ weights) / 2
-        node = np.stack((f, -f), 1)
-        alpha, beta, same = node.copy(), np.zeros_like(node), 0.0
-        for t in range(1, int(size[0])):
-            n = int(np.searchsorted(-size, -t, side="left"))
-            i = first[:n] + t
-            p = alpha[i - 1]
-            alpha[i] += np.stack((np.logaddexp(p[:, 0] + stay, p[:, 1]), np.logaddexp(p[:, 1] + stay, p[:, 0])), 1)
-        for t in range(int(size[0]) - 1, 0, -1):
-            n = int(np.searchsorted(-size, -t, side="left"))
-            i = first[:n] + t
-            q = beta[i] + node[i]
-            beta[i - 1] = np.stack((np.logaddexp(q[:, 0] + stay, q[:, 1]), np.logaddexp(q[:, 1] + stay, q[:, 0])), 1)
-        z = alpha + beta
-        z_all = np.logaddexp(z[:, 0], z[:, 1])
-        if kept.any():
-            i = np.flatnonzero(kept)
-            same = float(np.exp(alpha[i] + node[i + 1] + beta[i + 1] + stay - z_all[i][:, None]).sum())
-        g = x.T @ (content - np.exp(z[:, 0] - z_all)) / len(x) - pull * (weights - PRIOR)
-        gs = (same_seen - same) / len(x) - pull * (stay - 1.0)
+        _, g, gs = slope(x, text, content, weights, stay)
+        g, gs = g / len(x) - pull * (weights - PRIOR), gs / len(x) - pull * (stay - 1.0)
         grad_sq, gs_sq = grad_sq + g * g, gs_sq + gs * gs
         weights, stay = weights + rate * g / np.sqrt(grad_sq), stay + rate * gs / np.sqrt(gs_sq)
     return weights, float(stay)
@@ -121,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> tuple[np.nd
                 cut = np.searchsorted(line["text"], np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([np.packbits(x[s:e].astype(bool)).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(np.diff(cut).astype(np.int32)), pa.array(q[i:j])], names=["x", "n", "quality"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(lean(lines), "x binary, n int, quality int").toPandas()  # the bounded sample: 14 bits a line
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a text an id, so that the sample stays bounded
+    rows = texts.select("text", F.col("quality").cast("int")).mapInArrow(lean(lines), "x binary, n int, quality int").toPandas()  # the bounded sample: 14 bits a line
     if rows.empty:
         return PRIOR, 1.0
     x = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[: n * N_FEATURES].reshape(n, N_FEATURES) for b, n in zip(rows.x, rows.n, strict=True)]).astype(np.float32)

@@ -314,6 +314,101 @@ def test_crf_decoding():
         assert got[text == t].tolist() == [bool(best >> k & 1) for k in range(len(own))]
 
 
+def test_crf_gradient():
+    """Likelihood and derivatives against all labellings of short chains."""
+    r = np.random.default_rng(4)
+    text = np.repeat(np.arange(4), [1, 3, 5, 2])
+    x = r.integers(0, 2, (11, rules.N_FEATURES)).astype(np.float32)
+    content, weights, stay = r.integers(0, 2, 11).astype(float), r.normal(size=rules.N_FEATURES), 0.7
+
+    def brute(weights, stay):
+        total = 0.0
+        for k in range(4):
+            f = (x[text == k] @ weights) / 2
+            score = lambda y: sum(v if c else -v for v, c in zip(f, y, strict=True)) + stay * sum(a == b for a, b in zip(y, y[1:], strict=False))
+            every = [score([(m >> i) & 1 for i in range(len(f))]) for m in range(2 ** len(f))]
+            total += score([int(c) for c in content[text == k]]) - np.logaddexp.reduce(every)
+        return total
+
+    value, g, gs = rules.slope(x, text, content, weights, stay)
+    assert value == pytest.approx(brute(weights, stay))
+    step = 1e-5
+    for k in range(rules.N_FEATURES):
+        d = np.zeros(rules.N_FEATURES)
+        d[k] = step
+        assert g[k] == pytest.approx((brute(weights + d, stay) - brute(weights - d, stay)) / (2 * step), abs=1e-5)
+    assert gs == pytest.approx((brute(weights, stay + step) - brute(weights, stay - step)) / (2 * step), abs=1e-5)
+
+
+def test_expectation_maximisation():
+    """From votes of labellers of known accuracy: the accuracies come back, and no nearby table of chances is more likely."""
+    r = np.random.default_rng(5)
+    n, j = 60_000, classifier.N_VOTERS
+    good = r.random(n) < 0.8
+    truth = np.stack([np.stack((np.full(j, 0.4), r.uniform(0.4, 0.55, j), np.zeros(j)), 1), np.stack((np.full(j, 0.4), r.uniform(0.005, 0.06, j), np.zeros(j)), 1)])
+    truth[:, :, 2] = 1 - truth.sum(2)
+    u = r.random((n, j))
+    chance = truth[good.astype(int)]
+    v = (u > chance[:, :, 0]).astype(int) + (u > chance[:, :, 0] + chance[:, :, 1])
+    counts = np.bincount(classifier.patterns(v), minlength=1 << classifier.PATTERN_BITS)
+    post, accuracy, share = classifier.expectation_maximisation(counts)
+    assert share == pytest.approx(0.8, abs=0.01)
+    want = np.stack((truth[0, :, 1] / truth[0, :, 1:].sum(1), truth[1, :, 2] / truth[1, :, 1:].sum(1)))
+    assert np.abs(accuracy - want).max() < 0.03
+    assert ((post[classifier.patterns(v)] >= 0.5) == good).mean() > 0.97
+
+    seen = np.flatnonzero(counts)
+    outcome = seen[:, None] // 3 ** np.arange(j) % 3
+
+    def likelihood(share, chance):
+        logs = np.log(chance)[:, np.arange(j), outcome].sum(2)
+        prior = classifier.PRIOR_WEIGHT * (classifier.PRIOR[:, None, :] * np.log(chance)).sum()
+        return counts[seen] @ np.logaddexp(np.log(1 - share) + logs[0], np.log(share) + logs[1]) + prior + 8 * np.log(share) + 2 * np.log(1 - share)
+
+    got = np.empty((2, j, 3))
+    w = np.stack((counts[seen] * (1 - post[seen]), counts[seen] * post[seen]))
+    for o in range(3):
+        got[:, :, o] = w @ (outcome == o) + classifier.PRIOR_WEIGHT * classifier.PRIOR[:, None, o]
+    got /= got.sum(2, keepdims=True)
+    top = likelihood(share, got)
+    for _ in range(60):
+        near = np.maximum(got + r.normal(0, 0.004, got.shape), 1e-6)
+        assert likelihood(share, near / near.sum(2, keepdims=True)) < top
+
+
+def test_language_prediction_by_hand(spark):
+    """The whole prediction against plain loops over words, grams and label paths."""
+    texts = ["the and with river", "der und mit fluss", "the and der und", "", None, "123", "мир the", "und"]
+    langs = ["en", "de", "en", "en", "en", "en", "en", "de"]
+    model = langid.fit(docs_of(spark, texts, langs))
+    got = {x.doc_id: (x.lang_pred, x.score) for x in langid.predict(docs_of(spark, texts), model, penalty=2.0).collect()}
+    for k, t in enumerate(texts):
+        words = [w for w in re.findall(r"[^\W\d_]+", t or "")]
+        if not words:
+            assert got[k] == ("und", 0.0)
+            continue
+        rows = []
+        for w in words:
+            slots, first, _, script, _ = langid.word_grams(w, np.array([0, len(w)]))
+            barred = 0 if not model["scripts"][script[0]].any() else np.where(model["scripts"][script[0]], 0, langid.BARRED)
+            rows.append(model["log_p"][slots].sum(0) / 3 + barred)
+        paths = [[]]
+        for _ in words:
+            paths = [p + [c] for p in paths for c in range(len(model["langs"]))]
+        best = max(paths, key=lambda p: sum(rows[i][c] for i, c in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False)))
+        letters = [sum(len(w) for w, c in zip(words, best, strict=True) if c == x) for x in range(len(model["langs"]))]
+        assert got[k][0] == model["langs"][int(np.argmax(letters))] and got[k][1] == pytest.approx(max(letters) / sum(letters))
+
+
+def test_samples_stay_bounded(spark):
+    """One id or text repeated many times adds one text to the fit."""
+    rows = [(7, "the same text again " * 12)] * 3000 + [(i, f"text number {i} of some words " * 8) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert classifier.classify(docs, sample=50).count() == 3100
+    labels = spark.createDataFrame([(7, 0), (1, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    assert rules.train(docs, labels)[0].shape == (rules.N_FEATURES,)
+
+
 def test_classifier(spark):
     r = random.Random(2)
     words = "the river and stone of a time we know is to in water from house light were other".split()

@@ -574,3 +574,61 @@ def test_text_bytes_slices():
     col = pa.array(["ab", None, "", "é"]).slice(1)
     a, o = text_bytes(col)
     assert a.tobytes() == "é".encode() and o.tolist() == [0, 0, 0, 2]
+
+
+def values_of(kind, n):
+    """Different values of a kind, many of them close to each other."""
+    r = random.Random(kind)
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+
+    def card():
+        d = "4" + digits(14)
+        return d + str(pii.luhn(d))
+
+    make = {
+        "email": lambda: f"{word(r.randint(2, 6))}.{word(3)}{digits(1)}@{word(4)}.{r.choice(['com', 'org', 'co.uk'])}",
+        "key": lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)),
+        "secret": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([16, 32]))),
+        "ip": lambda: ".".join(str(r.randint(1, 255) if i == 0 else r.randint(0, 255)) for i in range(4)),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "card": card,
+        "phone": lambda: f"+49 30 {digits(7)}",
+        "person": lambda: f"{r.choice([*pii.FEMALE, *pii.MALE, word(6).title()])} {word(r.randint(3, 7)).title()}",
+    }[kind]
+    out = dict.fromkeys(make() for _ in range(n))
+    return list(out)
+
+
+@pytest.mark.parametrize("kind", ["email", "key", "secret", "ip", "ssn", "card", "phone", "person"])
+def test_pii_surrogates_against_a_table_of_pairs(kind):
+    """Several thousand values of a kind: no two share a surrogate, none keeps itself, and each is found as its kind again."""
+    values = values_of(kind, 3000)
+    pairs = {v: pii.surrogate(kind, v, pii.KEY) for v in values}
+    assert len(set(pairs.values())) == len(values)
+    assert all(pii.surrogate(kind, v, pii.KEY) == s and s != v and len(s) >= 1 for v, s in list(pairs.items())[:300])
+    assert pairs[values[0]] != pii.surrogate(kind, values[0], b"another key")
+    for v, s in pairs.items():
+        if kind != "person":
+            assert [c if not c.isalnum() else "x" for c in v] == [c if not c.isalnum() else "x" for c in s] or kind == "ip"
+        if kind == "card":
+            assert pii.luhn(s[:-1]) == int(s[-1])
+        if kind == "person":
+            a, b = v.split(" ")[0], s.split(" ")[0]
+            for names in pii.GIVEN:
+                assert (a in names) == (b in names)
+    wrap = {"secret": "token = {}", "person": "Dr. {} wrote"}.get(kind, "x {} y")
+    for s in list(pairs.values())[:300]:
+        found = pii.find(wrap.format(s))
+        assert [k for _, _, k in found] == [kind], (s, found)
+
+
+@pytest.mark.parametrize("names", pii.GIVEN)
+def test_pii_given_names_keep_gender_and_script(names):
+    got = [pii.name(x, b"k" * 16) for x in names]
+    assert sorted(got) == sorted(names) and all(a != b for a, b in zip(got, names, strict=True))
+
+
+def test_pii_audit_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert pii.audit(docs).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_ONLY = frozenset("title meta link script style base noscript template".split())
@@ -221,9 +221,54 @@ def matches(n: Node, chain) -> bool:
     return any(a.tag and matches(a, rest) for a in n.above())
 
 
-class _Builder(HTMLParser):
+#: a tag with its attributes (quoted values may hold >), a comment, or another mark-up declaration
+_MARKUP = re.compile(r"""<(?:(/?)([a-zA-Z][^\t\n\r\f />\x00]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/[^a-zA-Z>][^>]*(?:>|\Z)|/>)""", re.S)
+_OPEN_QUOTE = re.compile(r"<(/?)([a-zA-Z][^\t\n\r\f />\x00]*)([^>]*)>")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: elements whose content is text up to their end tag; in those of the second kind character references count
+RAW, REFERENCES = frozenset("script style xmp iframe noembed noframes".split()), frozenset(("title", "textarea"))
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for t in RAW | REFERENCES}
+
+
+class _Builder:
+    """Cuts the source into tags and texts, and builds the tree from them."""
+
+    def feed(self, html: str) -> None:
+        at, end = 0, len(html)
+        while at < end:
+            lt = html.find("<", at)
+            while 0 <= lt < end - 1 and not (html[lt + 1].isalpha() or html[lt + 1] in "/!?"):
+                lt = html.find("<", lt + 1)  # a plain character
+            if lt < 0 or lt == end - 1:
+                self.handle_data(self.plain(html[at:]))
+                return
+            if lt > at:
+                self.handle_data(self.plain(html[at:lt]))
+            m = _MARKUP.match(html, lt) or _OPEN_QUOTE.match(html, lt)
+            if m is None:  # a tag that is cut off says nothing
+                return
+            at = m.end()
+            if m.re is not _OPEN_QUOTE and m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                self.handle_endtag(tag)
+                continue
+            self.handle_starttag(tag, [(k.lower(), unescape(v) if "&" in v else v) for k, a, b, c in _ATTRIBUTE.findall(m[3]) for v in [a or b or c]] if m[3] else ())
+            if tag in _ENDS:
+                close = _ENDS[tag].search(html, at)
+                if close.start() > at:
+                    text = html[at : close.start()]
+                    self.handle_data(self.plain(text) if tag in REFERENCES else text)
+                at = close.end()
+                if close.end() > close.start():
+                    self.handle_endtag(tag)
+
+    @staticmethod
+    def plain(text: str) -> str:
+        return unescape(text) if "&" in text else text
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.html = self.root.add(Node("html"))
         self.head = self.html.add(Node("head"))
@@ -280,7 +325,7 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         own: dict = {}
         for k, v in attrs:
-            own.setdefault(k, v if v is not None else "")
+            own.setdefault(k, v)
         if tag == "html":
             for k, v in own.items():
                 self.html.attrs.setdefault(k, v)
@@ -336,9 +381,6 @@ class _Builder(HTMLParser):
             self.reopen()
         self.insert(tag, own)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
     def end_formatting(self, tag: str) -> None:
         for i in range(len(self.active) - 1, -1, -1):
             if self.active[i].tag == tag:
@@ -404,10 +446,6 @@ class _Builder(HTMLParser):
 def parse(html: str) -> Node:
     """The document node; never fails."""
     b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except (AssertionError, ValueError, RecursionError):
-        pass
+    b.feed(html or "")
     b.open_body()
     return b.root

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, fields
+from functools import cache
 
 from . import metadata as M
 from . import profiles as P
@@ -228,37 +229,62 @@ def render_text(root: Node, o: Options, names: bool = True, title: str | None =
     return V.normalize("".join(out))
 
 
-def render_html(root: Node, o: Options, names: bool = True, comments: bool = False) -> str:
-    out: list[str] = []
+def content_tree(root: Node, o: Options, names: bool = True, comments: bool = False) -> Node:
+    """What the content keeps of its mark-up, under a body of its own."""
+    body = Node("body")
 
-    def walk(n: Node, within: bool, layout: bool) -> None:
+    def walk(n: Node, into: Node, within: bool, layout: bool) -> None:
         for k in n.kids:
             if not k.tag:
-                out.append(V.escape(k.data))
+                into.kids.append(Node(data=k.data))
                 continue
             if (k.tag in ("header", "footer") and not within) or k.tag in P.NEVER or named_out(k, names, comments):
                 continue
             now = within or k.tag in ("article", "main")
             if layout and k.tag in P.TABLE_TAGS:
-                walk(k, now, True)
+                walk(k, into, now, True)
             elif k.tag == "table" and (not o.include_tables or is_layout(k)):
-                walk(k, now, True)
+                walk(k, into, now, True)
             elif k.tag in P.HTML_TAGS:
-                names_ = (["href"] if k.tag == "a" and o.include_links else []) + (["class"] if k.tag == "code" else []) + (["colspan", "rowspan"] if k.tag in ("td", "th") else [])
-                out.append(f"<{k.tag}" + "".join(f' {a}="{V.escape(k.attrs[a])}"' for a in names_ if k.attrs.get(a) is not None) + ">")
-                walk(k, now, layout)
-                out.append(f"</{k.tag}>")
+                kept = (["href"] if k.tag == "a" and o.include_links else []) + (["class"] if k.tag == "code" else []) + (["colspan", "rowspan"] if k.tag in ("td", "th") else [])
+                walk(k, into.add(Node(k.tag, {a: k.attrs[a] for a in kept if k.attrs.get(a) is not None})), now, layout)
+            elif k.tag == "br":
+                into.add(Node("br"))
+            else:
+                walk(k, into, now, layout)
+
+    walk(root, body, root.tag in ("article", "main"), False)
+    return body
+
+
+def markup(n: Node) -> str:
+    """The HTML inside n."""
+    out: list[str] = []
+
+    def walk(n: Node) -> None:
+        for k in n.kids:
+            if not k.tag:
+                out.append(V.escape(k.data))
             elif k.tag == "br":
                 out.append("<br>")
             else:
-                walk(k, now, layout)
+                out.append(f"<{k.tag}" + "".join(f' {a}="{V.escape(v)}"' for a, v in k.attrs.items()) + ">")
+                walk(k)
+                out.append(f"</{k.tag}>")
 
-    walk(root, root.tag in ("article", "main"), False)
+    walk(n)
     return "".join(out)
 
 
-def render_markdown(html: str, o: Options) -> str:
-    body = next(n for n in parse(html).elements() if n.tag == "body")
+def render_html(root: Node, o: Options, names: bool = True, comments: bool = False) -> str:
+    return markup(content_tree(root, o, names, comments))
+
+
+def body_of(doc: Node) -> Node:
+    return doc.by_tag("body")[0]
+
+
+def render_markdown(body: Node, o: Options) -> str:
     esc = lambda s: re.sub(r"([\\*_\[\]<>])", r"\\\1", s)
 
     def inline(n: Node, raw: bool = False) -> str:
@@ -483,7 +509,8 @@ def split_bodies(node: Node, text: str, o: Options, title, relaxed: bool, commen
     return []
 
 
-def main_content(doc: Node, body: Node, o: Options, profile: P.Profile, title: str | None, page: str | None) -> tuple[str, str, Node] | None:
+def main_content(doc: Node, body: Node, o: Options, profile: P.Profile, title: str | None, page: str | None) -> tuple[str, str, Node | None] | None:
+    """Text, HTML and (unless it is of several bodies) the tree of the content."""
     comments = profile.comments_are_content
     show = lambda n, names=True: render_text(n, o, names, title, comments)
     node = content_node(doc, body, o, profile, page)
@@ -514,8 +541,9 @@ def main_content(doc: Node, body: Node, o: Options, profile: P.Profile, title: s
         return None
     parts = split_bodies(node, text, o, title, relaxed, comments)
     if parts:
-        return "\n\n".join(show(n, not relaxed) for n in parts), "".join(render_html(n, o, not relaxed, comments) for n in parts), node
-    return text, render_html(node, o, not relaxed, comments), node
+        return "\n\n".join(show(n, not relaxed) for n in parts), "".join(render_html(n, o, not relaxed, comments) for n in parts), None
+    tree = content_tree(node, o, not relaxed, comments)
+    return text, markup(tree), tree
 
 
 # ---------------------------------------------------------------- fallbacks
@@ -596,11 +624,11 @@ def baseline(doc: Node, body: Node) -> str:
     return V.clean(body.spaced()) or V.clean(doc.spaced())
 
 
-def fallback(backup: Node, text: str, html: str | None, o: Options) -> tuple[str, str] | None:
-    doc = backup.copy()
+def fallback(doc: Node, text: str, html: str | None, o: Options) -> tuple[str, str] | None:
+    """A better text and its HTML; doc is the page before cleaning, which is changed."""
     for n in doc.select(P.SHARE_PLUGINS):
         n.remove()
-    old = next(n for n in parse(html or "").elements() if n.tag == "body")
+    old = body_of(parse(html or ""))
     new = old.copy()
     for n in [n for n in new.elements() if n.tag in ("aside", "audio", "button", "fieldset", "figure", "footer", "iframe", "input", "label", "link", "nav", "noscript", "object", "option", "select", "source", "svg", "time")]:
         n.remove()
@@ -610,7 +638,7 @@ def fallback(backup: Node, text: str, html: str | None, o: Options) -> tuple[str
     if usable(a, b, ptext, len(old.select("table")), len(old.select("p")), len(new.select("h2, h3, h4")), o) and a >= o.min_extracted_len:
         return found, f"<body>{render_html(new, o, False)}</body>"
     if b < o.min_extracted_len and not o.favor_precision:
-        body = next(n for n in doc.elements() if n.tag == "body")
+        body = body_of(doc)
         if t := baseline(doc, body):
             return t, "<body>" + "".join(f"<p>{V.escape(x)}</p>" for x in t.split("\n") if x) + "</body>"
     return None
@@ -701,7 +729,7 @@ def extract(html: str, o: Options | None = None) -> dict:
     o = o or Options()
     html = html or ""
     doc = parse(html)
-    body = next(n for n in doc.elements() if n.tag == "body")
+    body = body_of(doc)
     meta = M.metadata(doc, body, o.url, o.author_blacklist)
     warnings: list[str] = []
     if o.page_type:
@@ -712,7 +740,7 @@ def extract(html: str, o: Options | None = None) -> dict:
         confidence = 1.0 if url_kind != "article" else 0.95 if kind != "article" else 0.5  # our rule: no trained model is used
     meta.pop("og_type")
     meta["page_type"] = kind
-    profile, backup = P.PROFILES[kind], doc.copy()
+    profile, source = P.PROFILES[kind], cache(lambda: parse(html))  # the page before cleaning, for what needs it
     blocks = M.ld_blocks(doc)
     body_ld, product, posts = article_body(blocks), product_text(blocks), discourse(doc) if kind == "forum" else None
     if profile.comments_are_content:
@@ -726,17 +754,17 @@ def extract(html: str, o: Options | None = None) -> dict:
     old = len(text)
     p, tables = (len(re.findall("<p[> ]", content or "")), (content or "").count("<table"))
     nav = sum(w in text[:100].lower() for w in NAV_WORDS) >= 3
-    if o.use_fallback_extraction and (old < o.min_extracted_len or not p or tables >= p or V.count_words(text, o.min_word_length) < o.min_output_size or nav) and (got := fallback(backup, text, content, o)):
+    if o.use_fallback_extraction and (old < o.min_extracted_len or not p or tables >= p or V.count_words(text, o.min_word_length) < o.min_output_size or nav) and (got := fallback(source().copy(), text, content, o)):
         text, content = got
         warnings.append(f"Used fallback extraction: {len(text)} chars (was {old} chars)")
     if profile.aggregate and len(text) < 3000 and (t := merged(doc, body, o)) and 2 * len(text) < len(t) <= 15_000:
         warnings.append(f"Used multi-candidate merge: {len(t)} chars (was {len(text)} chars)")
         text, content = t, None
-    if profile.repeated and len(text) < 3000 and (t := repeated_items(backup)) and len(t) > 2 * len(text):
+    if profile.repeated and len(text) < 3000 and (t := repeated_items(source())) and len(t) > 2 * len(text):
         warnings.append(f"Used repeated-item collection: {len(t)} chars (was {len(text)} chars)")
         text, content = t, None
     if kind == "collection":
-        t = max((V.clean(n.text()) for n in backup.select(COLLECTION)), key=len, default="")
+        t = max((V.clean(n.text()) for n in source().select(COLLECTION)), key=len, default="")
         if len(t.split()) >= 10 and len(t) >= 50 and t.lower()[:60] not in text.lower():
             text, content = f"{t}\n\n{text}", None
     if product and kind == "product":
@@ -759,7 +787,7 @@ def extract(html: str, o: Options | None = None) -> dict:
         out["images"] = (images(node, meta["image"]) if node else []) or images(body, meta["image"])
     out["extraction_quality"] = V.quality(text, content, V.size(html), kind)
     if o.output_markdown and content is not None:
-        out["content_markdown"] = render_markdown(content, o)
+        out["content_markdown"] = render_markdown(found[2] if found and found[2] and content is found[1] else body_of(parse(content)), o)
     if V.count_words(text, o.min_word_length) < o.min_output_size or V.size(text) < o.min_extracted_len:
         warnings.append(f"Insufficient content after extraction: {V.count_words(text, o.min_word_length)} words (min: {o.min_output_size}), {V.size(text)} chars (min: {o.min_extracted_len})")
     if V.size(text) > o.max_extracted_len:

@@ -97,7 +97,7 @@ def strip_site(title: str, site: str | None) -> str:
 
 
 def count_words(s: str, least: int) -> int:
-    return sum(size(w) >= least for w in s.split())
+    return sum(1 for w in s.split() if len(w) >= least or size(w) >= least)
 
 
 def sentences(s: str) -> int:

@@ -6,16 +6,18 @@ A sparse suffix array decides exactly which windows of LENGTH bytes repeat:
    ones) is its anchor; equal windows have their anchors at equal places. About
    one position in 185 is an anchor. Anchors whose 32-gram occurs once are dropped.
 2. The suffixes at the other anchors, with the bytes before them that their windows
-   need, are range-partitioned by their leading 8 bytes with splitters taken from
-   quantiles over all of them. Cuts lie between different leading bytes, so two
-   suffixes that share an anchor never stand on two sides of a boundary.
+   need, are range-partitioned by their leading 8 bytes with splitters from a sample
+   of them. Cuts lie between different leading bytes, so two suffixes that share an
+   anchor never stand on two sides of a boundary. A partition is worked on in buckets
+   of about PER_BUCKET suffixes, cut the same way.
 3. A bucket is sorted by multikey quicksort (three-way partition around a pivot word
    of 8 bytes, all open ranges in one pass), once by the suffixes and once by the
    reversed bytes before the anchors. Common prefixes of neighbours give classes at
    any depth: two windows that start d bytes before their anchors are equal if their
    suffixes agree in LENGTH - d bytes and what precedes them in d bytes.
 4. Leading bytes that more than HOT suffixes share go another exact way: their
-   windows' fingerprints are counted with partial sums, so no task gets them all.
+   windows' fingerprints (128 bits) are counted with partial sums, so no task gets
+   them all.
 5. The intervals found are joined with the texts by a fingerprint of the text.
 
 Copies: a text that stands in several rows is worked on once and removed whole (if
@@ -43,7 +45,10 @@ from .graph import FILTER_BITS, in_filter, tally
 GRAM = 32
 PER_BUCKET = 25_000
 COLUMNS = ["key", "tid", "at", "s0", "s1", "lead"]  # at = -1: bytes s0 to s1 are known to repeat
-HOT = 200_000
+SECOND = 0xBF58476D1CE4E5B9  # of the second fingerprint, and its inverse
+SECOND_INV = pow(SECOND, -1, 2**64)
+HOT = 50_000
+MOST_PARTITIONS = 20_000
 
 
 def anchors(a: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -210,8 +215,9 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
     n = found.count()
     if not n:
         return known
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_bucket))
-    cuts = np.array(found.agg(F.percentile_approx("lead", [k / n_buckets for k in range(1, n_buckets)], 10 * n_buckets)).first()[0] if n_buckets > 1 else [], np.int64)
+    n_buckets = min(MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_bucket)))
+    some = np.sort(found.select("lead").sample(min(1.0, 100 * n_buckets / n), 7).toPandas()["lead"].to_numpy())  # about 100 for each splitter; they only balance the work
+    cuts = some[np.arange(1, n_buckets) * len(some) // n_buckets] if len(some) else np.empty(0, np.int64)
     mask = U((1 << FILTER_BITS) - 1)
 
     def count_leads(batches):
@@ -241,26 +247,28 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
                         b = np.frombuffer(body, np.uint8)
                         p = prefix_hash(b)
                         k = np.arange(s1 - s0 + 1)
-                        for i, w in zip(k.tolist(), mix((p[k + length] - p[k]) * powers(_A_INV, len(p))[k]).view(np.int64).tolist(), strict=True):
-                            out.append((2, w, tid, s0 + i, 0))
+                        p2 = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(b.astype(np.uint64) + U(0x51ED270B)) * powers(SECOND, len(b)))))
+                        first_hash, second = (mix((x[k + length] - x[k]) * powers(inverse, len(x))[k]).view(np.int64).tolist() for x, inverse in ((p, _A_INV), (p2, SECOND_INV)))
+                        for i, w, w2 in zip(k.tolist(), first_hash, second, strict=True):
+                            out.append((2, w, w2, tid, s0 + i, 0))
                             bodies.append(b"")
                         continue
                     sign = hash((at - s0, body))
                     if sign in first:
                         if first[sign]:
                             tid0, s0_0, e_0 = first[sign]
-                            out.append((1, 0, tid0, s0_0, 0))
+                            out.append((1, 0, 0, tid0, s0_0, 0))
                             bodies.append(e_0.to_bytes(4, "little"))
                             first[sign] = ()
-                        out.append((1, 0, tid, s0, 0))
+                        out.append((1, 0, 0, tid, s0, 0))
                         bodies.append((s1 + length).to_bytes(4, "little"))
                     else:
                         first[sign] = (tid, s0, s1 + length)
-                        out.append((0, int(np.searchsorted(cuts, lead, side="left")), tid, s0, at - s0))
+                        out.append((0, int(np.searchsorted(cuts, lead, side="left")), lead, tid, s0, at - s0))
                         bodies.append(body)
             if out:
-                kind, k, tid, s, left = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(k, pa.int64()), pa.array(tid, pa.int64()), pa.array(s, pa.int32()), pa.array(left, pa.int32()), pa.array(bodies, pa.binary())], names=["kind", "k", "tid", "s", "left", "body"])
+                kind, k, lead, tid, s, left = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(k, pa.int64()), pa.array(lead, pa.int64()), pa.array(tid, pa.int64()), pa.array(s, pa.int32()), pa.array(left, pa.int32()), pa.array(bodies, pa.binary())], names=["kind", "k", "lead", "tid", "s", "left", "body"])
 
     def once(batches):
         """One text of those with equal tid in a partition, if it has marks: copies don't meet in one task."""
@@ -269,40 +277,50 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
             yield batch.filter(pa.array([t not in seen and not seen.add(t) for t in batch.column(0).to_pylist()], pa.bool_()))
 
     marks = found.groupBy("tid").agg(F.collect_set(F.struct("at", "s0", "s1", "lead")).alias("marks"))
-    made = texts.mapInArrow(lean(once), "tid long, text string").join(marks, "tid").select("tid", "text", "marks").mapInArrow(lean(contexts), "kind int, k long, tid long, s int, left int, body binary")
+    made = texts.mapInArrow(lean(once), "tid long, text string").join(marks, "tid").select("tid", "text", "marks").mapInArrow(lean(contexts), "kind int, k long, lead long, tid long, s int, left int, body binary")
 
     def bucket(batches):
-        held: dict[int, list] = {}
+        """Rows come by kind and leading bytes: buckets first, one after the other, then what needs no comparison."""
+        held: list[pa.RecordBatch] = []
+        names = ["tid", "s", "e", "w", "w2"]
 
-        def settle(rows):
-            t = pa.Table.from_batches(rows).combine_chunks()
+        def settle(t):
             tid, s, left = (t.column(c).to_numpy() for c in ("tid", "s", "left"))
             flat, offsets = text_bytes(t.column("body"))
             low, high = repeats(flat, offsets, left.astype(np.int64), length)
             hit = np.flatnonzero(high >= 0)
             at = s[hit] + left[hit]
-            return [pa.array(tid[hit]), pa.array((at - high[hit]).astype(np.int32)), pa.array((at - low[hit] + length).astype(np.int32)), pa.nulls(len(hit), pa.int64())]
+            none = pa.nulls(len(hit), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(tid[hit]), pa.array((at - high[hit]).astype(np.int32)), pa.array((at - low[hit] + length).astype(np.int32)), none, none], names=names)
 
         for batch in batches:
-            kind = batch.column(0).to_numpy()
+            kind = batch.column("kind").to_numpy()
+            own = batch.filter(pa.array(kind == 0))
+            if own.num_rows:
+                held.append(own)
+                if sum(x.num_rows for x in held) >= per_bucket:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    lead = t.column("lead").to_numpy()
+                    cut = np.flatnonzero(lead[1:] != lead[:-1])
+                    if len(cut):
+                        yield settle(t.slice(0, int(cut[-1]) + 1).combine_chunks())
+                        held = t.slice(int(cut[-1]) + 1).to_batches()
             own = batch.filter(pa.array(kind == 1))
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(2), own.column(3), pa.array([int.from_bytes(b, "little") for b in own.column(5).to_pylist()], pa.int32()), pa.nulls(own.num_rows, pa.int64())], names=["tid", "s", "e", "w"])
+                none = pa.nulls(own.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([own.column("tid"), own.column("s"), pa.array([int.from_bytes(b, "little") for b in own.column("body").to_pylist()], pa.int32()), none, none], names=names)
             own = batch.filter(pa.array(kind == 2))
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(2), own.column(3), pa.array(own.column(3).to_numpy() + length, pa.int32()), own.column(1)], names=["tid", "s", "e", "w"])
-            own = batch.filter(pa.array(kind == 0))
-            k = own.column(1).to_numpy()
-            for b in np.unique(k).tolist():
-                held.setdefault(b, []).append(own.filter(pa.array(k == b)))
-        for b in list(held):
-            yield pa.RecordBatch.from_arrays(settle(held.pop(b)), names=["tid", "s", "e", "w"])
+                yield pa.RecordBatch.from_arrays([own.column("tid"), own.column("s"), pa.array(own.column("s").to_numpy() + length, pa.int32()), own.column("k"), own.column("lead")], names=names)
+        if held:
+            yield settle(pa.Table.from_batches(held).combine_chunks())
 
     spread = F.when(F.col("kind") == 0, F.col("k")).otherwise(F.pmod(F.xxhash64("tid", "s"), F.lit(n_buckets)))
-    got = stage(made.repartition(n_buckets, spread).mapInArrow(lean(bucket), "tid long, s int, e int, w long"), "stretches")
+    dealt = made.repartition(n_buckets, spread).sortWithinPartitions("kind", "lead")
+    got = stage(dealt.mapInArrow(lean(bucket), "tid long, s int, e int, w long, w2 long"), "stretches")
     windows = got.where("w is not null")
-    often_ = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    return known.union(got.where("w is null").select("tid", "s", "e")).union(windows.join(often_, "w").select("tid", "s", "e"))
+    often_ = windows.groupBy("w", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "w2")
+    return known.union(got.where("w is null").select("tid", "s", "e")).union(windows.join(often_, ["w", "w2"]).select("tid", "s", "e"))
 
 
 def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot: int = HOT, cut_text: bool = False) -> DataFrame:

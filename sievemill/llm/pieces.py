@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, crc, lean, table, workers_import
+from .common import crc, lean, table, workers_import
 
 MARK = "\u2581"
-KEEP = 200_000  # words, and pairs of pieces, kept at most by a worker
+KEEP = 1_000_000  # words, and pairs of pieces, kept at most by a worker
 _made: dict[str, "Pieces"] = {}
-CACHES.append(_made)
 
 
 class Pieces:
@@ -55,50 +54,73 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.piece[self.text[i]] = (sp.get_score(i), i)
         self.unknown = sp.unk_id()
-        self.longest = max(map(len, self.piece))
+        self.score = {t: x[0] for t, x in self.piece.items()}
         self.piece = {t: x for t, x in self.piece.items() if len(t) == 1 or self.merged(t) == [t]}  # others never come of merging
-        lengths: dict[str, set] = {}
+        self.ends: dict = {}  # pieces by their characters from the last one back; "" leads to the piece
         for t in self.piece:
-            lengths.setdefault(t[-2:], set()).add(len(t))
-        self.lengths = {t: tuple(sorted(n, reverse=True)) for t, n in lengths.items()}  # of pieces by their last two characters
+            node = self.ends
+            for c in reversed(t):
+                node = node.setdefault(c, {})
+            node[""] = t
         inner = any(MARK in p.lstrip(MARK) for p in self.piece)
         self.words = (lambda t: [t]) if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$").findall
         self.cache: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[str, dict[str, bool]] = {}  # by left piece and right piece
+        self.pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: the best pair, the leftmost of equal ones, as long as there is any."""
-        parts = list(text)
-        while True:
-            best = max(((got[0], -k) for k in range(len(parts) - 1) if (got := self.piece.get(parts[k] + parts[k + 1]))), default=None)
-            if best is None:
-                return parts
-            parts[-best[1] : 2 - best[1]] = [parts[-best[1]] + parts[1 - best[1]]]
-
-    def stay_apart(self, left: str, right: str) -> bool:
-        got = self.apart.get((left, right))
-        if got is None:
-            if len(self.apart) > KEEP:
-                self.apart.clear()
-            got = self.apart[left, right] = self.merged(left + right) == [left, right]
-        return got
+        parts, score, none = list(text), self.score.get, float("-inf")
+        worth = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while worth and (best := max(worth)) > none:
+            k = worth.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del worth[k]
+            if k:
+                worth[k - 1] = score(parts[k - 1] + parts[k], none)
+            if k < len(worth):
+                worth[k] = score(parts[k] + parts[k + 1], none)
+        return parts
 
     def learn(self, words: list[str]) -> None:
         """Segment distinct words, in sorted order, sharing forward states along common prefixes."""
-        piece, lengths, apart, before = self.piece, self.lengths, self.stay_apart, ""
+        piece, ends, merged, before = self.piece, self.ends, self.merged, ""
+        if self.pairs > KEEP:
+            self.apart, self.pairs = {}, 0
+        apart = self.apart
         last: list[str] = [""]  # of each prefix: the last piece of its path
+        rows: list[dict] = [{}]  # and what is known of the pieces that follow it
         for w in sorted(words):
             shared, top = 0, min(len(w), len(before))
             while shared < top and w[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], rows[shared + 1 :]
             for i in range(shared + 1, len(w) + 1):
-                for n in lengths.get(w[max(i - 2, 0) : i], ()):
-                    if n <= i and (t := w[i - n : i]) in piece and (n == i or apart(last[i - n], t)):
-                        last.append(t)
+                found, node, k = [], ends, i
+                while k:
+                    k -= 1
+                    node = node.get(w[k])
+                    if node is None:
                         break
-                else:
-                    last.append(w[i - 1])
+                    if "" in node:
+                        found.append(node[""])
+                t = w[i - 1]
+                for t in reversed(found):  # the longest that may follow what stands before it
+                    j = i - len(t)
+                    if not j:
+                        break
+                    row = rows[j]
+                    ok = row.get(t)
+                    if ok is None:
+                        ok = row[t] = merged(last[j] + t) == [last[j], t]
+                        self.pairs += 1
+                    if ok:
+                        break
+                last.append(t)
+                row = apart.get(t)
+                if row is None:
+                    row = apart[t] = {}
+                rows.append(row)
             ids, i = [], len(w)
             while i:
                 t = last[i]

@@ -13,6 +13,15 @@ from . import lists
 SPACE = r"[\x{9}-\x{D} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: the characters of SPACE
+SPACES = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(x) -> Column:
+    """White space of any kind off both ends, without a pattern that is tried at every blank."""
+    return F.btrim(_c(x), F.lit(SPACES))
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -36,7 +45,7 @@ def normalize_text(x) -> Column:
     x = F.regexp_replace(F.replace(_c(x), F.lit("\r"), F.lit("")), "[ \t]+", " ")
     x = F.regexp_replace(F.regexp_replace(x, " ([.,;:!?])", "$1"), " ?\n ?", "\n")
     x = F.regexp_replace(x, "\n{3,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(x, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return strip(x)
 
 
 def escape_html(x) -> Column:
@@ -90,7 +99,7 @@ def count_sentences(x) -> Column:
 
 def is_share_text(x) -> Column:
     """Texts of share buttons, photo credits, newsletter boxes and bylines."""
-    t = F.regexp_replace(F.regexp_replace(_c(x), f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    t = strip(x)
     t_bytes = F.octet_length(t)
     s = F.regexp_replace(t, r"^[^\p{L}\p{N}_]+", "")
     low = F.lower(s)
@@ -127,7 +136,7 @@ def tag_list(x, separators: str = "[,;]") -> Column:
 
 def is_name(x) -> Column:
     """Whether a meta value can be a person's name."""
-    t = F.regexp_replace(F.regexp_replace(_c(x), f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    t = strip(x)
     n = F.octet_length(t)
     return (
         n.between(2, 120)

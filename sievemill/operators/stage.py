@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from . import classic as K
 from . import metadata as M
 from . import page as X
 from .dom import parse
@@ -138,6 +139,26 @@ def extract(df: DataFrame, options: X.Options | None = None, html: str = "html",
     return _map(df, html, url if url in df.columns else None, RESULT, record, page_type)
 
 
+CLASSIC = [T.StructField("content_text", S), T.StructField("content_html", S), T.StructField("comments_text", S), T.StructField("used_recovery", B)]
+
+
+def classic(df: DataFrame, options: X.Options | None = None, html: str = "html") -> DataFrame:
+    """Every page of df by the classic way of extraction (see operators.classic)."""
+    o = options or X.Options()
+    return _map(df, html, None, CLASSIC, lambda page, _: [K.extract(page, o)])
+
+
+def quality_features(df: DataFrame, options: X.Options | None = None, html: str = "html", url: str | None = "url") -> DataFrame:
+    """The numbers of classic.QUALITY_FEATURES for the extraction of every page, to train a quality score of one's own on."""
+    o = options or X.Options()
+
+    def record(page, own):
+        r = record_of(page, own, o)
+        return [{"quality_features": K.quality_features(r["content_text"], r["content_html"], page, r["metadata"]["page_type"] or "article")}]
+
+    return _map(df, html, url if url in df.columns else None, [T.StructField("quality_features", T.ArrayType(D))], record)
+
+
 def html_signals(df: DataFrame, html: str = "html", url: str | None = "url") -> DataFrame:
     """Signals of the page type, and the type they and the URL give."""
 

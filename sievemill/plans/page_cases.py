@@ -12,9 +12,11 @@ from html import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import classic
 from ..operators import rules as R
 from ..operators import stage
 from ..operators import values as V
+from ..operators.dom import parse
 from ..operators.page import Options
 
 PROSE = " ".join(f"This sentence of the main text holds several useful words, and number {i}." for i in range(16))
@@ -190,6 +192,50 @@ PIPES = {
 FILES = {"a.PNG": True, "/x/y.jpeg?w=1": True, "a.svgz": False, "png": True, "a.b.avif": True, "": False, "x.html": False}
 
 
+CLASSIC = {
+    "body name": (SELECTION["body name"][0], {}, "KEPT"),
+    "main": (SELECTION["main"][0], {}, "KEPT"),
+    "first of two articles": (SELECTION["first of two articles"][0], {}, "FIRST"),
+    "recovered": (page(f"<div>{p('ONES')}<span>{p('TWOS')}</span></div>"), {}, "ONES,TWOS"),
+    "teaser": (page(f"<article>{p('KEPT')}<div class='teaser'>{p('LOST', SOME)}</div></article>"), {}, "KEPT"),
+    "teaser in recall": (page(f"<article>{p('KEPT')}<div class='teaser'>{p('STAY', SOME)}</div></article>"), {"favor_recall": True}, "KEPT,STAY"),
+    "caption": (page(f"<article>{p('KEPT')}<p class='caption'>LOST words</p></article>"), {}, "KEPT"),
+    "precision": (page(f"<article>{p('KEPT')}<p class='bottom'>LOST words</p><header><p>LOST</p></header></article>"), {"favor_precision": True}, "KEPT"),
+    "hidden": (page(f"<article>{p('KEPT')}<p style='display:none'>LOST</p><p hidden>LOST</p></article>"), {}, "KEPT"),
+    "lists and quotes": (page(f"<article>{p('KEPT')}<ul><li>POINT one</li><li>OTHER two</li></ul><blockquote>QUOTE of it</blockquote></article>"), {}, "KEPT,POINT,OTHER,QUOTE"),
+    "table": (page(f"<article>{p('KEPT')}<table><tr><td>AAAA</td><td>BBBB</td></tr><tr><td>CCCC</td><td>DDDD</td></tr></table></article>"), {}, "KEPT,AAAA,BBBB,CCCC,DDDD"),
+    "link list": (page(f"<article>{p('KEPT')}<ul>{LINKS.replace('Go', 'LOST')}</ul></article>"), {}, "KEPT"),
+    "repeated texts": (page(f"<article>{''.join(p('SAME') for _ in range(5))}</article>"), {"deduplicate": True}, "SAME,SAME,SAME"),
+    "comments go": (page(f"<article>{p('KEPT')}<div class='comments-box'>{p('LOST', SOME)}</div></article>"), {}, "KEPT"),
+}
+CLASSIC_COMMENTS = {
+    "list": (page(f"<article>{p('KEPT')}</article><ol class='commentlist'><li>REPLY of a reader</li><li class='nocomments'>LOST</li></ol>"), "REPLY"),
+    "by id": (page(f"<article>{p('KEPT')}</article><section id='comments-x'><p>REPLY of a reader</p><cite>LOST name</cite></section>"), "REPLY"),
+    "thread": (page(f"<article>{p('KEPT')}</article><div id='disqus_thread'><p>REPLY of a reader</p></div>"), "REPLY"),
+    "by class": (page(f"<article>{p('KEPT')}</article><div class='user-comment'><p>REPLY of a reader</p></div>"), "REPLY"),
+    "none": (page(f"<article>{p('KEPT')}</article>"), None),
+}
+MENUS = {
+    "Home | About | Contact\nThe text.": "The text.", "Skip to content. The text.": "The text.", "< Back\n\nThe text.": "The text.", "The text | of one": "The text | of one", "a > b > c < d <\nThe text.": "The text.", "The text.": "The text.",
+}
+_MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Go {i}</a></li>" for i in range(12)) + "</ul>"
+SECTIONS = {
+    f"<div><p>{PROSE}</p>{_MENU}</div>": f"<div><p>{PROSE}</p></div>",
+    f"<p>Few</p>{_MENU}": f"<p>Few</p>{_MENU}",
+    f"<p>{PROSE} <a href='/x'>one</a></p>": f"<p>{PROSE} <a href='/x'>one</a></p>",
+}
+GRAPHS = {
+    "<meta property='og:title' content='A'><meta property='og:title' content='B'><meta property='og:locale' content='de_AT'>": "language=de,title=A",
+    "<meta property='og:url' content='https://x.org'><meta property='og:type' content='article'><meta name='title' content='C'>": "og_type=article,url=https://x.org",
+    "<meta property='og:image' content=''>": "",
+}
+LIGHT = {
+    "<title>Big News Story | The Site</title>": "Big News Story|null",
+    "<meta name=title content='From the meta'><meta name=author content='Jane Doe'><title>x</title>": "From the meta|Jane Doe",
+    "<h1>Heading of the page</h1>": "Heading of the page|null",
+}
+
+
 def _sql(rows) -> str:
     quote = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
     return "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(quote, r))})" for r in rows) + ") AS v"
@@ -253,8 +299,38 @@ def _values_query(cases: dict, function):
     return run
 
 
+def case_classic(spark, d):
+    parts = []
+    for o in dict.fromkeys(tuple(sorted(c[1].items())) for c in CLASSIC.values()):
+        df = spark.createDataFrame([(k, c[0]) for k, c in CLASSIC.items() if tuple(sorted(c[1].items())) == o], "case_name string, html string")
+        parts.append(stage.classic(df, Options(**dict(o))).select("case_name", words().alias("value")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def case_classic_comments(spark, d):
+    df = spark.createDataFrame([(k, c[0]) for k, c in CLASSIC_COMMENTS.items()], "case_name string, html string")
+    return stage.classic(df, Options(include_comments=True)).select("case_name", F.when(F.col("comments_text").isNotNull(), words("comments_text")).alias("value"))
+
+
 _yes = lambda x: str(bool(x)).lower()
+_graph = lambda x: ",".join(f"{k}={v}" for k, v in sorted(classic.open_graph(parse(x)).items()))
+
+
+def _light(x: str) -> str:
+    m = classic.light_metadata(parse(x), None)
+    return f"{m['title']}|{m.get('author') or 'null'}"
+
+
 QUERIES = {
+    "case_classic": case_classic,
+    "case_classic_comments": case_classic_comments,
+    "case_menu_lines": _values_query(MENUS, classic.strip_menu_line),
+    "case_link_sections": _values_query(SECTIONS, classic.strip_link_sections),
+    "case_open_graph": _values_query(GRAPHS, _graph),
+    "case_light_metadata": _values_query(LIGHT, _light),
     "case_selection": _words_query(SELECTION),
     "case_cleaning": _words_query(CLEANING),
     "case_tables": _words_query(TABLES),
@@ -275,9 +351,9 @@ QUERIES = {
 _pairs = lambda cases: _sql([(k, str(v).lower() if isinstance(v, bool) else v) for k, v in cases.items()]) + "(case_name, value)"
 _thirds = lambda cases: _sql([(k, c[2]) for k, c in cases.items()]) + "(case_name, value)"
 ORACLES = {
-    **{name: _thirds(cases) for name, cases in (("case_selection", SELECTION), ("case_cleaning", CLEANING), ("case_tables", TABLES), ("case_fallbacks", FALLBACKS))},
-    **{name: _pairs({k: c[1] for k, c in cases.items()}) for name, cases in (("case_comments", COMMENTS), ("case_page_types", TYPES), ("case_charsets", CHARSETS))},
+    **{name: _thirds(cases) for name, cases in (("case_selection", SELECTION), ("case_cleaning", CLEANING), ("case_tables", TABLES), ("case_fallbacks", FALLBACKS), ("case_classic", CLASSIC))},
+    **{name: _pairs({k: c[1] for k, c in cases.items()}) for name, cases in (("case_comments", COMMENTS), ("case_classic_comments", CLASSIC_COMMENTS), ("case_page_types", TYPES), ("case_charsets", CHARSETS))},
     "case_images": _sql([(k, str(i), x) for k, c in IMAGES.items() for i, x in enumerate(c[1])]) + "(case_name, place, value)",
     "case_metadata": _sql([(k, c[1], c[2]) for k, c in META.items()]) + "(case_name, field, value)",
-    **{name: _pairs(cases) for name, cases in (("case_boilerplate_names", NAMES), ("case_around_names", AROUND), ("case_titles_match", TITLES), ("case_site_suffix", SITES), ("case_absolute_urls", LINKED), ("case_table_markdown", PIPES), ("case_image_files", FILES))},
+    **{name: _pairs(cases) for name, cases in (("case_menu_lines", MENUS), ("case_link_sections", SECTIONS), ("case_open_graph", GRAPHS), ("case_light_metadata", LIGHT), ("case_boilerplate_names", NAMES), ("case_around_names", AROUND), ("case_titles_match", TITLES), ("case_site_suffix", SITES), ("case_absolute_urls", LINKED), ("case_table_markdown", PIPES), ("case_image_files", FILES))},
 }

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lists
+from ..functions.columns import SPACE
 from ..operators import page_types
+from ..operators.classic import QUALITY_FEATURES
 from ..operators.features import NAMES
 from ..operators.page import Options
-from ..operators.stage import extract, html_nodes, html_signals, ml_features, resolve_urls
+from ..operators.stage import classic, extract, html_nodes, html_signals, ml_features, quality_features, resolve_urls
 from . import page_cases
-from .catalog import TYPED, pages
+from .catalog import WORDS, WS, pages
 from .page_sql import PAGES
 
 ALL = Options(output_markdown=True, include_images=True, include_comments=True, include_links=True)
@@ -93,12 +95,27 @@ def links_resolved(spark, d):
     return resolve_urls(links, "href", "url").select("page_id", "href", "absolute_url", "url_check.valid")
 
 
-QUERIES = {f.__name__: f for f in (extract_text, extract_html, extract_markdown, extract_all, page_metadata, page_titles, page_signals, extraction_quality, nodes_by_tag, nodes_per_page, page_features, bytes_pages, page_type_vote, type_score_rollup, links_resolved)}
+def classic_text(spark, d):
+    """The classic way over all pages: characters of text without white space."""
+    out = classic(pages(spark, d).select("page_id", "html"))
+    return out.select("page_id", F.length(F.regexp_replace("content_text", SPACE, "")).cast("long").alias("chars"), (~F.col("used_recovery")).alias("by_rule"))
+
+
+def page_quality_features(spark, d):
+    f = quality_features(pages(spark, d))
+    return f.select("page_id", *[F.round(F.element_at("quality_features", QUALITY_FEATURES.index(k) + 1), 9).alias(k) for k in ("heuristic", "bytes", "words", "distinct_words", "paragraphs", "links", "is_article", "of_expected", "share_of_html", "of_description", "scripts", "has_data")])
+
+
+QUERIES = {f.__name__: f for f in (classic_text, page_quality_features, extract_text, extract_html, extract_markdown, extract_all, page_metadata, page_titles, page_signals, extraction_quality, nodes_by_tag, nodes_per_page, page_features, bytes_pages, page_type_vote, type_score_rollup, links_resolved)}
 _tags = lambda t: f"len(regexp_extract_all(html, '<({t})[ >]'))"
 _PLAIN = "regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '(?s)<style>.*?</style>', '<style>', 'g')"
 _MEAN = f"SELECT page_type, count(*) AS pages, avg(round(extraction_quality, 6)) AS mean_score FROM {PAGES} GROUP BY 1"
 _KINDS = "['" + "', '".join(lists.PAGE_TYPES) + "']"
+_PARTS = "list_filter(list_transform(string_split(content_text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: strlen(x) > 20)"
+_LOW = WORDS("lower(content_text)")
 ORACLES = {
+    "page_quality_features": f"SELECT page_id, round(extraction_quality, 9) AS heuristic, n::DOUBLE AS bytes, len({_LOW})::DOUBLE AS words, round(len(list_distinct({_LOW})) / greatest(len({_LOW}), 1)::DOUBLE, 9) AS distinct_words, len({_PARTS})::DOUBLE AS paragraphs, 0::DOUBLE AS links, (page_type = 'article')::INT::DOUBLE AS is_article, round(n / (CASE page_type WHEN 'article' THEN 10228 ELSE 6275 END)::DOUBLE, 9) AS of_expected, round(r, 9) AS share_of_html, -1::DOUBLE AS of_description, 1::DOUBLE AS scripts, 0::DOUBLE AS has_data FROM {PAGES}",
+    "classic_text": f"SELECT page_id, length(regexp_replace(CASE WHEN length(h1) + length(array_to_string(paras, '')) >= 200 THEN h1 || array_to_string(paras, '') ELSE array_to_string(paras, '') END, '{WS}', '', 'g')) AS chars, length(h1) + length(array_to_string(paras, '')) >= 200 AS by_rule FROM (SELECT page_id, h1, string_split(lines, chr(10)) AS paras FROM {PAGES})",
     "extract_text": f"SELECT page_id, content_text, warnings FROM {PAGES}",
     "extract_html": f"SELECT page_id, content_html FROM {PAGES}",
     "extract_markdown": f"SELECT page_id, content_markdown FROM {PAGES}",

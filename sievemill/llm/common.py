@@ -57,13 +57,15 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
-CACHES: list[dict] = []  # of workers; emptied by release()
+CACHES: dict[str, dict] = {}  # what worker processes keep between partitions, by the operator that needs it
 
 
-def release() -> None:
-    """Give what a worker process has cached and freed back to the system. Workers live on between tasks and stages: without this each keeps the most it ever held."""
-    for c in (_powers, *CACHES):
-        c.clear()
+def release(but: str = "") -> None:
+    """Empty the caches of all other operators, and give freed memory back."""
+    for name, c in CACHES.items():
+        if name != but:
+            c.clear()
+    _powers.clear()
     trim()
 
 
@@ -76,8 +78,8 @@ def trim() -> None:
         pass
 
 
-def lean(run):
-    """run, for mapInArrow, with trim() after every few batches and release() at the end of its partition."""
+def lean(run, keeps: str = ""):
+    """run, for mapInArrow, in a worker that holds little besides: workers live on between stages and operators, and each would keep the most it ever held. Caches of other operators go when it begins (keeps: its own), freed memory goes back after every few batches and at the end of the partition."""
 
     def trimmed(batches):
         for k, batch in enumerate(batches):
@@ -87,10 +89,11 @@ def lean(run):
                 trim()
 
     def lean_run(batches):
+        release(keeps)
         try:
             yield from run(trimmed(batches))
         finally:
-            release()
+            release(keeps)
 
     return lean_run
 

@@ -123,7 +123,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, leading: bool) -> DataFr
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return stage(ordered.mapInArrow(lean(run), "part int, block int, body binary"), "dac")
+    return stage(ordered.mapInArrow(lean(run, "tokens"), "part int, block int, body binary"), "dac")
 
 
 def read(blocks: DataFrame) -> DataFrame:

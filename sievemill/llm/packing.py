@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, leading:
                 k, n, at, length, check, nth = (np.array(c, np.int64) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([docs.take(pa.array(k)), pa.array(n.astype(np.int32)), pa.array(at), pa.array(length), pa.array(check), pa.array(np.full(len(k), part, np.int32)), pa.array(nth)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, "tokens"), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, leading: bool = False) -> DataFrame:

@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc, lean, table, workers_import
+from .common import CACHES, crc, lean, table, workers_import
 
 MARK = "\u2581"
 KEEP = 1_000_000  # words, and pairs of pieces, kept at most by a worker
 _made: dict[str, "Pieces"] = {}
+CACHES["pieces"] = _made
 
 
 class Pieces:
@@ -176,7 +177,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 out = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([crc(x) for x in ids], pa.int64()), pa.array([model.decode(x) == t for x, t in zip(ids, texts, strict=True)])]
                 yield pa.RecordBatch.from_arrays([*out, pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))] if with_ids else out, names=["doc_id", "n_ids", "ids_crc32", "round_trip", "ids"][: 4 + with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, "pieces"), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -188,7 +189,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else model.decode(np.array(x, "<u4")) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(lean(run), "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(lean(run, "pieces"), "doc_id long, text string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ a whole batch at once, looked up in a table, and their ids laid out by array
 operations. The library encodes each chunk that the table lacks, many in one
 call; the lengths of the tokens then tell where each chunk ends. Texts with any
 other white space are encoded whole. The table has a fixed size and starts anew
-when full, or at the end of a partition.
+when full.
 """
 
 from __future__ import annotations
@@ -22,17 +22,17 @@ import numpy as np
 from .common import CACHES, LOWER, SPACE, U, prefix_hash, span_hash
 
 OTHER_SPACE = re.compile(r"[^\S \n]")
-SLOTS = 1 << 20
-FULL = 500_000
+SLOTS = 1 << 21
+FULL = 800_000
 AT_ONCE = 16  # groups of 512 chunks in one call of the library
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 _made: dict[tuple[str, bool], "BatchTokenizer"] = {}
-CACHES.append(_made)
+CACHES["tokens"] = _made
 
 
 def tokenizer(path: str, leading: bool) -> "BatchTokenizer":
-    """One per worker process, until its partition ends. Tasks fill the cores already: threads of the library would only hold memory."""
+    """One per worker process, until another operator works there. Tasks fill the cores already: threads of the library would only hold memory."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, leading) not in _made:
         _made[path, leading] = BatchTokenizer(path, leading)

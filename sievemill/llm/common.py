@@ -41,7 +41,27 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged = path
+    _staged.append(path)
+    return out
+
+
+_staged: list[str] = []  # folders of this process, in order
+
+
+def staged_so_far() -> int:
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables staged from number `since` on, but those in keep: what nobody will read again needn't wait for the session's end."""
+    kept = {x._staged for x in keep}
+    fs_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in [p for p in _staged[since:] if p not in kept]:
+        _staged.remove(path)
+        target = fs_of(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -129,12 +149,6 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 20):
         i = j
 
 
-def binary(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Arrow binary column whose row i is flat[offsets[i]:offsets[i + 1]] (offsets in items of flat)."""
-    data = np.ascontiguousarray(flat)
-    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((np.asarray(offsets, np.int64) * data.itemsize).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
-
-
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 

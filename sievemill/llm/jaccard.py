@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, binary, chunks, grams, lean, mix, prefix_hash, span_hash, stage, table, text_bytes, words, workers_import
+from .common import LOWER, U, chunks, drop_staged, grams, lean, mix, prefix_hash, span_hash, stage, staged_so_far, table, text_bytes, words, workers_import
 from .graph import components, in_filter, merged, slices
 
 NUM, DEN = 80, 100  # similarity as a fraction
@@ -400,7 +400,7 @@ def link(docs: DataFrame, row: bool = False, block: int = BLOCK, few: int = FEW,
     """doc_id, n_shingles, component_id for docs (doc_id, text); with row also text_hash (xxhash64 of the text) and first: whether the row is its component's least by doc_id (nulls last) and text_hash."""
     spark = docs.sparkSession
     workers_import(spark)
-    text = F.col("text").cast("string")
+    text, mark = F.col("text").cast("string"), staged_so_far()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
     made = sets_table(texts)
     sets = made.where("slice is null").select("doc_id", "tid", "sid", "n")
@@ -417,18 +417,20 @@ def link(docs: DataFrame, row: bool = False, block: int = BLOCK, few: int = FEW,
         at = members.join(open_, "label", "left_semi")
         some = at.join(roots.withColumnRenamed("node", "sid"), "sid", "left").groupBy("label").agg(F.min(F.coalesce("root", "sid")).alias("lo"), F.max(F.coalesce("root", "sid")).alias("hi")).where("lo < hi").select("label")
         links = links.union(verified(texts, nodes, compare(at.join(some, "label", "left_semi"), bits, roots, block, few)))
-    return named(sets, nodes, components(links), row)
+    out, names = named(sets, nodes, components(links), row)
+    drop_staged(spark, mark, made, names)
+    return out
 
 
-def named(sets: DataFrame, nodes: DataFrame, roots: DataFrame, row: bool) -> DataFrame:
-    """doc_id, n_shingles, component_id. Ids are gathered by set and then by component with partial sums, so copies meet in no task before the last join, where Spark splits skewed sides."""
+def named(sets: DataFrame, nodes: DataFrame, roots: DataFrame, row: bool) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, component_id; and the staged names that these are read from. Ids are gathered by set and then by component with partial sums, so copies meet in no task before the last join, where Spark splits skewed sides."""
     first = stage(nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root")), "first")
     least = first.groupBy("root").agg(F.min("first").alias("least"))
     name = stage(first.join(least, "root").select("sid", "least"), "names")
     own = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tid") == F.col("least.tid"))
     full = sets.where("n > 0").join(name, "sid").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), F.col("tid").alias("text_hash"), own.alias("first"))
     out = full.union(sets.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id"), "tid", F.lit(True)))
-    return out if row else out.drop("text_hash", "first")
+    return (out if row else out.drop("text_hash", "first")), name
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

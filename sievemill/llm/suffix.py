@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import _A_INV, U, chunks, mix, powers, prefix_hash, span_hash, lean, stage, table, text_bytes, workers_import
+from .common import _A_INV, U, chunks, drop_staged, mix, powers, prefix_hash, span_hash, lean, stage, staged_so_far, table, text_bytes, workers_import
 from .graph import FILTER_BITS, in_filter, tally
 
 GRAM = 32
@@ -326,11 +326,12 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
 def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot: int = HOT, cut_text: bool = False) -> DataFrame:
     """docs with new columns n_bytes, n_removed, n_spans, kept (the remaining bytes), which replace columns of these names (__tid and __cuts are reserved). cut_text: text becomes what remains, without the parts of characters that a cut has split."""
     workers_import(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text, mark = F.coalesce(F.col("text").cast("string"), F.lit("")), staged_so_far()
     texts = docs.select(F.xxhash64(text).alias("tid"), text.alias("text"))
     whole = texts.where(F.octet_length("text") >= length).groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("e")).where("n > 1")
     cut = intervals(texts, length, per_bucket, hot).union(whole.select("tid", F.lit(0), "e"))
     cut = stage(cut.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("cuts")), "cuts")
+    drop_staged(docs.sparkSession, mark, cut)
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     names = docs.columns
     tagged = docs.withColumn("__tid", F.xxhash64(text))

@@ -182,6 +182,30 @@ def test_packing(spark, texts):
     assert len(bins) == len(rooms)
 
 
+def test_packing_of_awkward_rows(spark):
+    rows = [(None, "a b"), (3, None), (3, "x"), (3, "x"), (4, "word " * 3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), capacity=512).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.length) for x in got if x.doc_id != 4) == [(False, 3, 1), (False, 3, 2), (False, 3, 2), (True, 0, 3)]
+    assert len({(x.sequence_id, x.offset) for x in got}) == len(got) and sum(x.length for x in got if x.doc_id == 4) == 3001
+
+
+def test_language_id_of_awkward_rows(spark):
+    model = langid.fit(docs_of(spark, ["the and with", "der und mit"], ["en", "de"]))
+    rows = [(None, "the and"), (3, None), (3, "der und"), (3, "der und"), (5, "the and " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("mine"))
+    got = langid.predict(docs, model, keep=True)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    assert sorted((x.doc_id or -1, x.lang_pred) for x in got.collect()) == [(-1, "en"), (3, "de"), (3, "de"), (3, "und"), (5, "en")]
+    known = langid.identify(docs.withColumn("lang", F.lit("en"))).collect()
+    assert len(known) == 5 and not next(x.held_out for x in known if x.doc_id is None)
+
+
+def test_rules_of_awkward_rows(spark):
+    rows = [(None, "word " * 30), (3, None), (3, "x"), (3, "x"), (5, "one two three four\n" * 5000)]
+    got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string"), (rules.PRIOR, 1.0)).collect()
+    assert sorted((x.doc_id or -1, x.n_words, x.base_failed) for x in got) == [(-1, 30, True), (3, 0, True), (3, 1, True), (3, 1, True), (5, 20000, True)]
+
+
 def test_capacity_tree():
     tree = packing.CapacityTree(100)
     rooms = [3, 50, 77, 100]

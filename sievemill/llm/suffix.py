@@ -235,6 +235,8 @@ def intervals(texts: DataFrame, length: int, per_bucket: int, hot: int) -> DataF
         for batch in batches:
             out: list[tuple] = []
             bodies: list[bytes] = []
+            if len(first) > 1 << 17:  # what is forgotten here is compared in its bucket
+                first.clear()
             for tid, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if tid in seen:
                     continue

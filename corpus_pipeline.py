@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import graph, jaccard, langid, packing, pii, suffix
-from sievemill.llm.common import stage, workers_import
+from sievemill.llm.common import drop_staged, stage, staged_so_far, workers_import
 
 ORACLE_SQL = None
 
@@ -87,9 +87,10 @@ STAGES = [("language ID", language_id), ("n-gram Jaccard join", near_duplicates)
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     workers_import(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for k, (_, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(docs, "corpus")
+            drop_staged(spark, mark, docs)  # all that led to it
     return docs

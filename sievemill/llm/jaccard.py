@@ -411,7 +411,7 @@ def link(docs: DataFrame, row: bool = False, block: int = BLOCK, few: int = FEW,
     bits = stage(of_sets(texts, nodes, members.select("sid").distinct(), parity, "bits"), "bits")
     near = compare(members, bits, None, block, few)
     links = verified(texts, nodes, near)
-    open_ = stage(near.join(links, ["a", "b"], "left_anti").select("label").distinct(), "open")
+    open_ = stage(near.where("label is not null").join(links, ["a", "b"], "left_anti").select("label").distinct(), "open")
     if open_.take(1):
         roots = components(links)
         at = members.join(open_, "label", "left_semi")

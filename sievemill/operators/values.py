@@ -96,6 +96,21 @@ def strip_site(title: str, site: str | None) -> str:
     return title
 
 
+#: what stands in Markdown as markup, or is protected already; else a special character is text
+_MARKDOWN = re.compile(
+    r"""(?P<keep>^`{3,}[\s\S]*?(?:^`{3,}|\Z)|`[^`]*(?:`|\Z)|\\[\\*_\[\]<>]?"""  # code, escapes
+    r"""|^[ \t]*(?:[#>]|[-*+](?=[ ]))|(?<=>[ ])>"""  # headings, quotes, lists
+    r"""|\*\*|__|(?:(?<=[^\W_])|(?<=\s)|^)[*_](?=[^\W_])|(?<=[^\W_])[*_](?=\s|\Z)"""  # strong, emphasis
+    r"""|\[(?=[\s\S]*\]\()|\](?=\()|<(?=[h/]))|[*_\[\]<>]""",  # links
+    re.M,
+)
+
+
+def escape_loose_markdown(s: str) -> str:
+    """Backslashes before special characters of a Markdown document that are no markup (deprecated: the writer escapes text by itself)."""
+    return _MARKDOWN.sub(lambda m: m[0] if m["keep"] is not None else "\\" + m[0], s)
+
+
 def count_words(s: str, least: int) -> int:
     return sum(1 for w in s.split() if len(w) >= least or size(w) >= least)
 

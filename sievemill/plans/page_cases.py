@@ -189,6 +189,10 @@ PIPES = {
     "<table><tr><td align=center>x</td><td>longer</td></tr><tr><td>y</td></tr></table>": "|  x  | longer |\n|:-:| ------ |\n|  y  |        |\n",
     "<p>x</p>": "",
 }
+LOOSE = {
+    "# Head\n\ntext": "# Head\n\ntext", "a < b": "a \\< b", "x [1] y": "x \\[1\\] y", "[a](b)": "[a](b)", "**bold** and *it*": "**bold** and *it*", "2 * 3": "2 \\* 3", "`a*b` c": "`a*b` c", "```\na < b\n```\nc < d": "```\na < b\n```\nc \\< d",
+    "done \\* so": "done \\* so", "- item\n* other\n+ third": "- item\n* other\n+ third", "> said\n> > more": "> said\n> > more", "see <https://x.org>": "see <https://x.org\\>", "snake_case": "snake_case",
+}
 FILES = {"a.PNG": True, "/x/y.jpeg?w=1": True, "a.svgz": False, "png": True, "a.b.avif": True, "": False, "x.html": False}
 
 
@@ -346,6 +350,7 @@ QUERIES = {
     "case_site_suffix": _values_query(SITES, lambda x: V.strip_site(x, None)),
     "case_absolute_urls": _values_query(LINKED, lambda x: V.absolute(x, "https://x.org/d/e")),
     "case_table_markdown": _values_query(PIPES, stage.table_markdown),
+    "case_loose_markdown": _values_query(LOOSE, V.escape_loose_markdown),
     "case_image_files": _values_query(FILES, lambda x: _yes(V.is_image_file(x))),
 }
 _pairs = lambda cases: _sql([(k, str(v).lower() if isinstance(v, bool) else v) for k, v in cases.items()]) + "(case_name, value)"
@@ -355,5 +360,5 @@ ORACLES = {
     **{name: _pairs({k: c[1] for k, c in cases.items()}) for name, cases in (("case_comments", COMMENTS), ("case_classic_comments", CLASSIC_COMMENTS), ("case_page_types", TYPES), ("case_charsets", CHARSETS))},
     "case_images": _sql([(k, str(i), x) for k, c in IMAGES.items() for i, x in enumerate(c[1])]) + "(case_name, place, value)",
     "case_metadata": _sql([(k, c[1], c[2]) for k, c in META.items()]) + "(case_name, field, value)",
-    **{name: _pairs(cases) for name, cases in (("case_menu_lines", MENUS), ("case_link_sections", SECTIONS), ("case_open_graph", GRAPHS), ("case_light_metadata", LIGHT), ("case_boilerplate_names", NAMES), ("case_around_names", AROUND), ("case_titles_match", TITLES), ("case_site_suffix", SITES), ("case_absolute_urls", LINKED), ("case_table_markdown", PIPES), ("case_image_files", FILES))},
+    **{name: _pairs(cases) for name, cases in (("case_menu_lines", MENUS), ("case_loose_markdown", LOOSE), ("case_link_sections", SECTIONS), ("case_open_graph", GRAPHS), ("case_light_metadata", LIGHT), ("case_boilerplate_names", NAMES), ("case_around_names", AROUND), ("case_titles_match", TITLES), ("case_site_suffix", SITES), ("case_absolute_urls", LINKED), ("case_table_markdown", PIPES), ("case_image_files", FILES))},
 }

@@ -125,7 +125,7 @@ ORACLES = {
     "extraction_quality": f"SELECT page_id, page_type, confidence AS classification_confidence, extraction_quality FROM {PAGES}",
     "bytes_pages": f"SELECT page_id, length(content_text) AS chars FROM {PAGES}",
     "page_features": f"SELECT page_id, {_tags('h[1-6]')} AS n_headings, {_tags('img')} AS n_images, {_tags('table')} AS n_tables, {_tags('nav')} AS n_navs, {_tags('ul|ol')} AS n_lists, least({_tags('article')}, 1) AS has_article FROM pages",
-    "page_signals": f"SELECT page_id, false AS has_product_grid, 0 AS code_block_count, len(regexp_extract_all(html, '<a ')) / greatest(len(ps), 1)::DOUBLE AS link_ratio, list_sum(list_transform(ps, lambda p: len(list_filter(regexp_split_to_array(regexp_replace(p, '<[^>]*(>|$)', '', 'g'), '\\s+'), lambda w: w <> ''))))::BIGINT AS paragraph_word_count, page_type FROM {PAGES}",
+    "page_signals": f"SELECT page_id, false AS has_product_grid, 0::BIGINT AS code_block_count, len(regexp_extract_all(html, '<a ')) / greatest(len(ps), 1)::DOUBLE AS link_ratio, list_sum(list_transform(ps, lambda p: len(list_filter(regexp_split_to_array(regexp_replace(p, '<[^>]*(>|$)', '', 'g'), '\\s+'), lambda w: w <> ''))))::BIGINT AS paragraph_word_count, page_type FROM {PAGES}",
     "nodes_by_tag": f"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_PLAIN}, '<(meta|title|style|script|nav|ul|li|a|div|article|h1|br|footer)(?:[ >])', 1)) AS tag FROM pages) GROUP BY tag",
     "nodes_per_page": "SELECT page_id, count(*) AS links, count(DISTINCT x) AS texts, 6 AS depth FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)', 1)) AS x FROM pages) GROUP BY page_id",
     "page_type_vote": f"SELECT page_id, CASE WHEN u <> 'article' AND u = m THEN u WHEN page_type <> 'article' AND page_type = m THEN page_type ELSE m END AS page_type, CASE WHEN u <> 'article' AND u = m THEN 1.0 WHEN page_type <> 'article' AND page_type = m THEN 0.95 ELSE page_id % 10 / 10.0 END::DOUBLE AS classification_confidence FROM (SELECT page_id, page_type, CASE WHEN page_id % 3 = 0 THEN 'forum' ELSE 'article' END AS u, ({_KINDS})[page_id % 3 + 1] AS m FROM {PAGES})",

@@ -22,8 +22,8 @@ import numpy as np
 from .common import CACHES, LOWER, SPACE, U, prefix_hash, span_hash
 
 OTHER_SPACE = re.compile(r"[^\S \n]")
-SLOTS = 1 << 21
-FULL = 800_000
+SLOTS = 1 << 20
+FULL = 400_000
 AT_ONCE = 16  # groups of 512 chunks in one call of the library
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -188,6 +188,9 @@ class BatchTokenizer:
         if len(miss):
             new, at = np.unique(h[miss], return_index=True)
             at = miss[at]
+            if self.n + len(new) > SLOTS * 9 // 10:  # a huge text of ever new words: no table helps
+                parts = [np.array(self.tok.encode(blob[x:y].decode(), add_special_tokens=False).ids, np.uint32) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
             self.learn(new, a, s[at], e[at], special)
             got[miss] = self.find(h[miss])
         count = self.count[got]

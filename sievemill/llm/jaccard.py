@@ -14,11 +14,17 @@ equal token sets are one node (a 64-bit fingerprint `sid`) from the start.
    in at most d = (n + m) / 9 tokens, so at most d of the places between successive
    shared tokens are broken by a token of one set alone; k = n / 4 + 2 shared tokens
    have more places than that, and twice as many have two unbroken ones in a row.
+   A token alone carries its reach: the greatest size of a set that it can be the first
+   shared token with, as enough tokens must follow it for a link. Only a token in the
+   first ninth of its set reaches sets of its own size.
 3. The members of a key, in order of size, are cut where sizes differ too much for a
-   link; each part gets the label of its first member (least size, then sid). Keys of
-   one group of near copies have few first members, so there are far fewer distinct
-   rows (label, member) than rows of keys, and a pair is compared once a label. Keys of
-   tokens that over 2**HOT_CLASS sets share are labels themselves, ungathered.
+   link; each part gets the label of its first member (least size, then sid) that
+   reaches its own size. Members before it and those that don't reach its size have no
+   link that this key must find. Keys of one group of near copies have few such first
+   members, so there are far fewer distinct rows (label, member) than rows of keys, and
+   a pair is compared once a label. A task sends a member once a label; labels are
+   members of themselves, which is added once all rows are distinct. Keys of tokens
+   that over 2**HOT_CLASS sets share are labels themselves, ungathered.
 4. Members of a label are compared by parity bitmaps, which bound the symmetric
    difference from below: pairs beyond 2/9 of the sizes are ruled out for certain. Only
    a spanning forest of the near pairs, closest first, leaves the task: rows grow with
@@ -58,6 +64,7 @@ BLOCK = 8192  # members of a label that one task compares
 FEW = 8  # members of a label of which all near pairs are verified
 SEEN = 1 << 18  # sets that a task remembers, to skip copies
 CLASS = U((1 << CLASS_BITS) - 1)
+ANY = (1 << 31) - 1  # reach of combinations of tokens
 
 
 # ---------------------------------------------------------------- token sets
@@ -148,8 +155,8 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- index
-def keys_of(t: np.ndarray, classes: np.ndarray, very_class: int = VERY_CLASS, hot_class: int = HOT_CLASS) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set, and whether a key may be a hot one."""
+def keys_of(t: np.ndarray, classes: np.ndarray, very_class: int = VERY_CLASS, hot_class: int = HOT_CLASS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of a set, whether a key may be a hot one, and its reach. Similar sets share a key that reaches the size of either."""
     n = len(t)
     p = n - -(-NUM * n // DEN) + 1
     c = classes[(t & CLASS).astype(np.int64)]
@@ -157,7 +164,7 @@ def keys_of(t: np.ndarray, classes: np.ndarray, very_class: int = VERY_CLASS, ho
     t, c = t[order], c[order]
     rare = int(np.searchsorted(c, 1))
     if rare >= p:
-        return t[:p], np.zeros(p, bool)
+        return t[:p], np.zeros(p, bool), reach(n, p)
     very = max(rare, int(np.searchsorted(c, very_class)))
     most = (DEN - NUM) * n // NUM  # tokens in which the smaller of two similar sets differs from the other
     end = p + most + 1  # the prefix in which similar sets share most + 2 tokens
@@ -170,57 +177,77 @@ def keys_of(t: np.ndarray, classes: np.ndarray, very_class: int = VERY_CLASS, ho
         three = three[:0]
     pairs = mix(t[two] * U(0xD1342543DE82EF95) ^ mix(t[two + 1])) | U(1 << 63)
     triples = mix((t[three] * U(0xD1342543DE82EF95) ^ mix(t[three + 1])) * U(0xF1357AEA2E62A9C5) ^ mix(t[three + 2])) | U(1 << 63)
-    return np.concatenate((t[:rare], pairs, triples)), np.concatenate((np.zeros(rare, bool), c[two] >= hot_class, c[three] >= hot_class))
+    far = np.concatenate((reach(n, rare), np.full(len(two) + len(three), ANY)))
+    return np.concatenate((t[:rare], pairs, triples)), np.concatenate((np.zeros(rare, bool), c[two] >= hot_class, c[three] >= hot_class)), far
+
+
+def reach(n: int, first: int) -> np.ndarray:
+    """For the first tokens of a set of n: the greatest m so that sets of n and m can be linked if this is the first token that they share. They share the n - i tokens from it on at most, and NUM / (DEN + NUM) of n + m at least."""
+    return (DEN + NUM) * (n - np.arange(first)) // NUM - n
+
+
+def labelled(batches):
+    """Rows label, sid, hot of rows key, size, sid in this order, each once but for what a task forgets. size: n << 32 | reach, or -1 for a hot key, which is its own label. State between batches: the last row's key and size, and the leader of its part (sid, n), if it has one yet."""
+    last_key = last_n = leader = None
+    held, many = [], 0
+    for batch in batches:
+        key, size, sid = (batch.column(c).to_numpy() for c in ("key", "size", "sid"))
+        hot = size < 0
+        if hot.any():
+            held.append(np.stack((key[hot], sid[hot], np.ones(hot.sum(), np.int64)), 1))
+            many += len(held[-1])
+            key, size, sid = key[~hot], size[~hot], sid[~hot]
+        if len(key):
+            n, far = size >> 32, size & ANY
+            first = np.empty(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (NUM * n[1:] > DEN * n[:-1])
+            first[0] = last_key is None or key[0] != last_key or NUM * int(n[0]) > DEN * int(last_n)
+            begin = np.flatnonzero(first) if first[0] else np.append(0, np.flatnonzero(first))
+            at = np.minimum.reduceat(np.where(far >= n, np.arange(len(key)), len(key)), begin)  # the leader of each part
+            lead_sid, lead_n = np.append(sid, 0)[at], np.append(n, ANY + 1)[at]  # a part without one: nothing reaches it
+            if not first[0] and leader is not None:
+                at[0], lead_sid[0], lead_n[0] = -1, *leader
+            leader = (int(lead_sid[-1]), int(lead_n[-1])) if at[-1] < len(key) else None
+            last_key, last_n = key[-1], n[-1]
+            part = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+            more = (np.arange(len(key)) > at[part]) & (far >= lead_n[part]) & (sid != lead_sid[part])
+            held.append(np.stack((lead_sid[part][more], sid[more], np.zeros(more.sum(), np.int64)), 1))
+            many += len(held[-1])
+        if many > 1 << 20:
+            held = [np.unique(np.concatenate(held), axis=0)]
+            many = len(held[0])
+            if many > 1 << 19:
+                yield from put(held.pop())
+                many = 0
+    if held:
+        yield from put(np.unique(np.concatenate(held), axis=0))
+
+
+def put(rows: np.ndarray):
+    for k in range(0, len(rows), 100_000):
+        part = np.ascontiguousarray(rows[k : k + 100_000].T)
+        yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2] > 0)], names=["label", "sid", "hot"])
 
 
 def index(texts: DataFrame, classes, very_class: int, hot_class: int) -> DataFrame:
-    """Staged distinct rows label, sid: sets of one label may be linked."""
+    """Distinct rows label, sid, from staged tables: sets of one label may be linked."""
 
     def emit(batches):
         seen = Seen()
         for _, t, b, sid in token_sets(batches, "text"):
             n, rows = np.diff(b), []
             for k in np.flatnonzero((n > 3) & seen.new(sid)):
-                key, hot = keys_of(t[b[k] : b[k + 1]], classes.value, very_class, hot_class)
-                rows.append((key, np.full(len(key), sid[k]), np.where(hot, -n[k], n[k]).astype(np.int32)))
+                key, hot, far = keys_of(t[b[k] : b[k + 1]], classes.value, very_class, hot_class)
+                rows.append((key, np.full(len(key), sid[k]), np.where(hot, -1, int(n[k]) << 32 | far)))
             if rows:
                 key, own, size = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(size)], names=["key", "sid", "n"])
-
-    def labels(batches):
-        """Rows come by key, size and sid. State between batches: the last row, its label, and whether it leads."""
-        last_key = last_n = last_label = None
-        held, size = [], 0
-        for batch in batches:
-            key, sid, n = (c.to_numpy() for c in batch.columns)
-            if not len(key):
-                continue
-            first = np.empty(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (NUM * n[1:].astype(np.int64) > DEN * n[:-1].astype(np.int64))
-            first[0] = last_key is None or key[0] != last_key or NUM * int(n[0]) > DEN * int(last_n)
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-            label = np.where(lead < 0, last_label if last_label is not None else 0, sid[lead])
-            last_key, last_n, last_label = key[-1], n[-1], label[-1]
-            hot, more = n < 0, (n > 0) & (label != sid)
-            held.append(np.stack((np.concatenate((label[more], label[more], key[hot])), np.concatenate((sid[more], label[more], sid[hot]))), 1))
-            size += len(held[-1])
-            if size > 1 << 20:
-                held = [np.unique(np.concatenate(held), axis=0)]
-                size = len(held[0])
-                if size > 1 << 19:
-                    yield from put(held.pop())
-                    size = 0
-        if held:
-            yield from put(np.unique(np.concatenate(held), axis=0))
-
-    def put(rows):
-        for k in range(0, len(rows), 100_000):
-            part = np.ascontiguousarray(rows[k : k + 100_000].T)
-            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], names=["label", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(size)], names=["key", "sid", "size"])
 
-    rows = texts.select("text").mapInArrow(lean(emit), "key long, sid long, n int")
-    dealt = rows.repartition(F.when(F.col("n") < 0, F.xxhash64("key", "sid")).otherwise(F.col("key"))).sortWithinPartitions("key", "n", "sid")
-    return stage(dealt.mapInArrow(lean(labels), "label long, sid long").distinct(), "labels")
+    rows = texts.select("text").mapInArrow(lean(emit), "key long, sid long, size long")
+    dealt = rows.repartition(F.when(F.col("size") < 0, F.xxhash64("key", "sid")).otherwise(F.col("key"))).sortWithinPartitions("key", "size", "sid")
+    found = stage(dealt.mapInArrow(lean(labelled), "label long, sid long, hot boolean").distinct(), "labels")
+    leaders = stage(found.where("not hot").select("label").distinct(), "leaders")
+    return found.select("label", "sid").union(leaders.select("label", F.col("label").alias("sid")))
 
 
 def of_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, make, field: str) -> DataFrame:

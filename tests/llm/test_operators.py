@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -116,6 +117,57 @@ def test_jaccard_frequent_prefix_keys(level):
                 assert len(np.intersect1d(jaccard.keys_of(a, classes)[0], jaccard.keys_of(b, classes)[0]))
 
 
+@pytest.mark.parametrize("level", [0, "mixed", jaccard.VERY_CLASS])
+def test_jaccard_keys_reach_both(level):
+    """Similar sets meet under a key that reaches the size of either; tokens past the first ninth reach no set of their own size."""
+    r = np.random.default_rng(7)
+    size = 1 << jaccard.CLASS_BITS
+    classes = r.choice(np.array([0, 1, jaccard.VERY_CLASS], np.uint8), size, p=[0.7, 0.2, 0.1]) if level == "mixed" else np.full(size, level, np.uint8)
+    for n in (4, 5, 9, 10, 14, 15, 20, 57, 130, 400):
+        for _ in range(60):
+            a = np.unique(r.integers(0, 2**48, n, dtype=np.uint64))
+            less, more = r.integers(0, n // 5 + 1), r.integers(0, n // 4 + 1)
+            b = np.unique(np.concatenate((np.delete(a, r.choice(n, less, replace=False)), r.integers(0, 2**48, more, dtype=np.uint64))))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                (ka, _, ra), (kb, _, rb) = jaccard.keys_of(a, classes), jaccard.keys_of(b, classes)
+                assert np.intersect1d(ka[ra >= len(b)], kb[rb >= len(a)]).size
+        if level == 0:
+            assert (jaccard.keys_of(a, classes)[2] >= n).sum() == n - -(-2 * 80 * n // 180) + 1
+
+
+def test_jaccard_label_rows():
+    """Keys of near copies dealt to many tasks: those that can make no link give no rows, and labels aren't sent as their own members; batches may end anywhere."""
+    r = np.random.default_rng(9)
+    classes = np.zeros(1 << jaccard.CLASS_BITS, np.uint8)
+    base = np.unique(r.integers(0, 2**62, 400, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((np.delete(base, r.choice(400, 12, replace=False)), r.integers(0, 2**62, r.integers(5, 30), dtype=np.uint64)))) for _ in range(80)]
+    rows, found, whole = [], [], {}
+    for sid, t in enumerate(sets):
+        key, _, far = jaccard.keys_of(t, classes)
+        rows += [(k, len(t) << 32 | f, sid) for k, f in zip(key.view(np.int64).tolist(), far.tolist())]
+    rows.sort()
+    for task in range(12):
+        own = [x for x in rows if x[0] % 12 == task]
+        for step in (7, len(own)):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own[k : k + step])], names=["key", "size", "sid"]) for k in range(0, len(own), step)]
+            got = [(x["label"], x["sid"]) for b in jaccard.labelled(iter(batches)) for x in b.to_pylist()]
+            assert len(got) == len(set(got)) and whole.setdefault(task, sorted(got)) == sorted(got)
+        found += got
+    assert all(label != sid for label, sid in found)
+    late = [x for x in rows if (x[1] & jaccard.ANY) < x[1] >> 32]
+    assert len({k for k, _, _ in late}) < len(late)  # sets share such keys too
+    assert not list(jaccard.labelled([pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*late)], names=["key", "size", "sid"])]))
+    groups = {}
+    for label, sid in found:
+        groups.setdefault(label, {label}).add(sid)
+    for i in range(80):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                assert any(i in g and j in g for g in groups.values())
+
+
 def suffix_brute(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen: dict[bytes, int] = {}

@@ -33,4 +33,26 @@ e AS (SELECT i, j FROM l UNION SELECT j, i FROM l),
 reach AS (SELECT i, j FROM e UNION SELECT reach.i, e.j FROM reach JOIN e ON reach.j = e.i)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, m.first) AS component_id FROM t LEFT JOIN n USING (r) LEFT JOIN (SELECT i AS r, min(doc_id) AS first FROM reach JOIN t ON t.r = j GROUP BY i) m USING (r)"""
 
-ORACLES = {"op4_vantage_point_search": NEAREST, "op5_suffix_dedup": REPEATS, "op6_ngram_jaccard": SIMILAR}
+#: every term of every group, with the counts that smoothing gives; differences over all pairs of groups of a language
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT c.* FROM c SEMI JOIN k USING (lang, term)) USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+both_ AS (SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM pair UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_) WHERE part = 'pair' OR rank <= 50"""
+
+#: lines as a list, cut at the two numbers of the hash
+_H = lambda k: f"('0x' || substr(h, {8 * k - 7}, 8))::BIGINT"
+_CUT = lambda x: f"CASE WHEN len(w) = 0 THEN '' ELSE array_to_string({x}, '') END"
+MIDDLES = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS w, {_H(1)} AS h1, {_H(2)} AS h2, {_H(4)} AS h4 FROM d),
+k AS (SELECT *, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM w),
+c AS (SELECT *, {_CUT('w[1:a]')} AS p, {_CUT('w[a + 1:b]')} AS m, {_CUT('w[b + 1:]')} AS s FROM k)
+SELECT doc_id, len(w)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
+ORACLES = {"op4_vantage_point_search": NEAREST, "op5_suffix_dedup": REPEATS, "op6_ngram_jaccard": SIMILAR, "op11_source_divergence": DIVERGENCE, "op12_fill_in_middle": MIDDLES}

@@ -84,19 +84,19 @@ def _arrow(t) -> pa.DataType:
     return {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "bigint": pa.int64(), "int": pa.int32(), "timestamp": pa.timestamp("us", "UTC")}[t.simpleString()]
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    """df in three tasks a core if it is read in fewer partitions than there are cores. Plans with exchanges are left alone: to count their partitions would run them."""
+def dealt(df: DataFrame, small: bool | None = None) -> DataFrame:
+    """df in three tasks a core if it is small: read in fewer partitions than there are cores. Say whether it is where the plan has shuffles, as counting its partitions would run them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(3 * cores)
+    if small is None:
+        small = not df.isStreaming and df.rdd.getNumPartitions() < cores
+    return df.repartition(3 * cores) if small else df
 
 
-def _map(df: DataFrame, html: str, url: str | None, more: list[T.StructField], record, kind: str | None = None) -> DataFrame:
+def _map(df: DataFrame, html: str, url: str | None, more: list[T.StructField], record, kind: str | None = None, small: bool | None = None) -> DataFrame:
     """df without its html column, with the fields that record(html, url) or, with a column kind, record(html, url, kind) gives (a list of rows). Pages cost far more to parse than to move: a table of fewer partitions than cores is dealt out anew."""
     _workers_import(df.sparkSession)
     keep = [c for c in df.columns if c not in {html, *(f.name for f in more)}]
-    df = _dealt(df)
+    df = dealt(df, small)
     schema = T.StructType([*(df.schema[c] for c in keep), *more])
     types = [_arrow(f.dataType) for f in more]
 

@@ -10,7 +10,7 @@ from ..operators import page_types
 from ..operators.classic import QUALITY_FEATURES
 from ..operators.features import NAMES
 from ..operators.page import Options
-from ..operators.stage import classic, extract, html_nodes, html_signals, ml_features, quality_features, resolve_urls
+from ..operators.stage import classic, extract, html_signals, ml_features, quality_features, resolve_urls
 from . import page_cases
 from .catalog import WORDS, WS, pages
 from .page_sql import PAGES
@@ -56,16 +56,6 @@ def extraction_quality(spark, d):
     return extract(pages(spark, d)).select("page_id", "metadata.page_type", "classification_confidence", "extraction_quality")
 
 
-def nodes_by_tag(spark, d):
-    return html_nodes(pages(spark, d).select("page_id", "html")).where(~F.col("tag").isin("html", "head", "body", "p", "b")).groupBy("tag").agg(F.count("*").alias("n"))
-
-
-def nodes_per_page(spark, d):
-    """Links by page: what the tree's relation gives to SQL."""
-    n = html_nodes(pages(spark, d).select("page_id", "html")).where("tag = 'a'")
-    return n.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("text").alias("texts"), F.min("depth").alias("depth"))
-
-
 def page_features(spark, d):
     f = ml_features(pages(spark, d))
     return f.select("page_id", *[F.element_at("features", NAMES.index(k) + 1).cast("long").alias(k) for k in ("n_headings", "n_images", "n_tables", "n_navs", "n_lists", "has_article")])
@@ -106,9 +96,8 @@ def page_quality_features(spark, d):
     return f.select("page_id", *[F.round(F.element_at("quality_features", QUALITY_FEATURES.index(k) + 1), 9).alias(k) for k in ("heuristic", "bytes", "words", "distinct_words", "paragraphs", "links", "is_article", "of_expected", "share_of_html", "of_description", "scripts", "has_data")])
 
 
-QUERIES = {f.__name__: f for f in (classic_text, page_quality_features, extract_text, extract_html, extract_markdown, extract_all, page_metadata, page_titles, page_signals, extraction_quality, nodes_by_tag, nodes_per_page, page_features, bytes_pages, page_type_vote, type_score_rollup, links_resolved)}
+QUERIES = {f.__name__: f for f in (classic_text, page_quality_features, extract_text, extract_html, extract_markdown, extract_all, page_metadata, page_titles, page_signals, extraction_quality, page_features, bytes_pages, page_type_vote, type_score_rollup, links_resolved)}
 _tags = lambda t: f"len(regexp_extract_all(html, '<({t})[ >]'))"
-_PLAIN = "regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '(?s)<style>.*?</style>', '<style>', 'g')"
 _MEAN = f"SELECT page_type, count(*) AS pages, avg(round(extraction_quality, 6)) AS mean_score FROM {PAGES} GROUP BY 1"
 _KINDS = "['" + "', '".join(lists.PAGE_TYPES) + "']"
 _PARTS = "list_filter(list_transform(string_split(content_text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: strlen(x) > 20)"
@@ -126,8 +115,6 @@ ORACLES = {
     "bytes_pages": f"SELECT page_id, length(content_text) AS chars FROM {PAGES}",
     "page_features": f"SELECT page_id, {_tags('h[1-6]')} AS n_headings, {_tags('img')} AS n_images, {_tags('table')} AS n_tables, {_tags('nav')} AS n_navs, {_tags('ul|ol')} AS n_lists, least({_tags('article')}, 1) AS has_article FROM pages",
     "page_signals": f"SELECT page_id, false AS has_product_grid, 0::BIGINT AS code_block_count, len(regexp_extract_all(html, '<a ')) / greatest(len(ps), 1)::DOUBLE AS link_ratio, list_sum(list_transform(ps, lambda p: len(list_filter(regexp_split_to_array(regexp_replace(p, '<[^>]*(>|$)', '', 'g'), '\\s+'), lambda w: w <> ''))))::BIGINT AS paragraph_word_count, page_type FROM {PAGES}",
-    "nodes_by_tag": f"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_PLAIN}, '<(meta|title|style|script|nav|ul|li|a|div|article|h1|br|footer)(?:[ >])', 1)) AS tag FROM pages) GROUP BY tag",
-    "nodes_per_page": "SELECT page_id, count(*) AS links, count(DISTINCT x) AS texts, 6 AS depth FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)', 1)) AS x FROM pages) GROUP BY page_id",
     "page_type_vote": f"SELECT page_id, CASE WHEN u <> 'article' AND u = m THEN u WHEN page_type <> 'article' AND page_type = m THEN page_type ELSE m END AS page_type, CASE WHEN u <> 'article' AND u = m THEN 1.0 WHEN page_type <> 'article' AND page_type = m THEN 0.95 ELSE page_id % 10 / 10.0 END::DOUBLE AS classification_confidence FROM (SELECT page_id, page_type, CASE WHEN page_id % 3 = 0 THEN 'forum' ELSE 'article' END AS u, ({_KINDS})[page_id % 3 + 1] AS m FROM {PAGES})",
     "type_score_rollup": f"SELECT page_type, pages, round(mean_score, 4) AS mean_score FROM (SELECT page_type, pages, mean_score FROM ({_MEAN}) UNION ALL SELECT 'all', sum(pages)::BIGINT, avg(mean_score) FROM ({_MEAN}))",
     "links_resolved": "SELECT page_id, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS absolute_url, true AS valid FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages)",

@@ -330,7 +330,8 @@ def dedup(docs: DataFrame, length: int = 400, per_bucket: int = PER_BUCKET, hot:
     workers_import(docs.sparkSession)
     text, mark = F.coalesce(F.col("text").cast("string"), F.lit("")), staged_so_far()
     texts = docs.select(F.xxhash64(text).alias("tid"), text.alias("text"))
-    whole = texts.where(F.octet_length("text") >= length).groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("e")).where("n > 1")
+    long = texts.select("tid", F.octet_length("text").alias("e"), F.xxhash64(F.lit(1), "text").alias("again")).where(F.col("e") >= length)
+    whole = long.groupBy("tid", "e", "again").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # equal in length and in two 64-bit hashes
     cut = intervals(texts, length, per_bucket, hot).union(whole.select("tid", F.lit(0), "e"))
     cut = stage(cut.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("cuts")), "cuts")
     drop_staged(docs.sparkSession, mark, cut)

@@ -25,7 +25,7 @@ Defined cases: null and empty texts have the end token alone; a null doc_id coun
 in the crc32; repeated rows are rows of their own; without training documents N = V = 0,
 the base score's fraction is 0.1 / 0.1 and the weights are the prior; words of any length
 take time in proportion to it; an empty table gives no rows; further columns are ignored.
-Pieces are found by 64-bit hashes of substrings in arrays of words of equal length.
+Pieces are found by 64-bit hashes of their beginnings, in arrays of words of equal length.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_staged, lean, stage, staged_so_far, table, workers_import
+from .common import CACHES, LOWER, drop_staged, lean, stage, staged_so_far, table, workers_import
 
 MARK = "▁"
 HEAVY, HEAVY_BYTES = 1 << 18, 64
@@ -47,7 +47,7 @@ ROUNDS, STRENGTH = 2, 1000.0
 LONG = 48  # characters from which a word is worked on alone
 _LOWER = LOWER.tobytes()
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
+_BASE, _ALL = _U(0x9E3779B97F4A7C15), 2**64 - 1
 LOG10 = math.log(10)
 
 
@@ -83,26 +83,35 @@ class Vocabulary:
         self.index()
 
     def index(self) -> None:
+        """A table of all beginnings of pieces by hash: the piece's number, or -1 where it is a beginning only."""
         self.of = {t: k for k, t in enumerate(self.pieces) if t is not None}
         self.longest = max(map(len, self.of), default=1)
-        self.by_length = []
-        for n in range(1, self.longest + 1):
-            own = [(t, k) for t, k in self.of.items() if len(t) == n]
-            h = np.array([_hash(t) for t, _ in own], np.uint64)
-            order = np.argsort(h)
-            bits = max(1, (4 * len(h)).bit_length())
-            slots = np.full((1 << bits) + 1, len(h), np.int64)  # first of the sorted hashes in or behind each slot
-            slots[:-1] = np.searchsorted(h[order], np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits))
-            self.by_length.append((np.append(h[order], _U(0)), np.append(np.array([k for _, k in own], np.int64)[order], -1), slots, _U(64 - bits), int(np.diff(slots).max(initial=0))))
-
-    def find(self, n: int, h: np.ndarray) -> np.ndarray:
-        """Number of the piece of n characters with each hash, or -1."""
-        keys, ids, slots, shift, most = self.by_length[n - 1]
-        at = slots[(h >> shift).astype(np.int64)]
-        out = np.full(len(h), -1, np.int64)
-        for _ in range(most):
-            at_ = np.minimum(at, len(keys) - 1)
-            out = np.where(keys[at_] == h, ids[at_], out)
+        known: dict[int, int] = {}
+        for text, k in self.of.items():
+            h = 0
+            for i, c in enumerate(text, 1):
+                h = (h + ord(c) + 1) * int(_BASE) & _ALL
+                if i == len(text):
+                    known[h] = k
+                else:
+                    known.setdefault(h, -1)
+        h = _mix(np.fromiter(known, np.uint64, len(known)))
+        order = np.argsort(h)
+        self.shift = _U(64 - max(1, (8 * len(h)).bit_length()))
+        slot = (h[order] >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(slot, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.first).max())
+        self.keys = np.append(h[order], np.zeros(self.most, np.uint64))
+        self.ids = np.append(np.fromiter(known.values(), np.int64, len(known))[order], np.full(self.most, -2))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """For each hash the number of the piece, -1 for a beginning of pieces, -2 for neither."""
+        h = _mix(h)
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        out = np.full(len(h), -2, np.int64)
+        for _ in range(self.most):
+            hit = np.flatnonzero(self.keys[at] == h)
+            out[hit] = self.ids[at[hit]]
             at = at + 1
         return out
 
@@ -116,71 +125,56 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _hash(text: str) -> int:
-    h = np.zeros(1, np.uint64)
-    for c in text:
-        h = (h + _U(ord(c) + 1)) * _BASE
-    return int(_mix(h)[0])
-
-
 def marked(word: bytes) -> str:
     return MARK + word.decode("utf-8", "surrogateescape").replace(MARK, "\ud800")
 
 
 # ---------------------------------------------------------------- lattices
-def _edges(words: list[str], v: Vocabulary):
-    """Of words of one length: for each end j and piece length n, the pieces (or -1) there; and the byte steps of characters that are no pieces, as (log weight is taken later) lists of pieces by character."""
-    length = len(words[0])
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), length).astype(np.uint64)
-    pieces = {}
-    for i in range(length):
-        h = np.zeros(len(words), np.uint64)
-        for n in range(1, min(v.longest, length - i) + 1):
-            h = (h + codes[:, i + n - 1] + _U(1)) * _BASE
-            found = v.find(n, _mix(h))
-            if n == 1 or (found >= 0).any():
-                pieces[i + n, n] = found
-    return codes, pieces
-
-
-def _bytes_weight(codes: np.ndarray, missing: np.ndarray, v: Vocabulary, log: np.ndarray) -> np.ndarray:
-    out = np.full(len(codes), -np.inf)
-    for c in np.unique(codes[missing]):
-        out[missing & (codes == c)] = log[v.spelled(chr(int(c)))].sum()
-    return out
-
-
 def forward(words: list[str], v: Vocabulary, log: np.ndarray, expect: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
-    """Natural log of the marginal probability of each of some words of one length; with expect, the expected counts of their pieces, `times` over, are added to it."""
+    """Natural log of the marginal probability of each of some words of one length; with expect, the expected counts of their pieces, `times` over, are added to it.
+
+    From each place, the words are followed for as long as they go on like a piece."""
     length, m = len(words[0]), len(words)
-    codes, pieces = _edges(words, v)
-    weight = np.append(log, -np.inf)
-    spelt = {j: _bytes_weight(codes[:, j - 1], pieces[j, 1] < 0, v, log) for j in range(1, length + 1) if (pieces[j, 1] < 0).any()}
-    into: list[list] = [[] for _ in range(length + 1)]
-    for (j, n), found in pieces.items():
-        w = weight[found]
-        if n == 1 and j in spelt:
-            w = np.where(found < 0, spelt[j], w)
-        into[j].append((j - n, w, found))
+    codes = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, length).T).astype(np.uint64) + _U(1)
     alpha = np.full((length + 1, m), -np.inf)
     alpha[0] = 0
-    for j in range(1, length + 1):
-        x = np.stack([alpha[i] + w for i, w, _ in into[j]])
-        top = x.max(0)
-        alpha[j] = top + np.log(np.exp(x - top).sum(0))
+    edges = []
+    for i in range(length):
+        here, alive, h = alpha[i], np.arange(m), np.zeros(m, np.uint64)
+        for n in range(1, min(v.longest, length - i) + 1):
+            h = (h + codes[i + n - 1][alive]) * _BASE
+            found = v.find(h)
+            yes = np.flatnonzero(found >= 0)
+            if len(yes):
+                at, k = alive[yes], found[yes]
+                w = log[k]
+                alpha[i + n, at] = np.logaddexp(alpha[i + n, at], here[at] + w)
+                if expect is not None:
+                    edges.append((i, n, at, w, k))
+            if n == 1 and len(yes) < m:
+                at = np.flatnonzero(found < 0)
+                own, which = np.unique(codes[i][at], return_inverse=True)
+                spelt = [v.spelled(chr(int(c) - 1)) for c in own]
+                w = np.array([log[x].sum() for x in spelt])[which]
+                alpha[i + 1, at] = np.logaddexp(alpha[i + 1, at], here[at] + w)
+                if expect is not None:
+                    edges.append((i, 1, at, w, (spelt, which)))
+            on = np.flatnonzero(found > -2)
+            if not len(on):
+                break
+            alive, h = alive[on], h[on]
     if expect is not None:
         beta = np.full((length + 1, m), -np.inf)
         beta[length] = 0
-        for j in range(length, 0, -1):
-            for i, w, found in into[j]:
-                through = w + beta[j]
-                beta[i] = np.logaddexp(beta[i], through)
-                share = times * np.exp(alpha[i] + through - alpha[length])
-                has = found >= 0
-                expect += np.bincount(found[has], share[has], len(expect))
-                if i == j - 1 and j in spelt:
-                    for k in np.flatnonzero(~has):
-                        np.add.at(expect, v.spelled(chr(int(codes[k, j - 1]))), share[k])
+        for i, n, at, w, k in reversed(edges):  # from the last place on: what leads on from i + n is complete
+            through = w + beta[i + n, at]
+            beta[i, at] = np.logaddexp(beta[i, at], through)
+            share = times[at] * np.exp(alpha[i, at] + through - alpha[length, at])
+            if isinstance(k, tuple):
+                for x, total in zip(k[0], np.bincount(k[1], share, len(k[0])), strict=True):
+                    np.add.at(expect, x, total)
+            else:
+                expect += np.bincount(k, share, len(expect))
     return alpha[length]
 
 
@@ -223,12 +217,36 @@ def likelihoods(words: list[bytes], v: Vocabulary, log: np.ndarray, expect: np.n
         elif t:
             by.setdefault(len(t), []).append(k)
     for same in by.values():
-        for s in range(0, len(same), 4096):
-            ks = same[s : s + 4096]
+        for s in range(0, len(same), 8192):
+            ks = same[s : s + 8192]
             out[ks] = forward([texts[k] for k in ks], v, log, expect, times[ks] if times is not None else None)
     return out
 
 
+def gathered(batches, rows: int = 100_000):
+    """Tables of at least so many rows, but the last one: array operations over words of one length want many of them."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+_made: dict[str, Vocabulary] = {}
+CACHES["lattice"] = _made
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """The file's, made once by a worker."""
+    if path not in _made:
+        _made[path] = Vocabulary(path)
+    return _made[path]
+
+
 # ---------------------------------------------------------------- corpus
 def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
@@ -278,14 +296,14 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS, strength: float = STR
         log = model.log
 
         def run(batches, log=log):
-            own = Vocabulary(path)
+            own = vocabulary(path)
             expect = np.zeros(len(log))
-            for batch in batches:
-                likelihoods(batch.column(0).to_pylist(), own, log, expect, batch.column(1).to_numpy().astype(float))
+            for part in gathered(batches):
+                likelihoods(part.column(0).to_pylist(), own, log, expect, part.column(1).to_numpy().astype(float))
             k = np.flatnonzero(expect)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(expect[k])], names=["piece", "n"])
 
-        got = known.select("word", "c").mapInArrow(lean(run), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most one row a piece of the vocabulary
+        got = known.select("word", "c").mapInArrow(lean(run, "lattice"), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most one row a piece of the vocabulary
         expect = strength * prior
         for r in got:
             expect[r.piece] += r.n
@@ -301,14 +319,14 @@ def word_values(words: DataFrame, model: Model, path: str) -> DataFrame:
     log, end = model.log, model.end
 
     def run(batches):
-        own = Vocabulary(path)
-        for batch in batches:
-            words_ = batch.column(0).to_pylist()
+        own = vocabulary(path)
+        for part in gathered(batches):
+            words_ = part.column(0).to_pylist()
             lp = likelihoods(words_, own, log)
             lp[[k for k, w in enumerate(words_) if not w]] = end
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp / LOG10)], names=["word", "c", "n", "lp"])
+            yield from part.append_column("lp", pa.array(lp / LOG10)).to_batches(max_chunksize=20_000)
 
-    return words.select("word", "c", "n").mapInArrow(lean(run), "word binary, c long, n long, lp double")
+    return words.select("word", "c", "n").mapInArrow(lean(run, "lattice"), "word binary, c long, n long, lp double")
 
 
 def look_up(docs: DataFrame, heavy: dict[bytes, tuple[int, float, float]]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.page import Options
 from ..operators.stage import extract
+from . import markdown_sink
 
 BATCH = Options(output_markdown=True, include_tables=True, include_links=True)
 
@@ -26,16 +27,20 @@ def _line(key: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{key}: "), value, F.lit("\n"))).otherwise(F.lit(""))
 
 
-def front_matter(df: DataFrame) -> DataFrame:
-    """Extracted pages with a `document` column: YAML front matter, then Markdown (text where there is none). Blank pages are left out."""
+def _front() -> Column:
+    """The YAML front matter of an extracted page."""
     m, quote = (lambda k: F.col(f"metadata.{k}")), (lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('\\"')), F.lit('"')))
-    body = F.coalesce("content_markdown", "content_text")
-    head = F.concat(
+    return F.concat(
         F.lit("---\n"), _line("title", quote(m("title"))), _line("author", quote(m("author"))),
         _line("date", quote(F.date_format(m("date"), "yyyy-MM-dd'T'HH:mm:ssxxx"))), _line("source_file", quote(F.col("name"))),
         _line("confidence", F.format_string("%.2f", "extraction_quality")), _line("page_type", quote(m("page_type"))), F.lit("---\n\n"),
     )
-    return df.where(F.trim(body) != "").withColumn("document", F.concat(head, body, F.lit("\n")))
+
+
+def front_matter(df: DataFrame) -> DataFrame:
+    """Extracted pages with a `document` column: YAML front matter, then Markdown (text where there is none). Blank pages are left out."""
+    body = F.coalesce("content_markdown", "content_text")
+    return df.where(F.trim(body) != "").withColumn("document", F.concat(_front(), body, F.lit("\n")))
 
 
 def write_markdown(spark: SparkSession, folder: str, out: str) -> dict[str, int]:
@@ -48,21 +53,20 @@ def write_markdown(spark: SparkSession, folder: str, out: str) -> dict[str, int]
     return {k: seen.get[k] for k in ("success", "empty", "failed")}
 
 
+def markdown_rows(extracted: DataFrame) -> DataFrame:
+    """Rows for the sink page_files, one for each extracted page: name (.md), document (null without content) and failed."""
+    failed = F.exists("warnings", lambda w: w.startswith("Content extraction failed: "))
+    blank = F.trim(F.coalesce("content_markdown", "content_text")) == ""
+    named = extracted.select("*", F.regexp_replace("name", r"\.html$", ".md").alias("__file"))
+    head, body = _front(), F.coalesce("content_markdown", "content_text")
+    return named.select(F.col("__file").alias("name"), F.when(~blank, F.concat(head, body, F.lit("\n"))).alias("document"), (blank & failed).alias("failed"))
+
+
 def markdown_files(spark: SparkSession, folder: str, out: str) -> dict[str, int]:
-    """As write_markdown, but as files NAME.md in the folder out of any store that Spark writes to. The driver writes them one after the other and holds one at a time; for large folders use write_markdown."""
-    table = f"{out.rstrip('/')}/_documents"
-    counts = write_markdown(spark, folder, table)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda *x: jvm.org.apache.hadoop.fs.Path(*x)
-    fs = path(out).getFileSystem(conf)
-    for row in spark.read.parquet(table).toLocalIterator():
-        stream = fs.create(path(out, row.name), True)
-        try:
-            stream.write(bytearray(row.document.encode()))
-        finally:
-            stream.close()
-    fs.delete(path(table), True)
-    return counts
+    """Every HTML file of folder as a file NAME.md in the folder out, written by the tasks and moved into place by one commit. Returns the counts of pages written, without content, and failed."""
+    markdown_sink.register(spark)
+    markdown_rows(extract(read_html(spark, folder), BATCH)).write.format("page_files").mode("append").save(out)
+    return markdown_sink.counts(out, keep=False)
 
 
 def json_lines(df: DataFrame) -> DataFrame:

@@ -73,8 +73,7 @@ def normalize_title(x) -> Column:
 
 
 def titles_match(a, b) -> Column:
-    """Equal up to case and space, or one is the other with a site suffix."""
-    a, b = normalize_title(a), normalize_title(b)
+    """Equal up to case and space, or one is the other with a site suffix. Both are normalised once, as they are looked at many times."""
     separators = (" - ", " | ", " – ", " — ", ": ")
 
     def cut(x: Column, y: Column) -> Column:
@@ -82,7 +81,12 @@ def titles_match(a, b) -> Column:
         tails = [x.startswith(F.concat(y, F.lit(s))) & (F.octet_length(x) > F.octet_length(y) + 3) for s in separators]
         return _any([*heads, *tails])
 
-    return F.when((a == "") | (b == ""), F.lit(False)).otherwise((a == b) | cut(a, b) | cut(b, a))
+    def match(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        return F.when((a == "") | (b == ""), F.lit(False)).otherwise((a == b) | cut(a, b) | cut(b, a))
+
+    both = F.struct(normalize_title(a).alias("a"), normalize_title(b).alias("b"))
+    return F.element_at(F.transform(F.array(both), match), 1)
 
 
 def words(x) -> Column:
@@ -237,6 +241,21 @@ def declared_charset(html) -> Column:
     return F.nullif(F.lower(F.regexp_extract(head, r"""(?i)<meta[^>]+charset\s*=\s*["']?([^"'\s>]+)""", 1)), F.lit(""))
 
 
+#: labels of encodings besides those that follow a pattern
+ENCODINGS = ("utf-8", "utf8", "unicode-1-1-utf-8", "us-ascii", "ascii", "latin1", "latin-1", "l1", "koi8-r", "koi8-u", "macintosh", "x-mac-cyrillic", "gbk", "gb2312", "gb18030", "big5", "big5-hkscs", "euc-jp", "euc-kr", "iso-2022-jp", "shift_jis", "shift-jis", "sjis", "ks_c_5601-1987", "tis-620", "utf-16", "utf-16le", "utf-16be", "ibm866", "cp866")
+_ENCODING = r"^(?:iso-?8859-(?:[1-9]|1[0-6])|(?:windows|cp)-?(?:125[0-8]|874|932|936|949|950)|(?:x-)?(?:cp125[0-8]))$"
+_META_CHARSET = r"""(?i)<meta[^>]+charset\s*=\s*["']?([^"'\s>]+)"""
+_CONTENT_TYPE = r"""(?i)<meta[^>]+http-equiv\s*=\s*["']?content-type["']?[^>]+content\s*=\s*["']?[^"'>]*;\s*charset\s*=\s*([^"'\s>]+)"""
+
+
+def declared_encoding(html) -> Column:
+    """The label of the encoding that a page declares in its first 1024 characters: by a charset or, if nobody knows that label, by its content type; utf-8 otherwise. Null pages give null."""
+    head = F.substring(_c(html), 1, 1024)
+    labels = [F.lower(F.regexp_extract(head, pattern, 1)) for pattern in (_META_CHARSET, _CONTENT_TYPE)]
+    known = [F.when(x.isin(*ENCODINGS) | x.rlike(_ENCODING), x) for x in labels]
+    return F.when(_c(html).isNotNull(), F.coalesce(*known, F.lit("utf-8")))
+
+
 def html_lang(html) -> Column:
     return F.nullif(F.lower(F.split_part(F.regexp_extract(_c(html), r"""(?i)<html[^>]*\slang\s*=\s*["']?([^"'\s>]+)""", 1), F.lit("-"), F.lit(1))), F.lit(""))
 

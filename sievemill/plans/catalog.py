@@ -23,6 +23,19 @@ def query(sql: str | None):
     return keep
 
 
+#: functions of values that no table holds: rows of literals, for tests only
+CASES: dict = {}
+CASE_SQL: dict[str, str] = {}
+
+
+def case(sql: str):
+    def keep(f):
+        CASES[f.__name__], CASE_SQL[f.__name__] = f, sql
+        return f
+
+    return keep
+
+
 def pages(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet")
 
@@ -212,27 +225,27 @@ def _frame(spark: SparkSession, values) -> DataFrame:
     return spark.createDataFrame(list(enumerate(values)), "i int, x string")
 
 
-@query(f"SELECT i, strlen(t) BETWEEN 2 AND 120 AND NOT (strlen(t) > 20 AND NOT contains(t, ' ')) AND NOT regexp_matches(t, '^(https?://|www\\.|\\{{|\\[)') AND NOT regexp_matches(t, '\\.(com|org|net)') AND len(regexp_extract_all(t, '[0-9]')) <= 3 AND len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}\\s\\-''.]')) <= 2 AS valid FROM (SELECT i, {STRIP('x')} AS t FROM {_values(_NAMES)})")
+@case(f"SELECT i, strlen(t) BETWEEN 2 AND 120 AND NOT (strlen(t) > 20 AND NOT contains(t, ' ')) AND NOT regexp_matches(t, '^(https?://|www\\.|\\{{|\\[)') AND NOT regexp_matches(t, '\\.(com|org|net)') AND len(regexp_extract_all(t, '[0-9]')) <= 3 AND len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}\\s\\-''.]')) <= 2 AS valid FROM (SELECT i, {STRIP('x')} AS t FROM {_values(_NAMES)})")
 def author_name_valid(spark, d):
     return _frame(spark, _NAMES).select("i", c.is_name("x").alias("valid"))
 
 
-@query(f"SELECT i, CASE WHEN contains(lower(t), 'creativecommons.org/publicdomain/zero') OR upper(t) = 'CC0' THEN 'CC0 1.0' WHEN regexp_matches(lower(t), 'creativecommons\\.org/licenses/[a-z-]+/[0-9.]+') THEN 'CC ' || upper(replace(regexp_extract(lower(t), 'licenses/([a-z-]+)/', 1), '-', ' ')) || ' ' || regexp_extract(lower(t), 'licenses/[a-z-]+/([0-9.]+)', 1) ELSE t END AS license FROM (SELECT i, {_clean('x')} AS t FROM {_values(_LICENSES)})")
+@case(f"SELECT i, CASE WHEN contains(lower(t), 'creativecommons.org/publicdomain/zero') OR upper(t) = 'CC0' THEN 'CC0 1.0' WHEN regexp_matches(lower(t), 'creativecommons\\.org/licenses/[a-z-]+/[0-9.]+') THEN 'CC ' || upper(replace(regexp_extract(lower(t), 'licenses/([a-z-]+)/', 1), '-', ' ')) || ' ' || regexp_extract(lower(t), 'licenses/[a-z-]+/([0-9.]+)', 1) ELSE t END AS license FROM (SELECT i, {_clean('x')} AS t FROM {_values(_LICENSES)})")
 def license_normalize(spark, d):
     return _frame(spark, _LICENSES).select("i", c.normalize_license("x").alias("license"))
 
 
-@query(f"SELECT i, epoch(coalesce(CASE WHEN regexp_matches(x, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN try_cast(x AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END, {', '.join(f'''try_strptime(x, '{f}')''' for f in ('%Y-%m-%dT%H:%M:%S', '%Y-%m-%d', '%Y/%m/%d', '%d/%m/%Y', '%m/%d/%Y', '%B %d, %Y', '%b %d, %Y', '%d %B %Y'))}))::BIGINT AS seconds FROM {_values(_DATES)}")
+@case(f"SELECT i, epoch(coalesce(CASE WHEN regexp_matches(x, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN try_cast(x AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END, {', '.join(f'''try_strptime(x, '{f}')''' for f in ('%Y-%m-%dT%H:%M:%S', '%Y-%m-%d', '%Y/%m/%d', '%d/%m/%Y', '%m/%d/%Y', '%B %d, %Y', '%b %d, %Y', '%d %B %Y'))}))::BIGINT AS seconds FROM {_values(_DATES)}")
 def date_parse(spark, d):
     return _frame(spark, _DATES).select("i", F.unix_timestamp(c.parse_date("x")).alias("seconds"))
 
 
-@query(f"SELECT i, lower(split_part(split_part({_clean('x')}, '-', 1), '_', 1)) AS lang, lower(split_part(x, '_', 1)) AS meta_lang FROM {_values(_LANGS)}")
+@case(f"SELECT i, lower(split_part(split_part({_clean('x')}, '-', 1), '_', 1)) AS lang, lower(split_part(x, '_', 1)) AS meta_lang FROM {_values(_LANGS)}")
 def language_normalize(spark, d):
     return _frame(spark, _LANGS).select("i", c.normalize_language("x").alias("lang"), c.meta_language("x").alias("meta_lang"))
 
 
-@query(f"SELECT i, array_to_string(list_filter(list_transform(regexp_split_to_array(x, '[,;]'), lambda t: {_clean('t')}), lambda t: t <> ''), '|') AS tags FROM {_values(_TAGS)}")
+@case(f"SELECT i, array_to_string(list_filter(list_transform(regexp_split_to_array(x, '[,;]'), lambda t: {_clean('t')}), lambda t: t <> ''), '|') AS tags FROM {_values(_TAGS)}")
 def tag_lists(spark, d):
     return _frame(spark, _TAGS).select("i", F.array_join(c.tag_list("x"), "|").alias("tags"))
 
@@ -295,4 +308,44 @@ def escape_markdown_code(spark, d):
     return pages(spark, d).select("page_id", c.escape_markdown(title, F.col("page_id") % 2 == 0).alias("text"))
 
 
+_KINDS = ("by", "by-sa", "by-nc-nd")
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'CC0 1.0' WHEN 1 THEN 'CC0 1.0' WHEN 2 THEN {_clean('text')} ELSE 'CC ' || CASE doc_id % 3 WHEN 0 THEN 'BY' WHEN 1 THEN 'BY SA' ELSE 'BY NC ND' END || ' ' || (doc_id % 4 + 1) || '.0' END AS license FROM documents WHERE NOT contains(lower(text), 'creativecommons') AND upper(trim(text)) <> 'CC0'""")
+def license_documents(spark, d):
+    """Licence names and links of six forms, one a document."""
+    kind = F.element_at(F.array(*(F.lit(k) for k in _KINDS)), (F.col("doc_id") % 3 + 1).cast("int"))
+    link = F.concat(F.lit(" see https://creativecommons.org/licenses/"), kind, F.lit("/"), (F.col("doc_id") % 4 + 1).cast("string"), F.lit(".0/deed"))
+    said = F.when(F.col("doc_id") % 6 == 0, F.lit(" cc0 ")).when(F.col("doc_id") % 6 == 1, F.lit("http://CreativeCommons.org/publicdomain/zero/1.0/")).when(F.col("doc_id") % 6 == 2, F.col("text")).otherwise(link)
+    kept = docs(spark, d).where(~F.lower("text").contains("creativecommons") & (F.upper(F.trim("text")) != "CC0"))
+    return kept.select("doc_id", c.normalize_license(said).alias("license"))
+
+
+@query(f"SELECT page_id, lower({_TITLE}) AS title, t IS NOT NULL AND CASE page_id % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false ELSE lower(t) = 'other' OR starts_with(lower(t), 'other: ') OR starts_with(lower(t), 'other - ') OR starts_with(lower(t), 'other | ') END AS same FROM (SELECT *, {_TITLE} AS t FROM pages)")
+def titles_match_pages(spark, d):
+    """Every page's title against itself in small letters, with a site behind it, with blanks, glued to a word, and against another."""
+    t = c.raw_title("html")
+    other = F.when(F.col("page_id") % 5 == 0, F.lower(t)).when(F.col("page_id") % 5 == 1, F.concat(t, F.lit(" | Site name"))).when(F.col("page_id") % 5 == 2, F.concat(F.lit("  "), t, F.lit(" \t"))).when(F.col("page_id") % 5 == 3, F.concat(t, F.lit("xyz"))).otherwise(F.lit("Other"))
+    return pages(spark, d).select("page_id", c.normalize_title(t).alias("title"), F.coalesce(c.titles_match(t, other), F.lit(False)).alias("same"))
+
+
+_IMAGES = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "ico", "tiff", "tif", "avif")
+
+
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE lower(split_part(split_part(url, '?', 1), '.', -1)) IN ({', '.join(repr(x) for x in _IMAGES)}) END AS image FROM pages")
+def image_files_pages(spark, d):
+    """Names of image files made of every page's URL, and the URLs themselves."""
+    ending = F.element_at(F.array(*(F.lit(x) for x in _IMAGES)), (F.col("page_id") % 11 + 1).cast("int"))
+    link = F.when(F.col("page_id") % 4 == 0, F.concat(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("/a."), F.upper(ending), F.lit("?w=1.html"))).when(F.col("page_id") % 4 == 1, F.concat(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("/png.html?x.png"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("b."), ending)).otherwise(F.col("url"))
+    return pages(spark, d).select("page_id", c.is_image_file(link).alias("image"))
+
+
+@query("SELECT page_id, CASE WHEN NOT regexp_matches(html, '<meta charset=\"utf-8\">') THEN 'utf-8' WHEN page_id % 3 = 0 THEN 'utf-8' WHEN page_id % 3 = 1 THEN 'koi8-r' ELSE 'utf-8' END AS encoding FROM pages")
+def declared_encoding_pages(spark, d):
+    """The encoding that pages declare: as they are, by their content type after a label that nobody knows, and by such a label alone."""
+    meta = '<meta charset="utf-8">'
+    html = F.when(F.col("page_id") % 3 == 1, F.replace("html", F.lit(meta), F.lit("<meta charset='none-such'><META http-equiv=\"Content-Type\" content='text/html; charset=KOI8-R'>"))).when(F.col("page_id") % 3 == 2, F.replace("html", F.lit(meta), F.lit("<meta charset=none-such>"))).otherwise(F.col("html"))
+    return pages(spark, d).select("page_id", c.declared_encoding(html).alias("encoding"))
+
+
 QUERIES, ORACLES = _RUN, _SQL

@@ -1,4 +1,4 @@
-"""Queries that need a document tree, by name, with their DuckDB SQL: over the pages table, whose uniform markup lets SQL say the same, and over the cases of page_cases."""
+"""Queries that need a document tree, by name, with their DuckDB SQL: over the pages table, whose uniform markup lets SQL say the same."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from ..operators.classic import QUALITY_FEATURES
 from ..operators.features import NAMES
 from ..operators.page import Options
 from ..operators.stage import classic, extract, html_signals, ml_features, quality_features, resolve_urls
-from . import page_cases
 from .catalog import WORDS, WS, pages
 from .page_sql import PAGES
 
@@ -119,5 +118,3 @@ ORACLES = {
     "type_score_rollup": f"SELECT page_type, pages, round(mean_score, 4) AS mean_score FROM (SELECT page_type, pages, mean_score FROM ({_MEAN}) UNION ALL SELECT 'all', sum(pages)::BIGINT, avg(mean_score) FROM ({_MEAN}))",
     "links_resolved": "SELECT page_id, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS absolute_url, true AS valid FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages)",
 }
-QUERIES |= page_cases.QUERIES
-ORACLES |= page_cases.ORACLES

@@ -5,7 +5,7 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH")) if x)
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.path.join(ROOT, "tests"), os.environ.get("PYTHONPATH")) if x)
 
 
 @pytest.fixture(scope="session")
@@ -23,3 +23,28 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    return con
+
+
+@pytest.fixture(scope="session")
+def rows():
+    """A frame's columns and rows in an order of their own, to compare."""
+
+    def shown(df):
+        df = df[sorted(df.columns)]
+        return list(df.columns), sorted(str(["" if v is None or v != v else v for v in r]) for r in df.astype(object).itertuples(index=False, name=None))
+
+    return shown

@@ -12,12 +12,12 @@ from html import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import classic
-from ..operators import rules as R
-from ..operators import stage
-from ..operators import values as V
-from ..operators.dom import parse
-from ..operators.page import Options
+from sievemill.operators import classic
+from sievemill.operators import rules as R
+from sievemill.operators import stage
+from sievemill.operators import values as V
+from sievemill.operators.dom import parse
+from sievemill.operators.page import Options
 
 PROSE = " ".join(f"This sentence of the main text holds several useful words, and number {i}." for i in range(16))
 SOME = PROSE[:300]

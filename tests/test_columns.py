@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
-import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,33 +14,32 @@ from sievemill.plans import catalog, page_queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    con.execute("SET timezone = 'UTC'")
-    for f in os.listdir(SF):
-        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
-    return con
-
-
-def rows(df):
-    df = df[sorted(df.columns)]
-    return list(df.columns), sorted(str(["" if v is None or v != v else v for v in r]) for r in df.astype(object).itertuples(index=False, name=None))
-
-
-@pytest.mark.parametrize("name", [n for n in catalog.ORACLES if n != "date_parse"])
-def test_catalog(spark, duck, name):
+@pytest.mark.parametrize("name", list(catalog.ORACLES))
+def test_catalog(spark, duck, rows, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(catalog.ORACLES[name]).df())
 
 
 @pytest.mark.parametrize("name", list(page_queries.ORACLES))
-def test_pages(spark, duck, name):
+def test_pages(spark, duck, rows, name):
     assert rows(page_queries.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(page_queries.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name", [n for n in catalog.CASES if n != "date_parse"])
+def test_literals(spark, duck, rows, name):
+    assert rows(catalog.CASES[name](spark, SF).toPandas()) == rows(duck.execute(catalog.CASE_SQL[name]).df())
+
+
 def test_dates(spark, duck):
     ours = {r.i: r.seconds for r in catalog.date_parse(spark, SF).collect()}
-    assert ours == dict(duck.execute(catalog.ORACLES["date_parse"]).fetchall())
+    assert ours == dict(duck.execute(catalog.CASE_SQL["date_parse"]).fetchall())
+
+
+ENCODED = [("<meta charset=UTF-8>", "utf-8"), ("<meta charset='nope'><meta http-equiv=Content-Type content='text/html; charset=koi8-r'>", "koi8-r"), ("<meta charset=nope>", "utf-8"), ("", "utf-8"), (None, None), ("<meta http-equiv=content-type content='text/html; charset=Windows-1251'>", "windows-1251"), (" " * 2000 + "<meta charset=koi8-r>", "utf-8")]
+
+
+def test_declared_encoding(spark):
+    got = spark.createDataFrame([(h,) for h, _ in ENCODED], "h string").select(C.declared_encoding("h")).collect()
+    assert [r[0] for r in got] == [e for _, e in ENCODED]
 
 
 TEXTS = ["", " a b ", "x .y\r\n\n\n\nz", "By Jane Doe", "Photo: Getty", "Facebook | share", "Subscribe to our newsletter", "A & <b> \"q\" 'r'", "&amp;lt; &#8217;", "no", "Updated: today", "é　ü,  ö", "a\t \nb", "Twitterati say", "by someone. Else", "10 words or so.,;:!?"]

@@ -1,12 +1,19 @@
 """Approximate nearest neighbours (operator 4): a vantage-point tree per shard.
 
 Vectors are dealt into shards of bounded size by a hash of their id. A shard's tree
-is built over its distinct vectors: a vantage point and the median distance to it
-split a node into a near and a far half, down to leaves. A query enters the half
-its own distance points to first; the other half is skipped if the triangle
-inequality, with the gap to the median times `relax`, puts it beyond the k-th best
-so far. relax = 1 is exact search; larger values prune more. Blocks of queries walk
-a tree together. Each shard gives its k best, and the k best of those are kept.
+is built over its distinct vectors: a vantage point (of some, the one whose distances
+vary most) and the median distance to it split a node into a near and a far half, down
+to leaves of LEAF vectors. Each half knows the least and the greatest distance of its
+vectors to the vantage point. A half is skipped if the triangle inequality, with the gap
+between the query's distance and the half's span times `relax`, puts it beyond the k-th
+best so far. relax = 1 is exact search; larger values prune more. Blocks of queries walk
+a tree together: once to each query's own leaf, for a first bound, and once through all
+that the bounds leave. Each shard gives its k best, and the k best of those are kept.
+
+How much is pruned depends on the vectors: groups of like ones are found and the rest
+of the tree skipped; where all vectors lie at like distances (independent directions in
+many dimensions) no bound by the triangle inequality can rule one out, and exact search
+measures them all. `Tree.looked` counts what leaves were asked for.
 
 Every vector is indexed; trees are staged in the shared folder. Each task has one
 shard's tree, once, and a stream of query blocks (a stated query set against all
@@ -35,7 +42,8 @@ from .common import lean, stage, table, workers_import
 
 SHARD_ROWS = 20_000
 BLOCK_ROWS = 1024
-LEAF = 1024
+LEAF = 64
+TRIED, SEEN = 8, 128  # vantage points tried for a node, on so many of its vectors
 PART_BLOCKS = 64  # blocks of queries that one task takes through a shard's tree
 
 
@@ -44,12 +52,9 @@ def valid(embedding: str) -> Column:
 
 
 def distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, rows of q against rows of v."""
-    out = np.empty((len(q), len(v)))
-    for i in range(len(q)):
-        d = v - q[i]
-        out[i] = np.sqrt((d * d).sum(1))
-    return out
+    """Euclidean distances in double precision of the rows of q to one vector."""
+    d = q - v
+    return np.sqrt((d * d).sum(1))
 
 
 def measured(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -71,13 +76,16 @@ class Tree:
         # how many vectors of one id there are at most: so many of the closest may be a query's own
         own = np.concatenate([np.unique(x) for x in self.ids]) if self.ids else np.empty(0, np.int64)
         self.alike = int(np.unique(own, return_counts=True)[1].max(initial=1))
+        self.looked = 0
         self.root = self.split(np.arange(len(self.vectors)), np.random.default_rng(1))
 
     def split(self, own: np.ndarray, rng):
         if len(own) <= LEAF:
             return own
-        vantage = int(own[rng.integers(len(own))])
-        d = distances(self.vectors[vantage : vantage + 1], self.vectors[own])[0]
+        seen = self.vectors[rng.choice(own, min(SEEN, len(own)), replace=False)]
+        tried = rng.choice(own, TRIED, replace=False)
+        vantage = int(tried[np.argmax([distances(seen, self.vectors[t]).var() for t in tried])])
+        d = distances(self.vectors[own], self.vectors[vantage])
         middle = float(np.median(d))
         near = d <= middle
         if near.all():
@@ -85,7 +93,8 @@ class Tree:
             if not near.any():
                 return own
             middle = float(d[near].max())
-        return (vantage, middle, self.split(own[near], rng), self.split(own[~near], rng))
+        spans = [(float(d[x].min()), float(d[x].max())) for x in (near, ~near)]
+        return (vantage, middle, *spans, self.split(own[near], rng), self.split(own[~near], rng))
 
     def search(self, q: np.ndarray, names: np.ndarray, k: int, relax: float):
         """Rows (place of the query, id, distance), at most k a query."""
@@ -95,6 +104,7 @@ class Tree:
 
         def leaf(own, rows):
             """One matrix product rules out what is certainly too far (with room for its rounding); the rest is measured exactly, the closest k + 1 vectors first."""
+            self.looked += len(own) * len(rows)
             v, a = self.vectors[own], (q[rows] * q[rows]).sum(1)
             rough = a[:, None] + square[own] - 2 * (q[rows] @ v.T)
             room = 1e-9 * (a[:, None] + square[own])
@@ -103,30 +113,40 @@ class Tree:
             if len(own) > most:
                 limit = np.minimum(limit, np.partition(rough + room, most, axis=1)[:, most])  # so many vectors are that close for sure, and at least k of them are no rows of the query's id
             near = rough - room <= limit[:, None]
-            for r, row in enumerate(rows):
-                hit = np.flatnonzero(near[r])
-                if len(hit):
-                    d = measured(q[row], v[hit])
-                    new = [(x, i) for x, h in zip(d.tolist(), hit, strict=True) if x <= best_d[row, -1] for i in self.ids[own[h]].tolist() if i != names[row]]
-                    got = sorted([*zip(best_d[row].tolist(), best_i[row].tolist(), strict=True), *new])[:k]
-                    best_d[row], best_i[row] = [x[0] for x in got], [x[1] for x in got]
-
-        todo = [(self.root, np.arange(len(q)), None)]
-        while todo:
-            node, rows, gap = todo.pop()
-            if gap is not None:  # gap: how far the query is from this half, at least
-                on = gap * relax <= best_d[rows, -1] * (1 + 1e-12) + 1e-12
-                rows = rows[on]
+            for r in np.flatnonzero(near.any(1)):
+                row, hit = rows[r], np.flatnonzero(near[r])
+                d = measured(q[row], v[hit])
+                new = [(x, i) for x, h in zip(d.tolist(), hit, strict=True) if x <= best_d[row, -1] for i in self.ids[own[h]].tolist() if i != names[row]]
+                got = sorted([*zip(best_d[row].tolist(), best_i[row].tolist(), strict=True), *new])[:k]
+                best_d[row], best_i[row] = [x[0] for x in got], [x[1] for x in got]
+
+        every, home = np.arange(len(q)), np.zeros(len(q), np.int64)
+        todo = [(self.root, every)]
+        while todo:  # down to the leaf that its own distances point to, which gives each query a first bound
+            node, rows = todo.pop()
             if not len(rows):
                 continue
             if not isinstance(node, tuple):
                 leaf(node, rows)
+                home[rows] = id(node)
                 continue
-            vantage, middle, near, far = node
-            d = distances(q[rows], self.vectors[vantage : vantage + 1])[:, 0]
-            inside = d <= middle
-            # last in, first out: each query's own half is walked before the other one
-            todo += [(far, rows[inside], middle - d[inside]), (near, rows[~inside], d[~inside] - middle), (near, rows[inside], None), (far, rows[~inside], None)]
+            inside = distances(q[rows], self.vectors[node[0]]) <= node[1]
+            todo += [(node[-1], rows[~inside]), (node[-2], rows[inside])]
+        todo = [(self.root, every, np.zeros(len(q)))]
+        while todo:  # then all other leaves in order, without what the bounds rule out
+            node, rows, gap = todo.pop()  # gap: how far the query is from what this half holds, at least
+            on = gap * relax <= best_d[rows, -1] * (1 + 1e-12) + 1e-12
+            rows = rows[on]
+            if not isinstance(node, tuple):
+                rows = rows[home[rows] != id(node)]
+                if len(rows):
+                    leaf(node, rows)
+                continue
+            if not len(rows):
+                continue
+            vantage, _, *spans, near, far = node
+            d = distances(q[rows], self.vectors[vantage])
+            todo += [(half, rows, np.maximum(least - d, d - most)) for half, (least, most) in zip((far, near), reversed(spans), strict=True)]
         r, c = np.nonzero(np.isfinite(best_d))
         return r, best_i[r, c], best_d[r, c]
 

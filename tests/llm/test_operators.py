@@ -346,6 +346,36 @@ def test_vantage_point_tree(spark):
     assert got == want
 
 
+def test_vantage_point_tree_prunes():
+    """On groups of like vectors exact search skips most leaves; relaxed search skips more and keeps its recall."""
+    r = np.random.default_rng(9)
+    v = (r.normal(size=(80, 16))[:, None] + 0.15 * r.normal(size=(80, 100, 16))).reshape(-1, 16)
+    ids = np.arange(len(v))
+    tree = vptree.Tree(v, ids, 10)
+    q = v[::100]
+    shares, found = [], []
+    for relax in (1.0, 1.5, 3.0):
+        tree.looked = 0
+        at, near, d = tree.search(q, ids[::100], 10, relax)
+        shares.append(tree.looked / len(q) / len(v))
+        found.append(set(zip(at.tolist(), near.tolist(), strict=True)))
+    exact = {(k, int(i)) for k, x in enumerate(q) for i in [i for i in np.argsort(np.sqrt(((v - x) ** 2).sum(1)), kind="stable") if i != k * 100][:10]}
+    assert found[0] == exact
+    assert shares[0] < 0.3 and shares[2] <= shares[1] <= shares[0]
+    assert all(len(x & exact) >= 0.9 * len(exact) for x in found)
+
+
+def test_vantage_point_tree_relaxed(spark):
+    """Vectors without groups: the pruning factor trades recall for work."""
+    workers_import(spark)
+    r = np.random.default_rng(10)
+    v = r.normal(size=(3000, 6))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    exact, some = ({(x.query_id, x.vec_id) for x in vptree.nearest(df, F.col("vec_id") % 50 == 0, relax=relax, shard_rows=1500).collect()} for relax in (1.0, 1.5))
+    assert len(exact) == len(some) == 600
+    assert len(exact & some) >= 0.9 * len(exact)
+
+
 def test_vantage_point_tree_repeated_ids(spark):
     """Rows of one id: each asks with its own vector, and is never its own neighbour."""
     r = np.random.default_rng(7)

@@ -63,6 +63,8 @@ def _field(field, x: str) -> str:
 def _test(test, x: str) -> str:
     how, field, words = test.says
     value = _field(field, x)
+    if how == "filled":
+        return f"{value} <> ''"
     if how == "equals":
         return among(value, words)
     return f"{value} RLIKE {lit(('^' if how == 'starts' else '') + '(?:' + '|'.join(re.escape(w) for w in words) + ')')}"

@@ -194,6 +194,36 @@ def normalize_url(x) -> Column:
     return F.when(is_absolute_url(x), F.regexp_replace(plain, r"^(https?://[^/?]+/[^?]*[^/?])/(\?.*)?$", "$1$2")).otherwise(x)
 
 
+_REFERENCE = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def resolve_url(x, base) -> Column:
+    """A link of a page as an absolute URL, by the rules for relative references: dot segments go, an empty query or fragment too. Links with a scheme of their own stay, and all do where the base is null or has no host; a null link stays null."""
+
+    def joined(v: Column) -> Column:
+        part = lambda of, k: F.regexp_extract(v[of], _REFERENCE, k)
+        path, own = part("x", 3), F.split(part("x", 3), "/")
+        before = F.split(part("base", 3), "/")
+        before = F.when(F.element_at(before, -1) != "", F.slice(before, F.lit(1), F.size(before) - 1)).otherwise(before)
+        merged = F.concat(F.when(F.size(before) > 0, before).otherwise(F.array(F.lit(""))), own)
+        merged = F.filter(merged, lambda s, k: (s != "") | (k == 0) | (k == F.size(merged) - 1))
+        segments = F.when(path.startswith("/"), own).otherwise(merged)
+        last = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        step = lambda o, s: F.when(s == "..", F.slice(o, F.lit(1), F.greatest(F.size(o) - 1, F.lit(0)))).when(s == ".", o).otherwise(F.array_append(o, s))
+        way = F.array_join(F.concat(F.aggregate(segments, F.array().cast("array<string>"), step), last), "/")
+        way = F.when(way.startswith("/"), way).otherwise(F.concat(F.lit("/"), way))
+        query = F.when((path == "") & (part("x", 4) == ""), part("base", 4)).otherwise(part("x", 4))
+        tail = F.concat(F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")), F.when(part("x", 5) != "", F.concat(F.lit("#"), part("x", 5))).otherwise(F.lit("")))
+        root = F.concat(F.lower(part("base", 1)), F.lit("://"), part("base", 2))
+        return (
+            F.when((v["x"] == "") | (part("x", 1) != "") | v["base"].isNull() | ~v["base"].rlike(HOST), v["x"])
+            .when(v["x"].startswith("//"), F.concat(F.lower(part("base", 1)), F.lit(":"), v["x"]))
+            .otherwise(F.concat(root, F.when(path == "", part("base", 3)).otherwise(way), tail))
+        )
+
+    return F.element_at(F.transform(F.array(F.struct(strip(x).alias("x"), F.trim(_c(base)).alias("base"))), joined), 1)
+
+
 def urls_match(a, b) -> Column:
     """Whether two URLs point to the same page, whatever their fragments."""
     return normalize_url(a) == normalize_url(b)

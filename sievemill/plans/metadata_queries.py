@@ -1,13 +1,14 @@
-"""Queries over metadata columns (functions/metadata.py), with their DuckDB SQL on the uniform pages table: no Python worker in any plan."""
+"""Queries over columns of metadata and type signals (functions/metadata.py, functions/signals.py), with their DuckDB SQL on the uniform pages table: no Python worker in any plan."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
+from ..functions import signals as S
 from ..operators.stage import dealt
-from .catalog import HOST, pages
-from .page_sql import _NAMED, PAGES
+from .catalog import HOST, WORDS, pages
+from .page_sql import _NAMED, PAGES, _untagged
 
 
 def _own(spark, d, *columns):
@@ -36,7 +37,12 @@ def host_sites(spark, d):
     return own.groupBy("hostname").agg(F.count("*").alias("pages"), F.count("sitename").alias("with_site"), F.count_distinct("sitename").alias("sites"))
 
 
-QUERIES = {f.__name__: f for f in (metadata_fields, title_elements, light_titles, host_sites)}
+def type_signals(spark, d):
+    """Links a paragraph and words in paragraphs of every page, and the type that they and the URL give."""
+    return S.with_signals(_own(spark, d, "url", "html"), url="url").select("page_id", "signals.link_ratio", "signals.paragraph_word_count", "page_type")
+
+
+QUERIES = {f.__name__: f for f in (metadata_fields, title_elements, light_titles, host_sites, type_signals)}
 
 _LONG = lambda x: f"CASE WHEN strlen({x}) > 5 AND strlen({x}) < 200 THEN {x} END"
 ORACLES = {
@@ -44,4 +50,5 @@ ORACLES = {
     "title_elements": f"SELECT page_id, nullif(raw, '') AS title_element, nullif(best, '') AS title_part, CASE WHEN len(sites) > 1 AND strlen(trim(sites[-1])) BETWEEN 3 AND 49 THEN trim(sites[-1]) END AS title_site, {_LONG('h1')} AS heading FROM {_NAMED}",
     "light_titles": f"SELECT page_id, coalesce(nullif(best, ''), {_LONG('h1')}) AS title, {HOST} AS hostname FROM {_NAMED}",
     "host_sites": f"SELECT hostname, count(*) AS pages, count(sitename) AS with_site, count(DISTINCT sitename) AS sites FROM {PAGES} GROUP BY hostname",
+    "type_signals": f"SELECT page_id, len(regexp_extract_all(html, '<a ')) / greatest(len(ps), 1)::DOUBLE AS link_ratio, coalesce(list_sum(list_transform(ps, lambda p: len({WORDS(_untagged('p'))}))), 0)::BIGINT AS paragraph_word_count, page_type FROM {PAGES}",
 }

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.columns import SPACE
+from ..functions.columns import SPACE, is_absolute_url, resolve_url
 from ..operators import page_types
 from ..operators.classic import QUALITY_FEATURES
 from ..operators.features import NAMES
 from ..operators.page import Options
-from ..operators.stage import classic, extract, html_signals, ml_features, quality_features, resolve_urls
+from ..operators.stage import classic, extract, html_signals, ml_features, quality_features
 from .catalog import WORDS, WS, pages
 from .page_sql import PAGES
 
@@ -81,7 +81,8 @@ def type_score_rollup(spark, d):
 def links_resolved(spark, d):
     """Every link of every page as an absolute URL."""
     links = pages(spark, d).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
-    return resolve_urls(links, "href", "url").select("page_id", "href", "absolute_url", "url_check.valid")
+    found = links.select("page_id", "href", resolve_url("href", "url").alias("absolute_url"))
+    return found.withColumn("valid", is_absolute_url("absolute_url"))
 
 
 def classic_text(spark, d):

@@ -1,6 +1,7 @@
-"""What a page says of its type, and its images, as columns over its tree (see tree.py). No Python runs on the executors.
+"""What a page says of its type and language, its images and its comments, as columns over its tree (see tree.py). No Python runs on the executors.
 
-A null page has no signals (null), and no images (an empty list); an empty one has counts of 0.
+A null page has no signals, language or comments (null), and no images (an empty list); an
+empty one has counts of 0.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profiles as P
+from ..operators import rules as R
 from . import columns as C
 from . import jsonld
-from .content import any_word
+from .content import BODY, any_word
 from .metadata import _BELOW, _fence, _one, _value
 from .tree import among, attribute, fenced, let, lit, node_text, with_tree
 
@@ -102,3 +104,43 @@ def with_images(df: DataFrame, html: str = "html", hero: str | None = None) -> D
     none = F.array().cast("array<struct<src: string, filename: string, alt: string, caption: string, is_hero: boolean>>")
     df = _fence(df, images=F.coalesce(F.transform("__once", each), none))
     return df.drop("texts", "nodes", "__found", "__sources", "__hero", "__once", "__place")
+
+
+# ---------------------------------------------------------------- language and comments
+_HTML_LANG = attribute("regexp_extract({html}, '(?is)<html(?=[^a-z])([^>]*)>', 1)", "lang")
+_CONTENTS = lambda key, value: f"transform(filter(nodes, x -> x.tag = 'meta' AND lower({attribute('x.attrs', key)}) = '{value}'), x -> {_value('x', 'content')})"
+
+
+def with_language(df: DataFrame, html: str = "html") -> DataFrame:
+    """df with `language`: what a page declares on its root, else as a header, else by name; null where it declares none."""
+    df = fenced(with_tree(df, html), __said=f"concat(array({_HTML_LANG.format(html=f'`{html}`')}), {_CONTENTS('http-equiv', 'content-language')}, {_CONTENTS('name', 'language')})")
+    said = F.filter("__said", lambda x: C.strip(x) != "")
+    return df.withColumn("language", C.normalize_language(F.get(said, F.lit(0)))).drop("texts", "nodes", "__said")
+
+
+def matches_language(language, target: str) -> Column:
+    """Whether a page with a declared language (a column) can be in the target language: so are those that declare none."""
+    own = C.normalize_language(language)
+    return F.coalesce((own == "") | (own == C.normalize_language(F.lit(target))), F.lit(True))
+
+
+_CLASSES = "split({x}, '\\\\s+')".format(x=attribute("x.attrs", "class"))
+_RANK = (
+    "CASE " + " ".join(f"WHEN {attribute('x.attrs', 'id')} = '{k}' THEN {n}" for n, k in enumerate(P.COMMENT_IDS))
+    + " " + " ".join(f"WHEN array_contains({_CLASSES}, '{k}') THEN {n}" for n, k in enumerate(P.COMMENT_CLASSES, len(P.COMMENT_IDS))) + " END"
+)
+_CLEAN = f"trim(regexp_replace({node_text('x')}, {lit(C.SPACE + '+')}, ' '))"
+_LIKE = f"({attribute('x.attrs', 'id')} RLIKE {lit(R.COMMENT_ID.pattern)} OR {attribute('x.attrs', 'class')} RLIKE {lit(R.COMMENT_CLASS.pattern)})"
+
+
+def with_comments(df: DataFrame, html: str = "html") -> DataFrame:
+    """df with `comments`: struct<pre, tag, text> of the element that holds a page's comments, null without one.
+
+    First come the known ids and classes, in their order; else the element of the body with
+    the longest text (of equal ones the first) among those whose id or class is like them."""
+    df = fenced(with_tree(df, html), __body=BODY)
+    df = fenced(df, __known=f"array_min(filter(transform(filter(nodes, x -> x.attrs <> ''), x -> struct({_RANK} AS rank, x.pre AS pre)), y -> y.rank IS NOT NULL)).pre")
+    like = f"filter(nodes, x -> x.attrs <> '' AND x.pre > __body.pre AND x.pre <= __body.post AND {_LIKE})"
+    df = fenced(df, __at=f"coalesce(__known, -array_max(transform({like}, x -> struct(octet_length({_CLEAN}) AS n, -x.pre AS pre))).pre)")
+    df = fenced(df, comments=f"IF(__at IS NULL, NULL, transform(array(nodes[__at]), x -> struct(x.pre AS pre, x.tag AS tag, {_CLEAN} AS text))[0])")
+    return df.drop("texts", "nodes", "__body", "__known", "__at")

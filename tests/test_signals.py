@@ -66,3 +66,30 @@ def test_resolved_links(spark, base):
     links = [*cases.LINKED, "./a/./b/..", "../../../c", "..", ".", "a//b", "/a/../b/./c", "?", "#", " /p ", "tel:1", "data:x", "javascript:void(0)", "ftp://y/z", "a?b#c", "é/ü", "/a//b/../c/"]
     got = rows(spark, [(x,) for x in links], "x").select("id", C.resolve_url("x", F.lit(base).cast("string")).alias("v")).orderBy("id").collect()
     assert [r.v for r in got] == [V.absolute(x.strip(), base) for x in links]
+
+
+LANGUAGES = ["", "<html lang='de-AT'><p>x", "<html lang=' '><meta http-equiv='Content-Language' content='EN_us'>", "<meta name=language content=''><meta name=Language content='pt-BR'>", "<meta name=language content=fr><meta http-equiv=content-language content=it>"]
+
+
+def test_language(spark):
+    got = S.with_language(rows(spark, [*((p,) for p in LANGUAGES), (None,)], "html")).orderBy("id").select("language", S.matches_language("language", "de-CH").alias("ok")).collect()
+    assert [r.language for r in got] == [*(X.document_language(parse(p)) for p in LANGUAGES), None]
+    assert [r.ok for r in got] == [r.language in (None, "de") for r in got]
+
+
+TALKS = [
+    "<div class='respond a'>1</div><p id=respond>2</p><p class='comments'>3</p>",
+    "<i class='x comment-list-y'>short</i><b class='My-Replies'>longer one</b><u id='Disqus_Thread'>longer two</u>",
+    "<p class='commentary'>no</p>",
+    "<div id=discussion>a  b<p>c</div><div id=comments></div>",
+]
+
+
+def test_comments(spark):
+    pages = [*TALKS, "", *(c[0] for c in cases.COMMENTS.values())]
+    got = S.with_comments(rows(spark, [*((p,) for p in pages), (None,)], "html")).orderBy("id").collect()
+    for page, r in zip(pages, got, strict=False):
+        doc = parse(page)
+        n = X.comment_section(doc, X.body_of(doc))
+        assert (r.comments and (r.comments.tag, r.comments.text)) == (n and (n.tag, V.clean(n.text()))), page
+    assert got[-1].comments is None

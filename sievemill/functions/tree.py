@@ -74,8 +74,8 @@ def among(x: str, xs) -> str:
 
 
 def let(value: str, name: str, body: str) -> str:
-    """body with name for the value, which is evaluated once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+    """body with name for the value, which is evaluated once. The end of a fold over nothing: transform would copy what body gives with all that is in it, a fold's whole state at each step."""
+    return f"aggregate(array(), {value}, (same_, none_) -> same_, {name} -> {body})"
 
 
 def scan(items: str, zero: str, step: str) -> str:

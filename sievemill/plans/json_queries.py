@@ -33,12 +33,12 @@ def json_search(spark, d):
 
 def table_texts(spark, d):
     """Every event as a table with cells that span rows and columns, and one inside another."""
-    e = dealt(spark.read.parquet(f"{d}/events.parquet")).select("event_id", "event_type", F.col("user_id").cast("string").alias("user"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", F.col("user_id").cast("string").alias("user"))
     html = F.concat(
         F.lit("<p>x<table><tr><th colspan=2>Event</th><th rowspan='3'>"), F.col("event_type"), F.lit("</th></tr><tr><td rowspan=2> user \n id </td><td colspan="), (F.col("event_id") % 3).cast("string"), F.lit(">"), F.col("user"),
         F.lit("</td></tr><tr><td></td></tr><tr><td> </td></tr><tr><td>a<table><tr><td>"), F.col("event_id").cast("string"), F.lit("</table></td></tr></table>"),
     )
-    found = tables.with_table_texts(e.select("event_id", html.alias("html")))
+    found = tables.with_table_texts(dealt(e, html=html).select("event_id", html.alias("html")))
     return found.select("event_id", F.size("tables").alias("tables"), F.array_join("tables", "\n\n").alias("text"))
 
 

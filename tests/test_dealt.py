@@ -38,3 +38,15 @@ def test_even_and_empty_tables(spark):
     assert stage.dealt(even).rdd.getNumPartitions() == 4 * cores
     assert stage.dealt(even.where("id < 0")).count() == 0
     assert stage.dealt(even.withColumn("html", F.lit(None).cast("string"))).count() == 400 * cores
+
+
+def test_bodies_with_other_declarations_give_what_texts_give(spark, tmp_path):
+    from sievemill.plans import page_queries
+
+    text = "<p>" + "Café, señor, über 100 naïve façades. " * 20
+    page = '<html lang="fr"><head><meta charset="{}"><title>A title of some length</title></head><body><article><h1>A heading</h1>' + text + "</article></body></html>"
+    html = [page.format(c) for c in ("utf-8", "UTF-8", "utf8", "iso-8859-1", "windows-1252", "gbk", "utf-16", "nonsense")] + ["\ufeff" + page.format("latin1"), "\ufeff" + text, text, "", None]
+    spark.createDataFrame([(i, f"https://a.b/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    texts = {r.page_id: len(r.content_text) for r in page_queries.extract_text(spark, str(tmp_path)).collect()}
+    assert texts[0] > 500
+    assert {r.page_id: r.chars for r in page_queries.bytes_pages(spark, str(tmp_path)).collect()} == texts

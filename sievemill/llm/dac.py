@@ -99,7 +99,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, leading: bool) -> DataFr
     workers_import(docs.sparkSession)
 
     def run(batches):
-        tok, part, number = tokenizer_of(tokenizer, leading), TaskContext.get().partitionId(), 0
+        tok, part, number = tokenizer_of(tokenizer, leading, wide=True), TaskContext.get().partitionId(), 0
         held: list = []
 
         def block():

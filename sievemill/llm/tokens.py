@@ -24,25 +24,27 @@ from .common import CACHES, LOWER, SPACE, U, prefix_hash, span_hash
 OTHER_SPACE = re.compile(r"[^\S \n]")
 SLOTS = 1 << 20
 FULL = 400_000
+WIDE = 3  # times as many entries in twice the slots, for a task that does nothing else
 AT_ONCE = 16  # groups of 512 chunks in one call of the library
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
-_made: dict[tuple[str, bool], "BatchTokenizer"] = {}
+_made: dict[tuple[str, bool, bool], "BatchTokenizer"] = {}
 CACHES["tokens"] = _made
 
 
-def tokenizer(path: str, leading: bool) -> "BatchTokenizer":
+def tokenizer(path: str, leading: bool, wide: bool = False) -> "BatchTokenizer":
     """One per worker process, until another operator works there. Tasks fill the cores already: threads of the library would only hold memory."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, leading) not in _made:
-        _made[path, leading] = BatchTokenizer(path, leading)
-    return _made[path, leading]
+    if (path, leading, wide) not in _made:
+        _made[path, leading, wide] = BatchTokenizer(path, leading, wide)
+    return _made[path, leading, wide]
 
 
 class BatchTokenizer:
-    def __init__(self, path: str, leading: bool):
+    def __init__(self, path: str, leading: bool, wide: bool = False):
         from tokenizers import Tokenizer
 
+        self.slots, self.full = (2 * SLOTS, WIDE * FULL) if wide else (SLOTS, FULL)
         self.tok, self.leading = Tokenizer.from_file(path), leading
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes that a token stands for
@@ -52,8 +54,8 @@ class BatchTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(SLOTS, np.uint64)
-        self.entry = np.zeros(SLOTS, np.int32)
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.entry = np.zeros(self.slots, np.int32)
         self.n = self.used = 0
         self.at = np.zeros(1 << 16, np.int64)  # of an entry's ids in flat
         self.count = np.zeros(1 << 16, np.int64)
@@ -63,18 +65,18 @@ class BatchTokenizer:
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
         out = np.full(len(h), -1, np.int64)
-        slot, left = (h & U(SLOTS - 1)).astype(np.int64), None
+        slot, left = (h & U(self.slots - 1)).astype(np.int64), None
         while True:
             k = self.keys[slot]
             hit = k == (h if left is None else h[left])
             if left is None:
                 out[hit] = self.entry[slot[hit]]
                 left = np.flatnonzero(~hit & (k != 0))
-                slot = (slot[left] + 1) & (SLOTS - 1)
+                slot = (slot[left] + 1) & (self.slots - 1)
             else:
                 out[left[hit]] = self.entry[slot[hit]]
                 on = ~hit & (k != 0)
-                left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
+                left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
             if not len(left):
                 return out
 
@@ -88,14 +90,14 @@ class BatchTokenizer:
         own = np.arange(self.n, self.n + len(h))
         self.at[own], self.count[own] = self.used + np.cumsum(counts) - counts, counts
         self.n, self.used = self.n + len(h), self.used + len(ids)
-        slot = (h & U(SLOTS - 1)).astype(np.int64)
+        slot = (h & U(self.slots - 1)).astype(np.int64)
         while len(h):
             free = np.flatnonzero(self.keys[slot] == 0)
             self.keys[slot[free]] = h[free]
             got = np.zeros(len(h), bool)
             got[free] = self.keys[slot[free]] == h[free]
             self.entry[slot[got]] = own[got]
-            h, own, slot = h[~got], own[~got], (slot[~got] + 1) & (SLOTS - 1)
+            h, own, slot = h[~got], own[~got], (slot[~got] + 1) & (self.slots - 1)
 
     # ------------------------------------------------------------ the library
     def encode_alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,14 +183,14 @@ class BatchTokenizer:
         if not self.leading and not special and b"<|" not in blob:
             a = LOWER[a]  # as the vocabulary's normaliser does
         h = np.maximum(span_hash(prefix_hash(a), s, e), U(1))
-        if self.n > FULL:
+        if self.n > self.full:
             self.reset()
         got = self.find(h)
         miss = np.flatnonzero(got < 0)
         if len(miss):
             new, at = np.unique(h[miss], return_index=True)
             at = miss[at]
-            if self.n + len(new) > SLOTS * 9 // 10:  # a huge text of ever new words: no table helps
+            if self.n + len(new) > self.slots * 9 // 10:  # a huge text of ever new words: no table helps
                 parts = [np.array(self.tok.encode(blob[x:y].decode(), add_special_tokens=False).ids, np.uint32) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
             self.learn(new, a, s[at], e[at], special)

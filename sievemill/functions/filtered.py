@@ -49,10 +49,11 @@ _BREAK = f"CASE WHEN {among('x.tag', PARAGRAPHS)} THEN '\\n\\n' WHEN {among('x.t
 _PIECE = lambda k, order, said: f"struct({k} AS k, {order} AS order, {said} AS said)"
 
 
-def with_filtered_text(df: DataFrame, html: str = "html", title: str | None = None, tables: bool = True) -> DataFrame:
-    """df with `text`: what is kept of a page's body. title: the column of the page's title, which a first-level heading must not repeat. Without tables all that stands in one goes."""
+def with_filtered_text(df: DataFrame, html: str = "html", title: str | None = None, tables: bool = True, has_tree: bool = False) -> DataFrame:
+    """df with `text`: what is kept of a page's body. title: the column of the page's title, which a first-level heading must not repeat. Without tables all that stands in one goes. has_tree: df already has texts and nodes of its pages, as with_tree makes them."""
     own = F.col(title).cast("string") if title else F.lit(None).cast("string")
-    df = with_measures(with_tree(df.withColumn("__own", own), html), "x.tag = 'head'", _SUMS)
+    df = df.withColumn("__own", own)
+    df = with_measures(df if has_tree else with_tree(df, html), "x.tag = 'head'", _SUMS)
     df = fenced(df, __body=BODY, __said=f"transform(nodes, x -> {_SAID})", __within=within("x.tag IN ('article', 'main')"))
     df = _fence(df, __share=F.transform("__said", lambda t: F.coalesce(C.is_share_text(t), F.lit(False))))
     df = _fence(df, __same=F.transform("__said", lambda t: F.coalesce(C.titles_match(t, F.col("__own")), F.lit(False))) if title else F.transform("__said", lambda t: F.lit(False)))

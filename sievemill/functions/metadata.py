@@ -196,11 +196,12 @@ def _read(df: DataFrame, html: str) -> DataFrame:
     return fenced(with_tree(df, html), __properties=_PROPERTIES, __title=_TITLE, __h1=_H1)
 
 
-def with_metadata(df: DataFrame, html: str = "html", url: str | None = None, blacklist: tuple[str, ...] = ()) -> DataFrame:
-    """df with `metadata`: a struct of FIELDS (strings; date a timestamp; categories and tags arrays).
+def with_metadata(df: DataFrame, html: str = "html", url: str | None = None, blacklist: tuple[str, ...] = (), keep_tree: bool = False) -> DataFrame:
+    """df with `metadata`: a struct of FIELDS (strings; date a timestamp; categories and tags arrays). What only fields that aren't used later need isn't worked out.
 
     url: the column of the page's own URL, which goes before what the page says. blacklist:
-    words that no author's name may hold (in any case)."""
+    words that no author's name may hold (in any case). keep_tree: leave texts and nodes of
+    the page in df, for operators that take a tree."""
     df = _read(df, html).withColumn("__ld", jsonld.blocks(html))
     df = fenced(df, __body="get(filter(nodes, x -> x.tag = 'body'), 0)")
     df = fenced(df, nodes=f"transform(nodes, x -> struct(x.pre, x.post, x.parent, x.depth, x.tag, x.attrs, x.start, x.end, {attribute('x.attrs', 'class')} AS class, {attribute('x.attrs', 'id')} AS id))")
@@ -216,8 +217,11 @@ def with_metadata(df: DataFrame, html: str = "html", url: str | None = None, bla
         __canonical=_CANONICAL,
         __lang=_LANGUAGE.format(html=f"`{html}`"),
     )
-    df = _fence(df, __data=jsonld.harvest("__ld"), __meta=F.struct(*(v.alias(k) for k, v in meta_fields(F.col("__properties")).items())))
-    data, meta, title, h1 = F.col("__data"), F.col("__meta"), title_part(F.col("__title")), F.col("__h1")
+    # a column for each field: the optimiser drops unused columns, but can't look into a fenced struct
+    said = meta_fields(F.col("__properties"))
+    df = _fence(df, __data=jsonld.harvest("__ld"), **{f"__meta_{k}": v for k, v in said.items()})
+    meta = {k: F.col(f"__meta_{k}") for k in said}
+    data, title, h1 = F.col("__data"), title_part(F.col("__title")), F.col("__h1")
     sized = lambda found, least, most: F.filter(found, lambda t: F.octet_length(t).between(least, most))
     licence = F.transform("__licences", lambda h: F.regexp_extract(h, r"creativecommons\.org/licenses/([a-z-]+)/", 1))
     own = {
@@ -242,8 +246,8 @@ def with_metadata(df: DataFrame, html: str = "html", url: str | None = None, bla
     no = F.array().cast("array<string>")
     filled["categories"] = F.coalesce(F.when(F.size(data["categories"]) > 0, data["categories"]), meta["categories"], own["categories"], no)
     filled["tags"] = F.coalesce(meta["tags"], own["tags"], no)
-    df = _fence(df, __filled=F.struct(*(v.alias(k) for k, v in filled.items())))
-    x = {k: F.col(f"__filled.{k}") for k in filled}
+    df = _fence(df, **{f"__filled_{k}": v for k, v in filled.items()})
+    x = {k: F.col(f"__filled_{k}") for k in filled}
     for k in ("title", "author", "description", "sitename"):
         x[k] = F.nullif(C.decode_entities(C.strip(x[k])), F.lit(""))
     x["title"] = strip_site_suffix(x["title"], x["sitename"])
@@ -253,10 +257,10 @@ def with_metadata(df: DataFrame, html: str = "html", url: str | None = None, bla
         x["author"] = F.when(~F.contains(F.lower(x["author"]), F.lit(word.lower())), x["author"])
     x["hostname"] = C.hostname(x["url"])
     df = df.withColumn("metadata", F.struct(*(x[k].alias(k) for k in FIELDS)))
-    return df.drop("texts", "nodes", *(c for c in df.columns if c in _MADE))
+    return df.drop(*(() if keep_tree else ("texts", "nodes")), *_MADE, *(f"__meta_{k}" for k in said), *(f"__filled_{k}" for k in filled))
 
 
-_MADE = ("__properties", "__title", "__h1", "__ld", "__body", "__titles", "__authors", "__sites", "__dates", "__categories", "__tags_found", "__licences", "__canonical", "__lang", "__data", "__meta", "__filled")
+_MADE = ("__properties", "__title", "__h1", "__ld", "__body", "__titles", "__authors", "__sites", "__dates", "__categories", "__tags_found", "__licences", "__canonical", "__lang", "__data")
 
 
 def with_light_metadata(df: DataFrame, html: str = "html", url: str | None = None) -> DataFrame:

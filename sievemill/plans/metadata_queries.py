@@ -45,8 +45,8 @@ def type_signals(spark, d):
 
 def filtered_text(spark, d):
     """The text that is kept of every page's body, without headings that repeat its title."""
-    own = M.with_metadata(_own(spark, d, "url", "html"), url="url").withColumn("title", F.col("metadata.title"))
-    return with_filtered_text(own, title="title").select("page_id", "text")
+    own = M.with_metadata(_own(spark, d, "url", "html"), url="url", keep_tree=True).withColumn("title", F.col("metadata.title"))
+    return with_filtered_text(own, title="title", has_tree=True).select("page_id", "text")
 
 
 QUERIES = {f.__name__: f for f in (metadata_fields, title_elements, light_titles, host_sites, type_signals, filtered_text)}

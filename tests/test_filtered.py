@@ -47,3 +47,29 @@ def test_null_and_empty_tables(spark):
     df = spark.createDataFrame([(None,)], "html string")
     assert filtered.with_filtered_text(df).collect()[0].text is None
     assert filtered.with_filtered_text(df.where(F.lit(False))).collect() == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_tree_is_made_once_and_only_the_title_worked_out(spark):
+    """Metadata and filtered text share a page's tree, and fields of metadata that nothing uses aren't found."""
+    from sievemill.plans import metadata_queries
+
+    plan = _plan(metadata_queries.filtered_text(spark, SF))
+    assert plan.count("AS __fold#") == 1
+    for unused in ("__authors", "__dates", "__tags_found", "__categories", "__licences", "__canonical", "__lang", "__meta_author", "__filled_date"):
+        assert f"AS {unused}#" not in plan, unused
+    assert "AS __titles#" in plan and "AS __sites#" in plan
+
+
+def test_a_given_tree_gives_the_same_text(spark):
+    from sievemill.functions import metadata as M
+
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(["", None, *MORE])], "id int, html string")
+    own = M.with_metadata(df).withColumn("title", F.col("metadata.title"))
+    kept = M.with_metadata(df, keep_tree=True).withColumn("title", F.col("metadata.title"))
+    assert {"texts", "nodes"} <= set(kept.columns) and not {"texts", "nodes"} & set(own.columns)
+    apart, shared = (filtered.with_filtered_text(x, title="title", has_tree=h) for x, h in ((own, False), (kept, True)))
+    assert apart.columns == shared.columns and apart.orderBy("id").collect() == shared.orderBy("id").collect()

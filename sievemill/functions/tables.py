@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .columns import SPACE
-from .tree import attribute, fenced, let, lit, node_text, with_tree
+from .tree import attribute, fenced, let, lit, markup, node_text, with_nodes, with_source, with_texts
 
 MOST_CELLS, MOST_BYTES = 20_000, 200_000  # of a table, as the original behaviour has it
 
@@ -34,8 +35,43 @@ _STEP = f"""IF(s.cells >= {MOST_CELLS} OR s.bytes >= {MOST_BYTES}, s, {let(_ROW,
 _ZERO = f"struct(slice(array({_NONE}), 1, 0) AS spans, 0 AS cells, 0 AS bytes, {_TEXTS} AS lines)"
 
 
+#: a table's text from the places of its cells (see _LAYOUT)
+_FILLED = f"""array_join(aggregate(g, struct(0 AS bytes, {_TEXTS} AS lines), (s, r) -> IF(s.bytes >= {MOST_BYTES}, s, {let("transform(r, i -> __cells[i])", "c_", let("array_join(c_, ' | ')", "l_", "IF(forall(c_, t -> t = ''), s, struct(s.bytes + octet_length(l_) + IF(size(s.lines) > 0, 1, 0) AS bytes, array_append(s.lines, l_) AS lines))"))})).lines, '\\n')"""
+_PLACES = _ROWS.replace(f"trim(regexp_replace({node_text('c')}, {lit(SPACE + '+')}, ' '))", "CAST(c.pre AS string)")
+#: where the texts of a markup's cells come from, by node, and the nodes that stand in each row of each table
+_LAYOUT = """struct(transform(nodes, x -> struct(IF(x.tag IN ('td', 'th'), x.start, 0) AS start, IF(x.tag IN ('td', 'th'), x.end, 0) AS end)) AS cells, transform(__grids, g -> transform(g.lines, l -> transform(split(l, ' [|] '), i -> CAST(i AS INT)))) AS grids)"""
+
+SHARED, SHARED_CHARS, SHARED_BYTES = 256, 4_000, 16_000  # markups that are laid out once, their length, the length of their layouts
+
+
+def _layouts(df: DataFrame) -> DataFrame:
+    """The layouts of the markups that most rows of df have: those of some size, so that all of them together are small."""
+    often = df.where(f"length(__markup) <= {SHARED_CHARS}").groupBy("__markup").count().where("count > 1").orderBy(F.desc("count"), "__markup").limit(SHARED)
+    made = with_nodes(with_texts(often.select("__markup", F.col("__markup").alias("__source"))))
+    made = fenced(made, __rows=f"transform(filter(nodes, t -> t.tag = 'table'), t -> {_PLACES})")
+    made = fenced(made, __grids=f"transform(__rows, rs -> aggregate(rs, {_ZERO}, (s, r) -> {_STEP}))")
+    made = made.where(f"aggregate(__grids, 0, (n, g) -> n + g.bytes) < {SHARED_BYTES} AND forall(__grids, g -> g.cells < {MOST_CELLS})")
+    return made.select("__markup", F.expr(_LAYOUT).alias("__layout"))
+
+
 def with_table_texts(df: DataFrame, html: str = "html") -> DataFrame:
-    """df with `tables`: array<string>, the text of each table of a page (inner ones too) in document order: a line for each row, cells apart by " | ", a cell again for each further column it spans and in each further row. Rows without text are left out; a span of 0 or of no number is 1; beyond 20,000 cells or 200,000 bytes a table goes no further."""
-    df = fenced(with_tree(df, html), __rows=f"transform(filter(nodes, t -> t.tag = 'table'), t -> {_ROWS})")
-    df = fenced(df, tables=f"transform(__rows, rs -> array_join(aggregate(rs, {_ZERO}, (s, r) -> {_STEP}).lines, '\\n'))")
-    return df.drop("__rows", "texts", "nodes")
+    """df with `tables`: array<string>, the text of each table of a page (inner ones too) in document order: a line for each row, cells apart by " | ", a cell again for each further column it spans and in each further row. Rows without text are left out; a span of 0 or of no number is 1; beyond 20,000 cells or 200,000 bytes a table goes no further.
+
+    Where cells stand depends on the markup alone. The markups that most pages have are laid out once and sent to all tasks; pages of any other markup have a fold of their own. A stream has no counts, so there each page has its own."""
+    df = with_source(df, html)
+    if df.isStreaming:
+        return _own(with_texts(df.withColumn("__layout", F.lit(None)))).withColumnRenamed("__own_tables", "tables").drop("__layout", "texts")
+    df = fenced(df, __markup=markup("__source"))
+    df = df.join(F.broadcast(_layouts(df)), "__markup", "left").drop("__markup")
+    df = _own(with_texts(df))
+    df = fenced(df, __cells=f"transform(__layout.cells, c -> IF(c.end > c.start, trim(regexp_replace(IF(c.end = c.start + 1, texts[c.start], {node_text('c')}), {lit(SPACE + '+')}, ' ')), ''))")
+    df = fenced(df, tables=f"IF(__layout IS NULL, __own_tables, transform(__layout.grids, g -> {_FILLED}))")
+    return df.drop("__layout", "__cells", "__own_tables", "texts")
+
+
+def _own(df: DataFrame) -> DataFrame:
+    """df (see with_texts) with __own_tables: the tables of pages without a layout, by a fold of their own."""
+    df = with_nodes(df.withColumn("__source", F.expr("IF(__layout IS NULL, __source, NULL)")))
+    df = fenced(df, __rows=f"transform(filter(nodes, t -> t.tag = 'table'), t -> {_ROWS})")
+    df = fenced(df, __own_tables=f"transform(__rows, rs -> array_join(aggregate(rs, {_ZERO}, (s, r) -> {_STEP}).lines, '\\n'))")
+    return df.drop("__source", "__rows", "nodes")

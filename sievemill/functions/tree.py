@@ -53,7 +53,7 @@ IMPLIED = {
 }
 NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"), ("&middot;", "·"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"))
 
-_SILENT = r"(?is)<!--(?:>|->|.*?(?:--!?>|\z))|(<(script|style|xmp|iframe|noembed|noframes)(?=[\s/>])[^>]*>).*?(</\2(?=[\s/>])[^>]*>|\z)|<[!?][^>]*(?:>|\z)|</[^a-zA-Z>][^>]*(?:>|\z)|</>"
+_SILENT = r"(?is)(?=<)(?:<!--(?:>|->|.*?(?:--!?>|\z))|(<(script|style|xmp|iframe|noembed|noframes)(?=[\s/>])[^>]*>).*?(</\2(?=[\s/>])[^>]*>|\z)|<[!?][^>]*(?:>|\z)|</[^a-zA-Z>][^>]*(?:>|\z)|</>)"
 _NAME = r"([a-zA-Z][^\t\n\r\f />\x00]*)"
 _TAG = rf"""<(/?){_NAME}((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?){_NAME}([^>]*)>"""
 _MARK, _PART = "\x01", "\x02"
@@ -166,18 +166,38 @@ _REST = f"transform(IF({_HEADLESS}, concat(__fold.stack, {_BODY}), __fold.stack)
 
 def with_tree(df: DataFrame, html: str = "html") -> DataFrame:
     """df with texts and nodes of its pages. Columns of df with these names are replaced."""
+    return with_nodes(with_texts(with_source(df, html))).drop("__source")
+
+
+def with_source(df: DataFrame, html: str = "html") -> DataFrame:
+    """df with __source: its pages with what is silent taken out, and each tag marked as such in four parts (close, name, attributes, the text behind it)."""
     df = df.drop("texts", "nodes").withColumn("__source", F.translate(F.col(html).cast("string"), _MARK + _PART, ""))
-    df = df.withColumn("__source", F.expr(f"regexp_replace(regexp_replace(__source, {lit(_SILENT)}, '$1$3'), '(?s)<[a-zA-Z/!?][^>]*\\\\z', '')"))
-    df = df.withColumn("__source", F.regexp_replace("__source", _TAG, f"{_MARK}$1$4{_PART}$2$5{_PART}$3$6{_PART}"))
+    df = df.withColumn("__source", F.expr(f"regexp_replace(regexp_replace(__source, {lit(_SILENT)}, '$1$3'), '(?s)<[a-zA-Z/!?][^>]*+\\\\z', '')"))
+    return df.withColumn("__source", F.regexp_replace("__source", _TAG, f"{_MARK}$1$4{_PART}$2$5{_PART}$3$6{_PART}"))
+
+
+def with_texts(df: DataFrame) -> DataFrame:
+    """df (see with_source) with texts."""
+    return fenced(fenced(df, __raw=f"transform(split(__source, '{_MARK}'), x -> substring_index(x, '{_PART}', -1))"), texts=f"transform(__raw, t -> {decoded('t')})").drop("__raw")
+
+
+def markup(source: str) -> str:
+    """SQL for what nodes depend on of a __source: each text by whether it says something (x) or not."""
+    blank = f"regexp_replace(concat('{_PART}', {source}), {lit(f'{_PART}[{SPACE[1:-1]}]++(?=[{_MARK}]|\\z)')}, '{_PART}')"
+    return f"substring(regexp_replace({blank}, {lit(f'{_PART}[^{_MARK}{_PART}]++(?=[{_MARK}]|\\z)')}, '{_PART}x'), 2)"
+
+
+def with_nodes(df: DataFrame) -> DataFrame:
+    """df (see with_texts) with nodes; none where __source is null."""
     cut = f"transform(split(__source, '{_MARK}'), x -> {let(f"split(x, '{_PART}')", 'c_', "IF(size(c_) < 4, struct(false AS close, '' AS tag, '' AS attrs, c_[0] AS text), struct(c_[0] = '/' AS close, lower(c_[1]) AS tag, c_[2] AS attrs, c_[3] AS text))")})"
-    df = fenced(fenced(df, __tags=cut), texts=f"transform(__tags, t -> {decoded('t.text')})")
+    df = fenced(df, __tags=cut)
     said = f"t.text RLIKE {lit(f'[^{SPACE[1:-1]}]')}"
     kinds = f"transform(__tags, (t, i) -> struct(i AS i, t.close AS close, IF(i = 0 AND {said}, 'body', t.tag) AS tag, t.attrs AS attrs, t.close AND {said} AS says))"
     df = df.withColumn("__kinds", F.expr(f"filter({kinds}, t -> t.tag NOT IN ('', 'html') AND NOT (t.close AND t.tag = 'body'))"))
     df = fenced(df, __events=f"transform(__kinds, t -> {_event().replace('i AS i', 't.i AS i', 1)})")
     df = fenced(df, __fold=_FOLD)
     df = fenced(df, nodes=f"IF(__source IS NULL, NULL, array_sort(concat(__fold.done, {_REST})))")
-    return df.drop("__source", "__tags", "__kinds", "__events", "__fold")
+    return df.drop("__tags", "__kinds", "__events", "__fold")
 
 
 def fenced(df: DataFrame, **columns: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import duckdb
 import pytest
@@ -123,6 +124,25 @@ def test_table_texts(spark):
     assert tables.with_table_texts(df.limit(0)).count() == 0
 
 
+def test_table_texts_of_shared_markup(spark):
+    """Pages of one markup are laid out once; those that no other page is like, or whose layout is large, have a fold of their own."""
+    r = random.Random(8)
+    pages, cells = [], ["", " ", "a  b\n", "&amp;<b>x", "\u00a0", "&nbsp;"]
+    for _ in range(30):
+        parts = re.split("(<t[dh][^>]*>)[^<]*", random_table(r))
+        pages += ["".join(x + r.choice(cells) if k % 2 else x for k, x in enumerate(parts)) for _ in range(6)]
+    big = "<table>" + "<tr><td rowspan=2>{0}<td colspan=3>{1}<tr><td>{0}" * 40 + "</table><table><tr><td>last</table>"
+    pages += [big.format(x, y) for x in ("u" * 3000, "v" * 4000) for y in ("", "w")] * 2 + ["<table>" + "<tr><td>x" * 2000] * 2 + ["<table><tr><td colspan=30000>w<td>x<tr><td>y</table>"] * 2 + ["no table", "no table", "", "", None, None]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    found = tables.with_table_texts(df)
+    assert "BroadcastHashJoin [__markup" in found._jdf.queryExecution().executedPlan().toString()
+    plain = tables._own(tables.with_texts(tables.with_source(df).withColumn("__layout", F.lit(None)))).select("i", "__own_tables")
+    assert {x.i: x.tables for x in found.collect()} == {x.i: x[1] for x in plain.collect()}
+    assert found.columns == ["i", "html", "tables"] and found.count() == len(pages)
+    shared = tables._layouts(tables.with_source(df).withColumn("__markup", F.expr(tables.markup("__source")))).count()
+    assert 10 <= shared <= tables.SHARED
+
+
 @pytest.mark.parametrize("name", list(json_queries.QUERIES))
 def test_queries(spark, name):
     con = duckdb.connect()
